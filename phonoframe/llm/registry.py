@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from phonoframe.llm import archives
+from phonoframe.llm.archives import op5_zip_archives
+from phonoframe.llm.mixing import op3_entropy_mixing
 from phonoframe.llm.packing import op9_packing
+from phonoframe.llm.secrets import op7_secret_scan
 from phonoframe.llm.sharding import op10_ring_sharding
 
 QUERIES = {
+    "op3_entropy_mixing": op3_entropy_mixing,
+    "op5_zip_archives": op5_zip_archives,
+    "op7_secret_scan": op7_secret_scan,
     "op9_packing": op9_packing,
     "op10_ring_sharding": op10_ring_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_zip_archives": archives.ORACLE}
