@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from phonoframe.llm import archives
 from phonoframe.llm.archives import op5_zip_archives
+from phonoframe.llm.langid import op2_language_id
 from phonoframe.llm.mixing import op3_entropy_mixing
 from phonoframe.llm.packing import op9_packing
 from phonoframe.llm.secrets import op7_secret_scan
 from phonoframe.llm.sharding import op10_ring_sharding
+from phonoframe.llm.vptree import op1_vantage_point_search
 
 QUERIES = {
+    "op1_vantage_point_search": op1_vantage_point_search,
+    "op2_language_id": op2_language_id,
     "op3_entropy_mixing": op3_entropy_mixing,
     "op5_zip_archives": op5_zip_archives,
     "op7_secret_scan": op7_secret_scan,
