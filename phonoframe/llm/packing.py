@@ -9,8 +9,14 @@ offsets; the second pass cuts the stream at multiples of the window.
 
 from __future__ import annotations
 
+import gc
+import json
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,73 +28,122 @@ from phonoframe.llm.common import binary_rows, slices, table, utf8, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words of up to CACHED_BYTES bytes whose ids a task remembers; beyond that it starts afresh.
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
-_SLICE = 4 << 20
+#: Different words, and their bytes, that a Python worker remembers; beyond that it starts afresh.
+CACHED_WORDS, CACHED_BYTES = 450_000, 16 << 20
+#: Words of letters (ASCII or Latin-1, as UTF-8) and ASCII marks after them or none.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]{0,8})")
+#: Bytes of text encoded at once, and new words per call of the tokenizer.
+_SLICE, _CALL = 1 << 20, 4000
 
 
 class WordIds:
     """Ids of whole texts for a tokenizer that drops white space and never joins words across it.
 
     The ids of a text are then those of its words one after the other, and each
-    different word is encoded once.
+    different word is encoded once. Where the vocabulary marks the ends of words
+    and ignores case, letters and a final mark are units of their own, so that
+    "Word" and "word," share one.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+        ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        self.parts = bool(suffix) and all(ids(f"Abcé{m} xyz") == ids("abcé") + ids(m) + ids("XYZ") for m in (",", ".", "***", "'"))
         self.forget()
 
     def forget(self) -> None:
+        #: word -> number; unit of its letters and of its mark (0: nothing). unit -> number; ids back to back.
         self.code: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.flat: np.ndarray | None = None
+        self.held = 0
+        self.word_units = np.zeros((0, 2), np.int64)
+        self.units: dict[bytes, int] = {b"": 0}
+        self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def add_units(self, units: list[bytes], plain: bool) -> None:
+        """New units, joined by spaces; their tokens are told apart by marked ends (plain letters) or by where they start."""
+        sizes, flat = [self.sizes], [self.flat]
+        for i in range(0, len(units), _CALL):
+            some = [w.decode() for w in units[i : i + _CALL]]
+            if plain:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                sizes.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+                assert len(sizes[-1]) == len(some)
+            else:
+                got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                starts = np.cumsum([0] + [len(w) + 1 for w in some])
+                at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
+                ids = np.array(got.ids, np.uint32)
+                sizes.append(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(some)))
+            flat.append(ids)
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
 
     def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, got, strict=True):
-            self.code[w] = len(self.ids)
-            self.ids.append(e.ids)
-        self.flat = None
+        match = PLAIN.fullmatch if self.parts else lambda w: None
+        found = list(map(match, words))
+        first = [m[1].lower() if m else w for m, w in zip(found, words, strict=True)]
+        mark = [m[2] if m else b"" for m in found]
+        letters = {u for u, m in zip(first, found, strict=True) if m}
+        self.add_units(list(letters.difference(self.units)), True)
+        self.add_units(list(set(first).union(mark).difference(self.units)), False)
+        n = len(words)
+        units = np.stack([np.fromiter(map(self.units.__getitem__, x), np.int64, n) for x in (first, mark)], 1)
+        self.code.update(zip(words, range(len(self.code), len(self.code) + n), strict=True))
+        self.word_units = np.concatenate([self.word_units, units])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and where each text begins (n + 1 numbers)."""
+        gc.disable()  # millions of small objects, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() for t in texts]  # at the six ASCII white-space bytes
-        if len(self.code) > CACHED_WORDS:
+        if len(self.code) > CACHED_WORDS or self.held > CACHED_BYTES:
             self.forget()
-        new = list({w for ws in split for w in ws}.difference(self.code))
+        new = set(chain.from_iterable(split)).difference(self.code)
         if new:
-            self.learn(new)
-        if self.flat is None:
-            self.sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-            self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-            self.flat = np.fromiter((i for ids in self.ids for i in ids), np.uint32, int(self.starts[-1]))
+            self.learn(list(new))
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((self.code[w] for ws in split for w in ws), np.int64, int(n_words.sum()))
-        sizes = self.sizes[codes]
-        word_at = np.concatenate([[0], np.cumsum(sizes)])
-        text_at = np.concatenate([[0], np.cumsum(n_words)])
-        cuts = word_at[text_at] + np.arange(len(texts) + 1)
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        units = self.word_units[codes].ravel()
+        sizes, starts = self.sizes[units], (np.cumsum(self.sizes) - self.sizes)[units]
+        unit_at = np.concatenate([[0], np.cumsum(sizes)])
+        text_at = 2 * np.concatenate([[0], np.cumsum(n_words)])
+        cuts = unit_at[text_at] + np.arange(len(texts) + 1)
         out = np.full(int(cuts[-1]), END_ID, np.uint32)
         keep = np.ones(len(out), bool)
         keep[cuts[1:] - 1] = False
-        out[keep] = self.flat[np.arange(word_at[-1]) + np.repeat(self.starts[codes] - word_at[:-1], sizes)]
-        for w in [w for w in new if len(w) > CACHED_BYTES][:]:
-            self.code.pop(w)  # long words seldom come again
+        out[keep] = self.flat[np.arange(unit_at[-1]) + np.repeat(starts - unit_at[:-1], sizes)]
+        self.held += sum(len(w) for w in new)
         return out, cuts
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, which serves many tasks."""
+    return WordIds(path)
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """part, start (within the part), doc_id, doc_tokens and ids (little-endian unsigned 32-bit) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, start = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, part, start = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             raw, at = utf8(batch.column(1))
-            view = raw.tobytes() if len(raw) else b""
             for i, j in slices(at, _SLICE):
-                ids, cuts = words.encode([view[at[k] : at[k + 1]] for k in range(i, j)])
+                ids, cuts = words.encode([raw[at[k] : at[k + 1]].tobytes() for k in range(i, j)])
                 yield pa.record_batch(
                     [pa.array(np.full(j - i, part, np.int64)), pa.array(start + cuts[:-1]), batch.column(0).slice(i, j - i), pa.array(np.diff(cuts)), binary_rows(ids, cuts)],
                     names=["part", "start", "doc_id", "doc_tokens", "ids"],
