@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from phonoframe.llm import archives
 from phonoframe.llm.archives import op5_zip_archives
+from phonoframe.llm.jaccard import op4_jaccard_join
 from phonoframe.llm.langid import op2_language_id
 from phonoframe.llm.mixing import op3_entropy_mixing
 from phonoframe.llm.packing import op9_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_vantage_point_search": op1_vantage_point_search,
     "op2_language_id": op2_language_id,
     "op3_entropy_mixing": op3_entropy_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_zip_archives": op5_zip_archives,
     "op7_secret_scan": op7_secret_scan,
     "op9_packing": op9_packing,

@@ -56,10 +56,10 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int = 5) -> list[np.ndar
         if b - a >= size:
             out.append(np.unique(rolled[a : b - size + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = mixed(np.array([whole * weight[0] + w]))[0]
-            out.append(np.array([whole]))
+            whole = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                whole = mixed(whole * weight[0] + words[i : i + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
