@@ -7,6 +7,7 @@ our own is used only where that setting is absent (tests, a laptop).
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column back to back and n + 1 offsets; nulls are empty. No copy of the text."""
     if isinstance(column, pa.ChunkedArray):

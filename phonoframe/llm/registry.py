@@ -10,6 +10,7 @@ from phonoframe.llm.mixing import op3_entropy_mixing
 from phonoframe.llm.packing import op9_packing
 from phonoframe.llm.secrets import op7_secret_scan
 from phonoframe.llm.sharding import op10_ring_sharding
+from phonoframe.llm.suffixes import op6_suffix_dedup
 from phonoframe.llm.vptree import op1_vantage_point_search
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_entropy_mixing": op3_entropy_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_zip_archives": op5_zip_archives,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_packing": op9_packing,
     "op10_ring_sharding": op10_ring_sharding,
