@@ -6,6 +6,7 @@ from phonoframe.llm import archives
 from phonoframe.llm.archives import op5_zip_archives
 from phonoframe.llm.jaccard import op4_jaccard_join
 from phonoframe.llm.langid import op2_language_id
+from phonoframe.llm.media import op8_image_copies
 from phonoframe.llm.mixing import op3_entropy_mixing
 from phonoframe.llm.packing import op9_packing
 from phonoframe.llm.secrets import op7_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_zip_archives": op5_zip_archives,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_image_copies": op8_image_copies,
     "op9_packing": op9_packing,
     "op10_ring_sharding": op10_ring_sharding,
 }
