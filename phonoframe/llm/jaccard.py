@@ -3,16 +3,17 @@
 The Jaccard distance is a metric. Two documents link at a distance of 0.2 or
 less, and the join finds all components of links, exactly:
 
-1. *Reach.* Similar sets share at least two shingles among the first fifth (and
-   two) of each set in one global order of shingles. The order puts very common
-   shingles last, so passages that many documents share don't draw together
-   documents that have nothing else in common. A document is replicated to the
-   cells of these shingles only.
-2. *Regions.* A small cell proposes its pairs, and a pair that meets in two
-   small cells is tested around its smaller document, the pivot. A large cell
-   becomes a region around its smallest document, cut into slabs of similar
-   set sizes (a window by the triangle inequality with the empty set as pivot:
-   sizes of linked documents differ by a quarter at most).
+1. *Reach.* Sets that link differ in a fifth of either at most, so they share s
+   shingles at least among the first fifth and s more of each in one global
+   order of shingles, whatever s is. Here s grows with the smaller set. The
+   order puts very common shingles last, so passages that many documents share
+   don't draw together documents that have nothing else in common. A document
+   is replicated to the cells of these shingles only.
+2. *Regions.* A small cell proposes its pairs; a pair that meets in no large cell
+   must meet in s small ones, and is then tested around its smaller document,
+   the pivot. A large cell becomes a region around its smallest document, cut
+   into slabs of similar set sizes (a window by the triangle inequality with
+   the empty set as pivot: sizes of linked documents differ by a quarter at most).
 3. *Recursion.* A region picks a pivot and measures every member's distance to
    it. Members within the radius link to it and are one component. For the
    rest, only members inside the triangle window, no nearer to the pivot than
@@ -35,19 +36,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, slices, table, utf8, written
+from phonoframe.llm.common import binary_rows, released, slices, table, utf8, written
 from phonoframe.llm.components import components
 from phonoframe.llm.shingles import set_digest, shingle_sets
 
 SIZE = 5
 #: Documents link when PART * |intersection| >= LINK * |union|.
 PART, LINK = 100, 80
-#: Shingles that linked sets share in their reach.
-SHARED = 2
+#: Shingles that linked sets share in their reach: so many and this per cent of the smaller set.
+SHARED, SHARED_PER_CENT = 2, 4
 #: A shingle is common from this many documents on; of these the most frequent go last, at most COMMON_MOST (the order decides the cost, not the result).
 COMMON, COMMON_MOST = 48, 1 << 18
 #: Cells of up to this many sets propose pairs.
-SMALL = 8
+SMALL = 48
 #: Members of a region that one task joins.
 LOCAL = 1000
 #: Members of a large region among which its pivot is chosen, by a hash.
@@ -63,7 +64,7 @@ _SLICE = 2 << 20
 def reach(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the global order: those that aren't common, then the common ones, each by hash."""
     n = len(tokens)
-    most = min(n, (PART - LINK) * n // PART + SHARED)
+    most = min(n, (PART - LINK) * n // PART + SHARED + SHARED_PER_CENT * n // 100)
     if len(common):
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
         late = common[at] == tokens
@@ -154,7 +155,7 @@ def slab(n: np.ndarray) -> np.ndarray:
 
 
 def cells(posted: DataFrame) -> DataFrame:
-    """kind, a, b, slab: pairs (0; a < b) of small cells, members b of regions (1) around a, documents a with digest b and size slab (2)."""
+    """kind, a, b, slab: pairs (0; a < b; the smaller size as slab) of small cells, members b of regions (1) around a, documents a with digest b and size slab (2)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, 1):
@@ -169,13 +170,17 @@ def cells(posted: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(start, append=len(token))
             count = np.repeat(size, size)
-            for step in range(1, min(SMALL, len(token))):
-                i = np.flatnonzero((count[:-step] <= SMALL) & (token[:-step] == token[step:]))
+            place = np.arange(len(token)) - np.repeat(start, size)
+            left = np.flatnonzero((count <= SMALL) & (count - place > 1))
+            for step in range(1, SMALL):
+                i = left = left[(count - place)[left] > step]
+                if not len(i):
+                    break
                 x, y, p, q = doc[i], doc[i + step], n[i], n[i + step]
                 near = PART * np.minimum(p, q) >= LINK * np.maximum(p, q)
                 a.append(np.minimum(x, y)[near])
                 b.append(np.maximum(x, y)[near])
-                s.append(np.zeros(len(a[-1]), np.int64))
+                s.append(np.minimum(p, q)[near])
                 kind.append(np.zeros(len(a[-1]), np.int8))
             for i in np.flatnonzero(size > SMALL):
                 d, at = doc[start[i] : start[i] + size[i]], slab(n[start[i] : start[i] + size[i]])
@@ -366,7 +371,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) that connect the components of different sets, and doc_id, digest, n_shingles of every document."""
     found = written(cells(postings(docs, common_shingles(docs))), "jaccard-cells")
     sets = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), F.col("slab").alias("n_shingles"))
-    pairs = found.where("kind = 0").groupBy("a", "b").count().where(F.col("count") >= SHARED)
+    released(docs.sparkSession)
+    enough = SHARED + F.floor(F.col("n") * SHARED_PER_CENT / 100)
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("slab").alias("n")).where(F.col("met") >= enough)
     around = pairs.select(F.lit(0).cast("byte").alias("kind"), "a", F.lit(0).cast("long").alias("slab"), "b")
     around = around.unionByName(around.select("kind", "a", "slab", F.col("a").alias("b")).distinct())
     regions = found.where("kind = 1").select("kind", "a", "slab", "b").distinct()
@@ -376,6 +383,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = small.unionByName(large).join(sets.select(F.col("doc_id").alias("b"), "digest"), "b")
     dealt = with_sets(members, docs).repartition("kind", "a", "slab", "salt").sortWithinPartitions("kind", "a", "slab")
     solved = written(dealt.mapInArrow(solve, "u long, v long, a long, slab long, tokens binary"), "jaccard-links")
+    released(docs.sparkSession)
     links = solved.where("a is null").select("u", "v")
     region = solved.where("a is not null").select("a", "slab", F.col("u").alias("b"), F.col("u").alias("label"), "tokens")
     more = not region.isEmpty()
