@@ -1,22 +1,67 @@
-"""The corpus pipeline: stages that each call one operator of phonoframe.llm."""
+"""The corpus pipeline: five stages, each of which calls one operator of phonoframe.llm.
+
+A stage takes what its predecessor kept. All but the last return the columns of
+documents; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phonoframe.llm import jaccard, langid, mixing, packing, secrets
 from phonoframe.llm.common import table, written
-from phonoframe.llm.packing import default_tokenizer, packed
 
 
-def packing(spark, docs, sf_dir):
-    return packed(docs, default_tokenizer())
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter, and undecided ones, go."""
+    return langid.accepted(docs, langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id. Rows without a doc_id stay."""
+    groups = jaccard.joined_components(docs)
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their texts masked, and n_chars counted anew."""
+    text = secrets.redact(F.col("text"), secrets.default_vocabulary())
+    changed = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it (0 to 3 times). Rows that share a doc_id are taken alike."""
+    sizes = written(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "mixing-sizes")
+    times = mixing.mixed_copies(sizes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_times"))
+    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("_times") > 0)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of 4096 tokens."""
+    return packing.packed(docs, packing.default_tokenizer())
+
 
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", jaccard_join),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mixing),
+    ("packing", packed_sequences),
+]
 
-STAGES = [("packing", packing)]
+#: No SQL: stages 1, 3 and 5 rest on models and tokenizers. The tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES one after the other over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -223,6 +223,26 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", letter.alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language the model can tell: not `und`, and a score of `least_score` at least.
+
+    A model without languages accepts every text with a letter.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            if m.langs:
+                bits = m.bits(*utf8(batch.column(text)))
+                keep = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1) >= least_score
+            yield batch.filter(pa.array(keep))
+
+    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from labelled documents that aren't held out (the contract of ``predicted``)."""
     docs = table(spark, sf_dir, "documents")
