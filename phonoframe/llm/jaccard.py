@@ -19,7 +19,7 @@ less, and the join finds all components of links, exactly:
    rest, only members inside the triangle window, no nearer to the pivot than
    the nearest unlinked member less the radius, can still have links to find;
    they and the unlinked ones form the next, smaller region. Regions beyond
-   ``LOCAL`` members do this step by step over the cluster, others in a task.
+   ``LOCAL`` shingles do this step by step over the cluster, others in a task.
 
 Sets travel as sorted 64-bit hashes; links compare intersections and unions by
 integers. A set that several documents have in common takes part once.
@@ -49,8 +49,8 @@ SHARED, SHARED_PER_CENT = 2, 4
 COMMON, COMMON_MOST = 48, 1 << 18
 #: Cells of up to this many sets propose pairs.
 SMALL = 48
-#: Members of a region that one task joins.
-LOCAL = 1000
+#: Shingles of all members of a region that one task joins (8 bytes each).
+LOCAL = 3_000_000
 #: Members of a large region among which its pivot is chosen, by a hash.
 CHOSEN_FROM = 64
 FULL = (1 << 24) - 1
@@ -58,7 +58,7 @@ FULL = (1 << 24) - 1
 RADIUS = (PART - LINK) / PART + 1e-9
 #: Steps of distance in which large regions look for members to excuse.
 BINS = 100
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 def reach(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -287,8 +287,9 @@ def with_sets(members: DataFrame, docs: DataFrame) -> DataFrame:
                 regions = batch.column(1).slice(i, len(sets)).take(pa.array(good))
                 row = good[np.repeat(np.arange(len(good)), np.diff(np.asarray(regions.offsets)))]
                 some, doc = regions.flatten(), batch.column(3).slice(i, len(sets))
-                for j in range(0, len(row), 1024):
-                    part = row[j : j + 1024]
+                bounds = np.concatenate([[0], np.cumsum([8 * len(sets[k]) for k in row])])
+                for j, k in slices(bounds, 4 << 20):
+                    part = row[j:k]
                     out = [sets[k] for k in part]
                     yield pa.record_batch(
                         [*(some.field(k).slice(j, len(part)) for k in range(4)), doc.take(pa.array(part)), binary_rows(np.concatenate(out), np.cumsum([0, *map(len, out)]))],
@@ -377,7 +378,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     around = pairs.select(F.lit(0).cast("byte").alias("kind"), "a", F.lit(0).cast("long").alias("slab"), "b")
     around = around.unionByName(around.select("kind", "a", "slab", F.col("a").alias("b")).distinct())
     regions = found.where("kind = 1").select("kind", "a", "slab", "b").distinct()
-    size = regions.groupBy("kind", "a", "slab").count().where(F.col("count") > LOCAL).drop("count")
+    weighed = regions.join(sets.select(F.col("doc_id").alias("b"), "n_shingles"), "b")
+    size = weighed.groupBy("kind", "a", "slab").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > LOCAL).drop("n")
     large = regions.join(size, ["kind", "a", "slab"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 16)).cast("int") + 1)
     small = regions.join(size, ["kind", "a", "slab"], "left_anti").unionByName(around).withColumn("salt", F.lit(0))
     members = small.unionByName(large).join(sets.select(F.col("doc_id").alias("b"), "digest"), "b")
@@ -390,11 +392,11 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while more:
         got, rest = step(region)
         rest = written(rest, "jaccard-rest")
-        size = rest.groupBy("a", "slab").count()
-        left = rest.join(size.where(F.col("count") <= LOCAL).drop("count"), ["a", "slab"], "left_semi")
+        size = rest.groupBy("a", "slab").agg((F.sum(F.octet_length("tokens")) / 8).alias("n"))
+        left = rest.join(size.where(F.col("n") <= LOCAL).drop("n"), ["a", "slab"], "left_semi")
         last = left.select(F.lit(1).cast("byte").alias("kind"), "a", "slab", F.lit(0).alias("salt"), "b", "tokens").repartition("a", "slab").sortWithinPartitions("a", "slab")
         links = links.unionByName(got).unionByName(written(last.mapInArrow(solve, "u long, v long, a long, slab long, tokens binary").select("u", "v"), "jaccard-links"))
-        region = written(rest.join(size.where(F.col("count") > LOCAL).drop("count"), ["a", "slab"], "left_semi"), "jaccard-region")
+        region = written(rest.join(size.where(F.col("n") > LOCAL).drop("n"), ["a", "slab"], "left_semi"), "jaccard-region")
         more = not region.isEmpty()
     return links, sets
 
