@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch while a step is written: Spark's default holds whole texts several times over in each task.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,12 @@ class Written:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, name)
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(BATCH_CONF)
+        self.spark.conf.set(BATCH_CONF, str(min(BATCH_BYTES, int(before.rstrip("b")))) if before.rstrip("b").isdigit() else before)
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(BATCH_CONF, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -26,7 +26,7 @@ SAMPLE_DOCS = 1500
 #: A context of one to three bytes is kept from this many occurrences on.
 MIN_CONTEXT = 4
 UNDETERMINED = "und"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def context_symbols(symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
