@@ -68,20 +68,26 @@ def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidea
     """(utt, step, x_frame, y_frame, distance) of frames (utt, frame, features) that both have; distance is over both lengths. Trailing silence is left out."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["utt", "step", "x_frame", "y_frame", "distance"]
+        def table(utt: list, i: np.ndarray, j: np.ndarray, d: float) -> pd.DataFrame:
+            return pd.DataFrame({"utt": pd.Series(utt, dtype=object), "step": np.arange(len(i)), "x_frame": i, "y_frame": j, "distance": np.full(len(i), d)})
+
+        # Both sides may come from one table, so the second has names of its own.
+        b = b.set_axis(["utt", "frame", "features"], axis=1)
+        none = table([], np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0)
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in names})
+            return none
         a, b = a.sort_values("frame"), b.sort_values("frame")
         p, q = (_trimmed(np.stack(f["features"].to_numpy()).astype(float)) for f in (a, b))
         if not len(p) or not len(q):
-            return pd.DataFrame({c: [] for c in names})
+            return none
         d, path = warp(p, q, dist) if exact else fast_warp(p, q, radius, dist)
         i, j = np.array(path).T
-        return pd.DataFrame({"utt": a["utt"].iloc[0], "step": np.arange(len(i)), "x_frame": a["frame"].to_numpy()[i], "y_frame": b["frame"].to_numpy()[j], "distance": d / (len(p) + len(q))})
+        return table([a["utt"].iloc[0]] * len(i), a["frame"].to_numpy()[i], b["frame"].to_numpy()[j], d / (len(p) + len(q)))
 
     kind = x.schema["utt"].dataType.simpleString()
-    pick = lambda df: df.select("utt", "frame", "features").groupBy("utt")
-    return pick(x).cogroup(pick(y)).applyInPandas(run, f"utt {kind}, step long, x_frame long, y_frame long, distance double")
+    left = x.select("utt", "frame", "features").groupBy("utt")
+    right = y.select(F.col("utt").alias("y_utt"), F.col("frame").alias("y_frame"), F.col("features").alias("y_features")).groupBy("y_utt")
+    return left.cogroup(right).applyInPandas(run, f"utt {kind}, step long, x_frame long, y_frame long, distance double")
 
 
 def aligned(path: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:

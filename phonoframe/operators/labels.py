@@ -10,15 +10,18 @@ FRAME_SHIFT = 50_000
 #: Contexts of silence.
 SILENCE = ".*-sil+.*"
 
-_ALONG = Window.partitionBy("utt").orderBy("idx")
-_BEFORE = _ALONG.rowsBetween(Window.unboundedPreceding, -1)
-_UPTO = _ALONG.rowsBetween(Window.unboundedPreceding, 0)
-_WHOLE = Window.partitionBy("utt")
+
+def _along():
+    return Window.partitionBy("utt").orderBy("idx")
+
+
+def _upto():
+    return _along().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def contiguity(labels: DataFrame) -> DataFrame:
     """labels with ok: the label isn't empty and starts where its predecessor ends."""
-    before = F.lag("end_time").over(_ALONG)
+    before = F.lag("end_time").over(_along())
     return labels.withColumn("ok", (F.col("start_time") < F.col("end_time")) & (before.isNull() | (before == F.col("start_time"))))
 
 
@@ -39,8 +42,8 @@ def with_durations(labels: DataFrame, durations: DataFrame, shift: int = FRAME_S
     """Times from durations (utt, idx, frames), from the utterance's first start on. A label without a duration fails."""
     joined = labels.join(durations.select("utt", "idx", "frames"), ["utt", "idx"], "left")
     known = F.when(F.col("frames").isNotNull(), F.col("frames")).otherwise(F.raise_error(F.lit("a label has no duration")).cast("long"))
-    first = F.first("start_time").over(_UPTO)
-    end = (first + F.sum(known * shift).over(_UPTO)).cast("long")
+    first = F.first("start_time").over(_upto())
+    end = (first + F.sum(known * shift).over(_upto())).cast("long")
     return joined.withColumn("_end", end).withColumn("start_time", (F.col("_end") - F.col("frames") * shift).cast("long")).withColumn("end_time", F.col("_end")).select(*labels.columns)
 
 
@@ -82,8 +85,8 @@ def state_aligned(labels: DataFrame) -> DataFrame:
 def num_states(labels: DataFrame) -> DataFrame:
     """(utt, num_states): states of the first phone; 1 for phone alignments."""
     state = F.regexp_extract("context", r"\[(\d)\]$", 1).cast("int")
-    marked = labels.withColumn("_s", state).withColumn("_fall", (F.lag("_s").over(_ALONG) >= F.col("_s")).cast("int"))
-    first = marked.withColumn("_run", F.coalesce(F.sum("_fall").over(_UPTO), F.lit(0))).where("_run = 0")
+    marked = labels.withColumn("_s", state).withColumn("_fall", (F.lag("_s").over(_along()) >= F.col("_s")).cast("int"))
+    first = marked.withColumn("_run", F.coalesce(F.sum("_fall").over(_upto()), F.lit(0))).where("_run = 0")
     return first.groupBy("utt").agg(F.coalesce(F.max("_s") - F.min("_s") + 1, F.lit(1)).alias("num_states"))
 
 
@@ -118,7 +121,7 @@ def as_audacity(labels: DataFrame) -> DataFrame:
 def as_textgrid(labels: DataFrame) -> DataFrame:
     """(utt, text): one interval tier named phoneme."""
     seconds = lambda c: F.format_string("%.7f", c * 1e-7)
-    number = F.row_number().over(_ALONG)
+    number = F.row_number().over(_along())
     line = F.concat(
         F.lit("        intervals ["), number.cast("string"), F.lit("]:\n            xmin = "), seconds(F.col("start_time")),
         F.lit("\n            xmax = "), seconds(F.col("end_time")), F.lit('\n            text = "'), F.replace(phone_name(), F.lit('"'), F.lit('""')), F.lit('"'),
