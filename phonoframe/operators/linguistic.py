@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonoframe.functions.scalar import coarse_coding
-from phonoframe.operators.labels import FRAME_SHIFT
+from phonoframe.operators.labels import FRAME_SHIFT, state_aligned
 from phonoframe.sources.questions import Question
 
 #: Width of the sub-phone features.
@@ -99,6 +99,18 @@ def state_frames(labels: DataFrame, kind: str | None = "full", shift: int = FRAM
     return spread.select("utt", "idx", (F.col("_start") + i).alias("frame"), F.array(*[f.cast("double") for f in features]).alias("features"))
 
 
+def _by_alignment(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Utterances with a state alignment, and the others."""
+    with_states = state_aligned(labels).where("state_aligned").select("utt")
+    return labels.join(with_states, "utt", "left_semi"), labels.join(with_states, "utt", "left_anti")
+
+
+def frame_features(labels: DataFrame, state_kind: str | None = "full", phone_kind: str | None = None, shift: int = FRAME_SHIFT) -> DataFrame:
+    """(utt, idx, frame, features), each utterance by its own kind of alignment."""
+    states_, phones = _by_alignment(labels)
+    return state_frames(states_, state_kind, shift).unionByName(phone_frames(phones, phone_kind, shift))
+
+
 def linguistic_frames(labels: DataFrame, answers: DataFrame, frames: DataFrame) -> DataFrame:
     """(utt, frame, features): each frame's label's answers, then its sub-phone features."""
     a = answers.select("utt", "idx", F.col("answers").cast("array<double>").alias("_a"))
@@ -116,6 +128,13 @@ def phone_durations(labels: DataFrame, shift: int = FRAME_SHIFT) -> DataFrame:
     return labels.select("utt", "idx", ((F.col("end_time") - F.col("start_time")) / shift).cast("long").alias("frames"))
 
 
+def durations(labels: DataFrame, num_states: int = 5, shift: int = FRAME_SHIFT) -> DataFrame:
+    """(utt, phone, frames): an array of the states' frames, or of the phone's alone, by the utterance's kind of alignment."""
+    states_, phones = _by_alignment(labels)
+    of_states = state_durations(states_, num_states, shift).select("utt", "phone", F.array(*[f"state_{k}" for k in range(1, num_states + 1)]).alias("frames"))
+    return of_states.unionByName(phone_durations(phones, shift).select("utt", F.col("idx").alias("phone"), F.array("frames").alias("frames")))
+
+
 def duration_marks(labels: DataFrame, unit: str = "state", shift: int = FRAME_SHIFT) -> DataFrame:
     """(utt, frame, mark): 1 in the last frame of each state or phone."""
     if unit not in ("state", "phoneme"):

@@ -85,14 +85,16 @@ def _rounded(n: Column, by: int, up: bool) -> Column:
     return (F.ceil(n / by) if up else F.floor(n / by)) * by
 
 
-def adjust_length(df: DataFrame, value: str, by: int, pad: bool = True, utt: Keys = ("utt",), frame: str = "frame") -> DataFrame:
-    """Frames 0 .. T - 1 with T a multiple of `by`: zeros appended, or the end cut off."""
+def adjust_length(df: DataFrame, value: str, by: int, pad: bool = True, fill: str = "zero", utt: Keys = ("utt",), frame: str = "frame") -> DataFrame:
+    """Frames 0 .. T - 1 with T a multiple of `by`: zeros (or the last value: fill "edge") appended, or the end cut off."""
+    if fill not in ("zero", "edge"):
+        raise ValueError(f"unknown fill {fill!r}")
     n = F.count("*").over(whole(utt))
     if not pad:
         return df.withColumn("_t", _rounded(n, by, False)).where(F.col(frame) < F.col("_t")).drop("_t")
-    length = df.groupBy(*utt).agg(F.count("*").alias("_n"))
+    length = df.groupBy(*utt).agg(F.count("*").alias("_n"), (F.max_by(value, frame) if fill == "edge" else F.lit(0.0)).alias("_fill"))
     short = length.withColumn("_t", _rounded(F.col("_n"), by, True)).where("_t > _n")
-    extra = short.select(*utt, F.explode(F.sequence(F.col("_n"), F.col("_t") - 1)).alias(frame), F.lit(0.0).alias(value))
+    extra = short.select(*utt, F.explode(F.sequence(F.col("_n"), F.col("_t") - 1)).alias(frame), F.col("_fill").alias(value))
     return df.select(*utt, frame, value).unionByName(extra)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phonoframe.functions import scalar
 from phonoframe.functions.windows import DEFAULT, DELTA, DeltaWindow
-from phonoframe.operators import alignment, banded, gmm, kernels, paramgen, postfilter, sequence, spectral, stats
+from phonoframe.operators import alignment, banded, gmm, kernels, linguistic, paramgen, postfilter, sequence, spectral, stats
 from phonoframe.sources import corpora, questions
 from phonoframe.sources import labels as label_files
 
@@ -50,6 +50,24 @@ def test_trimming(spark):
     assert sequence.trim_zeros(frames(spark, [0, 0]), F.abs("value"), "b").count() == 0
 
 
+def test_length_adjustment(spark):
+    f = frames(spark, [1, 2, 3])
+    assert values(sequence.adjust_length(f, "value", 4), "value") == [1, 2, 3, 0]
+    assert values(sequence.adjust_length(f, "value", 4, fill="edge"), "value") == [1, 2, 3, 3]
+    assert values(sequence.adjust_length(f, "value", 2, pad=False), "value") == [1, 2]
+
+
+def test_features_by_alignment(spark):
+    rows = [("s", i, i * 100_000, (i + 1) * 100_000, f"x-a+b[{i % 5 + 2}]") for i in range(10)] + [("p", 0, 0, 125_000, "x-a+b"), ("p", 1, 125_000, 300_000, "x-b+c")]
+    labels = spark.createDataFrame(rows, "utt string, idx long, start_time long, end_time long, context string")
+    got = linguistic.frame_features(labels, "state_only", "minimal_phoneme").groupBy("utt").count().collect()
+    assert {r.utt: r["count"] for r in got} == {"s": 20, "p": 6}
+    d = {(r.utt, r.phone): r.frames for r in linguistic.durations(labels).collect()}
+    assert d == {("s", 0): [2] * 5, ("s", 1): [2] * 5, ("p", 0): [2], ("p", 1): [3]}
+    note = linguistic.note_numbers()
+    assert (note["A0"], note["C4"], note["Bb4"], note["G9"], len(note)) == (21, 60, 70, 127, 107)
+
+
 def test_interpolation(spark):
     f = frames(spark, [0, 0, 100, 0, 0, 130, 0])
     assert values(sequence.interpolate(f, "value", "y"), "y") == [100, 100, 100, 110, 120, 130, 130]
