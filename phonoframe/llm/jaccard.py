@@ -159,13 +159,15 @@ def cells(posted: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, 1):
-            token, key, doc = (t.column(k).to_numpy() for k in range(3))
-            ids = t.column(2)
+            token, key, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2)
+            valid = ids.is_valid().to_numpy()
+            doc = pc.fill_null(ids, 0).to_numpy()
             own = key < 0
-            a, b, s, kind = [np.where(own, doc, 0)[own]], [token[own]], [-1 - key[own]], [np.full(int(own.sum()), 2, np.int8)]
-            valid = np.ones(len(own), bool) if not ids.null_count else ~ids.is_null().to_numpy(zero_copy_only=False)
+            no_id = ~valid[own]
+            a, b, s, kind = [doc[own]], [token[own]], [-1 - key[own]], [np.full(int(own.sum()), 2, np.int8)]
             # Rows of a token are sorted by set and doc_id: the first of a set stands for it.
-            first = ~own & np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])]) & valid
+            token, key, doc = (x[~own & valid] for x in (token, key, doc))
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])[: len(token)]
             token, doc, n = token[first], doc[first], key[first] & FULL
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(start, append=len(token))
@@ -191,7 +193,8 @@ def cells(posted: DataFrame) -> DataFrame:
                         b.append(members)
                         s.append(np.full(len(members), k))
                         kind.append(np.ones(len(members), np.int8))
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (kind, a, b, s)], names=["kind", "a", "b", "slab"])
+            kind, a, b, s = map(np.concatenate, (kind, a, b, s))
+            yield pa.record_batch([pa.array(kind), pa.array(a, mask=np.append(no_id, np.zeros(len(a) - len(no_id), bool))), pa.array(b), pa.array(s)], names=["kind", "a", "b", "slab"])
 
     # Sets of documents are dealt by shingle; each cell is one run of rows, however many copies of a set there are.
     return posted.repartition("token").sortWithinPartitions("token", "set_key", "doc_id").mapInArrow(meet, "kind byte, a long, b long, slab long")

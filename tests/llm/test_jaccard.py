@@ -65,5 +65,12 @@ def test_region_links_connect_what_all_pairs_connect():
     assert groups(jaccard.Region(sets).links()) == groups(every)
 
 
+def test_null_ids_link_with_nothing(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, text), (7, text), (None, text), (9, text + " more"), (2**60 + 1, "a b")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.joined_components(docs).collect()), key=str)
+    assert got == sorted([(None, 26, None), (7, 26, 7), (None, 26, None), (9, 27, 7), (2**60 + 1, 1, 2**60 + 1)], key=str)
+
+
 def test_empty(spark, no_docs):
     assert jaccard.joined_components(no_docs).count() == 0
