@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.llm import jaccard, langid, mixing, packing, secrets
-from phonoframe.llm.common import table, written
+from phonoframe.llm.common import lean, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, and undecided ones, go."""
+    lean(spark)
     return langid.accepted(docs, langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
 
 
@@ -27,6 +28,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their texts masked, and n_chars counted anew."""
+    lean(spark)
     text = secrets.redact(F.col("text"), secrets.default_vocabulary())
     changed = docs.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -64,6 +64,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
 
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches for the rest of the session, for plans over whole texts that are written elsewhere."""
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, build):
+    """build(), made once per Python worker. A worker serves tasks of many steps, so it keeps the tables of one kind only."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
     gc.collect()

@@ -11,6 +11,7 @@ text belongs to the language that codes it in the fewest bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import table, utf8
+from phonoframe.llm.common import kept, table, utf8
 
 #: Labelled documents per language that training uses (in expectation; drawn by a hash of doc_id).
 SAMPLE_DOCS = 1500
@@ -151,16 +152,14 @@ class Model:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = MIN_CONTEXT):
         self.counts, self.min_context = counts, min_context
-        self.langs = sorted(counts)
-
-    def __getstate__(self):
-        return {"counts": self.counts, "min_context": self.min_context, "langs": self.langs}
+        self.langs, self.mark = sorted(counts), uuid.uuid4().hex
 
     def trees(self) -> tuple[np.ndarray, list[Tree]]:
-        if not hasattr(self, "_trees"):
+        def build():
             symbol = alphabet([c for c, _ in self.counts.values()])
-            self._trees = symbol, [grow(*self.counts[x], symbol, self.min_context) for x in self.langs]
-        return self._trees
+            return symbol, [grow(*self.counts[x], symbol, self.min_context) for x in self.langs]
+
+        return kept(f"trees {self.mark}", build)
 
     def bits(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code lengths in bits: a row per document, a column per language."""

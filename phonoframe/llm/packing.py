@@ -15,7 +15,6 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, slices, table, utf8, written
+from phonoframe.llm.common import binary_rows, kept, slices, table, utf8, written
 
 WINDOW = 4096
 END_ID = 2
@@ -129,10 +128,9 @@ class WordIds:
         return out, cuts
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One per Python worker, which serves many tasks."""
-    return WordIds(path)
+    return kept(f"words {path}", lambda: WordIds(path))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -13,7 +13,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import slices, table, utf8
+from phonoframe.llm.common import kept, slices, table, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -60,9 +59,12 @@ def runs(raw: np.ndarray, at: np.ndarray, members: np.ndarray, least: int) -> tu
     return np.searchsorted(at, start, "right") - 1, start, end
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str):
     """A tiktoken encoding from a file of ranks, without special tokens."""
+    return kept(f"vocabulary {path}", lambda: _vocabulary(path))
+
+
+def _vocabulary(path: str):
     import public_tokenizers
     import tiktoken
 

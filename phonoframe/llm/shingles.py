@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
-from phonoframe.llm.common import mixed
+from phonoframe.llm.common import kept, mixed
 
 #: Bytes of white space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -18,9 +16,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64)[LOWER] * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _INVERSE))
+    return kept(f"powers {n}", lambda: (np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _INVERSE))))
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

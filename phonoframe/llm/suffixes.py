@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, mixed, released, slices, table, utf8, written
+from phonoframe.llm.common import binary_rows, kept, mixed, released, slices, table, utf8, written
 from phonoframe.llm.jaccard import by_key
 
 LENGTH, Q = 50, 20
@@ -46,9 +45,8 @@ _BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 DONE, ASKED = 0, 1
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _INVERSE))
+    return kept(f"passage powers {n}", lambda: (np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _INVERSE))))
 
 
 def _ahead(x: np.ndarray, steps: int, combine, fill) -> np.ndarray:
