@@ -7,8 +7,9 @@ bits are keys of Hamming tables: descriptors that share a band meet. Images
 that meet often are matched corner by corner, and one is a copy of the other if
 enough matches agree on one turn, scale and shift.
 
-A cell of a table proposes each image with the cell's first and with its next
-one, not all pairs; equal files are one image. Nothing is collected.
+A cell of a table proposes all pairs of its images; crowded cells are dealt to
+blocks, and each two blocks meet in a group of their own. Equal files are one
+image. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SCALES, CORNERS, RADIUS = (1.0, 0.7, 0.5), 24, 11
 BITS, BANDS, ANGLES = 256, 8, 30
 #: Bands that images share before they are matched; bits that matched corners may differ in; pixels that agreeing ones may be off.
 SHARED, DIFFER, OFF = 2, 60, 4.0
+#: Images of a cell, or about as many of a block of one, that meet in one group; pairs of an Arrow batch.
+CROWD, PAIRS = 512, 1 << 20
 #: Agreeing matches that make a copy, at least, and of the corners of the image with fewer.
 AGREE, AGREE_SHARE = 4, 0.2
 #: x, y (in the full image), scale number, angle number and the bits of a corner.
@@ -209,15 +212,32 @@ def described(images: DataFrame) -> DataFrame:
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a and b (a < b): in each cell every image with the first one and with the next one; rows sorted by band and image_id."""
-    for t in by_key(batches, 1):
-        key, image = (t.column(k).to_numpy() for k in (0, 1))
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = image[np.flatnonzero(new)][np.cumsum(new) - 1]
-        follows = ~new
-        a = np.concatenate([first[follows], image[np.flatnonzero(follows) - 1]])
-        b = np.concatenate([image[follows], image[follows]])
-        yield pa.record_batch([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+    """a and b (a < b): in each group all pairs of images, or where two blocks meet all pairs across them; rows (band, low, high, block, image_id) sorted by band, low, high and image_id."""
+    for t in by_key(batches, 3):
+        band, low, high, block, image = (t.column(k).to_numpy() for k in range(5))
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        before = np.arange(len(image)) - start  # rows of the group that each one meets
+        upto = np.concatenate([[0], np.cumsum(before)])
+        at = 0
+        while at < len(image):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+            n = before[at:end]
+            y = np.repeat(np.arange(at, end), n)
+            x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n)
+            keep = ((low[y] == high[y]) | (block[x] != block[y])) & (image[x] != image[y])
+            yield pa.record_batch([pa.array(image[x[keep]]), pa.array(image[y[keep]])], names=["a", "b"])
+            at = end
+
+
+def meetings(cells: DataFrame, most: int = CROWD) -> DataFrame:
+    """a and b (a < b) of all pairs of images in each cell, once for each cell; rows (band, image_id). No group is much larger than 2 * most."""
+    crowded = cells.groupBy("band").agg(F.ceil(F.count("*") / most).alias("blocks")).where("blocks > 1")
+    dealt = cells.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("image_id", F.lit("block")), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "image_id")
+    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "image_id").mapInArrow(meet, "a long, b long")
 
 
 def agreeing(p: np.ndarray, q: np.ndarray) -> int:
@@ -261,8 +281,8 @@ def copies(images: DataFrame) -> DataFrame:
     files = images.select("image_id", "image", digest.alias("digest"))
     same = files.where("digest is not null and image_id is not null").groupBy("digest").agg(F.min("image_id").alias("first"), F.first("image").alias("image"))
     seen = written(described(same.select(F.col("first").alias("image_id"), "image")), "media-corners")
-    cells = seen.select(F.explode("bands").alias("band"), "image_id").repartition("band").sortWithinPartitions("band", "image_id")
-    pairs = cells.mapInArrow(meet, "a long, b long").groupBy("a", "b").count().where(F.col("count") >= SHARED)
+    cells = seen.select(F.explode("bands").alias("band"), "image_id")
+    pairs = meetings(cells).groupBy("a", "b").count().where(F.col("count") >= SHARED)
     of = lambda c: seen.select(F.col("image_id").alias(c), F.col("corners").alias(f"of_{c}"))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

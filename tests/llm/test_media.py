@@ -71,3 +71,13 @@ def test_copies(spark):
 
 def test_query_runs_over_all_rows(spark, sf_dir):
     assert media.op8_image_copies(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_every_pair_of_a_cell_meets(spark):
+    cells = spark.createDataFrame([(band, image) for band in (5, 6) for image in range(50)] + [(7, 3), (7, 9), (7, 4), (8, 1)], "band long, image_id long")
+    want = {(a, b): 2 for b in range(50) for a in range(b)}
+    for pair in ((3, 4), (3, 9), (4, 9)):
+        want[pair] += 1
+    for most in (media.CROWD, 8):
+        got = media.meetings(cells, most).groupBy("a", "b").count().collect()
+        assert {(r.a, r.b): r["count"] for r in got} == want
