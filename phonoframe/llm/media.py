@@ -5,7 +5,9 @@ compare smoothed pixels at places turned by the corner's orientation, so 256
 bits describe it whatever the rotation, size and brightness. Bands of those
 bits are keys of Hamming tables: descriptors that share a band meet. Images
 that meet often are matched corner by corner, and one is a copy of the other if
-enough matches agree on one turn, scale and shift.
+enough matches agree on one turn, scale and shift. Enough is a share of the
+corners where the images then overlap, so a crop may be a small part of an image,
+and corners are kept by region, so a larger image has more of them.
 
 A cell of a table proposes all pairs of its images; crowded cells are dealt to
 blocks, and each two blocks meet in a group of their own. Equal files are one
@@ -27,14 +29,16 @@ from phonoframe.llm.common import binary_rows, table, written
 from phonoframe.llm.components import components
 from phonoframe.llm.jaccard import by_key
 
-#: Sizes of the image at which corners are looked for, corners kept per size, half the width of a patch.
-SCALES, CORNERS, RADIUS = (1.0, 0.7, 0.5), 24, 11
+#: Sizes of the image at which corners are looked for, corners kept per size and region, side of a region in pixels of that size, half the width of a patch.
+SCALES, CORNERS, REGION, RADIUS = (1.0, 0.7, 0.5), 24, 64, 11
+#: Corners described at once, and pairs of corners compared at once.
+MANY, COMPARED = 4096, 1 << 20
 BITS, BANDS, ANGLES = 256, 8, 30
 #: Bands that images share before they are matched; bits that matched corners may differ in; pixels that agreeing ones may be off.
 SHARED, DIFFER, OFF = 2, 60, 4.0
 #: Images of a cell, or about as many of a block of one, that meet in one group; pairs of an Arrow batch.
 CROWD, PAIRS = 512, 1 << 20
-#: Agreeing matches that make a copy, at least, and of the corners of the image with fewer.
+#: Agreeing matches that make a copy, at least, and of the corners in the overlap of the image with fewer there.
 AGREE, AGREE_SHARE = 4, 0.2
 #: x, y (in the full image), scale number, angle number and the bits of a corner.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("angle", "u1"), ("bits", "u1", BITS // 8)])
@@ -160,20 +164,23 @@ def corners(stack: np.ndarray) -> list[np.ndarray]:
                 if v or u:
                     peak &= strength >= np.roll(strength, (v, u), (1, 2))
         i, yy, xx = np.nonzero(peak)
-        by = np.lexsort((xx, yy, -strength[i, yy, xx], i))
-        i, yy, xx = i[by], yy[by], xx[by]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < CORNERS
+        region = (i * (h // REGION + 1) + yy // REGION) * (w // REGION + 1) + xx // REGION
+        by = np.lexsort((xx, yy, -strength[i, yy, xx], region))
+        i, yy, xx, region = i[by], yy[by], xx[by], region[by]
+        keep = np.arange(len(i)) - np.searchsorted(region, region) < CORNERS
         i, yy, xx = i[keep], yy[keep], xx[keep]
         if not len(i):
             continue
         smooth = _blur(x, taps)
-        patch = smooth[i[:, None], yy[:, None] + dy, xx[:, None] + dx]
-        patch = patch - patch.mean(1, keepdims=True)
-        angle = np.rint(np.arctan2((patch * dy).sum(1), (patch * dx).sum(1)) / (2 * np.pi) * ANGLES).astype(int) % ANGLES
-        pixel = [smooth[i[:, None], yy[:, None] + tests[1][k][angle], xx[:, None] + tests[0][k][angle]] for k in (0, 1)]
         out = np.zeros(len(i), CORNER)
-        out["x"], out["y"], out["scale"], out["angle"] = xx * width / w, yy * height / h, number, angle
-        out["bits"] = np.packbits(pixel[0] < pixel[1], axis=1)
+        out["x"], out["y"], out["scale"] = xx * width / w, yy * height / h, number
+        for at in range(0, len(i), MANY):
+            one, row, column = (c[at : at + MANY, None] for c in (i, yy, xx))
+            patch = smooth[one, row + dy, column + dx]
+            patch = patch - patch.mean(1, keepdims=True)
+            angle = np.rint(np.arctan2((patch * dy).sum(1), (patch * dx).sum(1)) / (2 * np.pi) * ANGLES).astype(int) % ANGLES
+            pixel = [smooth[one, row + tests[1][k][angle], column + tests[0][k][angle]] for k in (0, 1)]
+            out["angle"][at : at + MANY], out["bits"][at : at + MANY] = angle, np.packbits(pixel[0] < pixel[1], axis=1)
         for k, rows in zip(np.unique(i), np.split(out, np.flatnonzero(np.diff(i)) + 1), strict=True):
             found[k].append(rows)
     return [np.concatenate(f) if f else np.zeros(0, CORNER) for f in found]
@@ -240,34 +247,71 @@ def meetings(cells: DataFrame, most: int = CROWD) -> DataFrame:
     return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "image_id").mapInArrow(meet, "a long, b long")
 
 
-def agreeing(p: np.ndarray, q: np.ndarray) -> int:
-    """Matches between the corners of two images that agree on one turn, scale and shift."""
+def _closest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of p and q (indexes) that are each other's closest and near enough."""
+    u, v = (np.ascontiguousarray(c["bits"]).view(np.uint64) for c in (p, q))
+    least, to = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    back, of = np.full(len(q), BITS + 1), np.zeros(len(q), np.int64)
+    step = max(1, COMPARED // len(q))
+    for at in range(0, len(p), step):
+        differ = np.bitwise_count(u[at : at + step, None] ^ v[None]).sum(2, dtype=np.int64)
+        to[at : at + step], least[at : at + step] = differ.argmin(1), differ.min(1)
+        here = differ.min(0)
+        of, back = np.where(here < back, at + differ.argmin(0), of), np.minimum(here, back)
+    i = np.flatnonzero((least <= DIFFER) & (of[to] == np.arange(len(p))))
+    return i, to[i]
+
+
+def _within(w: np.ndarray, box: np.ndarray) -> int:
+    """How many of the places w are within the bounds of the places in box."""
+    return int(((w.real >= box.real.min() - OFF) & (w.real <= box.real.max() + OFF) & (w.imag >= box.imag.min() - OFF) & (w.imag <= box.imag.max() + OFF)).sum())
+
+
+def agreements(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Likely turns, scales and shifts between two images, each as the number of matches that agree on it and the corners in the overlap of the image with fewer there."""
     if not len(p) or not len(q):
-        return 0
-    differ = np.bitwise_count(p["bits"][:, None] ^ q["bits"][None]).sum(2)
-    i = np.flatnonzero((differ.min(1) <= DIFFER) & (differ.argmin(0)[differ.argmin(1)] == np.arange(len(p))))
+        return
+    i, j = _closest(p, q)
     if len(i) < AGREE:
-        return 0
-    u, v = p[i], q[differ[i].argmin(1)]
+        return
+    u, v = p[i], q[j]
     turn = (v["angle"].astype(float) - u["angle"]) * 2 * np.pi / ANGLES
     scale = np.array(SCALES)[u["scale"]] / np.array(SCALES)[v["scale"]]
     z, w = u["x"] + 1j * u["y"], v["x"] + 1j * v["y"]
     # Each match alone proposes a transformation w = m * z + s; pairs of matches propose finer ones for its followers.
     m = scale * np.exp(1j * turn)
-    off = np.abs(w[None] - (m[:, None] * (z[None] - z[:, None]) + w[:, None]))
-    rough = (off <= OFF + 0.15 * np.abs(z[None] - z[:, None])) & (np.abs(np.log(scale[None] / scale[:, None])) < 0.5)
-    rough &= np.abs(np.angle(np.exp(1j * (turn[None] - turn[:, None])))) < 0.5
-    best = 0
-    for k in np.argsort(-rough.sum(1), kind="stable")[:5]:
-        g = np.flatnonzero(rough[k])
+
+    def rough(k: np.ndarray) -> np.ndarray:
+        dz = z[None] - z[k, None]
+        near = np.abs(w[None] - (m[k, None] * dz + w[k, None])) <= OFF + 0.15 * np.abs(dz)
+        near &= np.abs(np.log(scale[None] / scale[k, None])) < 0.5
+        return near & (np.abs(np.angle(np.exp(1j * (turn[None] - turn[k, None])))) < 0.5)
+
+    step = max(1, COMPARED // len(i))
+    followers = np.concatenate([rough(np.arange(at, min(at + step, len(i)))).sum(1) for at in range(0, len(i), step)])
+    all_z, all_w = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
+    for k in np.argsort(-followers, kind="stable")[:5]:
+        g = np.flatnonzero(rough(np.array([k]))[0])
         if len(g) < AGREE:
             break
         dz, dw = z[g] - z[g].mean(), w[g] - w[g].mean()
         fine = (np.conj(dz) * dw).sum() / max((np.abs(dz) ** 2).sum(), 1e-9)
         close = np.abs(dw - fine * dz) <= OFF
         places = np.unique(np.rint(np.stack([z[g][close].real, z[g][close].imag]) / 2), axis=1).shape[1]
-        best = max(best, places)
-    return best
+        overlap = min(len(p), len(q))
+        if abs(fine) > 1e-6:
+            overlap = min(_within(fine * (all_z - z[g].mean()) + w[g].mean(), all_w), _within((all_w - w[g].mean()) / fine + z[g].mean(), all_z))
+        yield places, overlap
+
+
+def agreeing(p: np.ndarray, q: np.ndarray) -> int:
+    """Matches between the corners of two images that agree on one turn, scale and shift."""
+    return max((places for places, _ in agreements(p, q)), default=0)
+
+
+def is_copy(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether enough of the corners where two images overlap agree."""
+    return any(places >= max(AGREE, AGREE_SHARE * overlap) for places, overlap in agreements(p, q))
 
 
 def copies(images: DataFrame) -> DataFrame:
@@ -290,7 +334,7 @@ def copies(images: DataFrame) -> DataFrame:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(r.as_buffer(), CORNER) for r in (x, y))
-                good.append(agreeing(p, q) >= max(AGREE, AGREE_SHARE * min(len(p), len(q))))
+                good.append(is_copy(p, q))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     linked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(match, "a long, b long")

@@ -81,3 +81,12 @@ def test_every_pair_of_a_cell_meets(spark):
     for most in (media.CROWD, 8):
         got = media.meetings(cells, most).groupBy("a", "b").count().collect()
         assert {(r.a, r.b): r["count"] for r in got} == want
+
+
+def test_small_crops_of_large_images(spark):
+    large = [np.block([[picture(100 * k + 10 * r + c) for c in range(3)] for r in range(4)]) for k in (1, 2)]
+    crops = [x[y : y + 100, z : z + 110] for x, y, z in ((large[0], 45, 70), (large[0], 250, 190), (large[1], 130, 61))]  # each 8 % of the area
+    plain = [len(media.corners(x[None])[0]) for x in large]
+    assert min(plain) > 3 * 24 * len(media.SCALES)
+    df = spark.createDataFrame([(k, pgm(x)) for k, x in enumerate([*large, *crops, picture(7)])], "image_id long, image binary")
+    assert {r.image_id: r.copy_of for r in media.copies(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 5}
