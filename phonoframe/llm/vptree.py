@@ -27,8 +27,10 @@ SHARD_ROWS, BLOCK_ROWS, LEAF = 4096, 1024, 64
 #: 1: exact.
 FACTOR = 1.0
 K = 5
-#: Chord distances of equal vectors differ by rounding; candidates this much farther than the k-th are still ranked by exact score.
-SLACK = 1e-7
+#: Chord distances of equal vectors differ by rounding: what rings and squared distances are given besides; all candidates that aren't farther than the k-th by more are ranked by exact score.
+SLACK, SLACK_SQUARED = 1e-6, 1e-12
+#: Components of the vectors that are scored at once.
+SCORED = 1 << 22
 
 
 def usable(embedding: Column) -> Column:
@@ -74,16 +76,31 @@ class VPTree:
 
     def search(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
         """Distances and points (-1: none) of the k nearest of each query, and of none that the factor lets skip."""
-        self.q, self.k, self.factor = queries, k, factor
+        self.q, self.k, self.factor, self.met = queries, k, factor, []
         self.best, self.at = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1)
         self._visit(0, len(self.order), 0, np.arange(len(queries)))
         return self.best, self.at
 
+    def reached(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and points, by query, of all pairs whose distance isn't above the query's k-th, up to rounding: ties are whole."""
+        self.search(queries, k, factor)
+        q, p, d = (np.concatenate(x) for x in zip(*self.met, strict=True))
+        # Reaches only shrink, so a point within the last one was kept when it was met.
+        keep = d <= self._reach(q)
+        q, p = q[keep], p[keep]
+        by = np.argsort(q, kind="stable")
+        return q[by], p[by]
+
+    def _reach(self, who: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.best[who].max(1) ** 2 + SLACK_SQUARED)
+
     def _take(self, who: np.ndarray, d: np.ndarray, points: np.ndarray) -> None:
         all_d = np.concatenate([self.best[who], d], 1)
         all_p = np.concatenate([self.at[who], np.broadcast_to(points, d.shape)], 1)
         by = np.argpartition(all_d, self.k - 1, 1)[:, : self.k] if all_d.shape[1] > self.k else np.tile(np.arange(self.k), (len(who), 1))
         self.best[who], self.at[who] = np.take_along_axis(all_d, by, 1), np.take_along_axis(all_p, by, 1)
+        q, p = np.nonzero(d <= self._reach(who)[:, None])
+        self.met.append((who[q], points[p], d[q, p]))
 
     def _nodes(self, n: int) -> int:
         """Nodes in a subtree of n points."""
@@ -150,25 +167,31 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, counts: np.ndarray, points: np.ndarray, order: np.ndarray, nodes: np.ndarray, k: int, factor: float) -> pd.DataFrame:
     """The k best rows of one shard for each query of a block."""
-    # One more for the query's own row, and some for rounding among the farthest.
-    wide = min(k + 4, len(points))
-    _, at = VPTree(unit(points), order, nodes).search(unit(queries), wide, factor)
+    # One more for the query's own row; whatever ties with the last one comes too.
+    pairs_q, pairs_p = VPTree(unit(points), order, nodes).reached(unit(queries), min(k + 1, len(points)), factor)
     starts = np.cumsum(counts) - counts
-    q, p = np.nonzero(at >= 0)
-    p = at[q, p]
-    # The smallest ids of a vector that many rows share: ties go to them.
-    take = np.minimum(counts[p], k + 1)
-    row = np.repeat(np.arange(len(p)), take)
-    vec = ids[starts[p[row]] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)]
-    q, p = q[row], p[row]
-    other = vec != query_ids[q]
-    q, p, vec = q[other], p[other], vec[other]
-    score = cosines(queries[q], points[p])
-    by = np.lexsort((vec, -score, q))
-    q, vec, score = q[by], vec[by], score[by]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = rank < k
-    return pd.DataFrame({"query_id": query_ids[q[keep]], "vec_id": vec[keep], "score": score[keep]})
+    found = []
+    # Whole queries at a time, by about SCORED components.
+    step = max(1, SCORED // max(1, points.shape[1]))
+    last = np.searchsorted(pairs_q, np.arange(len(queries)), "right")
+    at = 0
+    while at < len(pairs_q):
+        end = int(max(last[pairs_q[at]], last[np.searchsorted(last, at + step, "right") - 1] if last[0] <= at + step else 0))
+        q, p = pairs_q[at:end], pairs_p[at:end]
+        at = end
+        # The smallest ids of a vector that many rows share: ties go to them.
+        take = np.minimum(counts[p], k + 1)
+        row = np.repeat(np.arange(len(p)), take)
+        vec = ids[starts[p[row]] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)]
+        score = cosines(queries[q], points[p])[row]
+        q = q[row]
+        other = vec != query_ids[q]
+        q, vec, score = q[other], vec[other], score[other]
+        by = np.lexsort((vec, -score, q))
+        q, vec, score = q[by], vec[by], score[by]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append(pd.DataFrame({"query_id": query_ids[q[keep]], "vec_id": vec[keep], "score": score[keep]}))
+    return pd.concat(found)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:

@@ -43,3 +43,21 @@ def test_tree_is_exact_at_factor_one_and_prunes_below():
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(none, none).count() == 0
+
+
+def test_many_vectors_of_equal_score(spark):
+    # Axes (score 0 with all others), and one direction at 60 lengths: far more than k different vectors tie, and small ids win.
+    axes = [(3 * i, [float(j == i) for j in range(64)]) for i in range(64)]
+    lengths = [(2000 - i, [2.0 ** (i - 30)] * 64) for i in range(60)]
+    vectors = axes[::-1] + lengths
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = {}
+    for r in sorted(vptree.nearest(df, df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found[0] == [1941, 1942, 1943, 1944, 1945] and found[2000] == [1941, 1942, 1943, 1944, 1945]
+    only = spark.createDataFrame(axes[::-1], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(vptree.nearest(only, only).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    ids = [i for i, _ in axes]
+    assert got == {i: [j for j in ids if j != i][:5] for i in ids}
