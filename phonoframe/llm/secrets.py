@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary packs language into few tokens and random strings into
 many. A long unbroken string with few characters per token is therefore a
-likely secret, unless its shape is that of a known digest or identifier.
+likely secret, unless its shape is that of a known digest or identifier. So is
+every long stretch of tokens inside one that has words besides, as in a path.
 Runs of a byte class are found over whole Arrow batches at once; only the few
 strings that come into question meet the tokenizer.
 """
@@ -26,12 +27,14 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_FROM, ACCESS_FROM, HEX_FROM = 12, 18, 16
-#: A run of RANDOM_CHARS from this length on with at most this many characters per token is random.
+#: A run of RANDOM_CHARS, or a stretch of its tokens, from this length on with at most this many characters per token is random.
 RANDOM_FROM, CHARS_PER_TOKEN = 20, 2.0
 #: Shapes of digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and of identifiers (UUID, plain numbers, dates and words joined by marks).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)")
 IDENTIFIER = re.compile(rb"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9+/_=-]+|[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{0,6}")
+#: What may be one of those shapes between others of a run: UUIDs, parts of hexadecimal digits, rows of marks.
+INNER = re.compile(rb"(?<![A-Za-z0-9])(?:(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9])|[+/_=-]{3,}")
 _SLICE = 8 << 20
 
 
@@ -79,22 +82,74 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def known(string: bytes) -> bool:
+    """Whether a string has the shape of a digest or an identifier."""
+    return bool(len(string) in DIGEST_LENGTHS and DIGEST.fullmatch(string) or IDENTIFIER.fullmatch(string))
+
+
 def is_random(string: bytes, path: str, most: float = CHARS_PER_TOKEN) -> bool:
     """Whether a run of RANDOM_CHARS has few characters per token and isn't a digest or an identifier."""
-    if len(string) in DIGEST_LENGTHS and DIGEST.fullmatch(string) or IDENTIFIER.fullmatch(string):
+    if known(string):
         return False
     # Very long strings are judged in pieces, as the tokenizer needs more than linear time for one.
     tokens = sum(len(vocabulary(path).encode_ordinary(string[i : i + 512].decode())) for i in range(0, len(string), 512))
     return len(string) <= most * tokens
 
 
+def _pieces(string: bytes) -> Iterator[tuple[int, int, bool]]:
+    """Start, end and whether the token test counts it, of the known shapes in a run and what is between them."""
+    at = 0
+    for m in INNER.finditer(string):
+        part = m[0]
+        if not part.isalnum() or part.isdigit() or len(part) in DIGEST_LENGTHS:
+            if m.start() > at:
+                yield at, m.start(), True
+            yield m.start(), m.end(), False
+            at = m.end()
+    if at < len(string):
+        yield at, len(string), True
+
+
+def random_stretches(string: bytes, path: str, most: float = CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """Start and end of what is random in a run: all of it, or every longest stretch of its tokens that passes the test without its known shapes; overlapping ones are one."""
+    if known(string):
+        return []
+    if is_random(string, path, most):
+        return [(0, len(string))]
+    size: list[int] = []
+    counted: list[bool] = []
+    for a, b, counts in _pieces(string):
+        if not counts:
+            size, counted = [*size, b - a], [*counted, False]
+            continue
+        for i in range(a, b, 512):
+            tokens = vocabulary(path).encode_ordinary(string[i : min(i + 512, b)].decode())
+            new = [len(x) for x in vocabulary(path).decode_tokens_bytes(tokens)]
+            size += new
+            counted += [True] * len(new)
+    n, is_in = np.array(size, np.int64), np.array(counted, bool)
+    place, chars, above = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * is_in, (n - most) * is_in))
+    # From each token, the last place up to which there are at most `most` characters per token.
+    far = np.searchsorted(np.minimum.accumulate(above[::-1])[::-1], above, "right") - 1
+    last = np.maximum.accumulate(np.where(np.concatenate([[True], is_in]), np.arange(len(place)), 0))
+    far = last[far]
+    good = np.flatnonzero((chars[far] - chars >= RANDOM_FROM)[:-1] & is_in)
+    out: list[tuple[int, int]] = []
+    for s, e in zip(place[good].tolist(), place[far[good]].tolist(), strict=True):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return [(s, e) for s, e in out if not known(string[s:e])]
+
+
 def find(raw: np.ndarray, at: np.ndarray, path: str) -> dict[int, list[tuple[int, int, int]]]:
     """Document -> (start, kind, end) in bytes of the document, in this order."""
     found: dict[int, list[tuple[int, int, int]]] = {}
     for kind, members, least in ((2, HEX_CHARS, HEX_FROM), (3, RANDOM_CHARS, RANDOM_FROM)):
         for d, s, e in zip(*(x.tolist() for x in runs(raw, at, members, least)), strict=True):
-            if kind == 2 or is_random(raw[s:e].tobytes(), path):
-                found.setdefault(d, []).append((s - int(at[d]), kind, e - int(at[d])))
+            for a, b in [(0, e - s)] if kind == 2 else random_stretches(raw[s:e].tobytes(), path):
+                found.setdefault(d, []).append((s + a - int(at[d]), kind, s + b - int(at[d])))
     view = memoryview(raw.tobytes())
     for d, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         text = view[s:e]

@@ -50,3 +50,14 @@ def test_redaction_and_empty(spark, docs, no_docs):
     assert masked[108] == '[secret]" [secret] [secret] [secret]'  and masked[99] is None and masked[100] == ""
     assert all(masked[i] == plain[i] for i in plain if i < 99)
     assert secrets.scanned(no_docs, path).count() == 0
+
+
+def test_random_strings_behind_words():
+    path = secrets.default_vocabulary()
+    for before in (b"/services/integration/webhook/production/", b"customer_session_identifier=", b"/download/customer/archive/" * 40):
+        for x in (b"zQ9xK2vR7tLm4WpB8nYc3JdF", b"x7Kq2ZmW9vRb4TnJ6yLc"):
+            for after in (b"", b"/download/customer/archive"):
+                found = secrets.random_stretches(before + x + after, path)
+                assert len(found) == 1 and found[0][0] <= len(before) and found[0][1] >= len(before + x), before + x
+    for x in (b"/archive/d41d8cd98f00b204e9800998ecf8427e/customer", b"user/123e4567-e89b-12d3-a456-426614174000/archive", b"/archive/2024/01/05/1234567890/customer", b"production-+-+-+-+-+-+-+-+-+-+-+-archive"):
+        assert not secrets.random_stretches(b"/services/integration/webhook/production/download/customer/" + x, path), x
