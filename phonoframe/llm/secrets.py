@@ -29,10 +29,13 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_FROM, ACCESS_FROM, HEX_FROM = 12, 18, 16
 #: A run of RANDOM_CHARS, or a stretch of its tokens, from this length on with at most this many characters per token is random.
 RANDOM_FROM, CHARS_PER_TOKEN = 20, 2.0
-#: Shapes of digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and of identifiers (UUID, plain numbers, dates and words joined by marks).
+#: Shapes of digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and of identifiers (UUID, plain numbers and dates).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)")
-IDENTIFIER = re.compile(rb"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9+/_=-]+|[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{0,6}")
+IDENTIFIER = re.compile(rb"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9+/_=-]+")
+#: Letters joined by marks: words or not, as the ratio of the letters says, whatever the marks.
+JOINED, JOIN = re.compile(rb"[A-Za-z]+(?:[-_/=+][A-Za-z]+)+[-_/=+]?[0-9]{0,6}"), re.compile(rb"(?<=[A-Za-z])[-_/=+](?=[A-Za-z])")
+WORDS = re.compile(rb"(?<![A-Za-z0-9])[A-Za-z]+(?:[-_/=+][A-Za-z]+)+(?![A-Za-z0-9])")
 #: What may be one of those shapes between others of a run: UUIDs, parts of hexadecimal digits, rows of marks.
 INNER = re.compile(rb"(?<![A-Za-z0-9])(?:(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})|[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9])|[+/_=-]{3,}")
 _SLICE = 8 << 20
@@ -92,8 +95,9 @@ def is_random(string: bytes, path: str, most: float = CHARS_PER_TOKEN) -> bool:
     if known(string):
         return False
     # Very long strings are judged in pieces, as the tokenizer needs more than linear time for one.
-    tokens = sum(len(vocabulary(path).encode_ordinary(string[i : i + 512].decode())) for i in range(0, len(string), 512))
-    return len(string) <= most * tokens
+    parts = JOIN.split(string) if JOINED.fullmatch(string) else [string]
+    tokens = sum(len(vocabulary(path).encode_ordinary(part[i : i + 512].decode())) for part in parts for i in range(0, len(part), 512))
+    return sum(map(len, parts)) <= most * tokens
 
 
 def _pieces(string: bytes) -> Iterator[tuple[int, int, bool]]:
@@ -128,7 +132,11 @@ def random_stretches(string: bytes, path: str, most: float = CHARS_PER_TOKEN) ->
             size += new
             counted += [True] * len(new)
     n, is_in = np.array(size, np.int64), np.array(counted, bool)
-    place, chars, above = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * is_in, (n - most) * is_in))
+    place = np.concatenate([[0], np.cumsum(n)])
+    judged = is_in.copy()
+    joins = np.array([m.start() for w in WORDS.finditer(string) for m in JOIN.finditer(string, *w.span())], np.int64)
+    judged[np.isin(place[:-1], joins) & (n == 1)] = False
+    chars, above = (np.concatenate([[0], np.cumsum(x)]) for x in (n * is_in, (n - most) * judged))
     # From each token, the last place up to which there are at most `most` characters per token.
     far = np.searchsorted(np.minimum.accumulate(above[::-1])[::-1], above, "right") - 1
     last = np.maximum.accumulate(np.where(np.concatenate([[True], is_in]), np.arange(len(place)), 0))

@@ -61,3 +61,13 @@ def test_random_strings_behind_words():
                 assert len(found) == 1 and found[0][0] <= len(before) and found[0][1] >= len(before + x), before + x
     for x in (b"/archive/d41d8cd98f00b204e9800998ecf8427e/customer", b"user/123e4567-e89b-12d3-a456-426614174000/archive", b"/archive/2024/01/05/1234567890/customer", b"production-+-+-+-+-+-+-+-+-+-+-+-archive"):
         assert not secrets.random_stretches(b"/services/integration/webhook/production/download/customer/" + x, path), x
+
+
+def test_random_letters_but_no_words():
+    path = secrets.default_vocabulary()
+    for x in (b"zQxKvRtLmWpBnYcJdFgHsT", b"qxzjvkwpfhtrgmbcydnlsq", b"zQxKvRtLmWp-BnYcJdFgHsT", b"zQxKvRtLmWpBnYcJdFgHsT42"):
+        assert secrets.is_random(x, path), x
+        found = secrets.random_stretches(b"/download/customer/archive/" + x, path)
+        assert len(found) == 1 and found[0][0] <= 27 and found[0][1] == 27 + len(x), x
+    for x in (b"state-of-the-art-and-well-known-method", b"to-be-or-not-to-be-that-is-the-question", b"getElementByIdAndClassName", b"/usr/local/share/doc/python/examples", b"some_long_and_ordinary_name_2024"):
+        assert not secrets.is_random(x, path) and not secrets.random_stretches(x, path), x
