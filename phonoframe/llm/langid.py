@@ -148,11 +148,14 @@ def grow(code: np.ndarray, n: np.ndarray, symbol: np.ndarray, min_context: int =
 
 
 class Model:
-    """The trees of all languages. Small counts travel to the tasks; each Python worker grows the trees once."""
+    """The trees of all languages. Small counts travel to the tasks; each Python worker grows the trees once.
+
+    A language whose training texts hold no byte can't be learned and is left out.
+    """
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], min_context: int = MIN_CONTEXT):
-        self.counts, self.min_context = counts, min_context
-        self.langs, self.mark = sorted(counts), uuid.uuid4().hex
+        self.counts, self.min_context = {k: v for k, v in counts.items() if len(v[0])}, min_context
+        self.langs, self.mark = sorted(self.counts), uuid.uuid4().hex
 
     def trees(self) -> tuple[np.ndarray, list[Tree]]:
         def build():
@@ -182,7 +185,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, min_context: int = MIN_CONTEXT) -> Model:
-    """A model from doc_id, lang, text. Rows without a language are left out; each language gives about `sample_docs` documents at most."""
+    """A model from doc_id, lang, text. Rows without a language are left out; each language gives about `sample_docs` documents at most.
+
+    A language of which only null or empty texts are drawn isn't learned.
+    """
     known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     rates = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count("*")).alias("rate")).collect()  # a row per language
     if not rates:

@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -82,3 +83,41 @@ def test_long_texts_in_chunks(monkeypatch):
     plain = langid.chunks
     monkeypatch.setattr(langid, "chunks", lambda r, a: plain(r, a, 7))
     assert np.allclose(model.bits(raw, at), whole)
+
+
+def test_languages_without_bytes_are_left_out(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(8)] + [(i, None, "xx") for i in range(8, 16)] + [(i, "", "yy") for i in range(16, 24)] + [(i, "z", "zz") for i in range(24, 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["en", "zz"]
+    assert {r.doc_id: r.lang_pred for r in langid.predicted(docs, model).collect()} == {i: "und" if not t else x for i, t, x in rows}
+    assert langid.train(docs.where("lang in ('xx', 'yy')")).langs == []
+
+
+def test_query_equals_a_plain_ppm(spark, sf_dir, rows):
+    """Every row of the query, from dictionaries of contexts."""
+    tables = {}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for i, t, lang, _ in rows:
+        if lang is None or held(i):
+            continue
+        of = tables.setdefault(lang, {})
+        text = (t or "").encode()
+        padded = b"\0\0\0" + text
+        for j, x in enumerate(text):
+            for k in range(4):
+                seen = of.setdefault(padded[j + 3 - k : j + 3], {})
+                seen[x] = seen.get(x, 0) + 1
+    short = {i: t for i, t, _, _ in rows if t and len(t.encode()) < 1500}
+    checked = 0
+    for r in langid.op2_language_id(spark, sf_dir).collect():
+        assert r.held_out == held(r.doc_id)
+        text = short.get(r.doc_id)
+        if text is None or not any(c.isalpha() for c in text):
+            continue
+        bits = {lang: code_length(text.encode(), of, 256, langid.MIN_CONTEXT) for lang, of in tables.items()}
+        best = min(bits, key=lambda x: (bits[x], x))
+        share = 1 / sum(2.0 ** max(bits[best] - b, -1000) for b in bits.values())
+        assert r.lang_pred == best and abs(r.score - share) < 1e-2, r.doc_id
+        checked += 1
+    assert checked > 80
