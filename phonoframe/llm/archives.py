@@ -36,6 +36,10 @@ from phonoframe.llm.common import scratch_path, table, written
 REVISIT_FROM = 100
 #: A package is closed when its records reach this size.
 PACKAGE_BYTES = 24 << 20
+#: Digests (of some 80 bytes each) up to which the table of first pages is sent to all tasks; beyond, payloads are shuffled by digest.
+BROADCAST_ROWS = 200_000
+#: Bytes of records that one reading task takes of a package, about, and reading tasks at most.
+PART_BYTES, READERS = 16 << 20, 100_000
 #: Neighbouring records are read in one range of at most about this size.
 RANGE_BYTES = 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -160,7 +164,7 @@ def package(records: list[tuple[str, bytes]]) -> bytes:
 
 
 def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes packages and returns the manifest (path, n_records), written.
+    """Writes packages and returns the manifest (path, n_records, n_bytes of them), written.
 
     pages: page_id, url, html (binary), payload_digest, refers_to (null: a response).
     """
@@ -173,7 +177,8 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
             path = f"{root}/{uuid.uuid4().hex}.wacz"
             with fs.open_output_stream(path) as f:
                 f.write(package(records))
-            return pa.record_batch([pa.array([path]), pa.array([len(records)], pa.int64())], names=["path", "n_records"])
+            n_bytes = sum(len(raw) for _, raw in records)
+            return pa.record_batch([pa.array([path]), pa.array([len(records)], pa.int64()), pa.array([n_bytes], pa.int64())], names=["path", "n_records", "n_bytes"])
 
         held, size = [], 0
         for batch in batches:
@@ -188,7 +193,7 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
         if held:
             yield close(held)
 
-    return written(pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, n_records long"), "archive-manifest")
+    return written(pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "path string, n_records long, n_bytes long"), "archive-manifest")
 
 
 def ranges(index: bytes, most: int = RANGE_BYTES) -> Iterator[list[tuple[int, int]]]:
@@ -205,6 +210,19 @@ def ranges(index: bytes, most: int = RANGE_BYTES) -> Iterator[list[tuple[int, in
         yield run
 
 
+def parts_of(manifest: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(path, part, parts), about as many tasks as rows: packages far larger than `part_bytes` are read by several tasks.
+
+    A manifest is tiny beside what it lists, so its rows are dealt to a stated
+    number of tasks, which adaptive execution leaves as it is.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / part_bytes)).cast("int")
+    listed = manifest.withColumn("parts", parts)
+    tasks = listed.agg(F.sum("parts")).first()[0] or 1
+    wide = listed.select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    return wide.repartition(int(min(tasks, READERS)), "path", "part")
+
+
 def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
     """A row per record of the packages that the manifest lists: the fields of ``parse_record``."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -213,7 +231,7 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, part, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(path) as f:
                     read = lambda at, n: f.read_at(n, at)  # noqa: E731, B023
                     members = directory(read, f.size())
@@ -222,13 +240,12 @@ def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
                     if zlib.crc32(lines) != index.crc:
                         raise ValueError(f"the index of {path} is damaged")
                     base = stored_at(read, members[DATA])
-                    for part in ranges(lines):
-                        raw = read(base + part[0][0], sum(n for _, n in part))
-                        rows = [parse_record(gzip.decompress(raw[at - part[0][0] : at - part[0][0] + n])) for at, n in part]
+                    for spot in list(ranges(lines))[part::parts]:
+                        raw = read(base + spot[0][0], sum(n for _, n in spot))
+                        rows = [parse_record(gzip.decompress(raw[at - spot[0][0] : at - spot[0][0] + n])) for at, n in spot]
                         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in zip(names, types, strict=True)], names=names)
 
-    paths = manifest.select("path").repartition(F.col("path"))
-    return paths.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return parts_of(manifest).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def with_revisits(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
@@ -240,12 +257,15 @@ def with_revisits(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFra
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     slim = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("payload_digest"))
-    # Only digests that occur twice have anything to refer to: a small table, however large a group is.
+    # Only digests that occur twice have anything to refer to: a row for each, however large a group is.
     first = (
         pages.select("page_id", payload.alias("html")).where(F.octet_length("html") >= revisit_from)
         .groupBy(F.sha2("html", 256).alias("payload_digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
     )
+    first = written(first, "archive-first")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)  # so that payloads stay where they are
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return slim.join(first, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 

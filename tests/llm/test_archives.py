@@ -63,3 +63,15 @@ def test_damage_is_an_error():
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert archives.archived(none).count() == 0
+
+
+def test_many_tasks_read_and_large_packages_are_shared(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id as page_id", "'u' as url", "cast(concat(repeat(cast(id as string), 60), 'x') as binary) as html").repartition(5)
+    full = archives.with_revisits(pages)
+    manifest = archives.write_packages(full, f"file://{tmp_path}/a", 4000)
+    assert manifest.count() > 5
+    assert archives.parts_of(manifest).rdd.getNumPartitions() == manifest.count()
+    one = archives.write_packages(full.coalesce(1), f"file://{tmp_path}/b")
+    assert one.count() == 1 and archives.parts_of(one, 1000).count() > 5
+    for of in (manifest, one):
+        assert sorted(r.page_id for r in archives.read_packages(of, f"file://{tmp_path}").collect()) == list(range(400))
