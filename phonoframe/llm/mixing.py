@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 #: Newton steps stop here at the latest, or when every source is this close to its target.
 STEPS, CLOSE = 60, 1e-9
+#: Decimals of lambda that rates are computed from.
+LAMBDA_DIGITS = 9
 #: Single copies that a source may gain or lose after rounding.
 REPAIRS = 6
 #: Documents of one source and size that one task ranks.
@@ -96,7 +98,8 @@ def multipliers(histogram: DataFrame, targets: DataFrame, limit: float = LIMIT)
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
             break
-    return state.select("source_no", "lam", "unit")
+    # Sums after a shuffle have no fixed order; without its last digits lambda is the same in every run.
+    return state.select("source_no", F.round("lam", LAMBDA_DIGITS).alias("lam"), "unit")
 
 
 def copies_by_size(histogram: DataFrame, targets: DataFrame, lambdas: DataFrame, limit: float = LIMIT) -> DataFrame:
