@@ -55,6 +55,10 @@ class WordIds:
         if suffix:
             self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        # Other tokenizers (of bytes with their leading space, say) aren't sums of words.
+        for text in ("one  two\nthree", "Ab, cd. é\tx1", "a-b 12 c'd"):
+            if ids(text) != list(chain.from_iterable(ids(w) for w in text.split())):
+                raise ValueError(f"{path} doesn't encode words apart from each other")
         self.parts = bool(suffix) and all(ids(f"Abcé{m} xyz") == ids("abcé") + ids(m) + ids("XYZ") for m in (",", ".", "***", "'"))
         self.forget()
 
@@ -74,7 +78,8 @@ class WordIds:
             if plain:
                 ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
                 sizes.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
-                assert len(sizes[-1]) == len(some)
+                if len(sizes[-1]) != len(some):
+                    raise ValueError("a word of letters isn't one unit of the tokenizer")
             else:
                 got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
                 starts = np.cumsum([0] + [len(w) + 1 for w in some])
