@@ -2,7 +2,7 @@
 
 Intermediate tables go to the shared folder that ``spark.checkpoint.dir``
 names, as Parquet, so a lost executor only costs the tasks it ran. A folder of
-our own is used only where that setting is absent (tests, a laptop).
+our own is used only where that setting is absent and Spark runs on one machine.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made once per session if the setting is absent."""
+    """The folder that driver and executors share; made once per session if the setting is absent on a local master, an error on a cluster."""
     at = spark.conf.get(CHECKPOINT_DIR, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="phonoframe-")
         spark.conf.set(CHECKPOINT_DIR, at)
     return at.rstrip("/")
