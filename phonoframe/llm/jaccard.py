@@ -14,15 +14,19 @@ less, and the join finds all components of links, exactly:
    the pivot. A large cell becomes a region around its smallest document, cut
    into slabs of similar set sizes (a window by the triangle inequality with
    the empty set as pivot: sizes of linked documents differ by a quarter at most).
-3. *Recursion.* A region picks a pivot and measures every member's distance to
-   it. Members within the radius link to it and are one component. For the
-   rest, only members inside the triangle window, no nearer to the pivot than
-   the nearest unlinked member less the radius, can still have links to find;
-   they and the unlinked ones form the next, smaller region. Regions beyond
-   ``LOCAL`` shingles do this step by step over the cluster, others in a task.
+3. *Recursion.* A region picks pivots and measures every member's distance to
+   them. Members within the radius link to a pivot. Pivots far from each other
+   make Voronoi regions: a member within ``CORE`` of its nearest pivot is of the
+   core of that region, and members as near to that pivot as CORE and the radius,
+   but not much nearer to another, are its boundary and go there too. Members of
+   no core form a region of their own. Within the triangle window of distances to
+   the pivot a region keeps only members between which links that connect
+   anything new can be. Regions beyond ``LOCAL`` shingles do this step by step
+   over the cluster, dealt by a salt; others in a task, pivot by pivot.
 
 Sets travel as sorted 64-bit hashes; links compare intersections and unions by
-integers. A set that several documents have in common takes part once.
+integers. A set that several documents have in common, by a digest of 128 bits
+and its size, takes part once.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, released, slices, table, utf8, written
+from phonoframe.llm.common import binary_rows, by_key, released, slices, table, utf8, written
 from phonoframe.llm.components import components
 from phonoframe.llm.shingles import set_digest, shingle_sets
 
@@ -51,9 +55,8 @@ COMMON, COMMON_MOST = 48, 1 << 18
 SMALL = 48
 #: Shingles of all members of a region that one task joins (8 bytes each).
 LOCAL = 3_000_000
-#: Members of a large region among which its pivot is chosen, by a hash.
-CHOSEN_FROM = 64
-FULL = (1 << 24) - 1
+#: Members of a large region, by a hash, of which each becomes a pivot; members of one salt, about; distance within which a Voronoi region has its core.
+PIVOTS, SALT_MEMBERS, CORE = 32, 4096, 0.3
 #: The radius of links, and a little for rounding.
 RADIUS = (PART - LINK) / PART + 1e-9
 #: Steps of distance in which large regions look for members to excuse.
@@ -93,16 +96,11 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = COMMON_MOS
     return np.sort(np.asarray(top.column(0)).view(np.uint64))
 
 
-def set_key(digest: int, n: int) -> int:
-    """39 bits of the digest and the size (up to 2^24 - 1, larger ones as that) in one number, not negative."""
-    return (digest >> 24 << 24 & (1 << 63) - 1) | min(n, FULL)
-
-
 def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """token, set_key, doc_id: a row per shingle of a document's reach.
+    """token, digest, n, doc_id: a row per shingle of a document's reach, with the first number of its set's digest and its size.
 
-    And a row per document with its digest as token and minus its size, less
-    one, as set_key.
+    And a row per document with both numbers of its digest as token and digest
+    and minus its size, less one, as n.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST hashes
 
@@ -110,43 +108,17 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
         for batch in batches:
             for i, sets in sets_of(batch.column(1)):
                 parts = [reach(s, sent.value) for s in sets]
-                digests = list(map(set_digest, sets))
-                n = np.array([len(s) for s in sets])
-                keys = np.array([set_key(d, k) for d, k in zip(digests, n.tolist(), strict=True)], np.int64)
+                digests = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
+                n = np.array([len(s) for s in sets], np.int32)
                 row = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
-                token = np.concatenate([*parts, np.array(digests, np.int64).view(np.uint64)]).view(np.int64)
+                token = np.concatenate([*parts, digests[:, 0].view(np.uint64)]).view(np.int64)
                 doc = batch.column(0).slice(i, len(sets))
                 yield pa.record_batch(
-                    [pa.array(token), pa.array(np.concatenate([keys[row], -1 - n])), pa.concat_arrays([doc.take(pa.array(row)), doc])],
-                    names=["token", "set_key", "doc_id"],
+                    [pa.array(token), pa.array(np.concatenate([digests[row, 0], digests[:, 1]])), pa.array(np.concatenate([n[row], -1 - n])), pa.concat_arrays([doc.take(pa.array(row)), doc])],
+                    names=["token", "digest", "n", "doc_id"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, set_key long, doc_id long")
-
-
-def by_key(batches: Iterator[pa.RecordBatch], keys: int, least_rows: int = 1 << 16) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by their first `keys` columns; small groups come together."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least_rows:
-            continue
-        whole = pa.Table.from_batches(held)
-        last = [whole.column(k)[-1].as_py() for k in range(keys)]
-        same = np.ones(len(whole), bool)
-        for k in range(keys):
-            same &= whole.column(k).to_numpy() == last[k]
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield whole.slice(0, cut).combine_chunks()
-            held = whole.slice(cut).to_batches()
-            rows = len(whole) - cut
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, digest long, n int, doc_id long")
 
 
 def slab(n: np.ndarray) -> np.ndarray:
@@ -155,20 +127,20 @@ def slab(n: np.ndarray) -> np.ndarray:
 
 
 def cells(posted: DataFrame) -> DataFrame:
-    """kind, a, b, slab: pairs (0; a < b; the smaller size as slab) of small cells, members b of regions (1) around a, documents a with digest b and size slab (2)."""
+    """kind, a, b, slab, c: pairs (0; a < b; the smaller size as slab) of small cells, members b of regions (1) around a, documents a with digest b, c and size slab (2)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, 1):
-            token, key, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2)
+            token, key, n, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy().astype(np.int64), t.column(3)
             valid = ids.is_valid().to_numpy()
             doc = pc.fill_null(ids, 0).to_numpy()
-            own = key < 0
-            no_id = ~valid[own]
-            a, b, s, kind = [doc[own]], [token[own]], [-1 - key[own]], [np.full(int(own.sum()), 2, np.int8)]
+            own = n < 0
+            no_id, second = ~valid[own], key[own]
+            a, b, s, kind = [doc[own]], [token[own]], [-1 - n[own]], [np.full(int(own.sum()), 2, np.int8)]
             # Rows of a token are sorted by set and doc_id: the first of a set stands for it.
-            token, key, doc = (x[~own & valid] for x in (token, key, doc))
-            first = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])[: len(token)]
-            token, doc, n = token[first], doc[first], key[first] & FULL
+            token, key, n, doc = (x[~own & valid] for x in (token, key, n, doc))
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])])[: len(token)]
+            token, doc, n = token[first], doc[first], n[first]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(start, append=len(token))
             count = np.repeat(size, size)
@@ -194,10 +166,11 @@ def cells(posted: DataFrame) -> DataFrame:
                         s.append(np.full(len(members), k))
                         kind.append(np.ones(len(members), np.int8))
             kind, a, b, s = map(np.concatenate, (kind, a, b, s))
-            yield pa.record_batch([pa.array(kind), pa.array(a, mask=np.append(no_id, np.zeros(len(a) - len(no_id), bool))), pa.array(b), pa.array(s)], names=["kind", "a", "b", "slab"])
+            more = np.zeros(len(a) - len(no_id), np.int64)
+            yield pa.record_batch([pa.array(kind), pa.array(a, mask=np.append(no_id, more > 0)), pa.array(b), pa.array(s), pa.array(np.append(second, more))], names=["kind", "a", "b", "slab", "c"])
 
     # Sets of documents are dealt by shingle; each cell is one run of rows, however many copies of a set there are.
-    return posted.repartition("token").sortWithinPartitions("token", "set_key", "doc_id").mapInArrow(meet, "kind byte, a long, b long, slab long")
+    return posted.repartition("token").sortWithinPartitions("token", "digest", "n", "doc_id").mapInArrow(meet, "kind byte, a long, b long, slab long, c long")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -284,7 +257,7 @@ def with_sets(members: DataFrame, docs: DataFrame) -> DataFrame:
             digests = batch.column(2).to_numpy()
             for i, sets in sets_of(batch.column(0)):
                 # A doc_id may stand for several texts: only the one that was meant goes on.
-                good = np.flatnonzero([set_digest(s) == d for s, d in zip(sets, digests[i : i + len(sets)], strict=True)])
+                good = np.flatnonzero([set_digest(s)[0] == d for s, d in zip(sets, digests[i : i + len(sets)], strict=True)])
                 if not len(good):
                     continue
                 regions = batch.column(1).slice(i, len(sets)).take(pa.array(good))
@@ -323,8 +296,10 @@ def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip(start.tolist(), end.tolist(), strict=True):
             sets = [np.frombuffer(tokens[k].as_buffer(), np.uint64) for k in range(i, j)]
             if key[0, i] == 0:
-                at = np.flatnonzero(doc[i:j] == key[1, i])
-                linked = np.flatnonzero(join_pairs(sets[at[0]], sets)) if len(at) else []
+                linked = np.zeros(j - i, bool)
+                for p in np.flatnonzero(doc[i:j] == key[1, i]).tolist():  # rows that share the doc_id with different texts
+                    linked |= join_pairs(sets[p], sets)
+                linked = np.flatnonzero(linked)
                 u += [int(key[1, i])] * len(linked)
                 v += doc[i + np.asarray(linked, np.int64)].tolist()
             else:
@@ -335,46 +310,108 @@ def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.int64()), nothing(n, pa.binary())], names=names)
 
 
-def measured(region: DataFrame) -> DataFrame:
-    """Members of large regions (a, slab, b, label, tokens) with a pivot, and shared and union with it."""
+def centres(pivots: list[np.ndarray]) -> list[int]:
+    """Pivots so far from each other that no member is of two cores or of one core and another's boundary."""
+    out: list[int] = []
+    for i, s in enumerate(pivots):
+        shared = np.array([overlap(s, pivots[j]) for j in out])
+        union = np.array([len(s) + len(pivots[j]) for j in out]) - shared
+        if (1 - shared / union > 2 * CORE + RADIUS).all():
+            out.append(i)
+    return out
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = Region([np.frombuffer(x, np.uint64) for x in pdf["tokens"]]).hubs()[0]
-        return pd.DataFrame({"a": pdf["a"].iloc[:1], "slab": pdf["slab"].iloc[:1], "pivot": [pdf["b"].iloc[p]], "pivot_label": [pdf["label"].iloc[p]], "pivot_tokens": [pdf["tokens"].iloc[p]]})
+
+def measured(region: DataFrame) -> DataFrame:
+    """Members of large regions (region, b, label, tokens) with links, the pivots (p, l: its label) that they link with, and places, the Voronoi regions they go to (c: its pivot or null, d: distance, core)."""
+    # The pivots are members that a hash gives, so that each round looks at other places.
+    drawn = F.pmod(F.xxhash64("b", "region"), F.lit(PIVOTS))
+    few = region.groupBy("region", drawn.alias("k")).agg(F.min("b").alias("b")).select("region", "b")
+    salts = region.groupBy("region").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts"))
+    pivots = region.join(few, ["region", "b"], "left_semi").join(salts, "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    members = region.join(few, ["region", "b"], "left_anti").join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    columns = ["region", "salt", "member", "b", "label", "tokens"]
+    both = pivots.withColumn("member", F.lit(0).cast("byte")).select(*columns).unionByName(members.withColumn("member", F.lit(1).cast("byte")).select(*columns))
+    link, place = pa.list_(pa.struct([("p", pa.int64()), ("l", pa.int64())])), pa.list_(pa.struct([("c", pa.int64()), ("d", pa.float64()), ("core", pa.bool_())]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, labels, sets, voronoi = None, [], [], [], None
         for batch in batches:
-            sets, pivots = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (4, 7))
-            shared = np.array([overlap(x, y) for x, y in zip(sets, pivots, strict=True)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(sets, pivots, strict=True)], np.int64) - shared
-            yield pa.record_batch([*batch.columns[:7], pa.array(shared), pa.array(union)], names=["a", "slab", "b", "label", "tokens", "pivot", "pivot_label", "shared", "union"])
-
-    # The pivot is a hub among a few members; distances to it are taken for all.
-    few = region.groupBy("a", "slab", F.pmod(F.xxhash64("b"), F.lit(CHOSEN_FROM))).agg(F.min("b").alias("b")).select("a", "slab", "b")
-    pivots = region.join(few, ["a", "slab", "b"], "left_semi").groupBy("a", "slab").applyInPandas(choose, "a long, slab long, pivot long, pivot_label long, pivot_tokens binary")
-    joined = region.join(pivots, ["a", "slab"]).select("a", "slab", "b", "label", "tokens", "pivot", "pivot_label", "pivot_tokens")
-    return joined.mapInArrow(measure, "a long, slab long, b long, label long, tokens binary, pivot long, pivot_label long, shared long, union long")
+            region, salt, member, b, label = (batch.column(k).to_numpy() for k in range(5))
+            keep, links, places = [], [], []
+            for i in range(len(batch)):
+                if at != (region[i], salt[i]):
+                    at, ids, labels, sets, voronoi = (region[i], salt[i]), [], [], [], None
+                tokens = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
+                first = not member[i]
+                if not first and voronoi is None:
+                    voronoi = centres(sets)
+                shared = np.array([overlap(tokens, s) for s in sets], np.int64)
+                union = np.array([len(tokens) + len(s) for s in sets], np.int64) - shared
+                hit = np.flatnonzero(PART * shared >= LINK * union)
+                if first:  # pivots meet the pivots before them
+                    ids.append(int(b[i]))
+                    labels.append(int(label[i]))
+                    sets.append(tokens.copy())
+                    if salt[i] or not len(hit):
+                        continue
+                    where = []
+                else:
+                    d = (1 - shared / union)[voronoi]
+                    near = int(d.argmin())
+                    where = [{"c": ids[v], "d": float(x), "core": k == near and x <= CORE} for k, (v, x) in enumerate(zip(voronoi, d.tolist(), strict=True)) if x <= CORE + RADIUS and x <= d[near] + 2 * RADIUS]
+                    if d[near] > CORE:
+                        where.append({"c": None, "d": 0.0, "core": True})
+                keep.append(i)
+                links.append([{"p": ids[k], "l": labels[k]} for k in hit])
+                places.append(where)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([some.column(0), some.column(3), some.column(4), some.column(5), pa.array(links, link), pa.array(places, place)], names=["region", "b", "label", "tokens", "links", "places"])
+
+    dealt = both.repartition("region", "salt").sortWithinPartitions("region", "salt", "member", "b")
+    return dealt.mapInArrow(measure, "region long, b long, label long, tokens binary, links array<struct<p:long,l:long>>, places array<struct<c:long,d:double,core:boolean>>")
+
+
+def _merged_labels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Labels of one region that links join, each with the smallest label of its group."""
+    to: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while to.setdefault(x, x) != x:
+            x = to[x]
+        return x
+
+    for x, y in zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True):
+        p, q = root(x), root(y)
+        to[max(p, q)] = min(p, q)
+    return pd.DataFrame({"region": pdf["region"].iloc[0], "old": list(to), "new": [root(x) for x in to]})
 
 
 def step(region: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links of a pivot in each large region, and what is left of the regions (both from one written table)."""
-    at = written(measured(region), "jaccard-step").withColumn("linked", F.col("shared") * PART >= F.col("union") * LINK).withColumn("bin", F.floor((1 - F.col("shared") / F.col("union")) * BINS))
-    links = at.where("linked and b <> pivot").select(F.col("pivot").alias("u"), F.col("b").alias("v"))
-    # Labels of earlier pivots that the new links join; there are as many as steps at most. A member's own label is its id.
-    joined = at.where("linked and label <> b").groupBy("a", "slab").agg(F.collect_set("label").alias("joined"))
-    label = F.when(F.col("linked") | F.coalesce(F.array_contains("joined", F.col("label")), F.lit(False)), F.col("pivot_label")).otherwise(F.col("label"))
-    rest = at.join(joined, ["a", "slab"], "left").where("b <> pivot").withColumn("label", label).select("a", "slab", "b", "label", "tokens", "bin")
-    by_bin = rest.groupBy("a", "slab", "bin").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    """The links of the pivots of each large region, and the regions that are left (both from one written table)."""
+    at = written(measured(region), "jaccard-step")
+    each = at.select("region", "b", "label", (F.size("places") == 0).alias("pivot"), F.explode("links").alias("to"))
+    links = each.select(F.col("to.p").alias("u"), F.col("b").alias("v"))
+    # Labels that links join: of pivots, and of earlier pivots; a member's own label is its id, and nobody else has it.
+    several = at.where(F.size("links") > 1).select("region", F.get("links", F.lit(0))["l"].alias("x"), F.explode("links.l").alias("y"))
+    pairs = each.where("pivot or label <> b").select("region", F.col("label").alias("x"), F.col("to.l").alias("y")).unionByName(several).distinct()
+    joined = pairs.groupBy("region").applyInPandas(_merged_labels, "region long, old long, new long")
+    label = F.coalesce(F.get("links", F.lit(0))["l"], F.col("label"))
+    now = at.where(F.size("places") > 0).withColumn("old", label).join(joined, ["region", "old"], "left").withColumn("label", F.coalesce("new", "old"))
+    spread = now.select("region", "b", "label", "tokens", F.explode("places").alias("to"))
+    # In the region of no core all are equally far.
+    rest = spread.select(F.xxhash64("region", F.coalesce("to.c", F.lit(-1)), F.col("to.c").isNull()).alias("region"), "b", "label", "tokens", F.floor(F.col("to.d") * BINS).alias("bin"), F.col("to.core").alias("core"))
+    by_bin = rest.groupBy("region", "bin").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("core").alias("core"))
     reach_bins = (PART - LINK) * BINS // PART + 1
-    around = Window.partitionBy("a", "slab").orderBy("bin").rangeBetween(-reach_bins, reach_bins)
-    open_bins = by_bin.withColumn("low", F.min("low").over(around)).withColumn("high", F.max("high").over(around)).where("low <> high").select("a", "slab", "bin")
-    return links, rest.join(open_bins, ["a", "slab", "bin"], "left_semi").drop("bin")
+    around = Window.partitionBy("region").orderBy("bin").rangeBetween(-reach_bins, reach_bins)
+    some = by_bin.withColumns({"low": F.min("low").over(around), "high": F.max("high").over(around), "core": F.max("core").over(around)})
+    open_bins = some.where("low <> high and core").select("region", "bin")
+    return links, rest.join(open_bins, ["region", "bin"], "left_semi").select("region", "b", "label", "tokens")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) that connect the components of different sets, and doc_id, digest, n_shingles of every document."""
     found = written(cells(postings(docs, common_shingles(docs))), "jaccard-cells")
-    sets = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), F.col("slab").alias("n_shingles"))
+    sets = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), F.col("c").alias("digest_2"), F.col("slab").alias("n_shingles"))
     released(docs.sparkSession)
     enough = SHARED + F.floor(F.col("n") * SHARED_PER_CENT / 100)
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("slab").alias("n")).where(F.col("met") >= enough)
@@ -390,16 +427,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     solved = written(dealt.mapInArrow(solve, "u long, v long, a long, slab long, tokens binary"), "jaccard-links")
     released(docs.sparkSession)
     links = solved.where("a is null").select("u", "v")
-    region = solved.where("a is not null").select("a", "slab", F.col("u").alias("b"), F.col("u").alias("label"), "tokens")
+    region = solved.where("a is not null").select(F.xxhash64("a", "slab").alias("region"), F.col("u").alias("b"), F.col("u").alias("label"), "tokens")
     more = not region.isEmpty()
     while more:
         got, rest = step(region)
         rest = written(rest, "jaccard-rest")
-        size = rest.groupBy("a", "slab").agg((F.sum(F.octet_length("tokens")) / 8).alias("n"))
-        left = rest.join(size.where(F.col("n") <= LOCAL).drop("n"), ["a", "slab"], "left_semi")
-        last = left.select(F.lit(1).cast("byte").alias("kind"), "a", "slab", F.lit(0).alias("salt"), "b", "tokens").repartition("a", "slab").sortWithinPartitions("a", "slab")
+        size = rest.groupBy("region").agg((F.sum(F.octet_length("tokens")) / 8).alias("n"))
+        left = rest.join(size.where(F.col("n") <= LOCAL).drop("n"), "region", "left_semi")
+        last = left.select(F.lit(1).cast("byte").alias("kind"), F.col("region").alias("a"), F.lit(0).cast("long").alias("slab"), F.lit(0).alias("salt"), "b", "tokens").repartition("a").sortWithinPartitions("a")
         links = links.unionByName(got).unionByName(written(last.mapInArrow(solve, "u long, v long, a long, slab long, tokens binary").select("u", "v"), "jaccard-links"))
-        region = written(rest.join(size.where(F.col("n") > LOCAL).drop("n"), ["a", "slab"], "left_semi"), "jaccard-region")
+        region = written(rest.join(size.where(F.col("n") > LOCAL).drop("n"), "region", "left_semi"), "jaccard-region")
         more = not region.isEmpty()
     return links, sets
 
@@ -413,8 +450,9 @@ def joined_components(docs: DataFrame) -> DataFrame:
     have a null component. An empty table gives no rows.
     """
     links, sets = linked(docs)
-    same = sets.where("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("u"))
-    copies = sets.where("n_shingles > 0").join(same, ["digest", "n_shingles"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
+    of_set = ["digest", "digest_2", "n_shingles"]
+    same = sets.where("n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = sets.where("n_shingles > 0").join(same, of_set).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
     joined = components(links.unionByName(copies))
     return sets.join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -62,9 +62,9 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int = 5) -> list[np.ndar
     return out
 
 
-def set_digest(tokens: np.ndarray) -> int:
-    """One signed 64-bit number for a set."""
+def set_digest(tokens: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit numbers for a set."""
     if not len(tokens):
-        return 0
-    spread = mixed(tokens ^ np.uint64(0xA0761D6478BD642F))
-    return int(mixed(np.array([spread.sum(dtype=np.uint64) ^ np.uint64(len(tokens))])).view(np.int64)[0])
+        return 0, 0
+    sums = [mixed(tokens ^ np.uint64(k)).sum(dtype=np.uint64) ^ np.uint64(len(tokens)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    return tuple(mixed(np.array(sums)).view(np.int64).tolist())

@@ -34,7 +34,7 @@ def brute(rows):
     return {i: ({len(x) for x in sets[i]}, find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("settings", [{}, {"COMMON": 3, "SMALL": 3, "LOCAL": 800}])
+@pytest.mark.parametrize("settings", [{}, {"COMMON": 3, "SMALL": 3, "LOCAL": 800}, {"COMMON": 3, "SMALL": 2, "LOCAL": 200, "PIVOTS": 2, "SALT_MEMBERS": 4}])
 def test_query_equals_all_pairs(spark, sf_dir, rows, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard, k, v)
