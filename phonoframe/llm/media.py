@@ -4,14 +4,17 @@ Corners are found at several scales of an image. Around each, binary tests
 compare smoothed pixels at places turned by the corner's orientation, so 256
 bits describe it whatever the rotation, size and brightness. Bands of those
 bits are keys of Hamming tables: descriptors that share a band meet. Images
-that meet often are matched corner by corner, and one is a copy of the other if
-enough matches agree on one turn, scale and shift. Enough is a share of the
-corners where the images then overlap, so a crop may be a small part of an image,
-and corners are kept by region, so a larger image has more of them.
-
-A cell of a table proposes all pairs of its images; crowded cells are dealt to
-blocks, and each two blocks meet in a group of their own. Equal files are one
-image. Nothing is collected.
+that share SHARED cells are matched corner by corner, and one is a copy of the
+other if enough matches agree on one turn, scale and shift. Enough is a share of
+the corners where the images then overlap, so a crop may be a small part of an
+image, and corners are kept by region, so a larger image has more of them.
+
+The groups that these links connect are found without all pairs of a group.
+First a few rounds of stars: of each group found so far one image stands for it
+in a cell and is matched with the image that leads the cell. What then shares a
+cell and isn't in one group yet meets in full: every pair of images of different
+groups. Crowded cells are dealt to blocks, and each two blocks meet in a group of
+their own. Equal files are one image. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -33,7 +36,11 @@ from phonoframe.llm.jaccard import by_key
 SCALES, CORNERS, REGION, RADIUS = (1.0, 0.7, 0.5), 24, 64, 11
 #: Corners described at once, and pairs of corners compared at once.
 MANY, COMPARED = 4096, 1 << 20
-BITS, BANDS, ANGLES = 256, 8, 30
+BITS, ANGLES = 256, 30
+#: Hamming tables, and the bytes of a descriptor that each takes as its key (tables overlap): equal 48 bits seldom happen by chance.
+BANDS, BAND_BYTES = 8, 6
+#: Rounds of stars at most; pairs left after them meet in full.
+STARS = 3
 #: Bands that images share before they are matched; bits that matched corners may differ in; pixels that agreeing ones may be off.
 SHARED, DIFFER, OFF = 2, 60, 4.0
 #: Images of a cell, or about as many of a block of one, that meet in one group; pairs of an Arrow batch.
@@ -186,6 +193,15 @@ def corners(stack: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, CORNER) for f in found]
 
 
+def band_keys(c: np.ndarray) -> np.ndarray:
+    """The cells of the Hamming tables that corners lie in, sorted."""
+    number = np.zeros((len(c), BANDS), np.int64)
+    first = np.arange(BANDS) * (BITS // 8 // BANDS)
+    for k in range(BAND_BYTES):
+        number = number << 8 | c["bits"][:, (first + k) % (BITS // 8)]
+    return np.unique(number + (np.arange(BANDS) << 8 * BAND_BYTES))
+
+
 def described(images: DataFrame) -> DataFrame:
     """image_id, n_corners, corners (bytes) and bands (keys of the Hamming tables) of every row of image_id, image."""
 
@@ -202,13 +218,7 @@ def described(images: DataFrame) -> DataFrame:
                 for which in shapes.values():
                     for i, c in zip(which, corners(np.stack([grey[i] for i in which])), strict=True):
                         out[i] = c
-                keys = []
-                for c in out:
-                    bands = c["bits"].reshape(len(c), BANDS, BITS // 8 // BANDS)
-                    number = np.zeros((len(c), BANDS), np.int64)
-                    for k in range(bands.shape[2]):
-                        number = number << 8 | bands[:, :, k]
-                    keys.append(np.unique(number + (np.arange(BANDS) << 8 * bands.shape[2])))
+                keys = [band_keys(c) for c in out]
                 n = [len(c) for c in out]
                 yield pa.record_batch(
                     [part.column(0), pa.array(n, pa.int32()), binary_rows(np.frombuffer(np.concatenate(out).tobytes(), np.uint8), CORNER.itemsize * np.cumsum([0, *n])), pa.array(keys, pa.list_(pa.int64()))],
@@ -219,12 +229,13 @@ def described(images: DataFrame) -> DataFrame:
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a and b (a < b): in each group all pairs of images, or where two blocks meet all pairs across them; rows (band, low, high, block, image_id) sorted by band, low, high and image_id."""
+    """a and b (a < b): in each group all pairs of images of different components, or where two blocks meet those across them; rows (band, low, high, block, component, image_id) sorted by band, low, high and component."""
     for t in by_key(batches, 3):
-        band, low, high, block, image = (t.column(k).to_numpy() for k in range(5))
+        band, low, high, block, component, image = (t.column(k).to_numpy() for k in range(6))
         new = np.concatenate([[True], (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         start = np.flatnonzero(new)[np.cumsum(new) - 1]
-        before = np.arange(len(image)) - start  # rows of the group that each one meets
+        turn = new | np.concatenate([[True], component[1:] != component[:-1]])
+        before = np.flatnonzero(turn)[np.cumsum(turn) - 1] - start  # rows of earlier components of the group
         upto = np.concatenate([[0], np.cumsum(before)])
         at = 0
         while at < len(image):
@@ -232,19 +243,33 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = before[at:end]
             y = np.repeat(np.arange(at, end), n)
             x = start[y] + np.arange(len(y)) - np.repeat(np.cumsum(n) - n, n)
-            keep = ((low[y] == high[y]) | (block[x] != block[y])) & (image[x] != image[y])
-            yield pa.record_batch([pa.array(image[x[keep]]), pa.array(image[y[keep]])], names=["a", "b"])
+            keep = (low[y] == high[y]) | (block[x] != block[y])
+            p, q = image[x[keep]], image[y[keep]]
+            yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
             at = end
 
 
+def open_cells(cells: DataFrame) -> DataFrame:
+    """band and n (rows) of the cells where images of different components meet; cells has band, component and image_id."""
+    return cells.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "n")
+
+
 def meetings(cells: DataFrame, most: int = CROWD) -> DataFrame:
-    """a and b (a < b) of all pairs of images in each cell, once for each cell; rows (band, image_id). No group is much larger than 2 * most."""
-    crowded = cells.groupBy("band").agg(F.ceil(F.count("*") / most).alias("blocks")).where("blocks > 1")
-    dealt = cells.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    """a and b (a < b) of all pairs of images of different components in each cell, once for each cell; rows (band, component, image_id). No group is much larger than 2 * most."""
+    dealt = cells.join(open_cells(cells), "band").withColumn("blocks", F.ceil(F.col("n") / most))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("image_id", F.lit("block")), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "image_id")
-    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "image_id").mapInArrow(meet, "a long, b long")
+    dealt = dealt.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "image_id")
+    return dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "component").mapInArrow(meet, "a long, b long")
+
+
+def stars(cells: DataFrame, turn: int) -> DataFrame:
+    """a and b (a < b), once for each cell: of every component in a cell one image, and the one that leads the cell. The order changes with the turn."""
+    first = F.min(F.struct(F.xxhash64("image_id", F.lit(turn)).alias("order"), "image_id"))
+    each = cells.groupBy("band", "component").agg(first.alias("own"))
+    lead = each.groupBy("band").agg(F.min("own").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", F.col("lead.image_id").alias("lead"))
+    met = each.select("band", F.col("own.image_id").alias("image_id")).join(lead, "band").where("lead <> image_id")
+    return met.select(F.least("lead", "image_id").alias("a"), F.greatest("lead", "image_id").alias("b"))
 
 
 def _closest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,6 +339,47 @@ def is_copy(p: np.ndarray, q: np.ndarray) -> bool:
     return any(places >= max(AGREE, AGREE_SHARE * overlap) for places, overlap in agreements(p, q))
 
 
+def matched(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """u and v of the pairs (a, b) that are copies; seen has image_id and corners."""
+    of = lambda c: seen.select(F.col("image_id").alias(c), F.col("corners").alias(f"of_{c}"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(r.as_buffer(), CORNER) for r in (x, y))
+                good.append(is_copy(p, q))
+            u, v = (batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1))
+            yield pa.record_batch([u, v], names=["u", "v"])
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(match, "u long, v long")
+
+
+def links(seen: DataFrame) -> DataFrame:
+    """u and v: links that connect all images which share SHARED cells and are copies; seen has image_id, corners and bands, written."""
+    cells = seen.select(F.explode("bands").alias("band"), "image_id")
+    shared = lambda met: met.groupBy("a", "b").count().where(F.col("count") >= SHARED).select("a", "b")
+    found = None
+    for turn in range(STARS):
+        labelled = _labelled(cells, found)
+        more = written(matched(shared(stars(labelled, turn)), seen), "media-stars")
+        if more.isEmpty():
+            break
+        found = more if found is None else found.unionByName(more)
+    # Pairs of one component are settled; a pair of different ones meets in all the cells that it shares.
+    rest = written(matched(shared(meetings(_labelled(cells, found))), seen), "media-rest")
+    return rest if found is None else found.unionByName(rest)
+
+
+def _labelled(cells: DataFrame, found: DataFrame | None) -> DataFrame:
+    """cells with the component of each image under the links found so far; only cells where different components meet."""
+    if found is None:
+        whole = cells.withColumn("component", F.col("image_id"))
+    else:
+        whole = cells.join(components(found), F.col("image_id") == F.col("node"), "left").select("band", "image_id", F.coalesce("component", "image_id").alias("component"))
+    return written(whole.join(open_cells(whole), "band", "left_semi"), "media-cells")
+
+
 def copies(images: DataFrame) -> DataFrame:
     """image_id, n_corners and copy_of (the smallest image_id that it is a copy of, directly or through others; itself included).
 
@@ -325,20 +391,7 @@ def copies(images: DataFrame) -> DataFrame:
     files = images.select("image_id", "image", digest.alias("digest"))
     same = files.where("digest is not null and image_id is not null").groupBy("digest").agg(F.min("image_id").alias("first"), F.first("image").alias("image"))
     seen = written(described(same.select(F.col("first").alias("image_id"), "image")), "media-corners")
-    cells = seen.select(F.explode("bands").alias("band"), "image_id")
-    pairs = meetings(cells).groupBy("a", "b").count().where(F.col("count") >= SHARED)
-    of = lambda c: seen.select(F.col("image_id").alias(c), F.col("corners").alias(f"of_{c}"))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(r.as_buffer(), CORNER) for r in (x, y))
-                good.append(is_copy(p, q))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    linked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(match, "a long, b long")
-    groups = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = components(links(seen))
     by_file = same.select("digest", "first").join(seen.select(F.col("image_id").alias("first"), "n_corners"), "first").join(groups, F.col("first") == F.col("node"), "left").select("digest", "n_corners", F.coalesce("component", "first").alias("copy_of"))
     out = files.select("image_id", "digest").join(by_file, "digest", "left")
     return out.select("image_id", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.coalesce("copy_of", "image_id").alias("copy_of"))

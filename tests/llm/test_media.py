@@ -73,9 +73,10 @@ def test_query_runs_over_all_rows(spark, sf_dir):
     assert media.op8_image_copies(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
 
 
-def test_every_pair_of_a_cell_meets(spark):
-    cells = spark.createDataFrame([(band, image) for band in (5, 6) for image in range(50)] + [(7, 3), (7, 9), (7, 4), (8, 1)], "band long, image_id long")
-    want = {(a, b): 2 for b in range(50) for a in range(b)}
+def test_every_pair_of_different_components_meets(spark):
+    rows = [(band, image % 3 if band == 6 else image, image) for band in (5, 6) for image in range(50)] + [(7, 3, 3), (7, 9, 9), (7, 4, 4), (8, 1, 1), (9, 2, 2), (9, 2, 12)]
+    cells = spark.createDataFrame(rows, "band long, component long, image_id long")
+    want = {(a, b): 1 + (a % 3 != b % 3) for b in range(50) for a in range(b)}
     for pair in ((3, 4), (3, 9), (4, 9)):
         want[pair] += 1
     for most in (media.CROWD, 8):
@@ -83,6 +84,56 @@ def test_every_pair_of_a_cell_meets(spark):
         assert {(r.a, r.b): r["count"] for r in got} == want
 
 
+def test_stars_propose_one_of_each_component(spark):
+    cells = spark.createDataFrame([(5, i // 10, i) for i in range(50)] + [(6, 1, 10), (6, 1, 11)], "band long, component long, image_id long")
+    got = [tuple(r) for r in media.stars(cells, 0).collect()]
+    assert len(got) == 4 and len({x // 10 for pair in got for x in pair}) == 5
+
+
+def groups_of(links, nodes):
+    label = {x: x for x in nodes}
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = {x: low if y == high else y for x, y in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_groups_equal_all_pairs_and_planted_copies_are_found(spark, monkeypatch, stars):
+    """Crops, turns and edits of 16 pictures, half of which share a logo and a flat border: the groups of all pairs, and a recall of 0.9 at least."""
+    monkeypatch.setattr(media, "STARS", stars)
+    logo = picture(999, 50, 50)
+    images, origin = [], []
+    for k in range(16):
+        x = picture(k)
+        if k % 2:
+            x = np.pad(x, 12, constant_values=7.0)
+            x[:50, :50] = logo
+        for edit in [lambda a: a, *EDITS.values()]:
+            origin.append(k)
+            images.append(pgm(edit(x)))
+    seen = [media.corners(media.decode(raw)[None])[0] for raw in images]
+    keys = [media.band_keys(c) for c in seen]
+    n = len(images)
+    every = [(i, j) for j in range(n) for i in range(j) if len(np.intersect1d(keys[i], keys[j])) >= media.SHARED and media.is_copy(seen[i], seen[j])]
+    df = spark.createDataFrame(list(enumerate(images)), "image_id long, image binary").repartition(4)
+    got = {r.image_id: r.copy_of for r in media.copies(df).collect()}
+    assert got == groups_of(every, range(n))
+    pairs = [(i, j) for j in range(n) for i in range(j) if origin[i] == origin[j]]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+
+
+def test_rendered_near_copies(spark, sf_dir):
+    """Vectors that are almost equal render as copies; others don't."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 64))
+    rows = [(i, [float(x) for x in base[i % 30] + (i >= 30) * rng.normal(size=64) * 0.01]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.image_id: r.copy_of for r in media.copies(media.rendered(df)).collect()}
+    assert sum(got[i] == i % 30 for i in range(90)) >= 0.95 * 90
+    assert all(got[i] % 30 == i % 30 for i in range(90))
+
+
 def test_small_crops_of_large_images(spark):
     large = [np.block([[picture(100 * k + 10 * r + c) for c in range(3)] for r in range(4)]) for k in (1, 2)]
     crops = [x[y : y + 100, z : z + 110] for x, y, z in ((large[0], 45, 70), (large[0], 250, 190), (large[1], 130, 61))]  # each 8 % of the area
