@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phonoframe.operators.grouping import tasks_of
+
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -17,27 +19,39 @@ def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(-1))
 
 
-def warp(x: np.ndarray, y: np.ndarray, dist: Distance = euclidean, cells: list[np.ndarray] | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """The least total distance and its path; cells[i]: the columns of row i that a path may use (default: all)."""
+def warp(x: np.ndarray, y: np.ndarray, dist: Distance = euclidean, cells: list[tuple[int, int]] | None = None) -> tuple[float, list[tuple[int, int]]]:
+    """The least total distance and its path; cells[i]: the first column of row i that a path may use, and the one after the last (default: all).
+
+    Only the columns of each row are kept. Along a row the recursion
+    left[k] = d[k] + min(best[k], left[k - 1]) is a running minimum of best less
+    the distances before it.
+    """
     n, m = len(x), len(y)
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0
-    for i in range(n):
-        cols = np.arange(m) if cells is None else cells[i]
-        d = dist(x[i][None], y[cols])
-        best = np.minimum(cost[i, cols], cost[i, cols + 1])
-        left = np.inf if not len(cols) or cols[0] else cost[i + 1, 0]
-        for k, j in enumerate(cols.tolist()):
-            if k and cols[k - 1] != j - 1:
-                left = np.inf
-            left = d[k] + min(best[k], left)
-            cost[i + 1, j + 1] = left
-    i, j, path = n, m, []
-    while i and j:
-        path.append((i - 1, j - 1))
-        step = np.argmin([cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]])
+    spans = [(0, m)] * n if cells is None else cells
+    rows: list[np.ndarray] = []
+    for i, (a, b) in enumerate(spans):
+        d = dist(x[i][None], y[a:b])
+        total = np.cumsum(d)
+        best = np.full(b - a, np.inf)
+        if i:
+            c, e = spans[i - 1]
+            lo, hi = max(a, c), min(b, e)
+            best[lo - a : max(hi - a, lo - a)] = rows[-1][lo - c : max(hi - c, lo - c)]
+            lo, hi = max(a, c + 1), min(b, e + 1)
+            if lo < hi:
+                best[lo - a : hi - a] = np.minimum(best[lo - a : hi - a], rows[-1][lo - 1 - c : hi - 1 - c])
+        elif not a:
+            best[0] = 0
+        rows.append(np.minimum.accumulate(best - (total - d)) + total)
+    if not n or not m:
+        return (0.0 if n == m else float("inf")), []
+    cost = lambda i, j: rows[i][j - spans[i][0]] if i >= 0 and spans[i][0] <= j < spans[i][1] else (0.0 if i == j == -1 else np.inf)
+    i, j, path = n - 1, m - 1, []
+    while i >= 0 and j >= 0:
+        path.append((i, j))
+        step = np.argmin([cost(i - 1, j - 1), cost(i - 1, j), cost(i, j - 1)])
         i, j = i - (step != 2), j - (step != 1)
-    return float(cost[n, m]), path[::-1]
+    return float(cost(n - 1, m - 1)), path[::-1]
 
 
 def fast_warp(x: np.ndarray, y: np.ndarray, radius: int = 1, dist: Distance = euclidean) -> tuple[float, list[tuple[int, int]]]:
@@ -56,7 +70,7 @@ def fast_warp(x: np.ndarray, y: np.ndarray, radius: int = 1, dist: Distance = eu
     if len(x) % 2:
         low[-1] = min(low[-1], low[-2], len(y) - 1)
     high = np.maximum.accumulate(high)
-    return warp(x, y, dist, [np.arange(a, b + 1) for a, b in zip(low, high, strict=True)])
+    return warp(x, y, dist, [(int(a), int(b) + 1) for a, b in zip(low, high, strict=True)])
 
 
 def _trimmed(x: np.ndarray, eps: float = 1e-7) -> np.ndarray:
@@ -64,7 +78,7 @@ def _trimmed(x: np.ndarray, eps: float = 1e-7) -> np.ndarray:
     return x[: loud[-1] + 1] if len(loud) else x[:0]
 
 
-def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidean, exact: bool = False) -> DataFrame:
+def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidean, exact: bool = False, tasks: int | None = None) -> DataFrame:
     """(utt, step, x_frame, y_frame, distance) of frames (utt, frame, features) that both have; distance is over both lengths. Trailing silence is left out."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -85,8 +99,9 @@ def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidea
         return table([a["utt"].iloc[0]] * len(i), a["frame"].to_numpy()[i], b["frame"].to_numpy()[j], d / (len(p) + len(q)))
 
     kind = x.schema["utt"].dataType.simpleString()
-    left = x.select("utt", "frame", "features").groupBy("utt")
-    right = y.select(F.col("utt").alias("y_utt"), F.col("frame").alias("y_frame"), F.col("features").alias("y_features")).groupBy("y_utt")
+    n = tasks_of(x, tasks)
+    left = x.select("utt", "frame", "features").repartition(n, "utt").groupBy("utt")
+    right = y.select(F.col("utt").alias("y_utt"), F.col("frame").alias("y_frame"), F.col("features").alias("y_features")).repartition(n, "y_utt").groupBy("y_utt")
     return left.cogroup(right).applyInPandas(run, f"utt {kind}, step long, x_frame long, y_frame long, distance double")
 
 
@@ -96,17 +111,25 @@ def aligned(path: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     return path.join(a, ["utt", "x_frame"]).join(b, ["utt", "y_frame"]).select("utt", "step", "x", "y")
 
 
-def iterative(x: DataFrame, y: DataFrame, n_iter: int = 3, components: int = 16, radius: int = 1, seed: int = 0) -> DataFrame:
-    """Paths after n_iter rounds: align, fit a joint mixture on the aligned frames, convert x by it, align what was converted."""
+def iterative(x: DataFrame, y: DataFrame, n_iter: int = 3, components: int = 16, radius: int = 1, seed: int = 0, max_iter: int = 100, dist: Distance = euclidean) -> DataFrame:
+    """Paths between x and y refined over n_iter rounds: align the x converted so far, fit a joint mixture on the aligned frames, convert the converted x once more by it.
+
+    Each round's tables are cut by a checkpoint (in ``spark.checkpoint.dir``), as
+    the next round reads them several times.
+    """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 
     from phonoframe.operators.gmm import JointMixture, mapped
 
-    now, path = x, None
+    if n_iter < 1:
+        raise ValueError("at least one round is needed")
+    now = x.select("utt", "frame", F.col("features").cast("array<double>").alias("features"))
     for k in range(n_iter):
-        path = paths(now, y, radius).checkpoint()
-        if k + 1 < n_iter:
-            joint = aligned(path, x, y).select(array_to_vector(F.concat("x", "y").cast("array<double>")).alias("features"))
-            now = mapped(x, JointMixture.of(GaussianMixture(k=components, maxIter=100, seed=seed).fit(joint)))
+        path = paths(now, y, radius, dist).checkpoint()
+        if k + 1 == n_iter:
+            return path
+        joint = aligned(path, now, y).select(array_to_vector(F.concat("x", F.col("y").cast("array<double>"))).alias("features"))
+        model = GaussianMixture(k=components, maxIter=max_iter, seed=seed).fit(joint)
+        now = mapped(now, JointMixture.of(model)).checkpoint()
     return path

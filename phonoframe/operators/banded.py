@@ -1,14 +1,22 @@
 """Banded matrices as tables (mat, row, col, value): entries inside the band, zeros left out.
 
 Sums, products and bands are joins and aggregates, so many matrices are worked
-on at once and the shuffle is by matrix and inner index.
+on at once and the shuffle is by matrix and inner index. Factors, solutions and
+inverses are recursions along the diagonal: a kernel per matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phonoframe.operators import kernels
+from phonoframe.operators.grouping import each, kind, over_utterances
+
 ENTRY = ["mat", "row", "col", "value"]
 
 
@@ -93,3 +101,139 @@ def window_matrix(lengths: DataFrame, left: int, taps: tuple[float, ...]) -> Dat
     taps_ = F.array(*[F.struct(F.lit(k - left).cast("long").alias("o"), F.lit(float(v)).alias("v")) for k, v in enumerate(taps) if v])
     wide = rows.withColumn("_t", F.explode(taps_)).withColumn("col", F.col("row") + F.col("_t.o"))
     return wide.where((F.col("col") >= 0) & (F.col("col") < F.col("n"))).select("mat", "row", "col", F.col("_t.v").alias("value"))
+
+
+def scaled(a: DataFrame, by: DataFrame) -> DataFrame:
+    """a times a factor of each matrix; by is (mat, factor)."""
+    return a.join(by, "mat").select("mat", "row", "col", (F.col("value") * F.col("factor")).alias("value"))
+
+
+def plus_band_of(a: DataFrame, b: DataFrame, left: int, right: int, factor: float = 1.0) -> DataFrame:
+    """a + factor * the band of b that has `left` entries below and `right` above the diagonal."""
+    return add(a, from_rows(b, left, right), factor)
+
+
+def dense(a: DataFrame, sizes: DataFrame) -> DataFrame:
+    """All entries, zeros included; sizes is (mat, n)."""
+    index = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias(c)
+    grid = sizes.where("n > 0").select("mat", "n", index("row")).select("mat", "row", index("col"))
+    return grid.join(a.select(*ENTRY), ["mat", "row", "col"], "left").select("mat", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def widths(a: DataFrame) -> DataFrame:
+    """(mat, left, right): the narrowest band that holds all entries that aren't zero."""
+    off = F.col("col") - F.col("row")
+    return a.where("value <> 0").groupBy("mat").agg(F.greatest(F.max(-off), F.lit(0)).alias("left"), F.greatest(F.max(off), F.lit(0)).alias("right"))
+
+
+def in_common_band(matrices: list[DataFrame], sizes: DataFrame) -> list[DataFrame]:
+    """The matrices, each with all entries (zeros included) of the narrowest band that holds them all."""
+    every = matrices[0].select(*ENTRY)
+    for m in matrices[1:]:
+        every = every.unionByName(m.select(*ENTRY))
+    common = sizes.join(widths(every), "mat", "left").fillna(0, ["left", "right"]).where("n > 0")
+    rows = common.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    low, high = F.greatest(F.col("row") - F.col("left"), F.lit(0)), F.least(F.col("row") + F.col("right"), F.col("n") - 1)
+    grid = rows.select("mat", "row", F.explode(F.sequence(low, high)).alias("col"))
+    return [grid.join(m.select(*ENTRY), ["mat", "row", "col"], "left").select("mat", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value")) for m in matrices]
+
+
+def as_diagonals(a: DataFrame, sizes: DataFrame, left: int, right: int, by: str = "col") -> DataFrame:
+    """(mat, diagonal, idx, value): the band as a rectangle of right + left + 1 diagonals, the uppermost first, each as long as the matrix and indexed by column or row; places outside the matrix are 0."""
+    if by not in ("row", "col"):
+        raise ValueError("diagonals are indexed by row or col")
+    index = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx")
+    grid = sizes.where("n > 0").select("mat", index).withColumn("diagonal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left + right).cast("long"))))
+    band_ = from_rows(a, left, right).select("mat", (F.col("row") - F.col("col") + right).alias("diagonal"), F.col(by).alias("idx"), "value")
+    return grid.join(band_, ["mat", "diagonal", "idx"], "left").select("mat", "diagonal", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def from_diagonals(d: DataFrame, sizes: DataFrame, right: int, by: str = "col") -> DataFrame:
+    """Entries from a rectangle as ``as_diagonals`` makes it; places outside the matrix don't count."""
+    off = F.col("diagonal") - right
+    row, col = (F.col("idx") + off, F.col("idx")) if by == "col" else (F.col("idx"), F.col("idx") - off)
+    inside = (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("n")) & (F.col("col") < F.col("n"))
+    return d.join(sizes, "mat").withColumn("row", row).withColumn("col", col).where(inside).select(*ENTRY)
+
+
+def overlap_add(blocks: DataFrame, step: int = 1, onto: DataFrame | None = None) -> DataFrame:
+    """Square blocks (mat, window, row, col, value) laid along the diagonal every `step` and added up, onto a matrix if one is given. Blocks may come in any number of parts."""
+    at = F.col("window") * step
+    laid = blocks.select("mat", (F.col("row") + at).alias("row"), (F.col("col") + at).alias("col"), "value")
+    laid = laid if onto is None else laid.unionByName(onto.select(*ENTRY))
+    return laid.groupBy("mat", "row", "col").agg(F.sum("value").alias("value"))
+
+
+def sliding(a: DataFrame, sizes: DataFrame, width: int, step: int = 1) -> DataFrame:
+    """(mat, window, row, col, value): blocks of `width` by `width` along the diagonal every `step`; sizes (mat, n) that they don't fill exactly are an error."""
+    if step < 1 or width < step:
+        raise ValueError("a step is 1 at least and no longer than a block")
+    n = F.col("n")
+    fits = (n >= width - step) & ((n + step - width) % step == 0)
+    last = F.when(fits, F.floor((n - width) / step)).otherwise(F.raise_error(F.lit(f"blocks of {width} every {step} don't fit a matrix")).cast("long"))
+    low, high = F.least("row", "col"), F.greatest("row", "col")
+    first = F.greatest(F.ceil((high - width + 1) / step), F.lit(0))
+    marked = a.join(sizes, "mat").withColumn("_a", first).withColumn("_b", F.least(F.floor(low / step), last)).where("_a <= _b")
+    spread = marked.withColumn("window", F.explode(F.sequence("_a", "_b")))
+    at = F.col("window") * step
+    return spread.select("mat", "window", (F.col("row") - at).alias("row"), (F.col("col") - at).alias("col"), "value")
+
+
+def _systems(a: DataFrame, width: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], b: DataFrame | None, sizes: DataFrame, schema: str, tasks: int | None) -> DataFrame:
+    """A kernel over the lower bands (width + 1, n, 1) and right sides (n, 1) of each matrix."""
+    right = [] if b is None else [b.select(F.col("mat").alias("utt"), F.col("idx").alias("row"), F.lit(-1).cast("long").alias("col"), "value")]
+    mine = from_rows(a, width, 0).select(F.col("mat").alias("utt"), "row", "col", F.col("value").cast("double").alias("value"))
+    size = sizes.select(F.col("mat").alias("utt"), F.col("n").alias("row"), F.lit(-2).cast("long").alias("col"), F.lit(0.0).alias("value"))
+    rows = mine
+    for other in [size, *right]:
+        rows = rows.unionByName(other)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col, value = (pdf[c].to_numpy() for c in ("row", "col", "value"))
+        n = int(row[col == -2][0])
+        band, x = np.zeros((width + 1, n, 1)), np.zeros((n, 1))
+        inner = col >= 0
+        band[row[inner] - col[inner], row[inner], 0] = value[inner]
+        x[row[col == -1], 0] = value[col == -1]
+        out = kernel(band, x)
+        if out.ndim == 2:
+            return pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * n, "idx": np.arange(n), "value": out[:, 0]})
+        k, t = (i.ravel() for i in np.indices(out.shape[:2]))
+        good = t >= k
+        return pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * int(good.sum()), "row": t[good], "col": (t - k)[good], "value": out[k[good], t[good], 0]})
+
+    return over_utterances(rows, each(run), schema, order="row", tasks=tasks)
+
+
+def _schema(a: DataFrame, columns: str) -> str:
+    return f"mat {kind(a, 'mat')}, {columns}"
+
+
+def cholesky(a: DataFrame, sizes: DataFrame, width: int, tasks: int | None = None) -> DataFrame:
+    """The lower factors of symmetric positive definite matrices of which at least the lower band is given; an error for others."""
+    return _systems(a, width, lambda band, _: kernels.cholesky(band), None, sizes, _schema(a, "row long, col long, value double"), tasks)
+
+
+def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, width: int, tasks: int | None = None) -> DataFrame:
+    """(mat, idx, value): x of A x = b for symmetric positive definite matrices."""
+    return _systems(a, width, lambda band, x: kernels.solve_factored(kernels.cholesky(band), x), b, sizes, _schema(a, "idx long, value double"), tasks)
+
+
+def solve_triangular(factor: DataFrame, b: DataFrame, sizes: DataFrame, width: int, transposed: bool = False, tasks: int | None = None) -> DataFrame:
+    """(mat, idx, value): x of L x = b, or of transpose(L) x = b; a zero on the diagonal is an error."""
+    return _systems(factor, width, lambda band, x: kernels.solve_triangular(band, x, transposed), b, sizes, _schema(factor, "idx long, value double"), tasks)
+
+
+def solve_factored(factor: DataFrame, b: DataFrame, sizes: DataFrame, width: int, tasks: int | None = None) -> DataFrame:
+    """(mat, idx, value): x of L transpose(L) x = b."""
+    return _systems(factor, width, kernels.solve_factored, b, sizes, _schema(factor, "idx long, value double"), tasks)
+
+
+def inverse_band(a: DataFrame, sizes: DataFrame, width: int, out_width: int, tasks: int | None = None) -> DataFrame:
+    """The lower band of the inverses of symmetric positive definite matrices, without the rest of them."""
+    return _systems(a, width, lambda band, _: kernels.inverse_band(kernels.cholesky(band), out_width), None, sizes, _schema(a, "row long, col long, value double"), tasks)
+
+
+def inverse(a: DataFrame, sizes: DataFrame, width: int, tasks: int | None = None) -> DataFrame:
+    """The lower triangles of whole inverses: a matrix of n rows gives n * (n + 1) / 2 entries."""
+    return _systems(a, width, lambda band, _: kernels.inverse_band(kernels.cholesky(band), band.shape[1] - 1), None, sizes, _schema(a, "row long, col long, value double"), tasks)

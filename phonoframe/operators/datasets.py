@@ -4,26 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonoframe.operators.grouping import each, kind, over_utterances, running_total
 
-def numbered(utts: DataFrame, *order: str) -> DataFrame:
-    """A row per utterance with ordinal from 0. The list of utterances is numbered in one task; it holds no frames."""
-    return utts.withColumn("ordinal", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+
+def numbered(utts: DataFrame, *order: str, tasks: int | None = None) -> DataFrame:
+    """A row per utterance with ordinal from 0, numbered in sorted parts over the cluster."""
+    return running_total(utts, "ordinal", F.lit(1), *order, tasks=tasks).withColumn("ordinal", F.col("ordinal") - 1)
+
+
+def length(utts: DataFrame) -> int:
+    """How many utterances a dataset has."""
+    return utts.count()
 
 
 def at(utts: DataFrame, index: int | slice) -> DataFrame:
-    """Utterances by ordinal: a number (negative: from the end) or a slice."""
+    """Utterances by ordinal: a number (negative: from the end) or a slice. Their number is asked for only where the index needs it, in the same plan."""
+    ordinal = F.col("ordinal")
+    n = lambda: utts.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).scalar()
     if isinstance(index, int):
-        if index >= 0:
-            return utts.where(F.col("ordinal") == index)
-        return utts.withColumn("_n", F.count("*").over(Window.partitionBy())).where(F.col("ordinal") == F.col("_n") + index).drop("_n")
-    start, stop, step = index.indices(utts.count())
-    if step < 0:
-        start, stop, step = start + ((stop - start + 1) // step) * step, start + 1, -step
-    return utts.where(F.col("ordinal").between(start, stop - 1) & ((F.col("ordinal") - start) % step == 0))
+        return utts.where(ordinal == (F.lit(index) if index >= 0 else n() + index))
+    step = 1 if index.step is None else index.step
+    if not step:
+        raise ValueError("a slice's step isn't zero")
+
+    def place(x: int | None, default) -> Column:
+        if x is None:
+            return default()
+        return F.lit(x) if x >= 0 else F.greatest(n() + x, F.lit(0 if step > 0 else -1))
+
+    if step > 0:
+        start = place(index.start, lambda: F.lit(0))
+        inside = ordinal >= start
+        if index.stop is not None:
+            inside = inside & (ordinal < place(index.stop, n))
+        return utts.where(inside & ((ordinal - start) % step == 0))
+    start = F.least(place(index.start, lambda: n() - 1), n() - 1)
+    return utts.where((ordinal <= start) & (ordinal > place(index.stop, lambda: F.lit(-1))) & ((start - ordinal) % -step == 0))
 
 
 def paired(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -35,7 +56,7 @@ def paired(x: DataFrame, y: DataFrame) -> DataFrame:
 def padded(frames: DataFrame, value: str = "value", length: int | None = None) -> DataFrame:
     """(utt, frame, value) with zeros to `length` frames (default: the longest utterance's). Longer utterances fail."""
     ends = frames.groupBy("utt").agg((F.max("frame") + 1).cast("long").alias("_n"))
-    goal = F.lit(length).cast("long") if length is not None else F.max("_n").over(Window.partitionBy())
+    goal = F.lit(length).cast("long") if length is not None else ends.agg(F.max("_n")).scalar()
     short = ends.withColumn("_t", goal)
     fail = F.raise_error(F.concat(F.lit("longer than the padded length: "), F.col("utt").cast("string"))).cast("long")
     last = F.when(F.col("_n") > F.col("_t"), fail).otherwise(F.col("_t"))
@@ -51,9 +72,8 @@ def padded_rows(utts: DataFrame, length: int, width: int) -> DataFrame:
 
 
 def offsets(lengths: DataFrame, *order: str) -> DataFrame:
-    """(utt, n) with first and end, its frames' places in the concatenation of all; a row per utterance."""
-    end = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return lengths.withColumn("end", end).withColumn("first", F.col("end") - F.col("n"))
+    """(utt, n) with first and end, its frames' places in the concatenation of all; a row per utterance, summed in sorted parts over the cluster."""
+    return running_total(lengths, "end", F.col("n"), *order).withColumn("first", F.col("end") - F.col("n"))
 
 
 def framewise(places: DataFrame, wanted: DataFrame, bucket: int = 1000) -> DataFrame:
@@ -65,8 +85,34 @@ def framewise(places: DataFrame, wanted: DataFrame, bucket: int = 1000) -> DataF
 
 
 def each_utterance(frames: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A function of one utterance's frames, in order."""
-    return frames.groupBy("utt").applyInPandas(lambda pdf: fn(pdf.sort_values("frame")), schema)
+    """A function of one utterance's frames, in order; utt is the first column."""
+    return over_utterances(frames, each(fn), schema)
+
+
+def each_matrix(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], lengths: DataFrame | None = None, eps: float = 1e-7, tasks: int | None = None) -> DataFrame:
+    """(utt, frame, features) of fn applied to each utterance's matrix, padded back to its number of frames with zeros.
+
+    fn sees the frames without trailing silence, or the first n of `lengths`
+    (utt, n). It may change the dimension; a result that is longer than the
+    utterance is an error. An utterance of silence only is given to fn empty.
+    """
+    rows = frames.select("utt", "frame", "features") if lengths is None else frames.select("utt", "frame", "features").join(lengths.select("utt", "n"), "utt")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["features"].to_numpy()).astype(float)
+        if lengths is None:
+            loud = np.flatnonzero(np.abs(x).sum(1) >= eps)
+            n = int(loud[-1]) + 1 if len(loud) else 0
+        else:
+            n = int(pdf["n"].iloc[0])
+        y = np.asarray(fn(x[:n]), float)
+        if y.ndim != 2 or len(y) > len(x):
+            raise ValueError(f"the result for {pdf['utt'].iloc[0]} has shape {y.shape}, and the utterance {len(x)} frames")
+        out = np.zeros((len(x), y.shape[1]))
+        out[: len(y)] = y
+        return pd.DataFrame({"utt": pdf["utt"].to_numpy(), "frame": pdf["frame"].to_numpy(), "features": list(out)})
+
+    return over_utterances(rows, each(run), f"utt {kind(frames, 'utt')}, frame long, features array<double>", tasks=tasks)
 
 
 def first_per_group(files: DataFrame, n: int, groups: list[str], order: str = "path") -> DataFrame:

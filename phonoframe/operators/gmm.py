@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from phonoframe.functions.windows import DeltaWindow
-from phonoframe.operators.paramgen import generate
+from phonoframe.operators.grouping import kind, over_utterances
+from phonoframe.operators.paramgen import generate_many
 
 
 @dataclass(frozen=True)
@@ -60,13 +61,18 @@ def expected(src: np.ndarray, mixture: JointMixture) -> np.ndarray:
     return np.einsum("tm,tmd->td", share / share.sum(1, keepdims=True), mean)
 
 
-def trajectory(src: np.ndarray, mixture: JointMixture, windows: Sequence[DeltaWindow]) -> np.ndarray:
-    """The likeliest static trajectory, each frame under its likeliest component with diagonal variances."""
+def conditional_path(src: np.ndarray, mixture: JointMixture) -> tuple[np.ndarray, np.ndarray]:
+    """Means and diagonal variances of the target, each frame under its likeliest component."""
     log, mean, p = mixture.conditional(src)
     m = log.argmax(1)
     diag = {k: np.einsum("mii->mi", p[k]) for k in ("xx", "xy", "yx", "yy")}
     variance = diag["yy"] - diag["yx"] / diag["xx"] * diag["xy"]
-    return generate(mean[np.arange(len(src)), m], variance[m], windows)
+    return mean[np.arange(len(src)), m], variance[m]
+
+
+def trajectory(src: np.ndarray, mixture: JointMixture, windows: Sequence[DeltaWindow]) -> np.ndarray:
+    """The likeliest static trajectory of one utterance."""
+    return generate_many(*([x] for x in conditional_path(src, mixture)), windows)[0]
 
 
 def mapped(frames: DataFrame, mixture: JointMixture) -> DataFrame:
@@ -77,16 +83,15 @@ def mapped(frames: DataFrame, mixture: JointMixture) -> DataFrame:
             if len(pdf):
                 yield pdf.assign(features=list(expected(np.stack(pdf["features"].to_numpy()).astype(float), mixture)))
 
-    kind = {c: frames.schema[c].dataType.simpleString() for c in ("utt", "frame")}
-    return frames.select("utt", "frame", "features").mapInPandas(run, f"utt {kind['utt']}, frame {kind['frame']}, features array<double>")
+    return frames.select("utt", "frame", "features").mapInPandas(run, f"utt {kind(frames, 'utt')}, frame {kind(frames, 'frame')}, features array<double>")
 
 
-def converted(frames: DataFrame, mixture: JointMixture, windows: Sequence[DeltaWindow]) -> DataFrame:
+def converted(frames: DataFrame, mixture: JointMixture, windows: Sequence[DeltaWindow], tasks: int | None = None) -> DataFrame:
     """(utt, frame, features) by trajectories; features hold static and dynamic parts as the mixture does."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        return pdf.assign(features=list(trajectory(np.stack(pdf["features"].to_numpy()).astype(float), mixture, windows)))
+    def kernel(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        likeliest = [conditional_path(np.stack(pdf["features"].to_numpy()).astype(float), mixture) for pdf in some]
+        out = generate_many([m for m, _ in likeliest], [v for _, v in likeliest], windows)
+        yield pd.concat([pdf.assign(features=list(x)) for pdf, x in zip(some, out, strict=True)])
 
-    kind = {c: frames.schema[c].dataType.simpleString() for c in ("utt", "frame")}
-    return frames.select("utt", "frame", "features").groupBy("utt").applyInPandas(run, f"utt {kind['utt']}, frame {kind['frame']}, features array<double>")
+    return over_utterances(frames.select("utt", "frame", "features"), kernel, f"utt {kind(frames, 'utt')}, frame {kind(frames, 'frame')}, features array<double>", tasks=tasks)

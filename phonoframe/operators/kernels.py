@@ -105,3 +105,49 @@ def edge_zeroed(tau: np.ndarray, windows: tuple[DeltaWindow, ...]) -> list[np.nd
             p[:edge] = 0
             p[-edge:] = 0
     return parts
+
+
+def stacked(arrays: list[np.ndarray], fill: float = 0.0) -> np.ndarray:
+    """Arrays (..., T, D) of several utterances as one (..., longest T, sum of D): one loop over frames serves them all."""
+    n = max(a.shape[-2] for a in arrays)
+    out = np.full((*arrays[0].shape[:-2], n, sum(a.shape[-1] for a in arrays)), fill)
+    at = 0
+    for a in arrays:
+        out[..., : a.shape[-2], at : at + a.shape[-1]] = a
+        at += a.shape[-1]
+    return out
+
+
+def solve_many(bands: list[np.ndarray], rights: list[np.ndarray]) -> list[np.ndarray]:
+    """Solutions of the banded positive definite systems of several utterances. Frames beyond an utterance's end get the unit matrix."""
+    band, b = stacked(bands), stacked(rights)
+    at = np.cumsum([0, *(r.shape[1] for r in rights)])
+    for k, r in enumerate(rights):
+        band[0, len(r) :, at[k] : at[k + 1]] = 1
+    x = solve_factored(cholesky(band), b)
+    return [x[: len(r), i:j] for r, i, j in zip(rights, at[:-1], at[1:], strict=True)]
+
+
+def by_length(lengths: list[int], most: int = 1 << 16) -> list[list[int]]:
+    """Groups of utterances of similar lengths, each padded to `most` frames in all at most (a longer utterance is alone)."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        if out and lengths[i] * 2 >= lengths[out[-1][0]] and lengths[out[-1][0]] * (len(out[-1]) + 1) <= most:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def solve_triangular(band: np.ndarray, b: np.ndarray, transposed: bool = False) -> np.ndarray:
+    """x of L x = b, or of transpose(L) x = b, for a lower banded L. LinAlgError for a zero on the diagonal."""
+    zero = np.flatnonzero((band[0] == 0).any(1))
+    if len(zero):
+        raise np.linalg.LinAlgError(f"the matrix is singular: zero at {zero[0]} of the diagonal")
+    w, x = band.shape[0] - 1, b.astype(float).copy()
+    n = len(x)
+    for t in range(n - 1, -1, -1) if transposed else range(n):
+        for k in range(1, min(w, n - 1 - t if transposed else t) + 1):
+            x[t] -= band[k, t + k] * x[t + k] if transposed else band[k, t] * x[t - k]
+        x[t] /= band[0, t]
+    return x

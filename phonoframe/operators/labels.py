@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonoframe.sources.corpora import write_files
+
 #: 5 ms.
 FRAME_SHIFT = 50_000
 #: Contexts of silence.
@@ -19,6 +21,23 @@ def _upto():
     return _along().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def at(labels: DataFrame, index: int | slice | list[int]) -> DataFrame:
+    """The labels of every utterance at a place (negative: from its end), in a range, or at a list of places. A range's step counts for nothing, as in label files' own tools."""
+    n, idx = F.count("*").over(Window.partitionBy("utt")), F.col("idx")
+    places = index if isinstance(index, list) else [] if isinstance(index, slice) else [index]
+    if not isinstance(index, slice):
+        if all(p >= 0 for p in places):
+            return labels.where(idx.isin(places))
+        return labels.withColumn("_n", n).where(idx.isin([p for p in places if p >= 0]) | (idx - F.col("_n")).isin([p for p in places if p < 0])).drop("_n")
+    edge = lambda x: F.lit(x) if x >= 0 else F.col("_n") + x
+    marked = labels.withColumn("_n", n)
+    if index.start is not None:
+        marked = marked.where(idx >= edge(index.start))
+    if index.stop is not None:
+        marked = marked.where(idx < edge(index.stop))
+    return marked.drop("_n")
+
+
 def contiguity(labels: DataFrame) -> DataFrame:
     """labels with ok: the label isn't empty and starts where its predecessor ends."""
     before = F.lag("end_time").over(_along())
@@ -135,6 +154,6 @@ def as_textgrid(labels: DataFrame) -> DataFrame:
     return body.join(ends, "utt").select("utt", F.concat(head, "text", F.lit("\n")).alias("text"))
 
 
-def write_text(documents: DataFrame, path: str) -> None:
-    """One text file per utterance, in a folder utt=..."""
-    documents.select("utt", F.col("text").alias("value")).write.partitionBy("utt").text(path)
+def write_text(documents: DataFrame, path: str, suffix: str = ".lab") -> int:
+    """One text file per utterance of documents (utt, text), named after it, in a folder of any store that pyarrow knows; how many were written."""
+    return write_files(documents.select(F.concat(F.col("utt").cast("string"), F.lit(suffix)).alias("name"), F.col("text").cast("binary").alias("content")), path)

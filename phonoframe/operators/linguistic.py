@@ -35,12 +35,13 @@ def binary_answer(q: Question, context: Column) -> Column:
 
 
 def numeric_answer(q: Question, context: Column) -> Column:
-    """The number in the question's group; a note's number; p and m are signs. Without a match -1, or -50 for signed questions."""
+    """The number in the question's group; a note's number; p and m are signs. Without a match -1, or -50 for questions about signed numbers. A match that is no number fails."""
     got = F.regexp_extract(context, q.patterns[0], 1)
     notes = F.create_map(*[F.lit(x) for pair in note_numbers().items() for x in pair])
     sign = F.when(got.startswith("p"), 1.0).when(got.startswith("m"), -1.0)
+    fail = F.raise_error(F.concat(F.lit(f"{q.name} finds no number: "), got)).cast("double")
     number = F.when(sign.isNotNull(), sign * F.substring(got, 2, 20).try_cast("double")).otherwise(F.coalesce(notes[got].cast("double"), got.try_cast("double")))
-    return F.when(got == "", F.lit(-50.0 if q.signed else -1.0)).otherwise(number).cast("float")
+    return F.when(got == "", F.lit(-50.0 if q.signed else -1.0)).otherwise(F.coalesce(number, fail)).cast("float")
 
 
 def answered(labels: DataFrame, binary: list[Question], numeric: list[Question]) -> DataFrame:

@@ -1,11 +1,12 @@
 """Maximum-likelihood parameter generation: the smoothest static trajectory under means and variances of dynamic features.
 
-One group per utterance; its bands are solved for all dimensions at once.
+A task solves the bands of many utterances of similar lengths, and of all their
+dimensions, in one loop over frames.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,24 +15,61 @@ from pyspark.sql import functions as F
 
 from phonoframe.functions.windows import DEFAULT, DeltaWindow
 from phonoframe.operators import kernels
+from phonoframe.operators.grouping import kind, over_utterances
+
+
+def _precisions(variances: np.ndarray, shape: tuple[int, int], windows: tuple[DeltaWindow, ...]) -> list[np.ndarray]:
+    return kernels.edge_zeroed(np.broadcast_to(1 / np.asarray(variances, float), shape).copy(), windows)
+
+
+def generate_many(means: list[np.ndarray], variances: list[np.ndarray], windows: Sequence[DeltaWindow] = DEFAULT) -> list[np.ndarray]:
+    """Trajectories (T, D) of the means (T, windows * D) of several utterances; variances alike, or one row for all frames."""
+    windows = tuple(windows)
+    out: list[np.ndarray] = [np.zeros(0)] * len(means)
+    for some in kernels.by_length([len(m) for m in means]):
+        bands, rights = [], []
+        for i in some:
+            tau = _precisions(variances[i], means[i].shape, windows)
+            mu = np.split(np.asarray(means[i], float), len(windows), axis=1)
+            rights.append(sum(kernels.apply_transposed(t * m, w) for t, m, w in zip(tau, mu, windows, strict=True)))
+            bands.append(kernels.precision_band(tau, windows))
+        for i, x in zip(some, kernels.solve_many(bands, rights), strict=True):
+            out[i] = x
+    return out
 
 
 def generate(means: np.ndarray, variances: np.ndarray, windows: Sequence[DeltaWindow] = DEFAULT) -> np.ndarray:
-    """Trajectories (T, D) of means (T, windows * D); variances alike, or one row for all frames."""
+    """The trajectory of one utterance."""
+    return generate_many([means], [variances], windows)[0]
+
+
+def gradient_many(variances: list[np.ndarray], grads: list[np.ndarray], windows: Sequence[DeltaWindow] = DEFAULT) -> list[np.ndarray]:
+    """The gradients (T, windows * D) by the means, of the gradients (T, D) by the trajectories: one solve, then windows and precisions."""
     windows = tuple(windows)
-    tau = kernels.edge_zeroed(np.broadcast_to(1 / np.asarray(variances, float), means.shape).copy(), windows)
-    mu = np.split(np.asarray(means, float), len(windows), axis=1)
-    b = sum(kernels.apply_transposed(t * m, w) for t, m, w in zip(tau, mu, windows, strict=True))
-    return kernels.solve_factored(kernels.cholesky(kernels.precision_band(tau, windows)), b)
+    out: list[np.ndarray] = [np.zeros(0)] * len(grads)
+    for some in kernels.by_length([len(g) for g in grads]):
+        taus = [_precisions(variances[i], (len(grads[i]), grads[i].shape[1] * len(windows)), windows) for i in some]
+        solved = kernels.solve_many([kernels.precision_band(t, windows) for t in taus], [grads[i] for i in some])
+        for i, tau, x in zip(some, taus, solved, strict=True):
+            out[i] = np.concatenate([t * kernels.apply_window(x, w) for t, w in zip(tau, windows, strict=True)], 1)
+    return out
 
 
 def gradient(variances: np.ndarray, grad: np.ndarray, n_frames: int, windows: Sequence[DeltaWindow] = DEFAULT) -> np.ndarray:
-    """The gradient (T, windows * D) by the means, of the gradient (T, D) by the trajectory: one solve, then windows and precisions."""
-    windows = tuple(windows)
-    shape = (n_frames, grad.shape[1] * len(windows))
-    tau = kernels.edge_zeroed(np.broadcast_to(1 / np.asarray(variances, float), shape).copy(), windows)
-    x = kernels.solve_factored(kernels.cholesky(kernels.precision_band(tau, windows)), grad)
-    return np.concatenate([t * kernels.apply_window(x, w) for t, w in zip(tau, windows, strict=True)], 1)
+    """The gradient of one utterance of n_frames."""
+    if len(grad) != n_frames:
+        raise ValueError("the gradient has another number of frames")
+    return gradient_many([variances], [grad], windows)[0]
+
+
+def window_rows(windows: Sequence[DeltaWindow], n_frames: int) -> np.ndarray:
+    """The (windows * T, T) matrix of all windows, one below the other."""
+    eye = np.eye(n_frames)
+    return np.concatenate([kernels.apply_window(eye, w) for w in windows])
+
+
+def _matrix(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    return np.stack(pdf[column].to_numpy()).astype(float)
 
 
 def unit_variance_matrix(windows: Sequence[DeltaWindow], n_frames: int) -> np.ndarray:
@@ -49,34 +87,49 @@ def _matrix(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack(pdf[column].to_numpy()).astype(float)
 
 
-def mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT) -> DataFrame:
+def _written(some: list[pd.DataFrame], out: list[np.ndarray], column: str = "features") -> Iterator[pd.DataFrame]:
+    yield pd.concat([pd.DataFrame({"utt": pdf["utt"].to_numpy(), "frame": pdf["frame"].to_numpy(), column: list(x)}) for pdf, x in zip(some, out, strict=True)], ignore_index=True)
+
+
+def mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, tasks: int | None = None) -> DataFrame:
     """(utt, frame, means, variances) -> (utt, frame, features)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        out = generate(_matrix(pdf, "means"), _matrix(pdf, "variances"), windows)
-        return pd.DataFrame({"utt": pdf["utt"], "frame": pdf["frame"], "features": list(out)})
+    def kernel(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _written(some, generate_many([_matrix(p, "means") for p in some], [_matrix(p, "variances") for p in some], windows))
 
-    kind = frames.schema["utt"].dataType.simpleString()
-    return frames.select("utt", "frame", "means", "variances").groupBy("utt").applyInPandas(run, f"utt {kind}, frame long, features array<double>")
+    return over_utterances(frames.select("utt", "frame", "means", "variances"), kernel, f"utt {kind(frames, 'utt')}, frame long, features array<double>", tasks=tasks)
 
 
-def mlpg_gradient(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT) -> DataFrame:
+def mlpg_gradient(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, tasks: int | None = None) -> DataFrame:
     """(utt, frame, variances, gradient) -> (utt, frame, features): the gradient by the means."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        out = gradient(_matrix(pdf, "variances"), _matrix(pdf, "gradient"), len(pdf), windows)
-        return pd.DataFrame({"utt": pdf["utt"], "frame": pdf["frame"], "features": list(out)})
+    def kernel(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _written(some, gradient_many([_matrix(p, "variances") for p in some], [_matrix(p, "gradient") for p in some], windows))
+
+    return over_utterances(frames.select("utt", "frame", "variances", "gradient"), kernel, f"utt {kind(frames, 'utt')}, frame long, features array<double>", tasks=tasks)
 
-    kind = frames.schema["utt"].dataType.simpleString()
-    return frames.select("utt", "frame", "variances", "gradient").groupBy("utt").applyInPandas(run, f"utt {kind}, frame long, features array<double>")
 
+def unit_variance_mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, transposed: bool = False, tasks: int | None = None) -> DataFrame:
+    """Trajectories under unit variances, each utterance at its own length; transposed: the gradient's way back.
 
-def unit_variance_mlpg(frames: DataFrame, spark, windows: Sequence[DeltaWindow], n_frames: int, transposed: bool = False) -> DataFrame:
-    """(utt, row, dim, value) of reshaped means -> (utt, frame, dim, value), by a join with R; transposed: the gradient's way back."""
-    r = unit_variance_matrix(windows, n_frames)
-    i, j = np.nonzero(r)
-    table = spark.createDataFrame(pd.DataFrame({"frame": i.astype(np.int64), "row": j.astype(np.int64), "_r": r[i, j].astype(float)}))  # n_frames^2 * windows entries
+    (utt, row, dim, value) of reshaped means -> (utt, frame, dim, value), or, transposed,
+    (utt, frame, dim, value) of gradients -> (utt, row, dim, value). R = inverse(W' W) W' is
+    never built: W' or W is applied and a band solved, so the cost is linear in the frames.
+    """
+    windows = tuple(windows)
+    n_win = len(windows)
     key, out = ("frame", "row") if transposed else ("row", "frame")
-    return frames.join(table, key).groupBy("utt", out, "dim").agg(F.sum(F.col("value") * F.col("_r")).alias("value"))
+
+    def kernel(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wide = [pdf.pivot_table(index=key, columns="dim", values="value", fill_value=0.0) for pdf in some]
+        x = [w.to_numpy(float) for w in wide]
+        ones = [np.ones((1, n_win * a.shape[1])) for a in x]
+        if transposed:
+            got = [np.concatenate(np.split(g, n_win, axis=1)) for g in gradient_many(ones, x, windows)]
+        else:
+            got = generate_many([np.concatenate(np.split(a, n_win), 1) for a in x], ones, windows)
+        for pdf, w, y in zip(some, wide, got, strict=True):
+            rows, dims = y.shape
+            yield pd.DataFrame({"utt": [pdf["utt"].iloc[0]] * (rows * dims), out: np.repeat(np.arange(rows), dims), "dim": np.tile(w.columns.to_numpy(np.int64), rows), "value": y.ravel()})
+
+    return over_utterances(frames.select("utt", key, "dim", "value"), kernel, f"utt {kind(frames, 'utt')}, {out} long, dim long, value double", order=key, tasks=tasks)

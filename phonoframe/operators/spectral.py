@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phonoframe.operators.grouping import each, over_utterances
+from phonoframe.operators.grouping import kind as type_of
+
 
 def modspec_rows(df: DataFrame, n: int, ortho: bool = False, utt: str = "utt") -> DataFrame:
     """(utt, dim, frame, value) -> (utt, dim, bin, power, re, im) for bins 0 to n / 2, by sums of cosines and sines.
@@ -21,15 +24,15 @@ def modspec_rows(df: DataFrame, n: int, ortho: bool = False, utt: str = "utt") -
     return sums.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
 
 
-def _grouped(frames: DataFrame, kernel, fields: str, out: str) -> DataFrame:
+def _grouped(frames: DataFrame, kernel, fields: str, out: str, tasks: int | None = None) -> DataFrame:
+    """A kernel from the arrays of one utterance (columns from the third on) to new ones."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pdf.columns[1])
         got = kernel(*[np.stack(pdf[c].to_numpy()).astype(float) for c in pdf.columns[2:]])
         n = len(next(iter(got.values())))
         return pd.DataFrame({"utt": [pdf["utt"].iloc[0]] * n, out: np.arange(n)} | {k: list(v) for k, v in got.items()})
 
-    kind = frames.schema["utt"].dataType.simpleString()
-    return frames.groupBy("utt").applyInPandas(run, f"utt {kind}, {out} long, {fields}")
+    return over_utterances(frames, each(run), f"utt {type_of(frames, 'utt')}, {out} long, {fields}", order=frames.columns[1], tasks=tasks)
 
 
 def modspec(frames: DataFrame, n: int = 4096, norm: str | None = None) -> DataFrame:

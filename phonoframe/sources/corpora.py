@@ -7,11 +7,14 @@ caps are per group, integrity checks are joins.
 from __future__ import annotations
 
 import io
+from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.operators.datasets import first_per_group, with_label
@@ -23,6 +26,58 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
 
 
+def write_files(contents: DataFrame, root: str) -> int:
+    """Writes name (a path below root) and content (binary) as files; how many there are. Tasks write side by side, and one that is repeated writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        n, made = 0, set()
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                at = f"{base}/{name.as_py()}"
+                folder = at.rsplit("/", 1)[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(at) as f:
+                    f.write(content.as_py() or b"")
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    return contents.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+class Source(ABC):
+    """A source of utterances that a caller may write: items, and how to make features of one.
+
+    ``collect`` lists the items (name, and what else ``features`` wants);
+    ``features`` turns one item into a matrix of frames. ``frames`` runs it over
+    the cluster, item by item.
+    """
+
+    @abstractmethod
+    def collect(self, spark: SparkSession) -> DataFrame:
+        """The items: a table with the column name."""
+
+    @abstractmethod
+    def features(self, item: dict) -> np.ndarray:
+        """(T, D) of one item, a row of ``collect`` as a dict."""
+
+    def frames(self, spark: SparkSession, tasks: int | None = None) -> DataFrame:
+        """(utt, frame, features) of all items."""
+        items = self.collect(spark)
+        own = self.features
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for item in pdf.to_dict("records"):
+                    x = np.atleast_2d(np.asarray(own(item), float))
+                    yield pd.DataFrame({"utt": [item["name"]] * len(x), "frame": np.arange(len(x)), "features": list(x)})
+
+        dealt = items.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+        return dealt.mapInPandas(run, "utt string, frame long, features array<double>")
+
+
 def _grouped(spark: SparkSession, root: str, folder: str, groups: dict[str, Sequence[str]], max_files: int | None, pattern: str = "*.wav") -> DataFrame:
     """Files in folders named by all combinations of groups, e.g. folder "{speaker}_{emotion}"."""
     shape = folder
@@ -52,6 +107,12 @@ def speaker_folders(spark: SparkSession, root: str, speakers: Sequence[str], fol
     return with_label(_grouped(spark, root, folder, {"speaker": _known(speakers, known)}, max_files), list(speakers))
 
 
+def training_folders(spark: SparkSession, root: str, speakers: Sequence[str], training: bool = True, max_files: int | None = None, known: Sequence[str] | None = None) -> DataFrame:
+    """Waveforms of the training or the evaluation set: {root}/vcc2016_training/{speaker} or {root}/evaluation_all/{speaker}."""
+    at = "vcc2016_training" if training else "evaluation_all"
+    return speaker_folders(spark, f"{root}/{at}", speakers, "{speaker}", max_files, known)
+
+
 def emotion_folders(spark: SparkSession, root: str, speakers: Sequence[str], emotions: Sequence[str] = ("normal",), max_files: int | None = None) -> DataFrame:
     """Waveforms in folders speaker_emotion."""
     return with_label(_grouped(spark, root, "{speaker}_{emotion}", {"speaker": speakers, "emotion": emotions}, max_files), list(speakers))
@@ -63,7 +124,13 @@ def balanced_sentences(spark: SparkSession, path: str, column: str = "sentence",
     if column not in names:
         raise ValueError(f"column is one of {names}")
     rows = spark.read.csv(path, sep="\t", header=True, schema=", ".join(f"{n} string" for n in names), quote="").select("sentence_id", F.col(column).alias("text"))
-    return rows if max_files is None else rows.orderBy("sentence_id").limit(max_files)
+    if max_files is None:
+        return rows
+    # The first lines of the file: a small one, read as a whole.
+    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("_at", "_line")).where((F.col("_at") > 0) & (F.col("_line") != ""))
+    place = {n: k for k, n in enumerate(names)}
+    field = lambda n: F.get(F.split("_line", "\t"), F.lit(place[n]))
+    return numbered.orderBy("_at").limit(max_files).select(field("sentence_id").alias("sentence_id"), field(column).alias("text"))
 
 
 def metadata_table(spark: SparkSession, root: str, normalized: bool = False) -> DataFrame:
@@ -91,6 +158,31 @@ def with_wav(transcripts: DataFrame, wavs: DataFrame, keys: Sequence[str] = ("na
     return transcripts.join(wavs.select(*on), on, "left_semi"), transcripts.join(wavs.select(*on), on, "left_anti")
 
 
+def subset_waveforms(spark: SparkSession, root: str, subsets: Sequence[str], patches: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """(subset, name, text, path): the transcripts of the subsets that have a waveform in {subset}/wav, with its path."""
+    texts = subset_transcripts(spark, root, subsets, patches)
+    wavs = files(spark, root, "*.wav").select(F.regexp_extract("path", r"/([^/]+)/wav/[^/]+$", 1).alias("subset"), "name", "path")
+    return texts.join(wavs, ["subset", "name"]).select("subset", "name", "text", "path")
+
+
+def speaker_number(names: Column | str) -> Column:
+    """Speakers named 225 or p225 alike, as p225."""
+    c = F.col(names) if isinstance(names, str) else names
+    return F.when(c.startswith("p"), c).otherwise(F.concat(F.lit("p"), c))
+
+
+def speaker_texts(spark: SparkSession, root: str, speakers: Sequence[str], max_files: int | None = None) -> DataFrame:
+    """(speaker, name, text, path, speaker_label) of txt/p{speaker}/*.txt that have a waveform in wav48/p{speaker}; speakers may be given as 225 or p225."""
+    named = [x if x.startswith("p") else f"p{x}" for x in speakers]
+    of = lambda c: F.regexp_extract(c, r"/([^/]+)/[^/]+$", 1)
+    texts = text_files(spark, f"{root}/txt").select(of("path").alias("speaker"), "name", "text").where(F.col("speaker").isin(named))
+    wavs = files(spark, f"{root}/wav48", "*.wav").select(of("path").alias("speaker"), "name", "path")
+    found = texts.join(wavs, ["speaker", "name"])
+    if max_files is not None:
+        found = first_per_group(found, max_files // len(named), ["speaker"])
+    return with_label(found, named)
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, folder, text) of one-text files, without the final line end."""
     rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r?\n\z", "").alias("text"))

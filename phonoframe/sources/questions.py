@@ -42,7 +42,7 @@ def parse(text: str, hat_for_ll: bool = True, singing: bool = True) -> tuple[lis
         if kind == "CQS":
             if len(patterns) != 1:
                 raise ValueError(f"{name} has {len(patterns)} patterns")
-            numeric.append(Question(kind, name, patterns, r"([-\d]+)" in patterns[0] or "[pm]" in patterns[0]))
+            numeric.append(Question(kind, name, patterns, r"([-\d]+)" in patterns[0]))
         else:
             ll = hat_for_ll and "LL-" in name
             binary.append(Question(kind, name, tuple(f"^{p}" if ll and not p.startswith((r"\A", "^")) else p for p in patterns)))

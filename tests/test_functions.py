@@ -219,7 +219,7 @@ def test_question_patterns():
     assert re.search(questions.pattern(r"/A:([-\d]+)_", True), "/A:-12_").group(1) == "-12"
     assert re.search(questions.pattern(r"/E:(\NOTE)]", True), "/E:Bb4]").group(1) == "Bb4"
     binary, numeric = questions.parse('# c\n\nQS "LL-a" {a^*}\nQS LL-b {b^}\nCQS "p" {/D:([pm]\\d+)!}\n')
-    assert binary[1].patterns == (r"^b\^",) and numeric[0].signed
+    assert binary[1].patterns == (r"^b\^",) and not numeric[0].signed
     for bad in ("XS a {b}", 'CQS "a" {b,c}'):
         with pytest.raises(ValueError):
             questions.parse(bad)
