@@ -98,9 +98,11 @@ def each_matrix(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], lengt
     """
     rows = frames.select("utt", "frame", "features") if lengths is None else frames.select("utt", "frame", "features").join(lengths.select("utt", "n"), "utt")
 
+    trimmed = lengths is None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["features"].to_numpy()).astype(float)
-        if lengths is None:
+        if trimmed:
             loud = np.flatnonzero(np.abs(x).sum(1) >= eps)
             n = int(loud[-1]) + 1 if len(loud) else 0
         else:

@@ -118,3 +118,123 @@ def question_answers(spark, sf):
     a = linguistic.answered(labels(spark, sf), *parse(_SET))
     x = F.col("answers")
     return a.select("utt", "idx", *[x[k].cast("int").alias(c) for k, c in enumerate("abcd")], x[4].cast("double").alias("n"))
+
+
+@query(f"WITH {LABELS} SELECT utt, idx, context FROM l WHERE idx = 3")
+def label_index(spark, sf):
+    return L.at(labels(spark, sf), 3).select("utt", "idx", "context")
+
+
+@query(f"WITH {LABELS} SELECT utt, idx, context FROM (SELECT *, count(*) OVER (PARTITION BY utt) AS n FROM l) WHERE idx >= 2 AND idx < n - 3")
+def label_slice(spark, sf):
+    return L.at(labels(spark, sf), slice(2, -3)).select("utt", "idx", "context")
+
+
+@query(f"WITH {LABELS} SELECT utt, idx, context FROM (SELECT *, count(*) OVER (PARTITION BY utt) AS n FROM l) WHERE idx IN (0, 4) OR idx = n - 1")
+def label_list(spark, sf):
+    return L.at(labels(spark, sf), [0, 4, -1]).select("utt", "idx", "context")
+
+
+@query(f"WITH {LABELS} SELECT utt, idx, start_time, end_time FROM l")
+def label_strict(spark, sf):
+    """Labels that would fail if one weren't contiguous."""
+    return L.strict(labels(spark, sf)).select("utt", "idx", "start_time", "end_time")
+
+
+_TEXTGRID = """string_agg('        intervals [' || (idx + 1) || ']:' || chr(10) || '            xmin = ' || printf('%.7f', start_time*1e-7) || chr(10) || '            xmax = ' || printf('%.7f', end_time*1e-7) || chr(10)
+  || '            text = "' || regexp_extract(context, '-([^+]*)\\+', 1) || '"', chr(10) ORDER BY idx)"""
+
+
+@query(f"""WITH {LABELS}, t AS (SELECT utt, {_TEXTGRID} AS body, printf('%.7f', max(end_time)*1e-7) AS last, count(*) AS n FROM l GROUP BY utt)
+SELECT utt, 'File type = "ooTextFile"' || chr(10) || 'Object class = "TextGrid"' || chr(10) || chr(10) || 'xmin = 0' || chr(10) || 'xmax = ' || last || chr(10) || 'tiers? <exists>' || chr(10) || 'size = 1' || chr(10) || 'item []:' || chr(10)
+  || '    item [1]:' || chr(10) || '        class = "IntervalTier"' || chr(10) || '        name = "phoneme"' || chr(10) || '        xmin = 0' || chr(10) || '        xmax = ' || last || chr(10) || '        intervals: size = ' || n || chr(10) || body || chr(10) AS text FROM t""")
+def label_textgrid(spark, sf):
+    return L.as_textgrid(labels(spark, sf))
+
+
+@query(f"WITH {LABELS}, {_STATES} SELECT utt, f0 + i AS frame, CAST(state AS DOUBLE) AS a FROM x")
+def subphone_state_only(spark, sf):
+    return linguistic.state_frames(labels(spark, sf), "state_only").select("utt", "frame", F.col("features")[0].alias("a"))
+
+
+@query(f"WITH {LABELS}, {_STATES} SELECT utt, f0 + i AS frame, round((b+i+1)/p, 6) AS a FROM x")
+def subphone_frame_only(spark, sf):
+    return linguistic.state_frames(labels(spark, sf), "frame_only").select("utt", "frame", R(F.col("features")[0]).alias("a"))
+
+
+@query(f"WITH {LABELS}, {_STATES} SELECT utt, f0 + i AS frame, round((i+1)/n, 6) AS a, CAST(state AS DOUBLE) AS b FROM x")
+def subphone_minimal_frame(spark, sf):
+    f = linguistic.state_frames(labels(spark, sf), "minimal_frame")
+    return f.select("utt", "frame", R(F.col("features")[0]).alias("a"), F.col("features")[1].alias("b"))
+
+
+def _phones(spark, sf):
+    """Phone alignments: a phone for each label, without its state."""
+    return labels(spark, sf).withColumn("context", F.regexp_replace("context", r"\[.\]$", ""))
+
+
+_PHONES = "s AS (SELECT utt, idx, (end_time - start_time) // 50000 AS n, start_time // 50000 AS f0 FROM l), x AS (SELECT *, unnest(range(n)) AS i FROM s)"
+
+
+@query(f"WITH {LABELS}, {_PHONES} SELECT utt, f0 + i AS frame, round((i+1)/n, 6) AS a, round((n-i)/n, 6) AS b, CAST(n AS DOUBLE) AS c FROM x")
+def subphone_minimal_phoneme(spark, sf):
+    f = linguistic.phone_frames(_phones(spark, sf), "minimal_phoneme")
+    return f.select("utt", "frame", *[R(F.col("features")[k]).alias(c) for k, c in enumerate("abc")])
+
+
+_PHONE_DENSITY = "round(exp(-0.5*pow(({b}+3/599.0*({o}+floor(200.0/n*i))-{m})/0.4, 2))/(0.4*sqrt(2*pi())), 6)"
+
+
+@query(f"WITH {LABELS}, {_PHONES} SELECT utt, f0 + i AS frame, {_PHONE_DENSITY.format(b=-1.5, o=300, m=0)} AS a, {_PHONE_DENSITY.format(b=-1.0, o=200, m=0.5)} AS b, {_PHONE_DENSITY.format(b=-0.5, o=100, m=1)} AS c, CAST(n AS DOUBLE) AS d FROM x")
+def subphone_coarse_coding_of_phones(spark, sf):
+    f = linguistic.phone_frames(_phones(spark, sf), "coarse_coding")
+    return f.select("utt", "frame", *[R(F.col("features")[k]).alias(c) for k, c in enumerate("abcd")])
+
+
+@query(f"WITH {LABELS} SELECT utt, idx AS phone, (end_time - start_time) // 50000 AS frames FROM l")
+def duration_of_phones(spark, sf):
+    return linguistic.durations(_phones(spark, sf)).select("utt", "phone", F.col("frames")[0].alias("frames"))
+
+
+@query(f"WITH {LABELS}, {_STATES} SELECT utt, f0 + i AS frame, CASE WHEN i = n - 1 THEN 1 ELSE 0 END AS mark FROM x")
+def duration_state_marks(spark, sf):
+    return linguistic.duration_marks(labels(spark, sf), "state")
+
+
+@query(f"WITH {LABELS} SELECT DISTINCT utt, true AS state_aligned FROM l UNION ALL SELECT DISTINCT utt + 1000000, false FROM l")
+def state_alignment(spark, sf):
+    both = labels(spark, sf).unionByName(_phones(spark, sf).withColumn("utt", F.col("utt") + 1_000_000))
+    return L.state_aligned(both)
+
+
+@query(f"""WITH {LABELS}, {_STATES} SELECT x.utt, f0 + i AS frame, CAST(contains(context, '-click+') AS INTEGER) AS a, CAST(contains(context, '-view+') OR contains(context, '-sil+') AS INTEGER) AS b, CAST(starts_with(context, 'x^') AS INTEGER) AS c,
+CAST(ends_with(context, '[2]') AS INTEGER) AS d, CAST(x.idx % 7 AS DOUBLE) AS n, round((i+1)/n, 6) AS f, round((b+i+1)/p, 6) AS g FROM x JOIN l ON l.utt = x.utt AND l.idx = x.idx""")
+def linguistic_matrix(spark, sf):
+    """Answers and sub-phone features of every frame, side by side."""
+    x = labels(spark, sf)
+    f = linguistic.linguistic_frames(x, linguistic.answered(x, *parse(_SET)), linguistic.state_frames(x, "full"))
+    v = F.col("features")
+    return f.select("utt", "frame", *[v[k].cast("int").alias(c) for k, c in enumerate("abcd")], v[4].alias("n"), R(v[5]).alias("f"), R(v[13]).alias("g"))
+
+
+_NUMERIC = """CQS "Signed" {/A:([-\\d]+)_}
+CQS "Count" {/B:(\\d+)_}
+CQS "Real" {/C:([\\d\\.]+)_}
+CQS "Note" {/D:(\\NOTE)_}
+CQS "Step" {/E:([pm]\\d+)_}
+"""
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -50.0 ELSE CAST(event_id % 9 - 4 AS DOUBLE) END AS a, CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE CAST(event_id % 11 AS DOUBLE) END AS b,
+CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE event_id % 8 + 0.5 END AS c, CASE WHEN event_id % 5 = 0 THEN -1.0 WHEN event_id % 2 = 0 THEN 69.0 ELSE 58.0 END AS d,
+CASE WHEN event_id % 5 = 0 THEN -1.0 WHEN event_id % 3 = 0 THEN CAST(event_id % 6 AS DOUBLE) ELSE CAST(-(event_id % 6) AS DOUBLE) + 0.0 END AS e FROM events""")
+def numeric_answers(spark, sf):
+    """Signed and unsigned numbers, reals, notes and steps; a fifth of the contexts holds none of them."""
+    from phonoframe.plans.tables import table
+
+    i = F.col("event_id")
+    text = F.concat(F.lit("x/A:"), (i % 9 - 4).cast("string"), F.lit("_/B:"), (i % 11).cast("string"), F.lit("_/C:"), (i % 8 + 0.5).cast("string"), F.lit("_/D:"), F.when(i % 2 == 0, "A4").otherwise("Bb3"),
+                    F.lit("_/E:"), F.when(i % 3 == 0, "p").otherwise("m"), (i % 6).cast("string"), F.lit("_"))
+    x = table(spark, sf, "events").select("event_id", F.when(i % 5 == 0, F.lit("x/A:_")).otherwise(text).alias("context"))
+    a = linguistic.answered(x, *parse(_NUMERIC)).select("event_id", *[(F.col("answers")[k].cast("double") + 0.0).alias(c) for k, c in enumerate("abcde")])
+    return a

@@ -78,11 +78,13 @@ def mel_cepstral_distortion(spark, sf):
     return metrics.mel_cepstral_distortion(e.join(y, "vec_id"), "x", "y", "label").select("label", R("melcd", 5).alias("melcd"))
 
 
-@query(f"""WITH {EVENTS}, f AS (SELECT utt, frame, value FROM e WHERE frame < 64), k AS (SELECT unnest(range(33)) AS bin)
-SELECT utt, bin, round(pow(sum(value*cos(frame*bin%64*(2*pi()/64))), 2) + pow(sum(value*sin(frame*bin%64*(2*pi()/64))), 2), 2) AS power FROM f, k GROUP BY utt, bin""")
+@query(f"""WITH {EVENTS}, n AS (SELECT CAST(greatest(64, pow(2, ceil(log2(max(frame) + 1)))) AS BIGINT) AS n FROM e), k AS (SELECT n, unnest(range(n // 2 + 1)) AS bin FROM n)
+SELECT utt, bin, round(pow(sum(value*cos(frame*bin % n*(2*pi()/n))), 2) + pow(sum(value*sin(frame*bin % n*(2*pi()/n))), 2), 2) AS power FROM e, k GROUP BY utt, bin""")
 def modulation_spectrum(spark, sf):
     e = events(spark, sf).withColumn("dim", F.lit(0))
-    return spectral.modspec_rows(e, 64).select("utt", F.col("bin").cast("long").alias("bin"), R("power", 2).alias("power"))
+    longest = (e.agg(F.max("frame")).first()[0] or 0) + 1
+    n = max(64, 1 << (longest - 1).bit_length())
+    return spectral.modspec_rows(e, n).select("utt", F.col("bin").cast("long").alias("bin"), R("power", 2).alias("power"))
 
 
 @query("SELECT doc_id, source, rank AS place FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3")
@@ -116,12 +118,6 @@ def corpus_pair_check(spark, sf):
     return corpora.pair_check(names("documents"), names("labels"))
 
 
-@query("SELECT DISTINCT lang, source FROM documents WHERE lang IN ('en', 'fr')")
-def union_of_subsets(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", "source")
-    return docs.where("lang = 'en'").unionByName(docs.where("lang = 'fr'")).distinct()
-
-
 @query(f"""WITH {EVENTS}, u AS (SELECT utt, max(frame)+1 AS n FROM e GROUP BY utt), m AS (SELECT utt, frame, d AS dim, value*(d+1) AS value FROM e, (SELECT unnest(range(6)) AS d))
 SELECT m.utt, dim // 2 * n + frame AS "row", dim % 2 AS dim, round(value, 6) AS value FROM m JOIN u USING (utt)""")
 def reshape_means(spark, sf):
@@ -132,3 +128,19 @@ def reshape_means(spark, sf):
 @query("SELECT doc_id, ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents) WHERE ordinal >= 10 AND ordinal < 100 AND (ordinal - 10) % 7 = 0")
 def dataset_slice(spark, sf):
     return datasets.at(datasets.numbered(table(spark, sf, "documents").select("doc_id"), "doc_id"), slice(10, 100, 7))
+
+
+@query("SELECT doc_id, ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents) WHERE ordinal <= n - 3 AND ordinal > 20 AND (n - 3 - ordinal) % 4 = 0")
+def dataset_slice_backwards(spark, sf):
+    return datasets.at(datasets.numbered(table(spark, sf, "documents").select("doc_id"), "doc_id"), slice(-3, 20, -4))
+
+
+@query("SELECT doc_id, ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents) WHERE ordinal = n - 2")
+def dataset_index(spark, sf):
+    return datasets.at(datasets.numbered(table(spark, sf, "documents").select("doc_id"), "doc_id"), -2)
+
+
+@query("SELECT count(*) AS n FROM documents")
+def dataset_length(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return spark.range(1).select(F.lit(datasets.length(docs)).cast("long").alias("n"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from phonoframe.plans import aligned_labels, features, kernels, matrices, sequences  # noqa: E402, F401
+from phonoframe.plans import aligned_labels, corpus_files, features, kernels, matrices, sequences  # noqa: E402, F401

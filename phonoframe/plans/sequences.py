@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from phonoframe.functions import scalar
@@ -112,7 +113,56 @@ _N = "n AS (SELECT utt, count(*) AS n FROM e GROUP BY utt)"
 @query(f"""WITH {EVENTS}, {_N} SELECT utt, frame, value FROM e UNION ALL
 SELECT utt, unnest(range(n, CAST(ceil(n/8.0)*8 AS BIGINT))) AS frame, 0.0 AS value FROM n""")
 def adjust_length_pad(spark, sf):
-    return sequence.adjust_length(events(spark, sf), "value", 8)
+    return sequence.adjust_length(events(spark, sf).select(*_KEYS, "value"), "value", 8)
+
+
+def _fill_sql(fill: str) -> str:
+    return f"""WITH {EVENTS}, n AS (SELECT utt, count(*) AS n, list(value ORDER BY frame) AS v FROM e GROUP BY utt), x AS (SELECT *, CAST(ceil(n/8.0)*8 AS BIGINT) AS t FROM n),
+p AS (SELECT utt, n, v, t, unnest(range(n, t)) AS frame FROM x) SELECT utt, frame, round(value, 5) AS value FROM e UNION ALL SELECT utt, frame, round({fill}, 5) AS value FROM p"""
+
+
+def _filled(spark, sf, fill):
+    return sequence.adjust_length(events(spark, sf).select(*_KEYS, "value"), "value", 8, fill=fill).select(*_KEYS, R("value", 5).alias("value"))
+
+
+@query(_fill_sql("v[n]"))
+def adjust_length_edge(spark, sf):
+    return _filled(spark, sf, "edge")
+
+
+@query(_fill_sql("v[frame % n + 1]"))
+def adjust_length_wrap(spark, sf):
+    return _filled(spark, sf, "wrap")
+
+
+@query(_fill_sql("v[CASE WHEN frame % (2*n) < n THEN frame % (2*n) ELSE 2*n - 1 - frame % (2*n) END + 1]"))
+def adjust_length_symmetric(spark, sf):
+    return _filled(spark, sf, "symmetric")
+
+
+@query(_fill_sql("v[CASE WHEN frame % greatest(2*n - 2, 1) < n THEN frame % greatest(2*n - 2, 1) ELSE 2*n - 2 - frame % greatest(2*n - 2, 1) END + 1]"))
+def adjust_length_reflect(spark, sf):
+    return _filled(spark, sf, "reflect")
+
+
+@query(_fill_sql("list_max(v)"))
+def adjust_length_maximum(spark, sf):
+    return _filled(spark, sf, "maximum")
+
+
+@query(_fill_sql("list_avg(v)"))
+def adjust_length_mean(spark, sf):
+    return _filled(spark, sf, "mean")
+
+
+@query(_fill_sql("list_median(v)"))
+def adjust_length_median(spark, sf):
+    return _filled(spark, sf, "median")
+
+
+@query(_fill_sql("v[n]*(t - 1 - frame)/(t - n)"))
+def adjust_length_linear_ramp(spark, sf):
+    return _filled(spark, sf, "linear_ramp")
 
 
 @query(f"WITH {EVENTS}, {_N} SELECT utt, frame, value FROM e JOIN n USING (utt) WHERE frame < n // 8 * 8")
@@ -148,6 +198,47 @@ def interpolate_f0(spark, sf):
     return sequence.interpolate(events(spark, sf), "f0", "y").select(*_KEYS, R("y").alias("y"))
 
 
+def _interpolated_sql(between: str) -> str:
+    return f"""WITH {EVENTS}, i AS (SELECT utt, frame, f0,
+last_value(CASE WHEN f0 > 0 THEN f0 END IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN f0 > 0 THEN frame END IGNORE NULLS) OVER b AS t0,
+first_value(CASE WHEN f0 > 0 THEN f0 END IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN f0 > 0 THEN frame END IGNORE NULLS) OVER a AS t1
+FROM e WINDOW b AS (PARTITION BY utt ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY utt ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT utt, frame, round(CASE WHEN f0 > 0 THEN f0 WHEN v0 IS NULL THEN coalesce(v1, f0) WHEN v1 IS NULL THEN v0 ELSE {between} END, 6) AS y FROM i"""
+
+
+@query(_interpolated_sql("v0"))
+def interpolate_previous(spark, sf):
+    return sequence.interpolate(events(spark, sf), "f0", "y", "zero").select(*_KEYS, R("y").alias("y"))
+
+
+@query(_interpolated_sql("v1"))
+def interpolate_next(spark, sf):
+    return sequence.interpolate(events(spark, sf), "f0", "y", "next").select(*_KEYS, R("y").alias("y"))
+
+
+@query(_interpolated_sql("CASE WHEN frame - t0 <= t1 - frame THEN v0 ELSE v1 END"))
+def interpolate_nearest(spark, sf):
+    return sequence.interpolate(events(spark, sf), "f0", "y", "nearest").select(*_KEYS, R("y").alias("y"))
+
+
+@query(f"""WITH {EVENTS}, n AS (SELECT utt, count(*) AS n FROM e GROUP BY utt), w AS (SELECT utt, unnest(range((n - 10) // 5 + 1)) AS "window" FROM n WHERE n >= 10), m AS (SELECT utt, max("window") + 1 AS m FROM w GROUP BY utt)
+SELECT w.utt, w."window", w."window" // 3 AS chunk, w."window" // 3 * 3 AS start, least(w."window" // 3 * 3 + 3, m) AS "end", count(*) AS n FROM w JOIN m ON m.utt = w.utt JOIN e ON e.utt = w.utt AND e.frame >= w."window"*5 AND e.frame < w."window"*5 + 10 GROUP BY ALL""")
+def chunked_windows(spark, sf):
+    """Windows three at a time."""
+    c = sequence.chunked(sequence.sliding(events(spark, sf), "value", 10, 5), 3)
+    return c.groupBy("utt", "window", "chunk", "start", "end").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EVENTS}, n AS (SELECT utt, count(*) AS n FROM e GROUP BY utt), w AS (SELECT utt, unnest(range((n - 10) // 5 + 1)) AS w FROM n WHERE n >= 10)
+SELECT utt, frame, round(sum(value), 5) AS value FROM (SELECT e.utt, e.frame, e.value FROM w JOIN e ON e.utt = w.utt AND e.frame >= w.w*5 AND e.frame < w.w*5 + 10 UNION ALL SELECT utt, frame, value FROM e) GROUP BY utt, frame""")
+def overlap_add_onto(spark, sf):
+    """Chunks of windows added up onto the frames that they were cut from."""
+    e = events(spark, sf)
+    parts = sequence.chunked(sequence.sliding(e, "value", 10, 5), 3)
+    chunks = parts.where("chunk % 2 = 0").unionByName(parts.where("chunk % 2 = 1"))
+    return sequence.overlap_add(chunks, "value", 5, onto=e).select(*_KEYS, R("value", 5).alias("value"))
+
+
 @query(f"""WITH {EVENTS}, n AS (SELECT utt, count(*) AS n FROM e GROUP BY utt), w AS (SELECT utt, unnest(range((n - 10) // 5 + 1)) AS "window" FROM n WHERE n >= 10)
 SELECT w.utt, w."window", e.frame - w."window"*5 AS "offset", e.value FROM w JOIN e ON e.utt = w.utt AND e.frame >= w."window"*5 AND e.frame < w."window"*5 + 10""")
 def sliding_windows(spark, sf):
@@ -189,11 +280,58 @@ def pad_grid(spark, sf):
 
 
 @query(f"""WITH {EVENTS}, n AS (SELECT utt, count(*) AS n FROM e GROUP BY utt), o AS (SELECT utt, sum(n) OVER (ORDER BY utt) - n AS first, sum(n) OVER (ORDER BY utt) AS last FROM n),
-g AS (SELECT event_id AS g FROM events WHERE event_id % 3 = 0)
+g AS (SELECT event_id AS g FROM events)
 SELECT g AS global_frame, utt, CAST(g - first AS BIGINT) AS frame FROM g JOIN o ON g >= first AND g < last""")
 def framewise_range_join(spark, sf):
     from phonoframe.plans.tables import table
 
     lengths = events(spark, sf).groupBy("utt").agg(F.count("*").alias("n"))
-    wanted = table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("global_frame"))
+    wanted = table(spark, sf, "events").select(F.col("event_id").alias("global_frame"))
     return datasets.framewise(datasets.offsets(lengths, "utt"), wanted)
+
+
+@query(f"WITH {EVENTS} SELECT utt, frame, round(sign(value/250-1)*ln(1+256*abs(value/250-1))/ln(257), 6) + 0.0 AS y FROM e")
+def mulaw_signed(spark, sf):
+    return events(spark, sf).select(*_KEYS, (R(scalar.mulaw(F.col("value") / 250 - 1)) + 0.0).alias("y"))
+
+
+@query(f"WITH {EVENTS} SELECT utt, frame, CAST(floor((sign(value/250-1)*ln(1+256*abs(value/250-1))/ln(257)+1)/2*256) AS INTEGER) AS y FROM e")
+def mulaw_quantize_signed(spark, sf):
+    return events(spark, sf).select(*_KEYS, scalar.mulaw_quantize(F.col("value") / 250 - 1).alias("y"))
+
+
+@query(f"""WITH {EVENTS}, t AS (SELECT *, max(CASE WHEN f0 > 0 THEN frame END) OVER (PARTITION BY utt) AS b FROM e)
+SELECT utt, frame, round(CASE WHEN frame <= b THEN sum(f0) OVER (PARTITION BY utt ORDER BY frame) ELSE 0.0 END, 4) AS a, CASE WHEN frame <= b THEN 2*f0 ELSE 0.0 END AS b FROM t""")
+def each_trimmed(spark, sf):
+    """A function of every utterance without its trailing silence, padded back: running sums, and doubled values."""
+    x = events(spark, sf).select("utt", "frame", F.array("f0").alias("features"))
+    y = datasets.each_matrix(x, lambda m: np.concatenate([np.cumsum(m, 0), 2 * m], 1))
+    return y.select(*_KEYS, R(F.coalesce(F.col("features")[0], F.lit(0.0)), 4).alias("a"), F.col("features")[1].alias("b"))
+
+
+@query(f"""WITH {EVENTS}, n AS (SELECT utt, count(*) // 2 AS n FROM e GROUP BY utt) SELECT e.utt, frame, round(CASE WHEN frame < n THEN sum(value) OVER (PARTITION BY e.utt ORDER BY frame) ELSE 0.0 END, 4) AS a FROM e JOIN n ON n.utt = e.utt""")
+def each_padded(spark, sf):
+    """A function of the first half of every utterance, padded back."""
+    e = events(spark, sf)
+    x = e.select("utt", "frame", F.array("value").alias("features"))
+    lengths = e.groupBy("utt").agg(F.floor(F.count("*") / 2).alias("n"))
+    return datasets.each_matrix(x, lambda m: np.cumsum(m, 0), lengths).select(*_KEYS, R(F.col("features")[0], 4).alias("a"))
+
+
+@query(f"""WITH {EVENTS} SELECT a.utt, a.frame, a.value AS x, b.f0 AS y FROM e a JOIN e b ON b.utt = a.utt + 1 AND a.frame = b.frame""")
+def paired_frames(spark, sf):
+    x = events(spark, sf)
+    y = x.select((F.col("utt") - 1).alias("utt"), "frame", F.array("f0").alias("features"))
+    p = datasets.paired(x.select("utt", "frame", F.array("value").alias("features")), y)
+    return p.select(*_KEYS, F.col("x")[0].alias("x"), F.col("y")[0].alias("y"))
+
+
+@query(f"""WITH {EVENTS}, t AS (SELECT utt, count(*) AS n, list(value ORDER BY frame) AS v FROM e GROUP BY utt), m AS (SELECT max(n) + 3 AS m FROM t), g AS (SELECT utt, n, v, unnest(range(m)) AS frame FROM t, m)
+SELECT utt, frame, CASE WHEN frame < n THEN v[frame + 1] ELSE 0.0 END AS value FROM g""")
+def padded_rows(spark, sf):
+    """Utterances as arrays of frames, three frames longer than the longest."""
+    e = events(spark, sf)
+    rows = e.groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: F.array(x["value"])).alias("features"))
+    longest = rows.agg(F.max(F.size("features"))).first()[0] or 0
+    out = datasets.padded_rows(rows, longest + 3, 1).select("utt", F.posexplode("features").alias("frame", "v"))
+    return out.select("utt", F.col("frame").cast("long").alias("frame"), F.col("v")[0].alias("value"))

@@ -199,8 +199,8 @@ def category_transcripts(spark: SparkSession, root: str, speakers: Sequence[str]
     """(speaker, category, name, text, path) of {speaker}/{category}/transcripts_utf8.txt that have a waveform and aren't in lost (speaker, name)."""
     if not categories:
         raise ValueError("at least one category is needed")
-    rows = spark.read.option("pathGlobFilter", "transcripts_utf8.txt").option("recursiveFileLookup", "true").text(root).select("value", F.col("_metadata.file_path").alias("_p"))
-    at = lambda c, k: F.regexp_extract(c, r"/([^/]+)/([^/]+)/(?:wav24kHz16bit/)?[^/]+$", k)
+    rows = spark.read.text(f"{root}/*/*/transcripts_utf8.txt").select("value", F.col("_metadata.file_path").alias("_p"))
+    at = lambda c, k: F.regexp_extract(c, r"/([^/]+)/([^/]+)/(?:wav24kHz16bit/[^/]+$|transcripts_utf8\.txt)", k)
     texts = rows.where(F.col("value").contains(":")).select(at("_p", 1).alias("speaker"), at("_p", 2).alias("category"), F.substring_index("value", ":", 1).alias("name"), F.expr("substring(value, instr(value, ':') + 1)").alias("text"))
     wavs = files(spark, root, "*.wav").select(at("path", 1).alias("speaker"), at("path", 2).alias("category"), "name", "path")
     found = texts.where(F.col("speaker").isin(list(speakers)) & F.col("category").isin(list(categories))).join(wavs, ["speaker", "category", "name"])
