@@ -18,7 +18,11 @@ still matter:
    new identifiers serve the next round.
 
 Step 0 and 1 shuffle hashes packed per slice of text, with equal surroundings
-within a slice merged before; step 2 shuffles surroundings of few anchors.
+within a slice merged before; step 2 shuffles surroundings of few anchors. The
+number of buckets follows from the bytes of all texts, and a task holds one
+bucket at a time. A bucket far above its share holds a q-gram that very many
+documents have in different surroundings: it isn't gathered but refined over the
+cluster, by groups of equal surroundings and at last of equal strings.
 """
 
 from __future__ import annotations
@@ -27,16 +31,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, kept, mixed, released, slices, table, utf8, written
-from phonoframe.llm.jaccard import by_key
+from phonoframe.llm.common import binary_rows, groups, kept, mixed, released, slices, table, utf8, written
 
 LENGTH, Q = 50, 20
 _SLICE, _SLICE_DOCS = 1 << 20, 1 << 15
+#: Bytes of text per bucket; packed rows of a bucket (a slice's share each), and surroundings of a q-gram, that a task gathers at most.
+BUCKET_TEXT, BUCKET_ROWS, BUCKET_BYTES, GATHERED = 8 << 20, 1 << 16, 32 << 20, 1 << 17
 _LAST = np.uint64(2**64 - 1)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -148,35 +152,85 @@ def surroundings(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "bucket int, direct boolean, ids binary, docs binary, h binary, around binary")
 
 
-def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+def judge(ids: list[bytes], docs: list[bytes], hashes: list[bytes], arounds: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """doc_id and key (lowest bit: DONE or ASKED) of the anchors of a bucket that need anything."""
-    ids, keys, doc, h, around = [], [], [], [], []
-    for r in pdf.itertuples(index=False):
-        of = np.frombuffer(r.ids, np.int64)[np.frombuffer(r.docs, np.uint16)]
-        if r.direct:
-            ids.append(of)
-            keys.append(np.frombuffer(r.h, np.uint64) | np.uint64(DONE))
+    doc = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint16)] for i, d in zip(ids, docs, strict=True)])
+    h, around = unshort(b"".join(hashes)), unshort(b"".join(arounds))
+    by = np.lexsort((doc, around, h))
+    doc, h, around = doc[by], h[by], around[by]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new = new_h | np.concatenate([[True], around[1:] != around[:-1]])
+    group, part = np.cumsum(new_h) - 1, np.cumsum(new) - 1
+    first = doc[np.flatnonzero(new)][part]
+    starts = np.flatnonzero(new_h)
+    several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))[group]
+    varied = (np.bincount(group, new) > 1)[group]
+    key = answer_key(h, around)
+    done = doc > first
+    asked = new & several & varied
+    return np.concatenate([doc[done], doc[asked]]), np.concatenate([key[done] | np.uint64(DONE), key[asked] | np.uint64(ASKED)]).view(np.int64)
+
+
+def judged(batches: Iterator[pa.RecordBatch], most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """doc_id and key of the anchors that need anything, rows sorted by bucket; of buckets above either bound, all packed anchors as they are."""
+    names = ["doc_id", "key", "ids", "docs", "h", "around"]
+
+    def answers(doc: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(doc), pa.array(key), *[pa.nulls(len(doc), pa.binary())] * 4], names=names)
+
+    def as_they_are(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in t.to_batches():
+            none = pa.nulls(len(batch), pa.int64())
+            yield pa.record_batch([none, none, *(batch.column(k) for k in range(2, 6))], names=names)
+
+    def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        direct = t.column(1).to_numpy()
+        for r in t.filter(pa.array(direct)).to_pylist():
+            yield answers(np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["docs"], np.uint16)], (np.frombuffer(r["h"], np.uint64) | np.uint64(DONE)).view(np.int64))
+        rest = t.filter(pa.array(~direct)).combine_chunks()
+        if len(rest):
+            bucket = rest.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = rest.slice(i, j - i)
+                if part.nbytes > most_bytes:
+                    yield from as_they_are(part)
+                else:
+                    yield answers(*judge(*(part.column(k).to_pylist() for k in range(2, 6))))
+
+    for t, whole in groups(batches, 1, 1, most_rows):
+        if whole:
+            yield from solved(t)
         else:
-            doc.append(of)
-            h.append(unshort(r.h))
-            around.append(unshort(r.around))
-    if doc:
-        doc, h, around = map(np.concatenate, (doc, h, around))
-        by = np.lexsort((doc, around, h))
-        doc, h, around = doc[by], h[by], around[by]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])
-        new = new_h | np.concatenate([[True], around[1:] != around[:-1]])
-        group, part = np.cumsum(new_h) - 1, np.cumsum(new) - 1
-        first = doc[np.flatnonzero(new)][part]
-        starts = np.flatnonzero(new_h)
-        several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))[group]
-        varied = (np.bincount(group, new) > 1)[group]
-        key = answer_key(h, around)
-        done = doc > first
-        asked = new & several & varied
-        ids += [doc[done], doc[asked]]
-        keys += [key[done] | np.uint64(DONE), key[asked] | np.uint64(ASKED)]
-    return pd.DataFrame({"doc_id": np.concatenate(ids), "key": np.concatenate(keys).view(np.int64)}) if ids else pd.DataFrame({"doc_id": np.zeros(0, np.int64), "key": np.zeros(0, np.int64)})
+            direct = t.column(1).to_numpy()
+            yield from solved(t.filter(pa.array(direct)))
+            yield from as_they_are(t.filter(pa.array(~direct)))
+
+
+def refined(large: DataFrame) -> DataFrame:
+    """doc_id and key as ``judge`` gives them, of packed anchors (ids, docs, h, around) of large buckets: aggregates over the cluster that gather no group."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                doc = np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["docs"], np.uint16)]
+                yield pa.record_batch([pa.array(doc), pa.array(unshort(r["h"]).view(np.int64)), pa.array(unshort(r["around"]).view(np.int64))], names=["doc_id", "h", "around"])
+
+    def keyed(bit: int):
+        @F.pandas_udf("long")
+        def key(h, around):
+            import pandas as pd
+
+            return pd.Series((answer_key(h.to_numpy(np.int64).view(np.uint64), around.to_numpy(np.int64).view(np.uint64)) | np.uint64(bit)).view(np.int64))
+
+        return key("h", "around").alias("key")
+
+    rows = large.mapInArrow(unpack, "doc_id long, h long, around long")
+    first = written(rows.groupBy("h", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "suffix-first")
+    done = rows.join(first, ["h", "around"]).where("doc_id > first").select("doc_id", keyed(DONE))
+    varied = first.groupBy("h").agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("last").alias("high")).where("n > 1 and low < high").select("h")
+    asked = first.join(varied, "h").select(F.col("first").alias("doc_id"), keyed(ASKED))
+    return done.unionByName(asked)
 
 
 def merged(start: np.ndarray, end: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -263,15 +317,23 @@ def refine(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return bucket
 
 
-def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, start, end: intervals that are done, and those of strings that a smaller document's surroundings have; rows sorted by h."""
-    for t in by_key(batches, 1, 1 << 14):
+def covered(batches: Iterator[pa.RecordBatch], gathered: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, end: intervals that are done, and those of strings that a smaller document's surroundings have; rows sorted by h.
+
+    The surroundings of a q-gram that has more than `gathered` go on with the anchor's place, lead, for ``equal_strings``.
+    """
+    names = ["doc_id", "start", "end", "lead", "around"]
+    spans = lambda *columns: pa.record_batch([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.int32()), pa.nulls(len(columns[0]), pa.binary())], names=names)
+    for t, whole in groups(batches, 1, 1 << 14, gathered):
         done = t.column(5).is_null().to_numpy()
         doc, start, end, lead = (t.column(k).to_numpy() for k in (1, 2, 3, 4))
-        yield pa.record_batch([pa.array(x[done]) for x in (doc, start, end)], names=["doc_id", "start", "end"])
+        yield spans(*(x[done] for x in (doc, start, end)))
         if done.all():
             continue
         ask = np.flatnonzero(~done)
+        if not whole:
+            yield from t.select([1, 2, 3, 4, 5]).take(pa.array(ask)).rename_columns(names).to_batches()
+            continue
         raw, at = utf8(t.column(5).combine_chunks().take(pa.array(ask)))
         row = np.repeat(np.arange(len(ask)), np.diff(at))
         place = np.arange(len(raw)) - at[row]
@@ -280,22 +342,51 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.flatnonzero((bucket >= 0) & (place <= lead[ask][row]) & (place + LENGTH >= lead[ask][row] + Q))
         bucket, of, from_ = bucket[use], doc[ask][row[use]], start[ask][row[use]] + place[use]
         by = np.lexsort((of, bucket))
-        first = np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]])
+        first = np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]])[: len(by)]
         repeat = by[of[by] > of[by][np.flatnonzero(first)][np.cumsum(first) - 1]]
         s, e, d = merged(from_[repeat], from_[repeat] + LENGTH, of[repeat])
-        yield pa.record_batch([pa.array(d), pa.array(s), pa.array(e)], names=["doc_id", "start", "end"])
+        yield spans(d, s, e)
+
+
+def equal_strings(large: DataFrame) -> DataFrame:
+    """doc_id, start, end of the strings around an anchor that a smaller document has too; large has doc_id, start, lead and around. Strings are grouped over the cluster."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, start, lead = (batch.column(k).to_numpy() for k in range(3))
+            raw, at = utf8(batch.column(3))
+            low = np.maximum(lead + Q - LENGTH, 0)
+            high = np.minimum(lead, np.diff(at) - LENGTH)
+            n = np.maximum(high - low + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            place = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            text = raw[((at[row] + place)[:, None] + np.arange(LENGTH)).ravel()]
+            yield pa.record_batch([pa.array(doc[row]), pa.array(start[row] + place), binary_rows(text, LENGTH * np.arange(len(row) + 1))], names=["doc_id", "start", "string"])
+
+    rows = large.select("doc_id", "start", "lead", "around").mapInArrow(strings, "doc_id long, start long, string binary")
+    first = rows.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return rows.join(first, "string").where("doc_id > first").select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, end: bytes covered by LENGTH-byte strings that also start in a document with a smaller doc_id (intervals may overlap)."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = written(surroundings(docs, buckets).groupBy("bucket").applyInPandas(judge, "doc_id long, key long"), "suffix-answers")
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = int(min(1 << 30, 16 + n_bytes // BUCKET_TEXT))
+    packed = surroundings(docs, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    rows, size, gathered = BUCKET_ROWS, BUCKET_BYTES, GATHERED
+    answers = written(packed.mapInArrow(lambda batches: judged(batches, rows, size), "doc_id long, key long, ids binary, docs binary, h binary, around binary"), "suffix-answers")
     released(spark)
-    found = places(docs, answers).repartition("h").sortWithinPartitions("h").mapInArrow(covered, "doc_id long, start long, end long")
+    large = answers.where("ids is not null").select("ids", "docs", "h", "around")
+    known = answers.where("ids is null").select("doc_id", "key")
+    if not large.isEmpty():
+        known = known.unionByName(written(refined(large), "suffix-large"))
+    found = places(docs, known).repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: covered(batches, gathered), "doc_id long, start long, end long, lead int, around binary")
     spans = written(found, "suffix-spans")
     released(spark)
-    return spans
+    large = spans.where("around is not null")
+    some = spans.where("around is null").select("doc_id", "start", "end")
+    return some if large.isEmpty() else some.unionByName(written(equal_strings(large), "suffix-strings"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
