@@ -29,6 +29,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_FROM, ACCESS_FROM, HEX_FROM = 12, 18, 16
 #: A run of RANDOM_CHARS, or a stretch of its tokens, from this length on with at most this many characters per token is random.
 RANDOM_FROM, CHARS_PER_TOKEN = 20, 2.0
+#: The measure counts the tokens of a run in pieces of so many characters, as the tokenizer needs more than linear time for one; a piece's end adds a token at most.
+PIECE = 512
 #: Shapes of digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and of identifiers (UUID, plain numbers and dates).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)")
@@ -94,9 +96,8 @@ def is_random(string: bytes, path: str, most: float = CHARS_PER_TOKEN) -> bool:
     """Whether a run of RANDOM_CHARS has few characters per token and isn't a digest or an identifier."""
     if known(string):
         return False
-    # Very long strings are judged in pieces, as the tokenizer needs more than linear time for one.
     parts = JOIN.split(string) if JOINED.fullmatch(string) else [string]
-    tokens = sum(len(vocabulary(path).encode_ordinary(part[i : i + 512].decode())) for part in parts for i in range(0, len(part), 512))
+    tokens = sum(len(vocabulary(path).encode_ordinary(part[i : i + PIECE].decode())) for part in parts for i in range(0, len(part), PIECE))
     return sum(map(len, parts)) <= most * tokens
 
 
@@ -126,8 +127,8 @@ def random_stretches(string: bytes, path: str, most: float = CHARS_PER_TOKEN) ->
         if not counts:
             size, counted = [*size, b - a], [*counted, False]
             continue
-        for i in range(a, b, 512):
-            tokens = vocabulary(path).encode_ordinary(string[i : min(i + 512, b)].decode())
+        for i in range(a, b, PIECE):
+            tokens = vocabulary(path).encode_ordinary(string[i : min(i + PIECE, b)].decode())
             new = [len(x) for x in vocabulary(path).decode_tokens_bytes(tokens)]
             size += new
             counted += [True] * len(new)

@@ -71,3 +71,25 @@ def test_random_letters_but_no_words():
         assert len(found) == 1 and found[0][0] <= 27 and found[0][1] == 27 + len(x), x
     for x in (b"state-of-the-art-and-well-known-method", b"to-be-or-not-to-be-that-is-the-question", b"getElementByIdAndClassName", b"/usr/local/share/doc/python/examples", b"some_long_and_ordinary_name_2024"):
         assert not secrets.is_random(x, path) and not secrets.random_stretches(x, path), x
+
+
+def test_measured_share_of_random_strings_and_of_words():
+    """Of random strings of 20 to 40 characters from five alphabets almost all are found; of names, paths and camel case made of words, almost none."""
+    path, rng = secrets.default_vocabulary(), np.random.default_rng(11)
+    lower, upper, digits = b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+    for alphabet, least in ((lower + upper + digits, 0.97), (lower + upper, 0.97), (upper + b"234567", 0.9), (lower + digits, 0.9), (lower + upper + digits + b"+/", 0.97)):
+        strings = [bytes(rng.choice(list(alphabet), rng.integers(20, 41)).astype(np.uint8)) for _ in range(300)]
+        assert np.mean([bool(secrets.random_stretches(x, path)) for x in strings]) >= least, alphabet
+    words = "account archive backup build cache channel client cluster config content customer daemon data default deploy device document download editor engine event export factory feature filter folder gateway handler history image index install instance internal language library license manager message method module network number object option output package parser payment platform plugin process product profile project property provider query queue reader record release report request response result schedule search section server service session setting source status storage stream string system target template thread token update upload user value vector version window worker".split()
+    joined = []
+    for _ in range(600):
+        some = [str(rng.choice(words)) for _ in range(rng.integers(3, 7))]
+        joined.append([lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/" + "/".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:])][rng.integers(0, 4)](some).encode())
+    assert np.mean([bool(secrets.random_stretches(x, path)) for x in joined if len(x) >= 20]) <= 0.02
+
+
+def test_texts_longer_than_a_slice(spark):
+    word = "zQ9xK2vR7tLm4WpB8nYc3JdF"
+    text = "plain words " * 900_000 + word
+    r = secrets.scanned(spark.createDataFrame([(1, text), (2, word)], "doc_id long, text string"), secrets.default_vocabulary()).orderBy("doc_id").collect()
+    assert [x.spans for x in r] == [f"random:{len(text) - len(word)}:{len(text)}", f"random:0:{len(word)}"]
