@@ -125,14 +125,14 @@ def copies_by_size(histogram: DataFrame, targets: DataFrame, lambdas: DataFrame,
 
 
 def mixed_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """sizes (doc_id, source, size; a written table) with source_size, target and copies (0 to limit).
+    """sizes (doc_id, source, size; a written table) with source_size, target and copies (0 to limit) of each row.
 
     Null sources form the last source. A document without words has size 0 and
     one copy. Ties of source and size are cut in the order of a hash of doc_id;
     rows repeated in full are interchangeable. An empty table gives no rows.
     """
     targets = written(source_targets(sizes, weights, limit), "mixing-targets")
-    numbered = sizes.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.doc_id", "d.size", "t.source_no", "t.source_size", "t.target")
+    numbered = sizes.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select("d.doc_id", "d.source", "d.size", "t.source_no", "t.source_size", "t.target")
     histogram = written(numbered.groupBy("source_no", "size").agg(F.count("*").alias("n")), "mixing-histogram")
     copies = copies_by_size(histogram, targets, multipliers(histogram, targets, limit), limit)
     key = ["source_no", "size"]
@@ -149,7 +149,7 @@ def mixed_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: in
         before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         placed = ranked.join(counts.select(*key, "_part", F.sum("_n").over(before).alias("_before")), [*key, "_part"], "left")
     extra = (F.coalesce("_before", F.lit(0)) + F.col("_rank") <= F.col("k") % F.col("n")).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", (F.floor(F.col("k") / F.col("n")) + extra).alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.floor(F.col("k") / F.col("n")) + extra).alias("copies"))
 
 
 def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from phonoframe.llm import mixing
 
 
@@ -45,3 +47,30 @@ def test_split_groups_and_empty(spark, monkeypatch):
     got = mixing.mixed_copies(rows).collect()
     assert len(got) == 100 and sum(r.copies for r in got) == 100
     assert mixing.mixed_copies(rows.where("size < 0")).count() == 0
+
+
+def test_copies_follow_the_tilt(spark):
+    """The dual of each source solved by bisection: copies of every size are those that its rates give, but for rounding and repairs."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "abc"[i % 3], int(rng.integers(1, 40))) for i in range(1500)]
+    got = mixing.mixed_copies(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    want = targets(sizes)
+    for s in "abc":
+        x = np.array([n for _, t, n in rows if t == s], float)
+        unit = x.mean()
+        rates = lambda lam: 3 / (1 + 2 * np.exp(-lam * x / unit))
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (rates(middle) * x).sum() < want[s] else (low, middle)
+        by_size, copies = Counter(), Counter()
+        for n, r in zip(x, rates(low), strict=True):
+            by_size[int(n)] += r
+        for r in got:
+            if r.source == s:
+                copies[r["size"]] += r.copies
+        assert all(abs(copies[n] - k) <= 1 + mixing.REPAIRS for n, k in by_size.items())
+        assert sum(abs(copies[n] - k) for n, k in by_size.items()) <= len(by_size) + mixing.REPAIRS
