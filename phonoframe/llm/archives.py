@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import scratch_path, table, written
+from phonoframe.llm.common import removed_at_exit, scratch_path, table, written
 
 #: Payloads from this many bytes on are kept once.
 REVISIT_FROM = 100
@@ -275,8 +275,12 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     An empty table gives no packages and no rows; null urls are written empty.
     """
+    own = folder is None
     folder = folder or scratch_path(pages.sparkSession, "archive")
-    return read_packages(write_packages(with_revisits(pages), folder), folder)
+    manifest = write_packages(with_revisits(pages), folder)
+    if own:
+        removed_at_exit(pages.sparkSession, folder)
+    return read_packages(manifest, folder)
 
 
 def op5_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/phonoframe-{name}-{uuid.uuid4().hex}"
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """The driver removes a scratch folder, which is there, when it ends; until then plans may read it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 class Written:
     """A table cut from its lineage by writing it to the shared folder."""
 
@@ -54,6 +60,7 @@ class Written:
         finally:
             self.spark.conf.set(BATCH_CONF, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        removed_at_exit(self.spark, self.path)
 
     def drop(self) -> None:
         """Remove the files; call only when no later plan reads them."""
@@ -67,7 +74,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def lean(spark: SparkSession) -> None:
-    """Small Arrow batches for the rest of the session, for plans over whole texts that are written elsewhere."""
+    """Small Arrow batches for the rest of the session, for plans over whole texts that are written elsewhere: the setting counts when a plan runs, so it can't be taken back here."""
     spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
@@ -128,3 +135,56 @@ def binary_rows(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     if len(data) * size < 2**31:
         return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * size).astype(np.int32)), pa.py_buffer(data)])
     return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * size).astype(np.int64)), pa.py_buffer(data)])
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int, least_rows: int, most_rows: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables from rows sorted by their first `keys` columns, and True where a table holds whole groups; small groups come together.
+
+    A group of more than `most_rows` rows comes in pieces, with False, so that no
+    group has to fit into memory. Every row is looked at once.
+    """
+    done: list[pa.RecordBatch] = []
+    tail: list[pa.RecordBatch] = []
+    key, large = None, False
+    rows = lambda some: sum(b.num_rows for b in some)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = key != [c[0] for c in columns]
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        key = [c[-1] for c in columns]
+        if large:
+            end = int(starts[0]) if len(starts) else batch.num_rows
+            if end:
+                yield pa.Table.from_batches([batch.slice(0, end)]), False
+            if not len(starts):
+                continue
+            batch, starts, large = batch.slice(end), starts - end, False
+        if len(starts):
+            done += tail
+            cut = int(starts[-1])
+            if cut:
+                done.append(batch.slice(0, cut))
+            tail = [batch.slice(cut)]
+        else:
+            tail.append(batch)
+        if most_rows is not None and rows(tail) > most_rows:
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks(), True
+            yield pa.Table.from_batches(tail), False
+            done, tail, large = [], [], True
+        elif rows(done) >= least_rows:
+            yield pa.Table.from_batches(done).combine_chunks(), True
+            done = []
+    if done or tail:
+        yield pa.Table.from_batches(done + tail).combine_chunks(), True
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: int, least_rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by their first `keys` columns; small groups come together."""
+    for t, _ in groups(batches, keys, least_rows):
+        yield t
