@@ -6,13 +6,17 @@ documents; the last returns the pieces of packed sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phonoframe.llm import jaccard, langid, mixing, packing, secrets
 from phonoframe.llm.common import lean, table, written
 
 
+#: Ids (8 bytes each) up to which those of removed documents are sent to all tasks.
+BROADCAST_IDS = 1_000_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, and undecided ones, go."""
     lean(spark)
@@ -22,7 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id. Rows without a doc_id stay."""
     groups = jaccard.joined_components(docs)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "stage-others")
+    if others.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)  # so that texts stay where they are
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -37,11 +43,18 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0 to 3 times). Rows that share a doc_id are taken alike."""
-    sizes = written(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "mixing-sizes")
-    times = mixing.mixed_copies(sizes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_times"))
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("_times") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Every document as often as the mix takes it (0 to 3 times). Rows that share doc_id, source and size get their own numbers, by the order of their texts."""
+    words = mixing.words(F.col("text"))
+    sizes = written(docs.select("doc_id", "source", words.alias("size")), "mixing-sizes")
+    key = ["doc_id", "source", "size"]
+    place = lambda *order: F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(*order))
+    named = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("copies").cast("int").alias("_times"))
+    times = named(mixing.mixed_copies(sizes)).withColumn("_place", place(F.desc("_times")))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), words.alias("_size"))
+    ranked = own.withColumn("_place", place("_row.text"))
+    same = [F.col(f"d._{c}").eqNullSafe(F.col(f"t._{c}")) for c in [*key, "place"]]
+    taken = ranked.alias("d").join(times.where("_times > 0").alias("t"), same[0] & same[1] & same[2] & same[3]).select("_row", "_times")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
