@@ -110,6 +110,13 @@ def test_parameter_generation_equals_a_dense_solution(spark):
     assert np.allclose(paramgen.generate(means, variances), want)
     df = spark.createDataFrame([("u", i, m.tolist(), v.tolist()) for i, (m, v) in enumerate(zip(means, variances, strict=True))], "utt string, frame long, means array<double>, variances array<double>")
     assert np.allclose(np.stack(values(paramgen.mlpg(df), "features")), want)
+    # Utterances of several lengths are solved in one stack.
+    many = [(rng.normal(size=(n, 6)), rng.uniform(0.2, 2, (n, 6))) for n in (3, 12, 7, 40, 1)]
+    for got, (m, v) in zip(paramgen.generate_many([m for m, _ in many], [v for _, v in many]), many, strict=True):
+        assert np.allclose(got, dense_mlpg(m, v, DEFAULT))
+    rows = paramgen.window_rows(DEFAULT, 12)
+    assert rows.shape == (36, 12) and np.allclose(rows[:12], np.eye(12)) and np.allclose(rows[12:24] @ np.arange(12.0), [0.5, *[1] * 10, -5])
+    assert df.rdd.getNumPartitions() and paramgen.mlpg(df, tasks=7).rdd.getNumPartitions() == 7
     grad = rng.normal(size=(12, 2))
     step = np.zeros_like(means)
     step[4, 3] = 1e-5
@@ -140,6 +147,12 @@ def test_banded_kernels():
     assert all(np.isclose(got[k, t, 0], inverse[t, t - k]) for k in range(4) for t in range(k, n))
     with pytest.raises(np.linalg.LinAlgError):
         kernels.cholesky(-band)
+    factor = np.linalg.cholesky(full)
+    assert np.allclose(kernels.solve_triangular(f, b)[:, 0], np.linalg.solve(factor, b[:, 0])) and np.allclose(kernels.solve_triangular(f, b, True)[:, 0], np.linalg.solve(factor.T, b[:, 0]))
+    f[0, 4] = 0
+    with pytest.raises(np.linalg.LinAlgError, match="zero at 4"):
+        kernels.solve_triangular(f, b)
+    assert np.allclose(kernels.inverse_band(kernels.cholesky(band), n - 1)[n - 1, n - 1], inverse[n - 1, 0])
 
 
 def test_banded_tables(spark):
@@ -270,3 +283,155 @@ def test_resumed_stream(spark, tmp_path):
     all_ = np.array([0, 0, 1, 2, 2, 4.0])
     assert (r[0].n, round(r[0]["mean"], 9), round(r[0]["var"], 9)) == (6, round(all_.mean(), 9), round(all_.var(), 9)) and r[1]["var"] == 0
     assert math.isclose(r[1]["mean"], 5.0)
+    # A new checkpoint goes on from there, and a batch that is repeated counts once.
+    q = stream.writeStream.foreachBatch(resumed(f"{tmp_path}/stats")).option("checkpointLocation", f"{tmp_path}/log2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    r = {x.dim: x for x in spark.read.parquet(f"{tmp_path}/stats/version=5").collect()}
+    assert (r[0].n, round(r[0]["mean"], 9)) == (12, round(all_.mean(), 9))
+    merge = resumed(f"{tmp_path}/again")
+    batch = spark.createDataFrame([(0, 1.0), (0, 3.0)], "dim long, value double")
+    for number in (0, 1, 1):
+        merge(batch, number)
+    assert spark.read.parquet(f"{tmp_path}/again/version=1").first().n == 4
+    assert not (tmp_path / "again/version=2").exists()
+
+
+def test_running_statistics_and_windows_of_a_stream(spark, tmp_path):
+    from phonoframe.streaming import stats as streams
+
+    rows = [(f"2024-01-01 00:00:{s:02d}", 0, float(s)) for s in range(0, 50, 10)]
+    spark.createDataFrame(rows, "t string, dim long, value double").selectExpr("cast(t as timestamp) as ts", "dim", "value").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, dim long, value double").parquet(f"{tmp_path}/in")
+    for name, df, mode in (("running", streams.running(stream), "complete"), ("in_time", streams.windows_in_time(stream, "20 seconds", "10 seconds"), "append")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    r = spark.table("running").first()
+    assert (r.n, r["mean"]) == (5, 20.0)
+    assert all(x.n <= 2 for x in spark.table("in_time").collect())
+
+
+def test_iterative_alignment(spark):
+    """y is x, slower and shifted: each round's conversion brings x nearer, so paths end nearer to the true one."""
+    t = np.arange(60)
+    x = np.stack([np.sin(t / 6), np.cos(t / 9)], 1) + 2
+    slow = np.minimum(np.arange(90) * 2 // 3, 59)
+    y = x[slow] * 0.7 + 1.5
+    table = lambda v: spark.createDataFrame([(u, i, row.tolist()) for u in range(3) for i, row in enumerate(v)], "utt long, frame long, features array<double>")
+    error = {}
+    for rounds in (1, 3):
+        path = alignment.iterative(table(x), table(y), rounds, components=2, radius=8).toPandas()
+        error[rounds] = np.abs(path.x_frame - slow[path.y_frame]).mean()
+        assert set(path.utt) == {0, 1, 2}
+    assert error[3] < error[1] < 5
+    with pytest.raises(ValueError):
+        alignment.iterative(table(x), table(y), 0)
+
+
+def test_warping_in_a_band_equals_the_full_matrix():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 1), (5, 9), (30, 22)):
+        a, b = rng.normal(size=(n, 2)), rng.normal(size=(m, 2))
+        cost = np.full((n + 1, m + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(n):
+            for j in range(m):
+                cost[i + 1, j + 1] = np.linalg.norm(a[i] - b[j]) + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+        d, path = alignment.warp(a, b)
+        assert np.isclose(d, cost[n, m]) and np.isclose(sum(np.linalg.norm(a[i] - b[j]) for i, j in path), d)
+        assert path[0] == (0, 0) and path[-1] == (n - 1, m - 1)
+        band = [(max(0, i * m // n - 3), min(m, i * m // n + 4)) for i in range(n)]
+        band[-1] = band[-1][0], m
+        near, inside = alignment.warp(a, b, cells=band)
+        assert near >= d - 1e-9 and all(band[i][0] <= j < band[i][1] for i, j in inside)
+
+
+@pytest.mark.parametrize("kind,degree", [("quadratic", 2), ("cubic", 3)])
+def test_spline_interpolation(spark, kind, degree):
+    """Splines give back polynomials of their degree, and pass through all values."""
+    t = np.arange(30.0)
+    x = 5 + (t - 12) ** degree / 50 + 40
+    gaps = x.copy()
+    gaps[[3, 4, 5, 11, 12, 20, 27]] = 0
+    got = values(sequence.interpolate(frames(spark, gaps), "value", "y", kind), "y")
+    assert np.allclose(got, x)
+    rng = np.random.default_rng(degree)
+    at = np.sort(rng.choice(50, 12, replace=False)).astype(float)
+    y = rng.normal(size=12)
+    assert np.allclose(sequence.spline(at, y, at, degree), y)
+    with pytest.raises(ValueError):
+        sequence.spline(at[:2], y[:2], at[:1], degree)
+    ends = values(sequence.interpolate(frames(spark, [0, 0, 100, 0, 90, 80, 0, 70, 0]), "value", "y", kind), "y")
+    assert ends[0] == 100 and ends[-1] == 70 and min(ends) > 0
+
+
+def test_long_recursion_is_linear(spark):
+    x = np.random.default_rng(0).normal(size=80_000)
+    y = sequence.preemphasis(frames(spark, x).withColumn("other", F.lit("kept")), "value", "y")
+    back = sequence.inv_preemphasis(y, "y", "z")
+    assert "other" in back.columns and np.allclose(values(back, "z"), x)
+
+
+def test_windows_must_fit(spark):
+    f = frames(spark, range(10))
+    assert sequence.sliding(f, "value", 4, 3, exact=True).where("offset = 0").count() == 3
+    with pytest.raises(Exception, match="don't fit"):
+        sequence.sliding(f, "value", 4, 4, exact=True).collect()
+    with pytest.raises(ValueError):
+        sequence.sliding(f, "value", 2, 3)
+    a = spark.createDataFrame([(0, i, i, 1.0) for i in range(6)], "mat long, row long, col long, value double")
+    with pytest.raises(Exception, match="don't fit"):
+        banded.sliding(a, spark.createDataFrame([(0, 6)], "mat long, n long"), 3, 2).collect()
+
+
+def test_datasets(spark):
+    from phonoframe.operators import datasets
+
+    names = [f"n{i:03d}" for i in range(57)]
+    table = datasets.numbered(spark.createDataFrame([(n,) for n in names[::-1]], "utt string").repartition(5), "utt", tasks=6)
+    assert datasets.length(table) == 57
+    for index in (0, 5, -1, -57, 56):
+        assert [r.utt for r in datasets.at(table, index).collect()] == [names[index]]
+    for cut in (slice(None), slice(3, 40, 7), slice(-5, None), slice(None, -50), slice(None, None, -9), slice(50, 2, -11), slice(100, 2, -1), slice(4, 2)):
+        assert sorted(r.utt for r in datasets.at(table, cut).collect()) == sorted(names[cut])
+    places = datasets.offsets(spark.createDataFrame([(n, i % 4) for i, n in enumerate(names)], "utt string, n long"), "utt")
+    ends = np.cumsum([i % 4 for i in range(57)])
+    assert {r.utt: (r.first, r.end) for r in places.collect()} == {n: (e - i % 4, e) for i, (n, e) in enumerate(zip(names, ends, strict=True))}
+    x = spark.createDataFrame([("u", i, [float(i < 3)]) for i in range(5)] + [("v", 0, [0.0])], "utt string, frame long, features array<double>")
+    got = {(r.utt, r.frame): r.features for r in datasets.each_matrix(x, lambda m: np.concatenate([m, m + 1], 1) if len(m) else np.zeros((0, 2))).collect()}
+    assert got == {("u", i): [1.0, 2.0] if i < 3 else [0.0, 0.0] for i in range(5)} | {("v", 0): [0.0, 0.0]}
+    summed = datasets.each_utterance(x, lambda pdf: pdf.assign(features=[[float(k)] for k in range(len(pdf))][::-1]), "utt string, frame long, features array<double>")
+    assert {(r.utt, r.frame): r.features for r in summed.collect()} == {("u", i): [4.0 - i] for i in range(5)} | {("v", 0): [0.0]}
+    with pytest.raises(Exception, match="has shape"):
+        datasets.each_matrix(x, lambda m: np.ones((len(m) + 9, 1))).collect()
+    with pytest.raises(Exception, match="longer than"):
+        datasets.padded(frames(spark, [1, 2, 3]), length=2).collect()
+
+
+def test_labels_that_must_be_contiguous(spark):
+    from phonoframe.operators import labels as L
+
+    good = spark.createDataFrame([("u", 0, 0, 100_000, "a"), ("u", 1, 100_000, 200_000, "b")], "utt string, idx long, start_time long, end_time long, context string")
+    assert L.strict(good).count() == 2 and len(L.strict(good).collect()) == 2
+    for second in ((150_000, 200_000), (100_000, 100_000)):
+        with pytest.raises(Exception, match="contiguous"):
+            L.strict(good.withColumn("start_time", F.when(F.col("idx") == 1, second[0]).otherwise(F.col("start_time"))).withColumn("end_time", F.when(F.col("idx") == 1, second[1]).otherwise(F.col("end_time")))).collect()
+    question = questions.parse('CQS "x" {/A:([A-Z][b]?[0-9]+)_}')[1]
+    with pytest.raises(Exception, match="finds no number"):
+        linguistic.answered(spark.createDataFrame([("Z/A:H9_",)], "context string"), [], question).collect()
+
+
+def test_mixtures_of_a_fitted_model(spark):
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 1))
+    joint = np.concatenate([x, 2 * x + 1 + 0.1 * rng.normal(size=(400, 1))], 1)
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in joint], ["features"])
+    m = gmm.JointMixture.of(GaussianMixture(k=2, seed=1).fit(df))
+    src = np.array([[-1.0], [0.0], [2.0]])
+    assert np.allclose(gmm.expected(src, m), 2 * src + 1, atol=0.05)
+    assert np.allclose(gmm.expected(2 * src + 1, gmm.JointMixture(m.weights, m.means, m.covariances, swap=True)), src, atol=0.05)
+    assert np.allclose(gmm.expected(src, gmm.JointMixture(m.weights, m.means, m.covariances, diff=True)), src + 1, atol=0.05)
+    with pytest.raises(ValueError):
+        gmm.JointMixture(np.ones(1), np.zeros((1, 2)), -np.eye(2)[None]).parts()
