@@ -36,7 +36,7 @@ from phonoframe.llm.common import removed_at_exit, scratch_path, table, written
 REVISIT_FROM = 100
 #: A package is closed when its records reach this size.
 PACKAGE_BYTES = 24 << 20
-#: Digests (of some 80 bytes each) up to which the table of first pages is sent to all tasks; beyond, payloads are shuffled by digest.
+#: Digests (of some 80 bytes each) up to which the table of first pages is sent to all tasks; beyond, it meets the ids, and payloads are shuffled by page.
 BROADCAST_ROWS = 200_000
 #: Bytes of records that one reading task takes of a package, about, and reading tasks at most.
 PART_BYTES, READERS = 16 << 20, 100_000
@@ -264,10 +264,14 @@ def with_revisits(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFra
         .where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
     )
     first = written(first, "archive-first")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to")
+    names = ["page_id", "url", "html", "payload_digest"]
     if first.count() <= BROADCAST_ROWS:
-        first = F.broadcast(first)  # so that payloads stay where they are
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return slim.join(first, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
+        return slim.join(F.broadcast(first), "payload_digest", "left").select(*names, refers)  # payloads stay where they are
+    # Ids meet their digest's first page; payloads are dealt by their own page, however many are equal.
+    ids = slim.select("page_id", "payload_digest").distinct().join(first, "payload_digest").select("page_id", "payload_digest", refers).where("refers_to is not null")
+    same = F.col("p.page_id").eqNullSafe(F.col("i.page_id")) & (F.col("p.payload_digest") == F.col("i.payload_digest"))
+    return slim.alias("p").join(ids.alias("i"), same, "left").select(*[f"p.{c}" for c in names], "i.refers_to")
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -12,14 +12,20 @@ def reader(raw):
     return lambda at, n: raw[at : at + n]
 
 
-def test_query(spark, sf_dir):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_query(spark, sf_dir, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(archives, "BROADCAST_ROWS", broadcast_rows)
     got = sorted(map(tuple, archives.op5_zip_archives(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").where("page_id is not null").collect()), key=str)
     c = duckdb.connect()
     c.sql(f"CREATE VIEW pages AS SELECT page_id, url, html FROM '{sf_dir}/pages.parquet/*.parquet' WHERE page_id IS NOT NULL")
     assert got == sorted(c.sql(archives.ORACLE).fetchall(), key=str)
 
 
-def test_null_page_id(spark, sf_dir):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_null_page_id(spark, sf_dir, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(archives, "BROADCAST_ROWS", broadcast_rows)
+    pages = spark.createDataFrame([(None, "u", "y" * 200), (4, "u", "y" * 200), (4, "u", "y" * 200), (9, "u", "y" * 200)], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.refers_to or 0) for r in archives.with_revisits(pages).collect()) == [(0, 4), (4, 0), (4, 0), (9, 4)]
     r = archives.op5_zip_archives(spark, sf_dir).where("page_id is null").collect()
     assert [(x.payload_bytes, x.record_type, x.refers_to) for x in r] == [(200, "response", None)]
 
