@@ -28,17 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, table, written
+from phonoframe.llm.common import binary_rows, by_key, table, written
 from phonoframe.llm.components import components
-from phonoframe.llm.jaccard import by_key
 
 #: Sizes of the image at which corners are looked for, corners kept per size and region, side of a region in pixels of that size, half the width of a patch.
 SCALES, CORNERS, REGION, RADIUS = (1.0, 0.7, 0.5), 24, 64, 11
 #: Corners described at once, and pairs of corners compared at once.
 MANY, COMPARED = 4096, 1 << 20
 BITS, ANGLES = 256, 30
-#: Hamming tables, and the bytes of a descriptor that each takes as its key (tables overlap): equal 48 bits seldom happen by chance.
-BANDS, BAND_BYTES = 8, 6
+#: Hamming tables, and the bytes of a descriptor that each takes as its key (tables overlap): equal 56 bits seldom happen by chance.
+BANDS, BAND_BYTES = 8, 7
 #: Rounds of stars at most; pairs left after them meet in full.
 STARS = 3
 #: Bands that images share before they are matched; bits that matched corners may differ in; pixels that agreeing ones may be off.
