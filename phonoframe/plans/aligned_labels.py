@@ -226,7 +226,7 @@ CQS "Step" {/E:([pm]\\d+)_}
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -50.0 ELSE CAST(event_id % 9 - 4 AS DOUBLE) END AS a, CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE CAST(event_id % 11 AS DOUBLE) END AS b,
-CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE event_id % 8 + 0.5 END AS c, CASE WHEN event_id % 5 = 0 THEN -1.0 WHEN event_id % 2 = 0 THEN 69.0 ELSE 58.0 END AS d,
+CAST(CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE event_id % 8 + 0.5 END AS DOUBLE) AS c, CAST(CASE WHEN event_id % 5 = 0 THEN -1.0 WHEN event_id % 2 = 0 THEN 69.0 ELSE 58.0 END AS DOUBLE) AS d,
 CASE WHEN event_id % 5 = 0 THEN -1.0 WHEN event_id % 3 = 0 THEN CAST(event_id % 6 AS DOUBLE) ELSE CAST(-(event_id % 6) AS DOUBLE) + 0.0 END AS e FROM events""")
 def numeric_answers(spark, sf):
     """Signed and unsigned numbers, reals, notes and steps; a fifth of the contexts holds none of them."""

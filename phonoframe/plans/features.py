@@ -44,27 +44,27 @@ def minmax(spark, sf):
     return stats.minmax(vectors(spark, sf)).select("dim", R("low").alias("low"), R("high").alias("high"))
 
 
-@query(f"WITH {VECTORS}, {_STATS} SELECT vec_id, dim, round(sqrt(var)*value+mean, 5) AS y FROM v JOIN s USING (dim)")
+@query(f"WITH {VECTORS}, {_STATS} SELECT vec_id, dim, round(sqrt(var)*value+mean, 5) + 0.0 AS y FROM v JOIN s USING (dim)")
 def inv_scale(spark, sf):
     v = vectors(spark, sf)
-    return stats.applied(v, stats.meanvar(v)).select("vec_id", "dim", R(scalar.inv_scale(F.col("value"), F.col("mean"), F.sqrt("var")), 5).alias("y"))
+    return stats.applied(v, stats.meanvar(v)).select("vec_id", "dim", (R(scalar.inv_scale(F.col("value"), F.col("mean"), F.sqrt("var")), 5) + 0.0).alias("y"))
 
 
 def _minmax(spark, sf, fn):
     v = vectors(spark, sf)
     factor, shift = scalar.minmax_params(F.col("low"), F.col("high"), (-1.0, 1.0))
-    return stats.applied(v, stats.minmax(v)).select("vec_id", "dim", R(fn(F.col("value"), factor, shift), 5).alias("y"))
+    return stats.applied(v, stats.minmax(v)).select("vec_id", "dim", (R(fn(F.col("value"), factor, shift), 5) + 0.0).alias("y"))
 
 
 _FACTOR = "2.0/CASE WHEN high = low THEN 1 ELSE high-low END"
 
 
-@query(f"WITH {VECTORS}, {_STATS} SELECT vec_id, dim, round(value*({_FACTOR}) + (-1.0-low*({_FACTOR})), 5) AS y FROM v JOIN s USING (dim)")
+@query(f"WITH {VECTORS}, {_STATS} SELECT vec_id, dim, round(value*({_FACTOR}) + (-1.0-low*({_FACTOR})), 5) + 0.0 AS y FROM v JOIN s USING (dim)")
 def minmax_scale(spark, sf):
     return _minmax(spark, sf, scalar.minmax_scale)
 
 
-@query(f"WITH {VECTORS}, {_STATS} SELECT vec_id, dim, round((value - (-1.0-low*({_FACTOR})))/({_FACTOR}), 5) AS y FROM v JOIN s USING (dim)")
+@query(f"WITH {VECTORS}, {_STATS} SELECT vec_id, dim, round((value - (-1.0-low*({_FACTOR})))/({_FACTOR}), 5) + 0.0 AS y FROM v JOIN s USING (dim)")
 def inv_minmax_scale(spark, sf):
     return _minmax(spark, sf, scalar.inv_minmax_scale)
 

@@ -17,11 +17,11 @@ def _sizes(spark, sf):
 
 
 def _matrix(spark, sf, column: str, slope: float):
-    """Row t holds, within two of the diagonal, column / 100 and `slope` for each place to the right."""
+    """Row t holds, within two of the diagonal, column / 97 (so that no product ends in a five) and `slope` for each place to the right."""
     e = events(spark, sf).select(F.col("utt").alias("mat"), F.col("frame").alias("row"), F.col(column).alias("_v"))
     wide = e.withColumn("_o", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("col", F.col("row") + F.col("_o"))
     inside = wide.join(_sizes(spark, sf), "mat").where("col >= 0 and col < n")
-    return inside.select("mat", "row", "col", (F.col("_v") / 100 + slope * F.col("_o")).alias("value"))
+    return inside.select("mat", "row", "col", (F.col("_v") / 97 + slope * F.col("_o")).alias("value"))
 
 
 def _a(spark, sf):
@@ -33,13 +33,13 @@ def _b(spark, sf):
 
 
 def _vector(spark, sf):
-    return events(spark, sf).select(F.col("utt").alias("mat"), F.col("frame").alias("idx"), (F.col("value") / 100).alias("value"))
+    return events(spark, sf).select(F.col("utt").alias("mat"), F.col("frame").alias("idx"), (F.col("value") / 97).alias("value"))
 
 
 _M = f"""{EVENTS}, n AS (SELECT utt AS mat, count(*) AS n FROM e GROUP BY utt), o AS (SELECT unnest(range(-2, 3)) AS o),
-a AS (SELECT mat, frame AS "row", frame + o AS col, value/100 + 0.1*o AS value FROM e JOIN n ON mat = utt, o WHERE frame + o BETWEEN 0 AND n - 1),
-b AS (SELECT mat, frame AS "row", frame + o AS col, f0/100 - 0.2*o AS value FROM e JOIN n ON mat = utt, o WHERE frame + o BETWEEN 0 AND n - 1),
-x AS (SELECT utt AS mat, frame AS idx, value/100 AS value FROM e)"""
+a AS (SELECT mat, frame AS "row", frame + o AS col, value/97 + 0.1*o AS value FROM e JOIN n ON mat = utt, o WHERE frame + o BETWEEN 0 AND n - 1),
+b AS (SELECT mat, frame AS "row", frame + o AS col, f0/97 - 0.2*o AS value FROM e JOIN n ON mat = utt, o WHERE frame + o BETWEEN 0 AND n - 1),
+x AS (SELECT utt AS mat, frame AS idx, value/97 AS value FROM e)"""
 
 
 @query(f'WITH {_M} SELECT a.mat, "row", round(sum(a.value*x.value), 4) + 0.0 AS value FROM a JOIN x ON a.mat = x.mat AND a.col = x.idx GROUP BY a.mat, "row"')
@@ -68,10 +68,10 @@ def band_plus_band_of(spark, sf):
     return banded.plus_band_of(_a(spark, sf), _b(spark, sf), 1, 0, 3.0).withColumn("value", R("value"))
 
 
-@query(f'WITH {_M} SELECT mat, "row", col, round(-0.5*value*n/4, 4) + 0.0 AS value FROM a JOIN n USING (mat)')
+@query(f'WITH {_M} SELECT mat, "row", col, round(-0.5*value*n/7, 4) + 0.0 AS value FROM a JOIN n USING (mat)')
 def band_times(spark, sf):
     """By a number for all matrices, then by one of each matrix."""
-    by = _sizes(spark, sf).select("mat", (F.col("n") / 4).alias("factor"))
+    by = _sizes(spark, sf).select("mat", (F.col("n") / 7).alias("factor"))
     return banded.scaled(banded.times(_a(spark, sf), -0.5), by).withColumn("value", R("value"))
 
 

@@ -435,3 +435,18 @@ def test_mixtures_of_a_fitted_model(spark):
     assert np.allclose(gmm.expected(src, gmm.JointMixture(m.weights, m.means, m.covariances, diff=True)), src + 1, atol=0.05)
     with pytest.raises(ValueError):
         gmm.JointMixture(np.ones(1), np.zeros((1, 2)), -np.eye(2)[None]).parts()
+
+
+def test_distances_and_patterns_of_a_caller(spark):
+    from phonoframe.operators import labels as L
+
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(9, 2)), rng.normal(size=(7, 2))
+    table = lambda v: spark.createDataFrame([("u", i, row.tolist()) for i, row in enumerate(v)], "utt string, frame long, features array<double>")
+    blocks = lambda x, y: np.abs(x - y).sum(-1)
+    got = alignment.paths(table(a), table(b), dist=blocks, exact=True).toPandas()
+    d, path = alignment.warp(a, b, blocks)
+    assert list(zip(got.x_frame, got.y_frame, strict=True)) == path and np.isclose(got.distance[0], d / 16)
+    x = spark.createDataFrame([("u", i, i * 50_000, (i + 1) * 50_000, c) for i, c in enumerate(["a-sil+b", "a-pau+b", "a-k+b", "x-pau+y"])], "utt string, idx long, start_time long, end_time long, context string")
+    assert sorted(r.idx for r in L.silence_labels(x, ".*-pau[+].*").collect()) == [1, 3]
+    assert sorted(r.frame for r in L.without_silence(spark.createDataFrame([("u", i) for i in range(4)], "utt string, frame long"), x, ".*-pau[+].*").collect()) == [0, 2]
