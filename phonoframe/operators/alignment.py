@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonoframe.operators.grouping import tasks_of
+from phonoframe.operators.grouping import each, kind, over_utterances
 
+_INF = float("inf")
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -19,39 +20,79 @@ def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - y) ** 2).sum(-1))
 
 
+#: Cells whose distances are taken at once; rows up to this width are walked cell by cell, wider ones as arrays.
+CELLS, NARROW = 1 << 18, 40
+
+
+def _distances(x: np.ndarray, y: np.ndarray, dist: Distance, spans: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """The distances of each row's cells, many rows at a time."""
+    sizes = np.array([b - a for a, b in spans], np.int64)
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(spans):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + CELLS, "right")))
+        n = sizes[i:j]
+        rows = np.repeat(np.arange(i, j), n)
+        cols = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat([a for a, _ in spans[i:j]], n)
+        yield from np.split(dist(x[rows], y[cols]), np.cumsum(n)[:-1])
+        i = j
+
+
+def _narrow(d: list[float], a: int, above: list[float], c: int) -> list[float]:
+    """A row's costs from its distances (from column a on) and the costs of the row above (from column c on)."""
+    out, left, e = [], _INF, c + len(above)
+    before = above[a - 1 - c] if c < a <= e else _INF
+    for k, step in enumerate(d):
+        j = a + k
+        over = above[j - c] if c <= j < e else _INF
+        best = before if before < over else over
+        left = step + (best if best < left else left)
+        before = over
+        out.append(left)
+    return out
+
+
+def _wide(d: np.ndarray, a: int, above: np.ndarray, c: int) -> list[float]:
+    """The same by a running minimum: left[k] = d[k] + min(best[k], left[k - 1])."""
+    padded = np.full(len(d) + 1, np.inf)  # columns a - 1 to the end
+    lo, hi = max(a - 1, c), min(a + len(d), c + len(above))
+    if lo < hi:
+        padded[lo - a + 1 : hi - a + 1] = above[lo - c : hi - c]
+    total = np.cumsum(d)
+    return (np.minimum.accumulate(np.minimum(padded[:-1], padded[1:]) - (total - d)) + total).tolist()
+
+
 def warp(x: np.ndarray, y: np.ndarray, dist: Distance = euclidean, cells: list[tuple[int, int]] | None = None) -> tuple[float, list[tuple[int, int]]]:
     """The least total distance and its path; cells[i]: the first column of row i that a path may use, and the one after the last (default: all).
 
-    Only the columns of each row are kept. Along a row the recursion
-    left[k] = d[k] + min(best[k], left[k - 1]) is a running minimum of best less
-    the distances before it.
+    Only the columns of each row are kept.
     """
     n, m = len(x), len(y)
-    spans = [(0, m)] * n if cells is None else cells
-    rows: list[np.ndarray] = []
-    for i, (a, b) in enumerate(spans):
-        d = dist(x[i][None], y[a:b])
-        total = np.cumsum(d)
-        best = np.full(b - a, np.inf)
-        if i:
-            c, e = spans[i - 1]
-            lo, hi = max(a, c), min(b, e)
-            best[lo - a : max(hi - a, lo - a)] = rows[-1][lo - c : max(hi - c, lo - c)]
-            lo, hi = max(a, c + 1), min(b, e + 1)
-            if lo < hi:
-                best[lo - a : hi - a] = np.minimum(best[lo - a : hi - a], rows[-1][lo - 1 - c : hi - 1 - c])
-        elif not a:
-            best[0] = 0
-        rows.append(np.minimum.accumulate(best - (total - d)) + total)
     if not n or not m:
-        return (0.0 if n == m else float("inf")), []
-    cost = lambda i, j: rows[i][j - spans[i][0]] if i >= 0 and spans[i][0] <= j < spans[i][1] else (0.0 if i == j == -1 else np.inf)
+        return (0.0 if n == m else _INF), []
+    spans = [(0, m)] * n if cells is None else cells
+    rows: list[list[float]] = []
+    above, c = [0.0], -1  # the start, before the first column of a row above the first
+    for (a, _), d in zip(spans, _distances(x, y, dist, spans), strict=True):
+        above = _narrow(d.tolist(), a, above, c) if len(d) <= NARROW else _wide(d, a, np.asarray(above), c)
+        c = a
+        rows.append(above)
     i, j, path = n - 1, m - 1, []
     while i >= 0 and j >= 0:
         path.append((i, j))
-        step = np.argmin([cost(i - 1, j - 1), cost(i - 1, j), cost(i, j - 1)])
-        i, j = i - (step != 2), j - (step != 1)
-    return float(cost(n - 1, m - 1)), path[::-1]
+        a = spans[i][0]
+        up, b = (rows[i - 1], spans[i - 1][0]) if i else ([0.0], -1)
+        k = j - b
+        over = up[k] if 0 <= k < len(up) else _INF
+        across = up[k - 1] if 0 < k <= len(up) else _INF
+        left = rows[i][j - 1 - a] if j > a else _INF
+        if across <= over and across <= left:
+            i, j = i - 1, j - 1
+        elif over <= left:
+            i -= 1
+        else:
+            j -= 1
+    return rows[-1][m - 1 - spans[-1][0]], path[::-1]
 
 
 def fast_warp(x: np.ndarray, y: np.ndarray, radius: int = 1, dist: Distance = euclidean) -> tuple[float, list[tuple[int, int]]]:
@@ -81,28 +122,23 @@ def _trimmed(x: np.ndarray, eps: float = 1e-7) -> np.ndarray:
 def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidean, exact: bool = False, tasks: int | None = None) -> DataFrame:
     """(utt, step, x_frame, y_frame, distance) of frames (utt, frame, features) that both have; distance is over both lengths. Trailing silence is left out."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        def table(utt: list, i: np.ndarray, j: np.ndarray, d: float) -> pd.DataFrame:
-            return pd.DataFrame({"utt": pd.Series(utt, dtype=object), "step": np.arange(len(i)), "x_frame": i, "y_frame": j, "distance": np.full(len(i), d)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        def table(i: np.ndarray, j: np.ndarray, d: float) -> pd.DataFrame:
+            return pd.DataFrame({"utt": pd.Series([pdf["utt"].iloc[0]] * len(i), dtype=object), "step": np.arange(len(i)), "x_frame": i, "y_frame": j, "distance": np.full(len(i), d)})
 
-        # Both sides may come from one table, so the second has names of its own.
-        b = b.set_axis(["utt", "frame", "features"], axis=1)
-        none = table([], np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0)
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        none = table(np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0)
         if not len(a) or not len(b):
             return none
-        a, b = a.sort_values("frame"), b.sort_values("frame")
         p, q = (_trimmed(np.stack(f["features"].to_numpy()).astype(float)) for f in (a, b))
         if not len(p) or not len(q):
             return none
         d, path = warp(p, q, dist) if exact else fast_warp(p, q, radius, dist)
         i, j = np.array(path).T
-        return table([a["utt"].iloc[0]] * len(i), a["frame"].to_numpy()[i], b["frame"].to_numpy()[j], d / (len(p) + len(q)))
+        return table(a["frame"].to_numpy()[i], b["frame"].to_numpy()[j], d / (len(p) + len(q)))
 
-    kind = x.schema["utt"].dataType.simpleString()
-    n = tasks_of(x, tasks)
-    left = x.select("utt", "frame", "features").repartition(n, "utt").groupBy("utt")
-    right = y.select(F.col("utt").alias("y_utt"), F.col("frame").alias("y_frame"), F.col("features").alias("y_features")).repartition(n, "y_utt").groupBy("y_utt")
-    return left.cogroup(right).applyInPandas(run, f"utt {kind}, step long, x_frame long, y_frame long, distance double")
+    side = lambda df, k: df.select("utt", F.lit(k).alias("side"), "frame", F.col("features").cast("array<double>").alias("features"))
+    return over_utterances(side(x, 0).unionByName(side(y, 1)), each(run), f"utt {kind(x, 'utt')}, step long, x_frame long, y_frame long, distance double", tasks=tasks)
 
 
 def aligned(path: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
