@@ -91,3 +91,11 @@ def test_groups_are_whole_or_in_pieces():
             assert pieces == ({17} if most and step < 100 else set())
             whole = [set(t.column(0).to_pylist()) for t, w in got if w]
             assert sum(map(len, whole)) == len(set().union(*whole))
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = np.random.default_rng(12)
+    big = "".join(map(chr, rng.integers(97, 123, 1_300_000)))
+    rows = [(1, big), (2, "x" + big[600_000:700_000] + "y" * 40 + big[1_299_000:]), (3, big[1_048_500:1_048_700]), (4, big[:49])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (101_000, 2), 3: (200, 1), 4: (0, 0)}
