@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phonoframe.llm.common import binary_rows, by_key, released, slices, table, utf8, written
+from phonoframe.llm.common import binary_rows, by_key, groups, released, slices, table, utf8, written
 from phonoframe.llm.components import components
 from phonoframe.llm.shingles import set_digest, shingle_sets
 
@@ -51,8 +51,8 @@ PART, LINK = 100, 80
 SHARED, SHARED_PER_CENT = 2, 4
 #: A shingle is common from this many documents on; of these the most frequent go last, at most COMMON_MOST (the order decides the cost, not the result).
 COMMON, COMMON_MOST = 48, 1 << 18
-#: Cells of up to this many sets propose pairs.
-SMALL = 48
+#: Cells of up to this many sets propose pairs; rows of a cell that a task gathers at most; digests that a task remembers, so as to post a set once.
+SMALL, GATHERED, REMEMBERED = 48, 1 << 18, 1 << 20
 #: Shingles of all members of a region that one task joins (8 bytes each).
 LOCAL = 3_000_000
 #: Members of a large region, by a hash, of which each becomes a pivot; members of one salt, about; distance within which a Voronoi region has its core.
@@ -100,15 +100,28 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """token, digest, n, doc_id: a row per shingle of a document's reach, with the first number of its set's digest and its size.
 
     And a row per document with both numbers of its digest as token and digest
-    and minus its size, less one, as n.
+    and minus its size, less one, as n. Of copies that one task reads the first
+    posts the shingles, so a cell holds a row per set and task at most.
     """
+    remembered = REMEMBERED
     sent = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_MOST hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        none = np.zeros(0, np.uint64)
         for batch in batches:
+            has_id = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, sets in sets_of(batch.column(1)):
-                parts = [reach(s, sent.value) for s in sets]
-                digests = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
+                keys = [set_digest(s) for s in sets]
+                parts = []
+                for k, s in enumerate(sets):
+                    again = keys[k] in seen or not has_id[i + k]
+                    parts.append(none if again else reach(s, sent.value))
+                    if not again:
+                        seen.add(keys[k])
+                if len(seen) > remembered:
+                    seen.clear()
+                digests = np.array(keys, np.int64).reshape(-1, 2)
                 n = np.array([len(s) for s in sets], np.int32)
                 row = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
                 token = np.concatenate([*parts, digests[:, 0].view(np.uint64)]).view(np.int64)
@@ -127,10 +140,11 @@ def slab(n: np.ndarray) -> np.ndarray:
 
 
 def cells(posted: DataFrame) -> DataFrame:
-    """kind, a, b, slab, c: pairs (0; a < b; the smaller size as slab) of small cells, members b of regions (1) around a, documents a with digest b, c and size slab (2)."""
+    """kind, a, b, slab, c: pairs (0; a < b; the smaller size as slab) of small cells, members b of regions (1) around a, documents a with digest b, c and size slab (2), members b of cells a (3) that are too large to gather."""
+    gathered = GATHERED
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, 1):
+        for t, whole in groups(batches, 1, 1 << 16, gathered):
             token, key, n, ids = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy().astype(np.int64), t.column(3)
             valid = ids.is_valid().to_numpy()
             doc = pc.fill_null(ids, 0).to_numpy()
@@ -145,6 +159,10 @@ def cells(posted: DataFrame) -> DataFrame:
             size = np.diff(start, append=len(token))
             count = np.repeat(size, size)
             place = np.arange(len(token)) - np.repeat(start, size)
+            if not whole:
+                for down in (0, 1):
+                    a, b, s, kind = [*a, token], [*b, doc], [*s, slab(n) - down], [*kind, np.full(len(token), 3, np.int8)]
+                size, count, place = size[:0], count[:0], place[:0]
             left = np.flatnonzero((count <= SMALL) & (count - place > 1))
             for step in range(1, SMALL):
                 i = left = left[(count - place)[left] > step]
@@ -410,14 +428,22 @@ def step(region: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) that connect the components of different sets, and doc_id, digest, n_shingles of every document."""
-    found = written(cells(postings(docs, common_shingles(docs))), "jaccard-cells")
+    common = common_shingles(docs)
+    released(docs.sparkSession)
+    found = written(cells(postings(docs, common)), "jaccard-cells")
     sets = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("digest"), F.col("c").alias("digest_2"), F.col("slab").alias("n_shingles"))
     released(docs.sparkSession)
     enough = SHARED + F.floor(F.col("n") * SHARED_PER_CENT / 100)
     pairs = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("slab").alias("n")).where(F.col("met") >= enough)
     around = pairs.select(F.lit(0).cast("byte").alias("kind"), "a", F.lit(0).cast("long").alias("slab"), "b")
     around = around.unionByName(around.select("kind", "a", "slab", F.col("a").alias("b")).distinct())
-    regions = found.where("kind = 1").select("kind", "a", "slab", "b").distinct()
+    regions = found.where("kind = 1").select("kind", "a", "slab", "b")
+    large = found.where("kind = 3").select("a", "slab", "b")
+    if not large.isEmpty():
+        # A slab of a large cell becomes a region around its smallest document, too.
+        low = large.groupBy("a", "slab").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high").drop("high")
+        regions = regions.unionByName(large.join(low, ["a", "slab"]).select(F.lit(1).cast("byte").alias("kind"), F.col("low").alias("a"), "slab", "b"))
+    regions = regions.distinct()
     weighed = regions.join(sets.select(F.col("doc_id").alias("b"), "n_shingles"), "b")
     size = weighed.groupBy("kind", "a", "slab").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > LOCAL).drop("n")
     large = regions.join(size, ["kind", "a", "slab"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 16)).cast("int") + 1)

@@ -34,13 +34,18 @@ def brute(rows):
     return {i: ({len(x) for x in sets[i]}, find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("settings", [{}, {"COMMON": 3, "SMALL": 3, "LOCAL": 800}, {"COMMON": 3, "SMALL": 2, "LOCAL": 200, "PIVOTS": 2, "SALT_MEMBERS": 4}])
+@pytest.mark.parametrize("settings", [{}, {"COMMON": 3, "SMALL": 3, "LOCAL": 800}, {"COMMON": 3, "SMALL": 2, "LOCAL": 200, "PIVOTS": 2, "SALT_MEMBERS": 4}, {"COMMON": 3, "SMALL": 2, "LOCAL": 800, "GATHERED": 1, "REMEMBERED": 2}])
 def test_query_equals_all_pairs(spark, sf_dir, rows, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(jaccard, k, v)
     if settings:
         monkeypatch.setattr(jaccard.common_shingles, "__defaults__", (settings["COMMON"], 1 << 18))
-    got = jaccard.op4_jaccard_join(spark, sf_dir).collect()
+    if "GATHERED" in settings:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # cells are cut between batches only
+    try:
+        got = jaccard.op4_jaccard_join(spark, sf_dir).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(rows)
     want = brute([(i, t) for i, t, _, _ in rows])
     for r in got:
@@ -74,3 +79,11 @@ def test_null_ids_link_with_nothing(spark):
 
 def test_empty(spark, no_docs):
     assert jaccard.joined_components(no_docs).count() == 0
+
+
+def test_texts_longer_than_a_slice(spark):
+    words = [f"w{k}" for k in range(220_000)]
+    other = words[:200_000] + [f"v{k}" for k in range(20_000)]
+    rows = [(5, " ".join(words)), (3, " ".join(other)), (8, " ".join(words[:100_000])), (9, " ".join(words[::-1]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (219_996, 3), 3: (219_996, 3), 8: (99_996, 8), 9: (219_996, 9)}
