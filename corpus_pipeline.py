@@ -46,14 +46,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document as often as the mix takes it (0 to 3 times). Rows that share doc_id, source and size get their own numbers, by the order of their texts."""
     words = mixing.words(F.col("text"))
     sizes = written(docs.select("doc_id", "source", words.alias("size")), "mixing-sizes")
-    key = ["doc_id", "source", "size"]
-    place = lambda *order: F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(*order))
-    named = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("copies").cast("int").alias("_times"))
-    times = named(mixing.mixed_copies(sizes)).withColumn("_place", place(F.desc("_times")))
+    # Both sides hold the same (doc_id, source, size) as often, so the n-th row of a key there is the n-th here: texts move once, by the key.
+    key = F.xxhash64("_doc_id", "_source", "_size")
+    place = lambda order: F.row_number().over(Window.partitionBy("_key").orderBy("_doc_id", "_source", "_size", order))
+    copies = mixing.mixed_copies(sizes).select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("int").alias("_times"))
+    times = copies.withColumn("_key", key).withColumn("_place", place(F.desc("_times"))).where("_times > 0").select("_key", "_place", "_times")
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), words.alias("_size"))
-    ranked = own.withColumn("_place", place("_row.text"))
-    same = [F.col(f"d._{c}").eqNullSafe(F.col(f"t._{c}")) for c in [*key, "place"]]
-    taken = ranked.alias("d").join(times.where("_times > 0").alias("t"), same[0] & same[1] & same[2] & same[3]).select("_row", "_times")
+    ranked = own.withColumn("_key", key).withColumn("_place", place(F.col("_row.text"))).select("_row", "_key", "_place")
+    same = (F.col("d._key") == F.col("t._key")) & (F.col("d._place") - F.col("t._place") == 0)
+    taken = ranked.alias("d").join(times.alias("t"), same).select("_row", "_times")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
