@@ -7,6 +7,7 @@ our own is used only where that setting is absent and Spark runs on one machine.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -85,11 +86,20 @@ def kept(name: str, build):
     """build(), made once per Python worker. A worker serves tasks of many steps, so it keeps the tables of one kind only."""
     if name not in _KEPT:
         _KEPT.clear()
-        gc.collect()
+        trimmed()
         _KEPT[name] = build()
     return _KEPT[name]
 
 
+def trimmed() -> None:
+    """Gives memory that this Python worker no longer uses back to the machine, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished steps, which otherwise stay until the driver happens to collect its garbage."""
     gc.collect()
