@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonoframe.operators.ranges import bounds, part
+
+#: Parts that a task sorts, so that parts of uneven sizes even out.
+PARTS_PER_TASK = 3
 #: Frames of the utterances that a task hands to a kernel at once; a longer utterance comes alone.
 STACK = 1 << 15
 
@@ -74,10 +78,20 @@ def kind(df: DataFrame, column: str) -> str:
 
 
 def running_total(df: DataFrame, out: str, value, *order: str, tasks: int | None = None) -> DataFrame:
-    """df with the sum of `value` over all rows up to each one, in order: sorted parts, and prefix sums over the parts' totals (a row per task)."""
-    parts = df.withColumn("_v", value).repartitionByRange(tasks_of(df, tasks), *order).withColumn("_p", F.spark_partition_id())
+    """df with the sum of `value` over all rows up to each one, in order: sorted parts, and prefix sums over the parts' totals (a row per part).
+
+    The parts' bounds are fixed first, so the plan of the totals and that of the
+    sums cut alike; rows move once. df is read four times: write it first if it is
+    costly or not the same in every read. Rows that are equal in `order` follow
+    each other in no stated order. Null values count as 0.
+    """
+    cuts = bounds(df, *order, parts=PARTS_PER_TASK * tasks_of(df, tasks))
+    within = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    parts = df.withColumn("_p", part(df, cuts, *order)).withColumn("_v", F.coalesce(value, F.lit(0)))
+    summed = parts.withColumn("_w", within)
+    if not cuts:
+        return summed.withColumn(out, F.col("_w").cast("long")).drop("_v", "_p", "_w")
     totals = parts.groupBy("_p").agg(F.sum("_v").alias("_s"))
     before = F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = parts.withColumn("_w", within).join(F.broadcast(totals.select("_p", before.alias("_b"))), "_p")
+    joined = summed.join(F.broadcast(totals.select("_p", before.alias("_b"))), "_p")
     return joined.withColumn(out, (F.col("_w") + F.col("_b")).cast("long")).drop("_v", "_p", "_w", "_b")
