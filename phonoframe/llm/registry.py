@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from phonoframe.llm import archives
+from phonoframe.llm import archives, divergence
 from phonoframe.llm.archives import op5_zip_archives
+from phonoframe.llm.divergence import op12_source_divergence
 from phonoframe.llm.jaccard import op4_jaccard_join
 from phonoframe.llm.langid import op2_language_id
 from phonoframe.llm.media import op8_image_copies
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_image_copies": op8_image_copies,
     "op9_packing": op9_packing,
     "op10_ring_sharding": op10_ring_sharding,
+    "op12_source_divergence": op12_source_divergence,
 }
 
-ORACLE_SQL = {"op5_zip_archives": archives.ORACLE}
+ORACLE_SQL = {"op5_zip_archives": archives.ORACLE, "op12_source_divergence": divergence.ORACLE}
