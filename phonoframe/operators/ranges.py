@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 LEAST_ROWS, DRAWN = 10_000, 60
 
 
-def bounds(df: DataFrame, *order: str, parts: int) -> list[Row]:
+def bounds(df: DataFrame, *order: str, parts: int, least_rows: int = LEAST_ROWS) -> list[Row]:
     """At most parts - 1 rows of the columns `order`, ascending, nulls first. From about DRAWN rows a part, however large df is.
 
     A key that holds more than a part's share of the rows is the bound of several parts.
     """
     n = df.count()
-    parts = min(parts, n // LEAST_ROWS)
+    parts = min(parts, n // least_rows)
     if parts < 2:
         return []
     drawn = df.select(*order).sample(fraction=min(1.0, parts * DRAWN / n), seed=17).orderBy(*order).collect()
