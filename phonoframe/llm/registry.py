@@ -13,6 +13,7 @@ from phonoframe.llm.packing import op9_packing
 from phonoframe.llm.secrets import op7_secret_scan
 from phonoframe.llm.sharding import op10_ring_sharding
 from phonoframe.llm.suffixes import op6_suffix_dedup
+from phonoframe.llm.tokenfiles import op13_huffman_tokens
 from phonoframe.llm.vptree import op1_vantage_point_search
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_ring_sharding": op10_ring_sharding,
     "op12_source_divergence": op12_source_divergence,
+    "op13_huffman_tokens": op13_huffman_tokens,
 }
 
 ORACLE_SQL = {"op5_zip_archives": archives.ORACLE, "op12_source_divergence": divergence.ORACLE}
