@@ -1,15 +1,22 @@
 """From labels and questions to numeric features per phone and per frame.
 
-Questions are answered once per different context, before labels are spread
-over frames.
+Questions are answered before labels are spread over frames. ``binary_answer`` and
+``numeric_answer`` say what an answer is, for one question; ``answered`` takes all
+questions of a set at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from phonoframe.functions.scalar import coarse_coding
+from phonoframe.operators.answering import Machine, note_numbers
 from phonoframe.operators.labels import FRAME_SHIFT, state_aligned
 from phonoframe.sources.questions import Question
 
@@ -23,12 +30,6 @@ def width(kind: str | None) -> int:
     return WIDTHS[kind]
 
 
-def note_numbers() -> dict[str, int]:
-    """Note name -> number, A0 (21) to G9 (127); flats only."""
-    names = ("C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B")
-    return {f"{names[n % 12]}{n // 12 - 1}": n for n in range(21, 128)}
-
-
 def binary_answer(q: Question, context: Column) -> Column:
     """1 if any pattern of the question is found."""
     return F.coalesce(context.rlike("|".join(f"(?:{p})" for p in q.patterns)), F.lit(False)).cast("int")
@@ -45,10 +46,25 @@ def numeric_answer(q: Question, context: Column) -> Column:
 
 
 def answered(labels: DataFrame, binary: list[Question], numeric: list[Question]) -> DataFrame:
-    """labels with answers: an array of the binary, then the numeric questions'."""
-    contexts = labels.select("context").distinct()
-    answers = [binary_answer(q, F.col("context")).cast("float") for q in binary] + [numeric_answer(q, F.col("context")) for q in numeric]
-    return labels.join(contexts.withColumn("answers", F.array(*answers)), "context")
+    """labels with answers: an array of the binary, then the numeric questions'.
+
+    Rows stay where they are: each batch of them is answered once per different
+    context, by one automaton of all questions' texts. A null context answers
+    nothing: 0, and -1 or -50 for numbers.
+    """
+    machine = Machine(binary, numeric)
+    at = labels.columns.index("context")
+    schema = StructType([*labels.schema.fields, StructField("answers", ArrayType(FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(at).dictionary_encode("encode")
+            got = machine.answers(coded.dictionary)
+            rows = got[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+            answers = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * got.shape[1]), pa.array(rows))
+            yield pa.record_batch([*batch.columns, answers], names=schema.names)
+
+    return labels.mapInArrow(run, schema)
 
 
 def phone_frames(labels: DataFrame, kind: str | None = None, shift: int = FRAME_SHIFT) -> DataFrame:

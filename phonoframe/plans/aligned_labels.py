@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phonoframe.operators import labels as L
 from phonoframe.operators import linguistic
 from phonoframe.plans.registry import query
-from phonoframe.plans.tables import LABELS, events, labels
+from phonoframe.plans.tables import LABELS, events, labels, table
 from phonoframe.sources.questions import parse
 
 R = lambda c, n=6: F.round(c, n)
@@ -120,6 +120,47 @@ def question_answers(spark, sf):
     return a.select("utt", "idx", *[x[k].cast("int").alias(c) for k, c in enumerate("abcd")], x[4].cast("double").alias("n"))
 
 
+#: A set of 373 binary and 43 numeric questions over full contexts: five phones of 60, classes of phones, phones along with a number, and 43 numbers.
+_NAMES, _FIELDS, _CLASSES, _ALONG = 60, 43, 40, 33
+_PLACES = ("{}^*", "*^{}-*", "*-{}+*", "*+{}=*", "*={}@*")
+
+
+def _full_set() -> str:
+    phone = "q{}".format
+    lines = [f'QS "{"LL" if k == 0 else "P"}-{k}-{n}" {{{place.format(phone(n))}}}' for k, place in enumerate(_PLACES) for n in range(_NAMES)]
+    lines += [f'QS "Class-{j}" {{{",".join(_PLACES[2].format(phone(n)) for n in range(_NAMES) if n % (j + 2) == 1)}}}' for j in range(_CLASSES)]
+    lines += [f'QS "Along-{j}" {{*-{phone(j)}+*/F{j}:{2 * j}_*}}' for j in range(_ALONG - 1)] + [f'QS "Last" {{*/F{_FIELDS - 1}:5_}}']
+    lines += [f'CQS "F{k}" {{/F{k}:{_group(k)}_}}' for k in range(_FIELDS)]
+    return "\n".join(lines)
+
+
+def _signed(k: int) -> bool:
+    return k % 7 == 0
+
+
+def _group(k: int) -> str:
+    return r"([-\d]+)" if _signed(k) else r"(\d+)"
+
+
+_PHONE = ["(event_id * 7 + user_id) % 60", "(event_id * 11 + 3) % 60", "(event_id * 13 + user_id * 5) % 60", "(event_id + 17) % 60", "(user_id * 3 + event_id) % 60"]
+_FIELD = [f"((event_id * {k + 3} + user_id) % 97{' - 48' if _signed(k) else ''})" for k in range(_FIELDS)]
+_BITS = [f"p{k} = {n}" for k in range(5) for n in range(_NAMES)] + [f"p2 % {j + 2} = 1" for j in range(_CLASSES)] + [f"p2 = {j} AND f{j} = {2 * j}" for j in range(_ALONG - 1)] + [f"f{_FIELDS - 1} = 5"]
+
+
+@query(f"""WITH x AS (SELECT event_id, {", ".join(f"{p} AS p{k}" for k, p in enumerate(_PHONE))}, {", ".join(f"{f} AS f{k}" for k, f in enumerate(_FIELD))} FROM events)
+SELECT event_id, concat({", ".join(f"CAST({b} AS INTEGER)" for b in _BITS)}) AS bits, concat_ws(',', {", ".join(f"f{k}" for k in range(_FIELDS))}) AS numbers FROM x""")
+def question_set(spark, sf):
+    """A whole question set of 416 questions over a full context per event."""
+    phones = F.expr("concat(" + ", '|', ".join(f"'q', {p}" for p in _PHONE) + ")")
+    marks = F.regexp_replace(phones, r"(.*)\|(.*)\|(.*)\|(.*)\|(.*)", r"$1^$2-$3+$4=$5@")
+    fields = F.expr("concat(" + ", ".join(f"'/F{k}:', {f}, '_'" for k, f in enumerate(_FIELD)) + ")")
+    contexts = table(spark, sf, "events").select("event_id", F.concat(marks, fields).alias("context"))
+    a = linguistic.answered(contexts, *parse(_full_set()))
+    whole = lambda first, n: F.transform(F.slice("answers", first, n), lambda v: v.cast("int").cast("string"))
+    bits = len(_BITS)
+    return a.select("event_id", F.array_join(whole(1, bits), "").alias("bits"), F.array_join(whole(bits + 1, _FIELDS), ",").alias("numbers"))
+
+
 @query(f"WITH {LABELS} SELECT utt, idx, context FROM l WHERE idx = 3")
 def label_index(spark, sf):
     return L.at(labels(spark, sf), 3).select("utt", "idx", "context")
