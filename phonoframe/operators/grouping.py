@@ -23,7 +23,7 @@ def tasks_of(df: DataFrame, tasks: int | None = None) -> int:
 
 
 def stacks(batches: Iterator[pd.DataFrame], most: int = STACK) -> Iterator[list[pd.DataFrame]]:
-    """Whole utterances, several at a time, from rows that are sorted by utt (the first column)."""
+    """Whole utterances, several at a time, from rows that are sorted by their first column."""
     held: list[pd.DataFrame] = []
     done: list[pd.DataFrame] = []
     rows = 0
@@ -52,9 +52,9 @@ def stacks(batches: Iterator[pd.DataFrame], most: int = STACK) -> Iterator[list[
         yield done
 
 
-def over_utterances(frames: DataFrame, kernel: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: str = "frame", tasks: int | None = None) -> DataFrame:
-    """A kernel over lists of whole utterances, each with its frames in order; frames has utt first."""
-    dealt = frames.repartition(tasks_of(frames, tasks), "utt").sortWithinPartitions("utt", order)
+def over_utterances(frames: DataFrame, kernel: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: str = "frame", tasks: int | None = None, key: str = "utt") -> DataFrame:
+    """A kernel over lists of whole utterances (or what else `key`, the first column of frames, tells apart), each with its frames in order."""
+    dealt = frames.repartition(tasks_of(frames, tasks), key).sortWithinPartitions(key, order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in stacks(batches):

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from phonoframe.functions.windows import DEFAULT
-from phonoframe.operators import alignment, gmm, paramgen, postfilter, sequence, spectral
-from phonoframe.plans.registry import query
+from phonoframe.operators import alignment, gmm, longbands, paramgen, postfilter, sequence, spectral
+from phonoframe.plans.registry import ORACLE_SQL, query
 from phonoframe.plans.tables import EVENTS, events, table
 
 #: Rounded, and never -0.
@@ -52,6 +52,12 @@ def mlpg(spark, sf):
     return paramgen.mlpg(_dynamic(spark, sf)).select("utt", "frame", R(F.col("features")[0]).alias("y"))
 
 
+@query(ORACLE_SQL["mlpg"])
+def mlpg_blocks(spark, sf):
+    """Utterances cut into blocks of 16 frames, as very long ones are."""
+    return longbands.mlpg(_dynamic(spark, sf), block=16).select("utt", "frame", R(F.col("features")[0]).alias("y"))
+
+
 @query(f"""WITH RECURSIVE {_MEANS.format(**_OWN)}, {_SOLVED.format(right="value")},
 g AS (SELECT x.utt, x.frame, y, lag(y, 1, 0) OVER o AS p, lead(y, 1, 0) OVER o AS q, t0, t1, t2 FROM x JOIN d ON d.utt = x.utt AND d.frame = x.frame WINDOW o AS (PARTITION BY x.utt ORDER BY x.frame))
 SELECT utt, frame, round(t0*y, 4) + 0.0 AS a, round(t1*(0.5*q - 0.5*p), 4) + 0.0 AS b, round(t2*(p - 2*y + q), 4) + 0.0 AS c FROM g""")
@@ -59,6 +65,11 @@ def mlpg_gradient(spark, sf):
     return paramgen.mlpg_gradient(_dynamic(spark, sf)).select("utt", "frame", *[R(F.col("features")[k]).alias(c) for k, c in enumerate("abc")])
 
 
+@query(ORACLE_SQL["mlpg_gradient"])
+def mlpg_gradient_blocks(spark, sf):
+    return longbands.mlpg_gradient(_dynamic(spark, sf), block=16).select("utt", "frame", *[R(F.col("features")[k]).alias(c) for k, c in enumerate("abc")])
+
+
 def _rows(spark, sf):
     e = _dynamic(spark, sf).select("utt", "frame", F.posexplode("means").alias("dim", "value"))
     return sequence.reshape_means(e.withColumn("dim", F.col("dim").cast("long")), 1)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phonoframe.operators import banded
-from phonoframe.plans.registry import query
+from phonoframe.operators import banded, longbands
+from phonoframe.plans.registry import ORACLE_SQL, query
 from phonoframe.plans.tables import EVENTS, events
 
 #: Rounded, and never -0.
@@ -178,11 +178,22 @@ def band_cholesky(spark, sf):
     return banded.cholesky(_tridiagonal(spark, sf), _sizes(spark, sf), 1).withColumn("value", R("value", 6))
 
 
+@query(ORACLE_SQL["band_cholesky"])
+def band_cholesky_blocks(spark, sf):
+    """Matrices cut into blocks of 8 rows, as very large ones are."""
+    return longbands.cholesky(_tridiagonal(spark, sf), _sizes(spark, sf), 1, block=8).withColumn("value", R("value", 6))
+
+
 @query(f"WITH RECURSIVE {_TRI} SELECT mat, i AS idx, round(x, 6) + 0.0 AS value FROM x")
 def band_solve(spark, sf):
     return banded.solve(_tridiagonal(spark, sf), _right(spark, sf), _sizes(spark, sf), 1).withColumn("value", R("value", 6))
 
 
+@query(ORACLE_SQL["band_solve"])
+def band_solve_blocks(spark, sf):
+    return longbands.solve(_tridiagonal(spark, sf), _right(spark, sf), _sizes(spark, sf), 1, block=8).withColumn("value", R("value", 6))
+
+
 @query(f"WITH RECURSIVE {_TRI} SELECT mat, i AS idx, round(z, 6) + 0.0 AS value FROM f")
 def band_solve_triangular(spark, sf):
     sizes = _sizes(spark, sf)
