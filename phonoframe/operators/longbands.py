@@ -259,6 +259,83 @@ def mlpg_gradient(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, b
     return solve_blocks(rows, lambda *a: _assembled(*a, windows, width, right), finish, f"utt {kind(frames, 'utt')}, frame long, features array<double>", width, block, "frame", tasks)
 
 
+def solve_triangular(factor: DataFrame, b: DataFrame, sizes: DataFrame, width: int, transposed: bool = False, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
+    """(mat, idx, value): x of L x = b, or of transpose(L) x = b, L lower banded; a zero on the diagonal is an error.
+
+    A block maps the last `width` values before it to its own last ones, an affine
+    map that it finds by itself; the maps are applied one after the other for each
+    matrix, and blocks are solved apart with what they then know.
+    """
+    if block < width:
+        raise ValueError(f"blocks of {block} rows are too short for a band of {width}")
+    n = F.col("n")
+    lengths = sizes.select(F.col("mat").alias("utt"), "n")
+    entries = factor.where(f"row >= col and row - col <= {width}").select(F.col("mat").alias("utt"), "row", "col", F.col("value").cast("double").alias("value"))
+    right = b.select(F.col("mat").alias("utt"), F.col("idx").alias("row"), F.lit(-1).cast("long").alias("col"), F.col("value").cast("double").alias("value"))
+    if transposed:  # the same from the last row up
+        turned = entries.join(lengths, "utt").select("utt", (n - 1 - F.col("col")).alias("row"), (n - 1 - F.col("row")).alias("col"), "value")
+        entries, right = turned, right.join(lengths, "utt").select("utt", (n - 1 - F.col("row")).alias("row"), "col", "value")
+    empty = lengths.select("utt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(block).cast("long"))).alias("row"), F.lit(-2).cast("long").alias("col"), F.lit(0.0).alias("value"))
+    rows = cut(entries.unionByName(right).unionByName(empty), lengths, F.col("row"), 0, 0, block)
+    utt = f"utt {kind(factor, 'mat')}"
+
+    def blocks_of(some: list[pd.DataFrame]) -> list[tuple[pd.DataFrame, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """low, band, right side and (rows, width) what each value before the block takes from them."""
+        out = []
+        for pdf in some:
+            low = int(pdf["chunk"].iloc[0]) * block
+            high = int(pdf["n"].iloc[0]) if pdf["chunk"].iloc[0] == pdf["chunks"].iloc[0] - 1 else low + block
+            row, col, value = (pdf[c].to_numpy() for c in ("row", "col", "value"))
+            row, right, inner = row.astype(np.int64) - low, col == -1, col >= low
+            band, x, c = np.zeros((width + 1, high - low, 1)), np.zeros((high - low, 1)), np.zeros((high - low, width))
+            band[(row + low - col)[inner].astype(np.int64), row[inner], 0] = value[inner]
+            x[row[right], 0] = value[right]
+            before = (col >= 0) & ~inner
+            c[row[before], (col[before] - low + width).astype(np.int64)] = value[before]
+            out.append((pdf, low, band, x, c))
+        return out
+
+    def substituted(bands: list[np.ndarray], rights: list[np.ndarray]) -> list[np.ndarray]:
+        band = kernels.stacked([np.repeat(a, r.shape[1], 2) for a, r in zip(bands, rights, strict=True)])
+        at = np.cumsum([0, *(r.shape[1] for r in rights)])
+        for k, r in enumerate(rights):
+            band[0, len(r) :, at[k] : at[k + 1]] = 1
+        x = kernels.solve_triangular(band, kernels.stacked(rights))
+        return [x[: len(r), i:j] for r, i, j in zip(rights, at[:-1], at[1:], strict=True)]
+
+    def reduce(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = blocks_of(some)
+        got = substituted([a for _, _, a, _, _ in own], [np.concatenate([x, -c], 1) for _, _, _, x, c in own])
+        tails = [y[len(y) - width :] for y in got]
+        yield pd.DataFrame({"utt": [p["utt"].iloc[0] for p in some], "chunk": [p["chunk"].iloc[0] for p in some], "map": [y.ravel() for y in tails]})
+
+    def meet(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in some:
+            state, out = np.zeros(width), []
+            for m in pdf["map"]:
+                out.append(state)
+                m = np.asarray(m).reshape(width, 1 + width)
+                state = m[:, 0] + m[:, 1:] @ state
+            yield pd.DataFrame({"utt": pdf["utt"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "border": out})
+
+    def end(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = [pdf["border"].notna() for pdf in some]
+        own = blocks_of([pdf[~k] for pdf, k in zip(some, known, strict=True)])
+        rights = [x - (c @ np.asarray(pdf["border"][k].iloc[0], float))[:, None] if k.any() else x for (_, _, _, x, c), pdf, k in zip(own, some, known, strict=True)]
+        for (pdf, low, _, _, _), y in zip(own, substituted([a for _, _, a, _, _ in own], rights), strict=True):
+            idx = low + np.arange(len(y))
+            yield pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * len(y), "idx": int(pdf["n"].iloc[0]) - 1 - idx if transposed else idx, "value": y[:, 0]})
+
+    schema = f"mat {kind(factor, 'mat')}, idx long, value double"
+    if not width:
+        return _by_block(rows.withColumn("border", F.lit(None).cast("array<double>")), end, schema, "row", tasks)
+    # The last block's map isn't asked for; a short block could not hold it.
+    parts = _by_block(rows.where("chunk < chunks - 1"), reduce, f"{utt}, chunk long, map array<double>", "row", tasks)
+    last = rows.where("chunks > 1 and chunk = chunks - 1").select("utt", "chunk").distinct().withColumn("map", F.array_repeat(F.lit(0.0), width * (1 + width)))
+    borders = over_utterances(parts.unionByName(last), meet, f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
+    return _by_block(rows.unionByName(borders, allowMissingColumns=True), end, schema, "row", tasks)
+
+
 def taken_before(parts: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
     """What the rows before each block take from the matrix over its first rows, from (left, right, matrix over the borders) of all blocks in order."""
     out = [np.zeros((0, 0))]

@@ -6,8 +6,10 @@ a window per utterance, so one shuffle by utterance serves a whole chain.
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Sequence
-from itertools import accumulate
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from phonoframe.functions.windows import DeltaWindow
 from phonoframe.operators.grouping import tasks_of
+from phonoframe.operators.ranges import bounds, part
 
 Keys = Sequence[str]
 
@@ -34,18 +37,46 @@ def preemphasis(df: DataFrame, value: str, out: str, coef: float = 0.97, utt: Ke
     return df.withColumn(out, F.col(value) - coef * F.coalesce(F.lag(value).over(along(utt, frame)), F.lit(0.0)))
 
 
-def inv_preemphasis(df: DataFrame, value: str, out: str, coef: float = 0.97, utt: Keys = ("utt",), frame: str = "frame") -> DataFrame:
-    """df with the recursion y[t] = x[t] + coef * y[t - 1] along each utterance: one pass over its frames, however many. All other columns stay."""
+def inv_preemphasis(df: DataFrame, value: str, out: str, coef: float = 0.97, utt: Keys = ("utt",), frame: str = "frame", spread: bool = False) -> DataFrame:
+    """df with the recursion y[t] = x[t] + coef * y[t - 1] along each utterance, by a scan of affine maps.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
-        return pdf.assign(**{out: list(accumulate(pdf[value].astype(float).tolist(), lambda y, x: x + coef * y))})
-
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
-    kept = df.drop(out) if value != out else df
-    if value == out:
-        schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name == out else f for f in df.schema.fields])
-    return kept.repartition(tasks_of(df), *utt).groupBy(*utt).applyInPandas(run, schema)
+    A block of frames maps the y before it to the y at its end: y = b + coef^n * y0.
+    Blocks are summed apart, b of the blocks before gives each its y0, and both
+    meet. spread: the blocks of one utterance are dealt to several tasks too, by
+    bounds over (utt, frame); df is then read more often. A null counts as NaN and
+    makes all that follows NaN.
+    """
+    x = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    if coef == 0:
+        return df.withColumn(out, x)
+    fades = abs(coef) < 1
+    # After `reach` frames a value counts less than e^-500 of itself, which no sum of doubles can tell.
+    reach = int(500 / -math.log(abs(coef))) + 1 if fades else 1 << 20
+    size = max(1, reach // 8)
+    keys = [*utt, "_g", "_q"]
+    power = lambda n: F.pow(F.lit(float(coef)), n)
+    order = [*utt, frame]
+    place = part(df.select(*order), bounds(df, *order, parts=tasks_of(df)), *order) if spread else F.lit(0)
+    row = F.row_number().over(Window.partitionBy(*utt, "_g").orderBy(frame)) - 1
+    placed = df.withColumn("_g", place).withColumn("_r", row).withColumn("_q", F.floor(F.col("_r") / size)).withColumn("_i", F.col("_r") % size)
+    # Of a block's frames the latest has the largest weight, or all have about one: nothing cancels.
+    inner = F.sum(x * power(-F.col("_i"))).over(Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)) * power(F.col("_i"))
+    alone = placed.withColumn("_z", inner)
+    blocks = alone.groupBy(*keys).agg(F.max_by("_z", "_i").alias("_b"), F.count("*").alias("_n"))
+    along_blocks = Window.partitionBy(*utt).orderBy("_g", "_q")
+    ended = blocks.withColumn("_end", F.sum("_n").over(along_blocks.rowsBetween(Window.unboundedPreceding, 0)))
+    start, before = F.col("_end") - F.col("_n"), along_blocks.rowsBetween(Window.unboundedPreceding, -1)
+    if fades:
+        near = F.collect_list(F.struct("_b", "_end")).over(Window.partitionBy(*utt).orderBy("_end").rangeBetween(-(size + reach), -1))
+        faded = F.aggregate("_near", F.lit(0.0), lambda y, e: y + e["_b"] * power(F.col("_start") - e["_end"]))
+        ended = ended.withColumn("_start", start).withColumn("_near", near)
+        entering = F.when(F.max(F.isnan("_b")).over(before), float("nan")).otherwise(faded)
+    else:
+        entering = F.coalesce(F.sum(F.col("_b") * power(-F.col("_end"))).over(before), F.lit(0.0)) * power(start)
+    known = ended.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], entering.alias("_y0"))
+    same = reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)))
+    joined = alone.join(known, same).withColumn(out, F.col("_z") + power(F.col("_i") + 1) * F.col("_y0"))
+    return joined.select(*df.columns, *([out] if out not in df.columns else []))
 
 
 def delta(df: DataFrame, value: str, out: str, window: DeltaWindow, utt: Keys = ("utt",), frame: str = "frame") -> DataFrame:

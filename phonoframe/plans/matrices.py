@@ -201,6 +201,13 @@ def band_solve_triangular(spark, sf):
     return banded.solve_triangular(factor, _right(spark, sf), sizes, 1).withColumn("value", R("value", 6))
 
 
+@query(ORACLE_SQL["band_solve_triangular"])
+def band_solve_triangular_blocks(spark, sf):
+    sizes = _sizes(spark, sf)
+    factor = longbands.cholesky(_tridiagonal(spark, sf), sizes, 1, block=8)
+    return longbands.solve_triangular(factor, _right(spark, sf), sizes, 1, block=8).withColumn("value", R("value", 6))
+
+
 @query(f"WITH RECURSIVE {_TRI} SELECT mat, i AS idx, round(x, 6) + 0.0 AS value FROM x")
 def band_solve_both_triangles(spark, sf):
     """A lower system, then the transposed one: together they solve the whole."""

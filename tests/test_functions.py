@@ -450,3 +450,28 @@ def test_distances_and_patterns_of_a_caller(spark):
     x = spark.createDataFrame([("u", i, i * 50_000, (i + 1) * 50_000, c) for i, c in enumerate(["a-sil+b", "a-pau+b", "a-k+b", "x-pau+y"])], "utt string, idx long, start_time long, end_time long, context string")
     assert sorted(r.idx for r in L.silence_labels(x, ".*-pau[+].*").collect()) == [1, 3]
     assert sorted(r.frame for r in L.without_silence(spark.createDataFrame([("u", i) for i in range(4)], "utt string, frame long"), x, ".*-pau[+].*").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("coef, n, spread", [(0.97, 30_000, False), (0.97, 30_000, True), (-0.6, 500, False), (0.001, 200, False), (0.0, 20, False), (1.0, 3000, True), (-1.0, 3000, False), (1.01, 2000, False), (0.9999, 30_000, True)])
+def test_inverse_filter_is_a_scan(spark, coef, n, spread):
+    """One long utterance and some short ones, against the recursion; no Python worker takes part."""
+    rng = np.random.default_rng(int(n))
+    rows = {u: rng.normal(size=m) for u, m in (("a", n), ("b", 1), ("c", 777))}
+    df = spark.createDataFrame([(u, "k", 3 * i, float(v)) for u, x in rows.items() for i, v in enumerate(x)], "utt string, kind string, frame long, x double").repartition(5)
+    out = sequence.inv_preemphasis(df, "x", "y", coef, utt=("utt", "kind"), spread=spread)
+    assert out.columns == ["utt", "kind", "frame", "x", "y"] and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas().sort_values(["utt", "frame"])
+    for u, x in rows.items():
+        want, y = [], 0.0
+        for v in x:
+            y = v + coef * y
+            want.append(y)
+        assert np.allclose(got.y[got.utt == u], want, rtol=1e-9, atol=1e-9)
+
+
+def test_inverse_filter_of_nulls_and_in_place(spark):
+    df = spark.createDataFrame([(None, i, v) for i, v in enumerate([1.0, 2.0, None, 4.0])] + [("u", i, 1.0) for i in range(3)], "utt string, frame long, x double")
+    got = {(r.utt, r.frame): r.x for r in sequence.inv_preemphasis(df, "x", "x", 0.5).collect()}
+    assert [got["u", i] for i in range(3)] == [1.0, 1.5, 1.75] and (got[None, 0], got[None, 1]) == (1.0, 2.5) and all(np.isnan(got[None, i]) for i in (2, 3))
+    tiny = sequence.inv_preemphasis(df, "x", "y", 1e-300)
+    assert np.isnan(tiny.where("utt is null and frame = 3").first().y) and sequence.inv_preemphasis(df.where("frame < 0"), "x", "y").count() == 0

@@ -47,6 +47,23 @@ def test_solutions_and_factors(spark, width, block):
         assert np.allclose(out, np.linalg.cholesky(x))
 
 
+@pytest.mark.parametrize("width, block", [(0, 4), (1, 1), (2, 5), (3, 16), (2, 500)])
+def test_triangular_systems(spark, width, block):
+    rng = np.random.default_rng(width)
+    mats = {m: np.tril(np.triu(rng.normal(size=(n, n)), -width)) * 0.5 + np.eye(n) * 2 for m, n in (("a", 1), ("b", 7), ("c", 61), ("d", 100))}
+    rights = {m: rng.normal(size=len(x)) for m, x in mats.items()}
+    a = spark.createDataFrame([r for m, x in mats.items() for r in entries(m, x, width)], "mat string, row long, col long, value double").repartition(5)
+    b = spark.createDataFrame([(m, i, float(v)) for m, x in rights.items() for i, v in enumerate(x)], "mat string, idx long, value double")
+    sizes = spark.createDataFrame([(m, len(x)) for m, x in mats.items()], "mat string, n long")
+    for transposed in (False, True):
+        got = longbands.solve_triangular(a, b, sizes, width, transposed, block).toPandas()
+        for m, x in mats.items():
+            own = got[got.mat == m].sort_values("idx")
+            assert own.idx.tolist() == list(range(len(x))) and np.allclose(own.value, np.linalg.solve(x.T if transposed else x, rights[m]))
+    with pytest.raises(Exception, match="singular"):
+        longbands.solve_triangular(a.where("mat <> 'c' or row <> 40 or col <> 40"), b, sizes, width, block=block).collect()
+
+
 def test_matrices_that_are_not_positive_definite(spark):
     x = np.diag(np.ones(40)) * 2 - np.eye(40, k=1) - np.eye(40, k=-1)
     x[25, 25] = -1
