@@ -35,6 +35,18 @@ PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\
 _SLICE, _CALL = 1 << 20, 4000
 
 
+class Numbers(dict):
+    """Words by number; one that is asked for first gets the next number and is listed as new."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Ids of whole texts for a tokenizer that drops white space and never joins words across it.
 
@@ -64,7 +76,7 @@ class WordIds:
 
     def forget(self) -> None:
         #: word -> number; unit of its letters and of its mark (0: nothing). unit -> number; ids back to back.
-        self.code: dict[bytes, int] = {}
+        self.code = Numbers()
         self.held = 0
         self.word_units = np.zeros((0, 2), np.int64)
         self.units: dict[bytes, int] = {b"": 0}
@@ -90,7 +102,10 @@ class WordIds:
         self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self) -> None:
+        """Units of the words that are new."""
+        words, self.code.new = self.code.new, []
+        self.held += sum(map(len, words))
         match = PLAIN.fullmatch if self.parts else lambda w: None
         found = list(map(match, words))
         first = [m[1].lower() if m else w for m, w in zip(found, words, strict=True)]
@@ -100,7 +115,6 @@ class WordIds:
         self.add_units(list(set(first).union(mark).difference(self.units)), False)
         n = len(words)
         units = np.stack([np.fromiter(map(self.units.__getitem__, x), np.int64, n) for x in (first, mark)], 1)
-        self.code.update(zip(words, range(len(self.code), len(self.code) + n), strict=True))
         self.word_units = np.concatenate([self.word_units, units])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +129,10 @@ class WordIds:
         split = [t.split() for t in texts]  # at the six ASCII white-space bytes
         if len(self.code) > CACHED_WORDS or self.held > CACHED_BYTES:
             self.forget()
-        new = set(chain.from_iterable(split)).difference(self.code)
-        if new:
-            self.learn(list(new))
         n_words = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        if self.code.new:
+            self.learn()
         units = self.word_units[codes].ravel()
         sizes, starts = self.sizes[units], (np.cumsum(self.sizes) - self.sizes)[units]
         unit_at = np.concatenate([[0], np.cumsum(sizes)])
@@ -129,7 +142,6 @@ class WordIds:
         keep = np.ones(len(out), bool)
         keep[cuts[1:] - 1] = False
         out[keep] = self.flat[np.arange(unit_at[-1]) + np.repeat(starts - unit_at[:-1], sizes)]
-        self.held += sum(len(w) for w in new)
         return out, cuts
 
 
