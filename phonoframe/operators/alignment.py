@@ -65,7 +65,7 @@ def _wide(d: np.ndarray, a: int, above: np.ndarray, c: int) -> list[float]:
 def warp(x: np.ndarray, y: np.ndarray, dist: Distance = euclidean, cells: list[tuple[int, int]] | None = None) -> tuple[float, list[tuple[int, int]]]:
     """The least total distance and its path; cells[i]: the first column of row i that a path may use, and the one after the last (default: all).
 
-    Only the columns of each row are kept.
+    The costs of all cells are kept (some 32 bytes each) until the path is known.
     """
     n, m = len(x), len(y)
     if not n or not m:
@@ -95,6 +95,52 @@ def warp(x: np.ndarray, y: np.ndarray, dist: Distance = euclidean, cells: list[t
     return rows[-1][m - 1 - spans[-1][0]], path[::-1]
 
 
+def _last_row(x: np.ndarray, y: np.ndarray, dist: Distance) -> np.ndarray:
+    """The least costs from the first cell to each cell of the last row; two rows are held at a time."""
+    above = None
+    for d in _distances(x, y, dist, [(0, len(y))] * len(x)):
+        upto = np.cumsum(d)
+        if above is None:
+            above = upto
+            continue
+        best = above.copy()
+        np.minimum(best[1:], above[:-1], out=best[1:])
+        above = np.minimum.accumulate(best - (upto - d)) + upto
+    return above
+
+
+def linear_warp(x: np.ndarray, y: np.ndarray, dist: Distance = euclidean, cells: int = 1 << 20) -> tuple[float, list[tuple[int, int]]]:
+    """The least total distance and a path of it, as ``warp`` finds them, in memory for two rows and `cells` cells.
+
+    Costs from the start to the cells of the middle row, and from those to the end,
+    tell a cell that the path goes through; both halves follow in the same way, along
+    the longer sequence. Each cell's distance is taken about four times.
+    """
+    if not len(x) or not len(y):
+        return warp(x, y, dist)
+    path: list[tuple[int, int]] = []
+    parts = [(0, len(x), 0, len(y))]  # still to do, the last first
+    while parts:
+        a, b, c, d = parts.pop()
+        p, q = x[a:b], y[c:d]
+        if len(p) * len(q) <= max(cells, 64):
+            some = [(a + i, c + j) for i, j in warp(p, q, dist)[1]]
+            path += some[1:] if path else some  # the parts share a cell
+            continue
+        turned = len(p) < len(q)
+        if turned:
+            p, q = q, p
+        way: Distance = (lambda u, v: dist(v, u)) if turned else dist
+        middle = len(p) // 2
+        to = _last_row(p[: middle + 1], q, way)
+        on = _last_row(p[middle:][::-1], q[::-1], way)[::-1]
+        j = int(np.argmin(to + on - way(np.broadcast_to(p[middle], q.shape), q)))
+        row, col = (a + j, c + middle) if turned else (a + middle, c + j)
+        parts += [(row, b, col, d), (a, row + 1, c, col + 1)]
+    i, j = np.array(path).T
+    return float(dist(x[i], y[j]).sum()), path
+
+
 def fast_warp(x: np.ndarray, y: np.ndarray, radius: int = 1, dist: Distance = euclidean) -> tuple[float, list[tuple[int, int]]]:
     """Approximate warping: the path of halved sequences, widened by `radius`, bounds the search at each finer level."""
     if min(len(x), len(y)) <= radius + 2:
@@ -120,7 +166,7 @@ def _trimmed(x: np.ndarray, eps: float = 1e-7) -> np.ndarray:
 
 
 def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidean, exact: bool = False, tasks: int | None = None) -> DataFrame:
-    """(utt, step, x_frame, y_frame, distance) of frames (utt, frame, features) that both have; distance is over both lengths. Trailing silence is left out."""
+    """(utt, step, x_frame, y_frame, distance) of frames (utt, frame, features) that both have; distance is over both lengths. Trailing silence is left out. Exact paths take memory in proportion to the lengths, not to their product."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         def table(i: np.ndarray, j: np.ndarray, d: float) -> pd.DataFrame:
@@ -133,7 +179,7 @@ def paths(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidea
         p, q = (_trimmed(np.stack(f["features"].to_numpy()).astype(float)) for f in (a, b))
         if not len(p) or not len(q):
             return none
-        d, path = warp(p, q, dist) if exact else fast_warp(p, q, radius, dist)
+        d, path = linear_warp(p, q, dist) if exact else fast_warp(p, q, radius, dist)
         i, j = np.array(path).T
         return table(a["frame"].to_numpy()[i], b["frame"].to_numpy()[j], d / (len(p) + len(q)))
 

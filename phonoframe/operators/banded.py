@@ -234,6 +234,35 @@ def inverse_band(a: DataFrame, sizes: DataFrame, width: int, out_width: int, tas
     return _systems(a, width, lambda band, _: kernels.inverse_band(kernels.cholesky(band), out_width), None, sizes, _schema(a, "row long, col long, value double"), tasks)
 
 
-def inverse(a: DataFrame, sizes: DataFrame, width: int, tasks: int | None = None) -> DataFrame:
-    """The lower triangles of whole inverses: a matrix of n rows gives n * (n + 1) / 2 entries."""
-    return _systems(a, width, lambda band, _: kernels.inverse_band(kernels.cholesky(band), band.shape[1] - 1), None, sizes, _schema(a, "row long, col long, value double"), tasks)
+def inverse(a: DataFrame, sizes: DataFrame, width: int, tasks: int | None = None, columns: int = 128) -> DataFrame:
+    """The lower triangles of whole inverses: a matrix of n rows gives n * (n + 1) / 2 entries.
+
+    Each block of `columns` unit columns is solved apart, in a task that has the
+    matrix's band besides; the rows above a block's first column aren't needed.
+    """
+    lower = from_rows(a, width, 0).select("mat", "row", "col", F.col("value").cast("double").alias("value"))
+    size = sizes.select("mat", F.col("n").cast("long").alias("row"), F.lit(-2).cast("long").alias("col"), F.lit(0.0).alias("value"))
+    met = lower.unionByName(size).join(sizes.select("mat", F.ceil(F.col("n") / columns).alias("_blocks")), "mat")
+    spread = met.select("mat", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"), "row", "col", "value")
+    keyed = spread.withColumn("key", F.to_json(F.struct("mat", "block"), {"ignoreNullFields": "false"})).select("key", "mat", "block", "row", "col", "value")
+
+    def kernel(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bands, units, firsts = [], [], []
+        for pdf in some:
+            row, col, value = (pdf[c].to_numpy() for c in ("row", "col", "value"))
+            n, first = int(row[col == -2][0]), int(pdf["block"].iloc[0]) * columns
+            inner, wide = col >= 0, min(columns, n - first)
+            band, unit = np.zeros((width + 1, n, 1)), np.zeros((n, wide))
+            band[row[inner] - col[inner], row[inner], 0] = value[inner]
+            unit[first + np.arange(wide), np.arange(wide)] = 1
+            bands.append(band)
+            units.append(unit)
+            firsts.append(first)
+        for group in kernels.by_length([len(u) for u in units]):
+            solved = kernels.solve_many([np.repeat(bands[i], units[i].shape[1], 2) for i in group], [units[i] for i in group])
+            for i, x in zip(group, solved, strict=True):
+                row, col = (v.ravel() for v in np.indices(x.shape))
+                good = row >= col + firsts[i]
+                yield pd.DataFrame({"mat": [some[i]["mat"].iloc[0]] * int(good.sum()), "row": row[good], "col": col[good] + firsts[i], "value": x.ravel()[good]})
+
+    return over_utterances(keyed, kernel, _schema(a, "row long, col long, value double"), order="row", tasks=tasks, key="key")

@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from phonoframe.plans.tables import EVENTS, LABELS, events, labels, table
 from phonoframe.session import shared_folder
 from phonoframe.sources import corpora
 from phonoframe.sources import labels as label_files
+from phonoframe.sources.formats import FILES, Corpus, listed, source_of
 
 LANGS = ["de", "en", "es", "fr"]
 
@@ -185,3 +187,35 @@ class _Lengths(corpora.Source):
 def source_of_a_caller(spark, sf):
     x = _Lengths(sf).frames(spark)
     return x.select("utt", "frame", F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
+
+
+@query(f"WITH {_DOCS} SELECT name, lang AS folder, strlen(source) AS size, source AS text FROM d")
+def source_format_files(spark, sf):
+    """Files written by the sink with commit and read by the registered data source, some in each partition."""
+    docs = _docs(spark, sf)
+    root = _written(docs, F.concat("lang", F.lit("/"), "name", F.lit(".txt")), F.col("source"))
+    found = spark.read.format(FILES).option("pattern", "*.txt").option("partitionBytes", "400").load(root)
+    return found.select("name", F.regexp_extract("folder", "([^/]*)$", 1).alias("folder"), "size", F.col("content").cast("string").alias("text"))
+
+
+class _Ramps(Corpus):
+    """A caller's corpus over a folder: a file's bytes are its frames, each with the one before it."""
+
+    def items(self):
+        return [(f.base_name.rsplit(".", 1)[0], f.path) for f in listed(self.options["path"])]
+
+    def features(self, item):
+        fs, _ = pafs.FileSystem.from_uri(self.options["path"])
+        with fs.open_input_stream(item) as f:
+            x = np.frombuffer(f.read(), np.uint8).astype(float)
+        return np.stack([x, np.concatenate([[0.0], x[:-1]])], 1)
+
+
+@query(f"""WITH {_DOCS}, b AS (SELECT name, source, unnest(range(1, len(source) + 1)) AS i FROM d), c AS (SELECT name AS utt, i - 1 AS frame, CAST(ascii(source[i]) AS DOUBLE) AS x FROM b)
+SELECT utt, frame, x, coalesce(lag(x) OVER (PARTITION BY utt ORDER BY frame), 0.0) AS before FROM c""")
+def source_format_caller(spark, sf):
+    """A caller's corpus as a data source of its own."""
+    root = _written(_docs(spark, sf), F.concat("name", F.lit(".bin")), F.col("source"))
+    spark.dataSource.register(source_of("phonoframe_ramps", _Ramps))
+    x = spark.read.format("phonoframe_ramps").option("path", root).load()
+    return x.select("utt", "frame", F.col("features")[0].alias("x"), F.col("features")[1].alias("before"))

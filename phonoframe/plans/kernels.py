@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from phonoframe.functions.windows import DEFAULT
-from phonoframe.operators import alignment, gmm, longbands, paramgen, postfilter, sequence, spectral
+from phonoframe.operators import alignment, gmm, longbands, mixtures, paramgen, postfilter, sequence, spectral
 from phonoframe.plans.registry import ORACLE_SQL, query
 from phonoframe.plans.tables import EVENTS, events, table
 
@@ -251,6 +251,38 @@ def gmm_trajectory(spark, sf):
     return gmm.converted(frames, _dynamic_mixture(), DEFAULT).select("utt", "frame", R(F.col("features")[0]).alias("y"))
 
 
+def _joint(spark, sf):
+    """(vec_id, features): the first two numbers of each embedding, a source and its target."""
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.array(e[0].cast("double"), e[1].cast("double")).alias("features"))
+
+
+#: p0: the start of two components; p1, p2: after one and two rounds of expectation maximisation.
+_FITTED = "e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), p0 AS (SELECT k AS component, 0.5::DOUBLE AS w, avg(x) + stddev_pop(x)*(k - 0.5) AS m0, avg(y) + stddev_pop(y)*(k - 0.5) AS m1, var_pop(x) + 1e-6 AS c00, 0::DOUBLE AS c01, var_pop(y) + 1e-6 AS c11 FROM e, (SELECT unnest(range(2)) AS k) GROUP BY k)" + "".join(f""",
+l{k} AS (SELECT vec_id, x, y, component, w/sqrt(c00*c11 - c01*c01)*exp(-0.5*(c11*(x-m0)*(x-m0) - 2*c01*(x-m0)*(y-m1) + c00*(y-m1)*(y-m1))/(c00*c11 - c01*c01)) AS d FROM e, p{k - 1}),
+r{k} AS (SELECT *, d/sum(d) OVER (PARTITION BY vec_id) AS r FROM l{k}),
+p{k} AS (SELECT component, sum(r)/(SELECT count(*) FROM e) AS w, sum(r*x)/sum(r) AS m0, sum(r*y)/sum(r) AS m1, sum(r*x*x)/sum(r) - pow(sum(r*x)/sum(r), 2) + 1e-6 AS c00,
+  sum(r*x*y)/sum(r) - sum(r*x)*sum(r*y)/pow(sum(r), 2) AS c01, sum(r*y*y)/sum(r) - pow(sum(r*y)/sum(r), 2) + 1e-6 AS c11 FROM r{k} GROUP BY component)""" for k in (1, 2))
+
+
+@query(f"WITH {_FITTED} SELECT component, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in ('w', 'm0', 'm1', 'c00', 'c01', 'c11'))} FROM p1")
+def gmm_step(spark, sf):
+    """One round of expectation maximisation over all embeddings, from a start that their means and variances decide."""
+    x = _joint(spark, sf)
+    got = mixtures.stepped(x, mixtures.start(x, 2))
+    m, c = F.col("mean"), F.col("covariance")
+    return got.select("component", *[R(v, 5).alias(n) for n, v in (("w", F.col("weight")), ("m0", m[0]), ("m1", m[1]), ("c00", c[0]), ("c01", c[1]), ("c11", c[3]))])
+
+
+@query(f"WITH {_FITTED}, t AS (SELECT vec_id, w/sqrt(c00)*exp(-0.5*(x-m0)*(x-m0)/c00) AS s, m1 + c01/c00*(x-m0) AS y FROM e, p2) SELECT vec_id, round(sum(s*y)/sum(s), 4) + 0.0 AS y FROM t GROUP BY vec_id")
+def gmm_fitted_mapping(spark, sf):
+    """The target's expectation by a mixture fitted to the embeddings in two rounds."""
+    x = _joint(spark, sf)
+    mixture = mixtures.fit(x, 2, rounds=2, close=-1.0)
+    frames = x.select(F.col("vec_id").alias("utt"), F.lit(0).alias("frame"), F.slice("features", 1, 1).alias("features"))
+    return gmm.mapped(frames, mixture).select(F.col("utt").alias("vec_id"), R(F.col("features")[0]).alias("y"))
+
+
 #: Spectra of warped cepstra are sums of cosines at warped frequencies.
 @query("""WITH c AS (SELECT vec_id, unnest(range(len(embedding))) AS m, unnest(embedding)::DOUBLE AS c FROM embeddings),
 k AS (SELECT bin, 2*pi()*bin/1024 AS w, w + 2*atan2(0.42*sin(w), 1 - 0.42*cos(w)) AS b FROM (SELECT unnest(range(513)) AS bin)),

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from phonoframe.functions import scalar
 from phonoframe.functions.windows import DELTA, DELTA2, STATIC, WIDE_DELTA
 from phonoframe.operators import datasets, metrics, sequence
-from phonoframe.plans.registry import query
+from phonoframe.plans.registry import ORACLE_SQL, query
 from phonoframe.plans.tables import EVENTS, PAIRS, events, pairs
+from phonoframe.session import shared_folder
+from phonoframe.streaming import windows as stream_windows
 
 R = lambda c, n=6: F.round(c, n)
 _KEYS = ["utt", "frame"]
@@ -245,6 +247,24 @@ def sliding_windows(spark, sf):
     return sequence.sliding(events(spark, sf), "value", 10, 5)
 
 
+@query(ORACLE_SQL["sliding_windows"])
+def streamed_windows(spark, sf):
+    """The same windows from a stream of frames that comes in several batches, cut without regard to utterances."""
+    root = shared_folder(spark, "stream")
+    frames = events(spark, sf).select("utt", "frame", "value")
+    frames.repartition(6, F.floor(F.col("frame") / 7) + F.col("utt")).write.parquet(f"{root}/frames")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/frames")
+        windows = stream_windows.sliding(stream, "value", 10, 5)
+        windows.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/windows").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.schema(windows.schema).parquet(f"{root}/windows")
+
+
 @query(f"""WITH {EVENTS}, n AS (SELECT utt, count(*) AS n FROM e GROUP BY utt), w AS (SELECT utt, unnest(range((n - 10) // 5 + 1)) AS w FROM n WHERE n >= 10)
 SELECT e.utt, e.frame, round(sum(e.value), 5) AS value FROM w JOIN e ON e.utt = w.utt AND e.frame >= w.w*5 AND e.frame < w.w*5 + 10 GROUP BY e.utt, e.frame""")
 def overlap_add(spark, sf):

@@ -18,10 +18,15 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; on one machine without that setting, a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share, removed when the driver ends; on one machine without that setting, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="phonoframe-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return made

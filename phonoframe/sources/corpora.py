@@ -12,12 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from phonoframe.operators.datasets import first_per_group, with_label
+from phonoframe.sources.formats import FILES, register
 
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -27,24 +26,11 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def write_files(contents: DataFrame, root: str) -> int:
-    """Writes name (a path below root) and content (binary) as files; how many there are. Tasks write side by side, and one that is repeated writes the same files again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
-        n, made = 0, set()
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                at = f"{base}/{name.as_py()}"
-                folder = at.rsplit("/", 1)[0]
-                if folder not in made:
-                    fs.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with fs.open_output_stream(at) as f:
-                    f.write(content.as_py() or b"")
-                n += 1
-        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
-
-    return contents.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    """Writes name (a path below root) and content (binary) as files; how many there are. Tasks write side by side; the files are there when all of them have been written, and none is if one fails."""
+    register(contents.sparkSession)
+    seen = Observation()
+    contents.select("name", "content").observe(seen, F.count("*").alias("n")).write.format(FILES).mode("append").save(root)
+    return seen.get["n"]
 
 
 class Source(ABC):

@@ -124,3 +124,16 @@ def test_kernel_of_one_block():
     z = np.linalg.solve(x[np.ix_(inner, inner)], np.c_[x[np.ix_(inner, ends)], block.b[inner]])
     assert np.allclose(s[:, :, 0], own - x[np.ix_(ends, inner)] @ z[:, :5])
     assert np.allclose(kernels.cholesky(band)[0, :, 0], np.diag(np.linalg.cholesky(x))) and hasattr(banded, "solve")
+
+
+@pytest.mark.parametrize("columns", [3, 128])
+def test_inverses_by_blocks_of_columns(spark, columns):
+    rng = np.random.default_rng(columns)
+    mats = {m: systems(rng, n, 2) for m, n in (("a", 1), ("b", 7), ("c", 40))}
+    a = spark.createDataFrame([r for m, x in mats.items() for r in entries(m, x, 2)], "mat string, row long, col long, value double").repartition(3)
+    sizes = spark.createDataFrame([(m, len(x)) for m, x in mats.items()], "mat string, n long")
+    got = banded.inverse(a, sizes, 2, columns=columns).toPandas()
+    for m, x in mats.items():
+        own = got[got.mat == m]
+        assert len(own) == len(x) * (len(x) + 1) // 2 and (own.row >= own.col).all()
+        assert np.allclose(own.value, np.linalg.inv(x)[own.row, own.col])
