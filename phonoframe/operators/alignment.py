@@ -193,6 +193,19 @@ def aligned(path: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     return path.join(a, ["utt", "x_frame"]).join(b, ["utt", "y_frame"]).select("utt", "step", "x", "y")
 
 
+def padded_pairs(x: DataFrame, y: DataFrame, radius: int = 1, dist: Distance = euclidean, exact: bool = False, tasks: int | None = None) -> DataFrame:
+    """(utt, frame, x, y): the features of both along their path, then zeros up to one length: that of the longest utterance or path. Utterances of silence only are all zeros."""
+    path = paths(x, y, radius, dist, exact, tasks)
+    pairs = aligned(path, x, y).withColumnRenamed("step", "frame")
+    width = lambda df: df.agg(F.coalesce(F.max(F.size("features")), F.lit(0))).scalar()
+    longest = lambda df, c: df.agg(F.coalesce(F.max(c) + 1, F.lit(0)).cast("long")).scalar()
+    ends = x.select("utt").distinct().join(y.select("utt").distinct(), "utt").join(path.groupBy("utt").agg((F.max("step") + 1).alias("_n")), "utt", "left")
+    first, length = F.coalesce("_n", F.lit(0)).cast("long"), F.greatest(longest(x, "frame"), longest(y, "frame"), longest(path, "step"))
+    rest = ends.withColumn("_a", first).withColumn("_t", length).where("_a < _t").withColumn("frame", F.explode(F.sequence("_a", F.col("_t") - 1)))
+    zeros = rest.select("utt", "frame", F.array_repeat(F.lit(0.0), width(x)).alias("x"), F.array_repeat(F.lit(0.0), width(y)).alias("y"))
+    return pairs.select("utt", "frame", *(F.col(c).cast("array<double>").alias(c) for c in "xy")).unionByName(zeros)
+
+
 def iterative(x: DataFrame, y: DataFrame, n_iter: int = 3, components: int = 16, radius: int = 1, seed: int = 0, max_iter: int = 100, dist: Distance = euclidean) -> DataFrame:
     """Paths between x and y refined over n_iter rounds: align the x converted so far, fit a joint mixture on the aligned frames, convert the converted x once more by it.
 

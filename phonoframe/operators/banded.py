@@ -7,7 +7,7 @@ inverses are recursions along the diagonal: a kernel per matrix.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonoframe.operators import kernels
-from phonoframe.operators.grouping import each, kind, over_utterances
+from phonoframe.operators.grouping import kind, over_utterances
 
 ENTRY = ["mat", "row", "col", "value"]
 
@@ -188,21 +188,34 @@ def _systems(a: DataFrame, width: int, kernel: Callable[[np.ndarray, np.ndarray]
     for other in [size, *right]:
         rows = rows.unionByName(other)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         row, col, value = (pdf[c].to_numpy() for c in ("row", "col", "value"))
         n = int(row[col == -2][0])
         band, x = np.zeros((width + 1, n, 1)), np.zeros((n, 1))
         inner = col >= 0
         band[row[inner] - col[inner], row[inner], 0] = value[inner]
         x[row[col == -1], 0] = value[col == -1]
-        out = kernel(band, x)
-        if out.ndim == 2:
-            return pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * n, "idx": np.arange(n), "value": out[:, 0]})
-        k, t = (i.ravel() for i in np.indices(out.shape[:2]))
-        good = t >= k
-        return pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * int(good.sum()), "row": t[good], "col": (t - k)[good], "value": out[k[good], t[good], 0]})
-
-    return over_utterances(rows, each(run), schema, order="row", tasks=tasks)
+        return band, x
+
+    def run(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        systems = [one(pdf) for pdf in some]
+        # Matrices of similar sizes side by side: one loop over their rows serves them all. Rows beyond a matrix are the unit matrix's.
+        for group in kernels.by_length([len(x) for _, x in systems]):
+            bands, rights = kernels.stacked([systems[i][0] for i in group]), kernels.stacked([systems[i][1] for i in group])
+            for k, i in enumerate(group):
+                bands[0, len(systems[i][1]) :, k] = 1
+            got = kernel(bands, rights)
+            for k, i in enumerate(group):
+                n, mat = len(systems[i][1]), some[i]["utt"].iloc[0]
+                if got.ndim == 2:
+                    yield pd.DataFrame({"mat": [mat] * n, "idx": np.arange(n), "value": got[:n, k]})
+                    continue
+                own = got[:, :n, k]
+                d, t = (v.ravel() for v in np.indices(own.shape))
+                good = t >= d
+                yield pd.DataFrame({"mat": [mat] * int(good.sum()), "row": t[good], "col": (t - d)[good], "value": own[d[good], t[good]]})
+
+    return over_utterances(rows, run, schema, order="row", tasks=tasks)
 
 
 def _schema(a: DataFrame, columns: str) -> str:

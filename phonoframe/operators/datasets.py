@@ -22,6 +22,11 @@ def length(utts: DataFrame) -> int:
     return utts.count()
 
 
+def lengths(utts: DataFrame) -> DataFrame:
+    """The same as a table of one row (n), for plans that use it."""
+    return utts.agg(F.count("*").alias("n"))
+
+
 def at(utts: DataFrame, index: int | slice) -> DataFrame:
     """Utterances by ordinal: a number (negative: from the end) or a slice. Their number is asked for only where the index needs it, in the same plan."""
     ordinal = F.col("ordinal")

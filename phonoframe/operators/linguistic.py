@@ -152,6 +152,41 @@ def durations(labels: DataFrame, num_states: int = 5, shift: int = FRAME_SHIFT)
     return of_states.unionByName(phone_durations(phones, shift).select("utt", F.col("idx").alias("phone"), F.array("frames").alias("frames")))
 
 
+def _unit_frames(labels: DataFrame, shift: int) -> DataFrame:
+    """Labels with frames, unit (the phone's number), of_phone (its frames, array of its states' frames), from (frames before the label) and last (whether the label ends its phone), by the utterance's kind of alignment."""
+    states_, phones = _by_alignment(labels)
+    s = states(states_, shift)
+    of_phone = Window.partitionBy("utt", "phone")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("state", "frames")).over(of_phone)), lambda x: x["frames"])
+    a = s.select("utt", "idx", F.col("phone").alias("unit"), "frames", F.col("phone_frames").alias("sum"), listed.alias("listed"), (F.col("state") == F.col("num_states")).alias("last"))
+    whole = ((F.col("end_time") - F.col("start_time")) / shift).cast("long")
+    b = phones.select("utt", "idx", F.col("idx").alias("unit"), whole.alias("frames"), whole.alias("sum"), F.array(whole).alias("listed"), F.lit(True).alias("last"))
+    before = F.coalesce(F.sum("frames").over(Window.partitionBy("utt").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return a.unionByName(b).withColumn("from", before)
+
+
+def duration_features(labels: DataFrame, kind: str = "numerical", unit: str = "state", size: str = "phoneme", shift: int = FRAME_SHIFT) -> DataFrame:
+    """(utt, row, features): durations in frames, a row per phone or, of size "frame", per frame.
+
+    numerical: of unit "state" the frames of each of the phone's states, of unit
+    "phoneme" their sum. binary: 1 in the last frame of each state or phone, for
+    frames only. Utterances without states know phones only: both units are their
+    phones' frames.
+    """
+    for value, known in ((kind, ("numerical", "binary")), (unit, ("state", "phoneme")), (size, ("phoneme", "frame"))):
+        if value not in known:
+            raise ValueError(f"{value!r} isn't one of {known}")
+    if kind == "binary" and size == "phoneme":
+        raise ValueError("binary durations mark frames")
+    x = _unit_frames(labels, shift)
+    values = F.col("listed") if unit == "state" else F.array("sum")
+    if size == "phoneme":
+        return x.where("last").select("utt", F.col("unit").alias("row"), values.alias("features"))
+    spread = x.where("frames > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)))
+    ends = (F.col("_i") == F.col("frames") - 1) & (F.lit(unit == "state") | F.col("last"))
+    return spread.select("utt", (F.col("from") + F.col("_i")).alias("row"), (F.array(ends.cast("long")) if kind == "binary" else values).alias("features"))
+
+
 def duration_marks(labels: DataFrame, unit: str = "state", shift: int = FRAME_SHIFT) -> DataFrame:
     """(utt, frame, mark): 1 in the last frame of each state or phone."""
     if unit not in ("state", "phoneme"):

@@ -19,6 +19,8 @@ from phonoframe.operators.grouping import kind, over_utterances
 
 
 def _precisions(variances: np.ndarray, shape: tuple[int, int], windows: tuple[DeltaWindow, ...]) -> list[np.ndarray]:
+    if not (np.asarray(variances, float) > 0).all():
+        raise ValueError("a variance isn't positive")
     return kernels.edge_zeroed(np.broadcast_to(1 / np.asarray(variances, float), shape).copy(), windows)
 
 
@@ -68,8 +70,14 @@ def window_rows(windows: Sequence[DeltaWindow], n_frames: int) -> np.ndarray:
     return np.concatenate([kernels.apply_window(eye, w) for w in windows])
 
 
-def _matrix(pdf: pd.DataFrame, column: str) -> np.ndarray:
-    return np.stack(pdf[column].to_numpy()).astype(float)
+def window_table(sizes: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT) -> DataFrame:
+    """(mat, n) -> (mat, row, col, value): the same for each length, a row of it per window and frame, zeros left out."""
+    frame = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    taps = [(k, i - w.left, float(tap)) for k, w in enumerate(windows) for i, tap in enumerate(w.taps) if tap]
+    tap = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("window"), F.lit(o).cast("long").alias("offset"), F.lit(v).alias("value")) for k, o, v in taps]))
+    spread = sizes.where("n > 0").select("mat", F.col("n").cast("long").alias("n"), frame.alias("frame")).select("*", tap.alias("_t"))
+    col = F.col("frame") + F.col("_t.offset")
+    return spread.where((col >= 0) & (col < F.col("n"))).select("mat", (F.col("_t.window") * F.col("n") + F.col("frame")).alias("row"), col.alias("col"), F.col("_t.value").alias("value"))
 
 
 def unit_variance_matrix(windows: Sequence[DeltaWindow], n_frames: int) -> np.ndarray:

@@ -237,6 +237,37 @@ def duration_of_phones(spark, sf):
     return linguistic.durations(_phones(spark, sf)).select("utt", "phone", F.col("frames")[0].alias("frames"))
 
 
+_LISTED = "t2 AS (SELECT utt, phone, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (state = {k}), 0) AS BIGINT) AS s{k}" for k in range(1, 6)) + ", CAST(sum(n) AS BIGINT) AS total, max(state) AS states FROM s GROUP BY utt, phone)"
+_WHOLE = "(SELECT utt, max(state) AS m FROM s GROUP BY utt)"
+
+
+def _listed(df):
+    """Utterances may end within a phone: what its last states would hold is 0."""
+    return df.select("utt", "row", *[F.coalesce(F.get("features", F.lit(k)), F.lit(0)).alias(f"s{k + 1}") for k in range(5)])
+
+
+@query(f"WITH {LABELS}, {_STATES}, {_LISTED} SELECT x.utt, f0 + i AS \"row\", s1, s2, s3, s4, s5 FROM x JOIN t2 ON t2.utt = x.utt AND t2.phone = x.phone")
+def duration_states_by_frame(spark, sf):
+    """In every frame, the frames of all states of its phone."""
+    return _listed(linguistic.duration_features(labels(spark, sf), size="frame"))
+
+
+@query(f"WITH {LABELS}, {_STATES}, {_LISTED} SELECT t2.utt, phone AS \"row\", total FROM t2 JOIN {_WHOLE} w ON w.utt = t2.utt AND states = m")
+def duration_phone_sums(spark, sf):
+    return linguistic.duration_features(labels(spark, sf), unit="phoneme").select("utt", "row", F.col("features")[0].alias("total"))
+
+
+@query(f"WITH {LABELS}, {_STATES} SELECT utt, f0 + i AS \"row\", CAST(p AS BIGINT) AS total FROM x")
+def duration_phone_sums_by_frame(spark, sf):
+    return linguistic.duration_features(labels(spark, sf), unit="phoneme", size="frame").select("utt", "row", F.col("features")[0].alias("total"))
+
+
+@query(f"WITH {LABELS}, {_PHONES} SELECT utt, f0 + i AS \"row\", CAST(CASE WHEN i = n - 1 THEN 1 ELSE 0 END AS BIGINT) AS mark FROM x")
+def duration_marks_of_phones(spark, sf):
+    """The last frame of each phone of a phone alignment."""
+    return linguistic.duration_features(_phones(spark, sf), "binary", "phoneme", "frame").select("utt", "row", F.col("features")[0].alias("mark"))
+
+
 @query(f"WITH {LABELS}, {_STATES} SELECT utt, f0 + i AS frame, CASE WHEN i = n - 1 THEN 1 ELSE 0 END AS mark FROM x")
 def duration_state_marks(spark, sf):
     return linguistic.duration_marks(labels(spark, sf), "state")

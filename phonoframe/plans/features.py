@@ -142,5 +142,4 @@ def dataset_index(spark, sf):
 
 @query("SELECT count(*) AS n FROM documents")
 def dataset_length(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id")
-    return spark.range(1).select(F.lit(datasets.length(docs)).cast("long").alias("n"))
+    return datasets.lengths(table(spark, sf, "documents").select("doc_id"))

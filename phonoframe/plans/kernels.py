@@ -173,6 +173,19 @@ def dtw_distance(spark, sf):
     return alignment.paths(x, y, exact=True).groupBy("utt").agg(F.first("distance").alias("distance")).select("utt", F.round("distance", 5).alias("distance"))
 
 
+@query(ORACLE_SQL["dtw_distance"])
+def dtw_aligned_cost(spark, sf):
+    """The distances of the frames that exact paths bring together, added up: the least cost."""
+    x = _features(spark, sf)
+    y = x.withColumn("utt", F.col("utt") - 1)
+    path = alignment.paths(x, y, exact=True)
+    far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    cost = alignment.aligned(path, x, y).groupBy("utt").agg(F.sum(far).alias("cost"))
+    # An utterance's trailing silence isn't aligned: lengths end with the path.
+    ends = path.groupBy("utt").agg((F.max("x_frame") + F.max("y_frame") + 2).alias("n"))
+    return cost.join(ends, "utt").select("utt", F.round(F.col("cost") / F.col("n"), 5).alias("distance"))
+
+
 def _mixture(**how) -> gmm.JointMixture:
     rng = np.random.default_rng(0)
     a = rng.normal(size=(3, 4, 8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phonoframe.operators import banded, longbands
+from phonoframe.operators import banded, longbands, paramgen
 from phonoframe.plans.registry import ORACLE_SQL, query
 from phonoframe.plans.tables import EVENTS, events
 
@@ -105,6 +105,13 @@ def window_matrix(spark, sf):
     return banded.window_matrix(_sizes(spark, sf), 1, (-0.5, 0.0, 0.5))
 
 
+@query(f"""WITH {_M}, t AS (SELECT mat, n, unnest(range(n)) AS frame FROM n), k AS (SELECT * FROM (VALUES (0, 0, 1.0), (1, -1, -0.5), (1, 1, 0.5), (2, -1, 1.0), (2, 0, -2.0), (2, 1, 1.0)) v(w, o, v))
+SELECT mat, w*n + frame AS "row", frame + o AS col, CAST(v AS DOUBLE) AS value FROM t, k WHERE frame + o BETWEEN 0 AND n - 1""")
+def window_table(spark, sf):
+    """The matrix of the static, delta and delta-delta windows, one below the other, for each length."""
+    return paramgen.window_table(_sizes(spark, sf))
+
+
 @query(f"""WITH {_M}, r AS (SELECT mat, n, unnest(range(n)) AS "row" FROM n), g AS (SELECT mat, "row", unnest(range(n)) AS col FROM r)
 SELECT g.mat, g."row", g.col, round(coalesce(a.value, 0.0), 4) + 0.0 AS value FROM g LEFT JOIN a ON a.mat = g.mat AND a."row" = g."row" AND a.col = g.col""")
 def band_dense(spark, sf):

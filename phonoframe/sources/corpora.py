@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phonoframe.operators.datasets import first_per_group, with_label
@@ -105,18 +105,21 @@ def emotion_folders(spark: SparkSession, root: str, speakers: Sequence[str], emo
 
 
 def balanced_sentences(spark: SparkSession, path: str, column: str = "sentence", max_files: int | None = None) -> DataFrame:
-    """(sentence_id, text) of a tab-separated file with a header."""
+    """(sentence_id, text) of a tab-separated file with a header, or of the files of a folder; max_files: the first lines of each file."""
     names = ["sentence_id", "sentence", "yomi", "monophone"]
     if column not in names:
         raise ValueError(f"column is one of {names}")
     rows = spark.read.csv(path, sep="\t", header=True, schema=", ".join(f"{n} string" for n in names), quote="").select("sentence_id", F.col(column).alias("text"))
     if max_files is None:
         return rows
-    # The first lines of the file: a small one, read as a whole.
-    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("_at", "_line")).where((F.col("_at") > 0) & (F.col("_line") != ""))
+    # Lines of a part of a file are read in order, and parts are told apart by where they start.
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("_line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    at = F.row_number().over(Window.partitionBy("path").orderBy("_block", "_id"))
+    # Of a file only as many lines as are wanted leave the tasks that read them; empty ones don't count.
+    first = lines.where("_line <> ''").withColumn("_at", at).where(F.col("_at") <= max_files + 1)
     place = {n: k for k, n in enumerate(names)}
     field = lambda n: F.get(F.split("_line", "\t"), F.lit(place[n]))
-    return numbered.orderBy("_at").limit(max_files).select(field("sentence_id").alias("sentence_id"), field(column).alias("text"))
+    return first.where("_at > 1").select(field("sentence_id").alias("sentence_id"), field(column).alias("text"))
 
 
 def metadata_table(spark: SparkSession, root: str, normalized: bool = False) -> DataFrame:

@@ -475,3 +475,52 @@ def test_inverse_filter_of_nulls_and_in_place(spark):
     assert [got["u", i] for i in range(3)] == [1.0, 1.5, 1.75] and (got[None, 0], got[None, 1]) == (1.0, 2.5) and all(np.isnan(got[None, i]) for i in (2, 3))
     tiny = sequence.inv_preemphasis(df, "x", "y", 1e-300)
     assert np.isnan(tiny.where("utt is null and frame = 3").first().y) and sequence.inv_preemphasis(df.where("frame < 0"), "x", "y").count() == 0
+
+
+def test_all_forms_of_durations(spark):
+    phones = [("p", i, 0, (i + 2) * 50_000, "a-b+c") for i in range(2)]
+    phones = [("p", 0, 0, 125_000, "a-b+c"), ("p", 1, 125_000, 300_000, "a-b+c")]
+    states = [("s", i, 50_000 * t, 50_000 * e, f"a-b+c[{i % 3 + 2}]") for i, (t, e) in enumerate([(0, 2), (2, 2), (2, 5), (5, 6), (6, 8), (8, 11)])]
+    df = spark.createDataFrame(phones + states, "utt string, idx long, start_time long, end_time long, context string")
+    got = lambda *how: sorted((r.utt, r.row, r.features) for r in linguistic.duration_features(df, *how).collect())
+    assert got() == [("p", 0, [2]), ("p", 1, [3]), ("s", 0, [2, 0, 3]), ("s", 1, [1, 2, 3])]
+    assert got("numerical", "phoneme") == [("p", 0, [2]), ("p", 1, [3]), ("s", 0, [5]), ("s", 1, [6])]
+    frames = got("numerical", "state", "frame")
+    assert [x for u, _, x in frames if u == "s"] == [[2, 0, 3]] * 5 + [[1, 2, 3]] * 6 and [x for u, _, x in frames if u == "p"] == [[2]] * 2 + [[3]] * 3
+    assert [r for u, r, _ in frames if u == "s"] == list(range(11))
+    marks = lambda unit, utt: [x[0] for u, _, x in got("binary", unit, "frame") if u == utt]
+    assert marks("state", "s") == [0, 1, 0, 0, 1, 1, 0, 1, 0, 0, 1] and marks("phoneme", "s") == [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1]
+    assert marks("phoneme", "p") == marks("state", "p") == [0, 1, 0, 0, 1]
+    for how in (("x",), ("numerical", "x"), ("numerical", "state", "x"), ("binary", "state", "phoneme")):
+        with pytest.raises(ValueError):
+            linguistic.duration_features(df, *how)
+
+
+def test_pairs_padded_to_one_length(spark):
+    """A path with known answers: y is x with frames repeated, and one pair is silence."""
+    table = lambda rows: spark.createDataFrame([(u, i, [float(v), 1.0 if v else 0.0]) for u, x in rows.items() for i, v in enumerate(x)], "utt string, frame long, features array<double>")
+    x, y = table({"a": [1, 5, 9, 0], "b": [0, 0], "c": [3]}), table({"a": [1, 5, 5, 9, 9], "b": [4], "c": [3, 3], "d": [1]})
+    got = {}
+    for r in alignment.padded_pairs(x, y, exact=True).orderBy("frame").collect():
+        got.setdefault(r.utt, []).append((r.frame, r.x[0], r.y[0]))
+    assert got == {
+        "a": [(0, 1, 1), (1, 5, 5), (2, 5, 5), (3, 9, 9), (4, 9, 9)],
+        "b": [(i, 0, 0) for i in range(5)],
+        "c": [(0, 3, 3), (1, 3, 3), *((i, 0, 0) for i in range(2, 5))],
+    }
+
+
+def test_first_sentences_of_each_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.tsv").write_text("sentence_id\tsentence\tyomi\tmonophone\r\n" + "".join(f"{name}{i}\tx{i}\ty\tz\r\n" + "\r\n" * (i == 2) for i in range(50)))
+    got = corpora.balanced_sentences(spark, str(tmp_path / "*.tsv"), max_files=5)
+    assert sorted(r.sentence_id for r in got.collect()) == [f"{n}{i}" for n in "ab" for i in range(5)] and got.where("text = 'x4'").count() == 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = corpora.balanced_sentences(spark, str(tmp_path / "a.tsv"), max_files=30)
+        assert sorted(r.sentence_id for r in got.collect()) == sorted(f"a{i}" for i in range(30))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    none = np.array([[0.0, 1.0, 1.0]])
+    with pytest.raises(ValueError, match="isn't positive"):
+        paramgen.generate(np.zeros((4, 3)), none)
