@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,11 +127,13 @@ class WordIds:
             gc.enable()
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.split() for t in texts]  # at the six ASCII white-space bytes
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))  # empty words, at the ends of a text, have no ids
+        words = split.values.dictionary_encode()
         if len(self.code) > CACHED_WORDS or self.held > CACHED_BYTES:
             self.forget()
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        n_words = np.diff(split.offsets)
+        different = words.dictionary.cast(pa.binary()).to_pylist()
+        codes = np.fromiter(map(self.code.__getitem__, different), np.int64, len(different))[words.indices.to_numpy()]
         if self.code.new:
             self.learn()
         units = self.word_units[codes].ravel()

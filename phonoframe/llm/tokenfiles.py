@@ -41,7 +41,7 @@ BLOCK, PART_IDS = 1 << 18, 1 << 23
 #: A file holds at least so many documents, about.
 LEAST_DOCUMENTS = 500
 #: Bytes of text encoded at once; longer texts are cut at white space.
-_SLICE = 1 << 20
+_SLICE = 4 << 20
 _BLOCKS = np.dtype([("at", "<u8"), ("first", "<u8"), ("ids", "<u4"), ("bytes", "<u4"), ("crc", "<u4")])
 _DOCUMENTS = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("ids", "<u8")])
 _TRAILER = struct.Struct("<QQQQI8s")
