@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components of links aren't found after {ROUNDS} rounds")
     return at.df.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -19,14 +19,16 @@ less, and the join finds all components of links, exactly:
    make Voronoi regions: a member within ``CORE`` of its nearest pivot is of the
    core of that region, and members as near to that pivot as CORE and the radius,
    but not much nearer to another, are its boundary and go there too. Members of
-   no core form a region of their own. Within the triangle window of distances to
-   the pivot a region keeps only members between which links that connect
+   no core are told apart by the shingles they share: linked sets have one in common
+   among the rarest fifth of either, by how often shingles occur among these
+   members, so each such shingle that two of them have makes a region. Within the
+   triangle window of distances to the pivot a region keeps only members between which links that connect
    anything new can be. Regions beyond ``LOCAL`` shingles do this step by step
    over the cluster, dealt by a salt; others in a task, pivot by pivot.
 
 Sets travel as sorted 64-bit hashes; links compare intersections and unions by
 integers. A set that several documents have in common, by a digest of 128 bits
-and its size, takes part once.
+and its size, takes part once; within a cell the first 64 bits and the size tell.
 """
 
 from __future__ import annotations
@@ -416,14 +418,42 @@ def step(region: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = F.coalesce(F.get("links", F.lit(0))["l"], F.col("label"))
     now = at.where(F.size("places") > 0).withColumn("old", label).join(joined, ["region", "old"], "left").withColumn("label", F.coalesce("new", "old"))
     spread = now.select("region", "b", "label", "tokens", F.explode("places").alias("to"))
-    # In the region of no core all are equally far.
-    rest = spread.select(F.xxhash64("region", F.coalesce("to.c", F.lit(-1)), F.col("to.c").isNull()).alias("region"), "b", "label", "tokens", F.floor(F.col("to.d") * BINS).alias("bin"), F.col("to.core").alias("core"))
+    apart = rare_cells(spread.where("to.c is null").select("region", "b", "label", "tokens"))
+    rest = spread.where("to.c is not null").select(F.xxhash64("region", "to.c").alias("region"), "b", "label", "tokens", F.floor(F.col("to.d") * BINS).alias("bin"), F.col("to.core").alias("core"))
     by_bin = rest.groupBy("region", "bin").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("core").alias("core"))
     reach_bins = (PART - LINK) * BINS // PART + 1
     around = Window.partitionBy("region").orderBy("bin").rangeBetween(-reach_bins, reach_bins)
     some = by_bin.withColumns({"low": F.min("low").over(around), "high": F.max("high").over(around), "core": F.max("core").over(around)})
     open_bins = some.where("low <> high and core").select("region", "bin")
-    return links, rest.join(open_bins, ["region", "bin"], "left_semi").select("region", "b", "label", "tokens")
+    return links, rest.join(open_bins, ["region", "bin"], "left_semi").select("region", "b", "label", "tokens").unionByName(apart)
+
+
+def rare_cells(members: DataFrame) -> DataFrame:
+    """Regions (region, b, label, tokens) of members that share one of the rarest shingles of each, rare by their counts within the old region.
+
+    Of a set of n shingles no linked one lacks more than a fifth, so two that link
+    share one of the first n - ceil(0.8 n) + 1 of each in any one order. A shingle
+    that one member has alone stands first and makes no region. Labels that are all
+    the same have nothing new to connect.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = utf8(batch.column(2))
+            n = np.diff(at) // 8
+            row = pa.array(np.repeat(np.arange(len(batch)), n))
+            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(raw, np.int64))], names=["region", "b", "n", "token"])
+
+    each = members.select("region", "b", "tokens").mapInArrow(tokens, "region long, b long, n long, token long")
+    counts = each.groupBy("region", "token").agg(F.count("*").alias("f")).where("f > 1")
+    shared = each.join(counts, ["region", "token"])
+    own = Window.partitionBy("region", "b")
+    # Shingles of one's own come before the shared ones.
+    place = F.row_number().over(own.orderBy("f", "token")) + F.col("n") - F.count("*").over(own)
+    first = shared.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") * (PART - LINK) / PART) + 1)
+    met = members.join(first.select("region", "b", F.xxhash64("region", "token").alias("cell")), ["region", "b"])
+    several = met.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("cell")
+    return met.join(several, "cell", "left_semi").select(F.col("cell").alias("region"), "b", "label", "tokens")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

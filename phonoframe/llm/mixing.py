@@ -98,6 +98,8 @@ def multipliers(histogram: DataFrame, targets: DataFrame, limit: float = LIMIT)
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
             break
+    else:
+        raise RuntimeError(f"no tilt meets the targets to {CLOSE} after {STEPS} steps")
     # Sums after a shuffle have no fixed order; without its last digits lambda is the same in every run.
     return state.select("source_no", F.round("lam", LAMBDA_DIGITS).alias("lam"), "unit")
 

@@ -87,3 +87,54 @@ def test_texts_longer_than_a_slice(spark):
     rows = [(5, " ".join(words)), (3, " ".join(other)), (8, " ".join(words[:100_000])), (9, " ".join(words[::-1]))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {5: (219_996, 3), 3: (219_996, 3), 8: (99_996, 8), 9: (219_996, 9)}
+
+
+def test_rounds_of_a_region_without_links(spark, monkeypatch):
+    """1500 texts share a passage that no order puts last, and hardly any link: few rounds over the cluster, and all pairs are the result."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(18)]
+    rows = [(i, " ".join([f"o{i}_{k}" for k in range(4)] + passage + [f"q{i}_{k}" for k in range(14)])) for i in range(1500)]
+    for i in rng.choice(1500, 60, replace=False).tolist():  # and near copies of some
+        words = rows[i][1].split()
+        words[-1] = "edited"
+        rows.append((len(rows), " ".join(words)))
+    monkeypatch.setattr(jaccard, "LOCAL", 3000)
+    monkeypatch.setattr(jaccard.common_shingles, "__defaults__", (10**9, 1 << 18))
+    rounds, step = [], jaccard.step
+    monkeypatch.setattr(jaccard, "step", lambda region: rounds.append(1) or step(region))
+    got = {r.doc_id: r.component_id for r in jaccard.joined_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert 1 <= len(rounds) <= 10
+    sets, want = [shingles(t) for _, t in rows], {i: i for i, _ in rows}
+    for i in range(1500, len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                want[i] = want[j] = min(want[i], want[j])
+    assert got == want and sum(i != c for i, c in want.items()) == 60
+
+
+def test_rare_cells_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(30):
+        base = rng.choice(400, 40, replace=False)
+        for _ in range(4):
+            x = base.copy()
+            x[rng.choice(40, rng.integers(0, 7), replace=False)] = rng.integers(0, 400, 1)
+            sets.append(np.unique(x).astype(np.uint64))
+    df = spark.createDataFrame([(7, i, i, s.tobytes()) for i, s in enumerate(sets)], "region long, b long, label long, tokens binary").repartition(3)
+    cells = defaultdict(set)
+    for r in jaccard.rare_cells(df).collect():
+        cells[r.region].add(r.b)
+    every = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.join_pairs(sets[i], [sets[j]])[0]}
+    assert every and all(any({i, j} <= c for c in cells.values()) for i, j in every)
+    same = df.selectExpr("region", "b", "1L as label", "tokens")
+    assert jaccard.rare_cells(same).count() == 0 and jaccard.rare_cells(df.where("b < 0")).count() == 0
+
+
+def test_components_that_are_not_finished_are_an_error(spark, monkeypatch):
+    from phonoframe.llm import components
+
+    monkeypatch.setattr(components, "ROUNDS", 1)
+    chain = spark.range(50).selectExpr("id as u", "id + 1 as v")
+    with pytest.raises(RuntimeError, match="rounds"):
+        components.components(chain)

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from phonoframe.llm import mixing
 
@@ -74,3 +75,10 @@ def test_copies_follow_the_tilt(spark):
                 copies[r["size"]] += r.copies
         assert all(abs(copies[n] - k) <= 1 + mixing.REPAIRS for n, k in by_size.items())
         assert sum(abs(copies[n] - k) for n, k in by_size.items()) <= len(by_size) + mixing.REPAIRS
+
+
+def test_a_tilt_that_is_not_found_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 1 + i * i % 40) for i in range(200)], "doc_id long, source string, size long")
+    with pytest.raises(RuntimeError, match="no tilt"):
+        mixing.mixed_copies(rows).collect()
