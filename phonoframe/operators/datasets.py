@@ -76,6 +76,16 @@ def padded_rows(utts: DataFrame, length: int, width: int) -> DataFrame:
     return utts.withColumn("features", F.when(F.size("features") > length, fail).otherwise(F.concat("features", zero)))
 
 
+def batched(frames: DataFrame, length: int | None = None, value: str = "features") -> DataFrame:
+    """(utt, n, features): a row per utterance with its number of frames and all of them as floats, zero frames appended to `length` (default: the longest utterance's). Longer utterances fail."""
+    listed = frames.groupBy("utt").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("frame", value))), lambda x: x[value].cast("array<float>")).alias("features"))
+    goal = F.lit(length).cast("long") if length is not None else frames.groupBy("utt").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    zero = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), F.size(F.col("features")[0])), (F.col("_t") - F.col("n")).cast("int"))
+    fail = F.raise_error(F.concat(F.lit("longer than the padded length: "), F.col("utt").cast("string"))).cast("array<array<float>>")
+    padded_ = F.when(F.col("n") > F.col("_t"), fail).otherwise(F.concat("features", zero))
+    return listed.withColumn("_t", goal).select("utt", "n", padded_.alias("features"))
+
+
 def offsets(lengths: DataFrame, *order: str) -> DataFrame:
     """(utt, n) with first and end, its frames' places in the concatenation of all; a row per utterance, summed in sorted parts over the cluster."""
     return running_total(lengths, "end", F.col("n"), *order).withColumn("first", F.col("end") - F.col("n"))

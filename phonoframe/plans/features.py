@@ -140,6 +140,15 @@ def dataset_index(spark, sf):
     return datasets.at(datasets.numbered(table(spark, sf, "documents").select("doc_id"), "doc_id"), -2)
 
 
+@query(f"""WITH {EVENTS}, m AS (SELECT max(frame) + 1 AS t FROM e), u AS (SELECT utt, count(*) AS n FROM e GROUP BY utt), g AS (SELECT utt, n, t, unnest(range(t)) AS frame FROM u, m)
+SELECT g.utt, g.n, t AS frames, string_agg(CAST(round(coalesce(value, 0)*100) AS BIGINT) || ',' || CAST(round(coalesce(f0, 0)*100) AS BIGINT), ',' ORDER BY g.frame) AS numbers FROM g LEFT JOIN e ON e.utt = g.utt AND e.frame = g.frame GROUP BY g.utt, g.n, t""")
+def dataset_batch(spark, sf):
+    """Utterances as rows of one length, floats."""
+    x = events(spark, sf).select("utt", "frame", F.array("value", "f0").alias("features"))
+    whole = F.transform(F.flatten("features"), lambda v: F.round(v.cast("double") * 100).cast("long").cast("string"))
+    return datasets.batched(x).select("utt", "n", F.size("features").cast("long").alias("frames"), F.array_join(whole, ",").alias("numbers"))
+
+
 @query("SELECT count(*) AS n FROM documents")
 def dataset_length(spark, sf):
     return datasets.lengths(table(spark, sf, "documents").select("doc_id"))

@@ -18,7 +18,7 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share, removed when the driver ends; on one machine without that setting, a temporary one."""
+    """The path of a new folder, not made yet, below ``spark.checkpoint.dir``, which driver and executors share; what is written there is removed when the driver ends; on one machine without that setting, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
@@ -29,4 +29,4 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(path)
     store.deleteOnExit(path)
-    return made
+    return f"{made}/data"

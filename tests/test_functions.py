@@ -524,3 +524,15 @@ def test_first_sentences_of_each_file(spark, tmp_path):
     none = np.array([[0.0, 1.0, 1.0]])
     with pytest.raises(ValueError, match="isn't positive"):
         paramgen.generate(np.zeros((4, 3)), none)
+
+
+def test_batches_of_one_length(spark):
+    from phonoframe.operators import datasets
+
+    x = spark.createDataFrame([("a", i, [float(i), 2.0]) for i in (2, 0, 1)] + [("b", 0, [5.0, 6.0])], "utt string, frame long, features array<double>")
+    got = {r.utt: (r.n, r.features) for r in datasets.batched(x).collect()}
+    assert got == {"a": (3, [[0.0, 2.0], [1.0, 2.0], [2.0, 2.0]]), "b": (1, [[5.0, 6.0], [0.0, 0.0], [0.0, 0.0]])}
+    assert datasets.batched(x, 4).schema["features"].dataType.simpleString() == "array<array<float>>" and all(len(r.features) == 4 for r in datasets.batched(x, 4).collect())
+    with pytest.raises(Exception, match="longer than"):
+        datasets.batched(x, 2).collect()
+    assert datasets.batched(x.where("frame < 0")).count() == 0
