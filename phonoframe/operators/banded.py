@@ -11,13 +11,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonoframe.operators import kernels
 from phonoframe.operators.grouping import kind, over_utterances
 
 ENTRY = ["mat", "row", "col", "value"]
+#: Rows of a matrix whose products meet in one task.
+PRODUCT_ROWS = 4096
+
+
+def _summed(entries: DataFrame) -> DataFrame:
+    """Entries of a place added up. They are dealt by rows before: a task's share then follows from the entries themselves, and not from the fewer bytes that they were made of."""
+    return entries.repartition("mat", "row").groupBy("mat", "row", "col").agg(F.sum("value").alias("value"))
 
 
 def from_rows(df: DataFrame, left: int, right: int) -> DataFrame:
@@ -31,7 +38,7 @@ def transpose(a: DataFrame) -> DataFrame:
 
 def add(a: DataFrame, b: DataFrame, factor: float = 1.0) -> DataFrame:
     """a + factor * b."""
-    return a.select(*ENTRY).unionByName(b.select("mat", "row", "col", (F.col("value") * factor).alias("value"))).groupBy("mat", "row", "col").agg(F.sum("value").alias("value"))
+    return _summed(a.select(*ENTRY).unionByName(b.select("mat", "row", "col", (F.col("value") * factor).alias("value"))))
 
 
 def times(a: DataFrame, factor: float) -> DataFrame:
@@ -45,16 +52,25 @@ def dot_mv(a: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def dot_mm(a: DataFrame, b: DataFrame, diag: DataFrame | None = None, band: tuple[int, int] | None = None) -> DataFrame:
-    """a * b, or a * diag * b; band: entries in it only, a condition of the join."""
-    left = a.select("mat", "row", F.col("col").alias("_k"), F.col("value").alias("_a"))
-    if diag is not None:
-        d = diag.select("mat", F.col("idx").alias("_k"), F.col("value").alias("_d"))
-        left = left.join(d, ["mat", "_k"]).withColumn("_a", F.col("_a") * F.col("_d")).drop("_d")
-    right = b.select("mat", F.col("row").alias("_k"), "col", F.col("value").alias("_b"))
-    both = left.join(right, ["mat", "_k"])
+    """a * b, or a * diag * b; band: entries in it only, the others are left out as they are made.
+
+    What meets at an inner index is gathered there, those of a stretch of
+    ``PRODUCT_ROWS`` in one task: products of a place are then added up before they move.
+    """
+    kinds = [("_a", a, "col", "row"), ("_b", b, "row", "col")] + ([] if diag is None else [("_d", diag, "idx", "idx")])
+    met = None
+    for name, df, inner, outer in kinds:
+        own = df.select("mat", F.col(inner).alias("_k"), F.lit(name).alias("_of"), F.col(outer).alias("_at"), F.col("value").cast("double").alias("_v")).where("mat is not null and _k is not null")
+        met = own if met is None else met.unionByName(own)
+    dealt = met.withColumn("_s", F.floor(F.col("_k") / PRODUCT_ROWS)).repartition("mat", "_s")
+    lists = [F.collect_list(F.when(F.col("_of") == name, F.struct("_at", "_v"))).alias(name) for name, *_ in kinds]
+    both = dealt.groupBy("mat", "_s", "_k").agg(*lists)
+    for name, *_ in kinds:
+        both = both.withColumn(name, F.explode(name))
+    both = both.select("mat", F.col("_a._at").alias("row"), F.col("_b._at").alias("col"), F.col("_a._v").alias("_x"), F.col("_b._v").alias("_y"), (F.lit(1.0) if diag is None else F.col("_d._v")).alias("_z"))
     if band:
         both = both.where((F.col("col") - F.col("row")).between(-band[0], band[1]))
-    return both.groupBy("mat", "row", "col").agg(F.sum(F.col("_a") * F.col("_b")).alias("value"))
+    return both.groupBy("mat", "row", "col").agg(F.sum(F.col("_x") * F.col("_z") * F.col("_y")).alias("value"))
 
 
 def band_of_outer(x: DataFrame, y: DataFrame, left: int, right: int) -> DataFrame:
@@ -114,10 +130,17 @@ def plus_band_of(a: DataFrame, b: DataFrame, left: int, right: int, factor: floa
 
 
 def dense(a: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All entries, zeros included; sizes is (mat, n)."""
-    index = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias(c)
-    grid = sizes.where("n > 0").select("mat", "n", index("row")).select("mat", "row", index("col"))
-    return grid.join(a.select(*ENTRY), ["mat", "row", "col"], "left").select("mat", "row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
+    """All entries, zeros included; sizes is (mat, n). Each row's entries and its beginning write out the zeros up to the next entry, so zeros don't move."""
+    known = sizes.where("n > 0 and mat is not null").select("mat", F.col("n").cast("long").alias("n"))
+    begin = known.select("mat", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("row"), F.lit(-1).cast("long").alias("col"), F.lit(None).cast("double").alias("value"))
+    inside = a.select(*ENTRY).join(known, "mat").where("row >= 0 and row < n and col >= 0 and col < n")
+    rows = begin.unionByName(inside.select("mat", "n", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")).repartition("mat", "row")
+    after = F.lead("col").over(Window.partitionBy("mat", "row").orderBy("col"))
+    runs = rows.withColumn("_to", F.coalesce(after, F.col("n")) - 1)
+    # From an entry, or from behind the row's beginning; entries of one place are all there.
+    first, last = F.greatest("col", F.lit(0).cast("long")), F.greatest("col", "_to")
+    places = runs.where("greatest(col, _to) >= 0").select("mat", "row", F.col("col").alias("_own"), "value", F.explode(F.sequence(first, last)).alias("col"))
+    return places.select("mat", "row", "col", F.when(F.col("col") == F.col("_own"), F.coalesce("value", F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
 def widths(a: DataFrame) -> DataFrame:
@@ -161,7 +184,7 @@ def overlap_add(blocks: DataFrame, step: int = 1, onto: DataFrame | None = None)
     at = F.col("window") * step
     laid = blocks.select("mat", (F.col("row") + at).alias("row"), (F.col("col") + at).alias("col"), "value")
     laid = laid if onto is None else laid.unionByName(onto.select(*ENTRY))
-    return laid.groupBy("mat", "row", "col").agg(F.sum("value").alias("value"))
+    return _summed(laid)
 
 
 def sliding(a: DataFrame, sizes: DataFrame, width: int, step: int = 1) -> DataFrame:

@@ -13,14 +13,15 @@ R = lambda c, n=4: F.round(c, n) + 0.0
 
 
 def _sizes(spark, sf):
-    return events(spark, sf).groupBy(F.col("utt").alias("mat")).agg(F.count("*").alias("n"))
+    """Of each matrix; met by hash, as entries, many more than frames, would else be sorted for it."""
+    return events(spark, sf).groupBy(F.col("utt").alias("mat")).agg(F.count("*").alias("n")).hint("shuffle_hash")
 
 
 def _matrix(spark, sf, column: str, slope: float):
     """Row t holds, within two of the diagonal, column / 97 (so that no product ends in a five) and `slope` for each place to the right."""
     e = events(spark, sf).select(F.col("utt").alias("mat"), F.col("frame").alias("row"), F.col(column).alias("_v"))
-    wide = e.withColumn("_o", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("col", F.col("row") + F.col("_o"))
-    inside = wide.join(_sizes(spark, sf), "mat").where("col >= 0 and col < n")
+    wide = e.join(_sizes(spark, sf), "mat").withColumn("_o", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("col", F.col("row") + F.col("_o"))
+    inside = wide.where("col >= 0 and col < n")
     return inside.select("mat", "row", "col", (F.col("_v") / 97 + slope * F.col("_o")).alias("value"))
 
 

@@ -12,10 +12,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """(utt, frame, value, voiced, f0): a user's events in time are an utterance; errors are unvoiced."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    # Named before it is numbered by: what follows then knows that an utterance's frames are in one task.
+    w = Window.partitionBy("utt").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("utt"), "ts", "event_id", "value", "event_type")
     voiced = (F.col("event_type") != "error").cast("int")
-    return e.select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).cast("long").alias("frame"), "value", voiced.alias("voiced")).withColumn("f0", F.when(F.col("voiced") == 1, F.col("value")).otherwise(0.0))
+    return e.select("utt", (F.row_number().over(w) - 1).cast("long").alias("frame"), "value", voiced.alias("voiced")).withColumn("f0", F.when(F.col("voiced") == 1, F.col("value")).otherwise(0.0))
 
 
 EVENTS = """e AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value,
