@@ -7,11 +7,14 @@ caps are per group, integrity checks are joins.
 from __future__ import annotations
 
 import io
+import os
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +22,30 @@ from phonoframe.operators.datasets import first_per_group, with_label
 from phonoframe.sources.formats import FILES, register
 
 
+def _in_few_tasks(spark: SparkSession, path: str, pattern: str, content: bool) -> DataFrame | None:
+    """Files below a local or HDFS folder, many in a task; Spark's own sources count each as 4 MB, so a task reads a few dozen. None for other stores and for globs."""
+    at = urlsplit(path)
+    if at.scheme not in ("", "file", "hdfs") or any(c in path for c in "*?[]{}\\,%"):
+        return None
+    root = path if at.scheme else f"file://{os.path.abspath(path)}"
+    root = f"file://{at.path}" if at.scheme == "file" else root
+    try:
+        fs, base = pafs.FileSystem.from_uri(root)
+        if fs.get_file_info(base).type != pafs.FileType.Directory:
+            return None
+    except OSError:
+        return None
+    register(spark)
+    found = spark.read.format(FILES).option("pattern", pattern).option("content", str(content).lower()).load(root)
+    before = "file:" if root.startswith("file:") else f"hdfs://{at.netloc}"
+    return found.withColumn("path", F.concat(F.lit(before), "path"))
+
+
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, name, folder): files under a folder or glob that match a glob of names; name is without its extension."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    found = _in_few_tasks(spark, path, pattern, False) if not set(pattern) & set("[]{}\\") else None
+    if found is None:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
 
 
@@ -174,7 +198,12 @@ def speaker_texts(spark: SparkSession, root: str, speakers: Sequence[str], max_f
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, folder, text) of one-text files, without the final line end."""
-    rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r?\n\z", "").alias("text"))
+    found = _in_few_tasks(spark, path, "*.txt", True)
+    if found is None:
+        rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    else:
+        rows = found.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.col("content").cast("string").alias("value"))
+    rows = rows.select("path", F.regexp_replace("value", r"\r?\n\z", "").alias("text"))
     return rows.select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "text")
 
 

@@ -14,20 +14,26 @@ that of Spark's own file sources is; contents are read by partitions of about
 from __future__ import annotations
 
 import fnmatch
+import time
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: The name of the source and sink of files.
 FILES = "phonoframe_files"
 PARTITION_BYTES, PARTITION_FILES = 16 << 20, 10_000
+#: Partitions of a read at most, about: beyond, shares grow, as a task of few small files costs more than the files.
+MOST_PARTITIONS = 4096
+#: Files and bytes of a batch; threads that move files.
+BATCH_FILES, BATCH_BYTES, MOVERS = 1024, 16 << 20, 8
 _PENDING = "_pending-"
 
 
@@ -55,8 +61,9 @@ class Some(InputPartition):
 
 
 def shares(items: Sequence, sizes: Sequence[int], most: int, most_items: int = PARTITION_FILES) -> list[Some]:
-    """Consecutive items, so many that their sizes reach `most`."""
+    """Consecutive items, so many that their sizes reach `most`; more, if there would be over ``MOST_PARTITIONS`` shares."""
     out, some, held = [], [], 0
+    most, most_items = max(most, sum(sizes) / MOST_PARTITIONS), max(most_items, len(items) // MOST_PARTITIONS)
     for item, size in zip(items, sizes, strict=True):
         if some and (held + size > most or len(some) >= most_items):
             out.append(Some(some))
@@ -94,15 +101,27 @@ class FileReader(DataSourceReader):
         found = listed(self.root, self.pattern)
         return shares([(f.path, f.size) for f in found], [f.size for f in found], self.most) or [Some([])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.root)
+        some, held = [], 0
         for path, size in partition.items:
             folder, _, base = path.rpartition("/")
             content = None
             if self.content:
                 with fs.open_input_stream(path) as f:
                     content = f.read()
-            yield path, base.rpartition(".")[0] or base, folder, size, content
+                held += len(content)
+            some.append((path, base.rpartition(".")[0] or base, folder, size, content))
+            if len(some) >= BATCH_FILES or held >= BATCH_BYTES:
+                yield _batch(some)
+                some, held = [], 0
+        if some:
+            yield _batch(some)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [("path", pa.string()), ("name", pa.string()), ("folder", pa.string()), ("size", pa.int64()), ("content", pa.binary())]
+    return pa.record_batch([pa.array(x, kind) for x, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[name for name, _ in fields])
 
 
 @dataclass
@@ -112,25 +131,34 @@ class Pending(WriterCommitMessage):
     folder: str
 
 
-class FileWriter(DataSourceWriter):
+class FileWriter(DataSourceArrowWriter):
     """Files by name (a path below the folder) and content. Tasks write to a hidden folder of their own; the files are moved to their names when all tasks have ended well, and removed otherwise."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.root, self.overwrite, self.pending = options["path"], overwrite, _PENDING + uuid.uuid4().hex
+        # Made here and by no task: a task that is late when all has been removed finds no folder.
+        fs, base = pafs.FileSystem.from_uri(self.root)
+        fs.create_dir(f"{base}/{self.pending}", recursive=True)
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = pafs.FileSystem.from_uri(self.root)
         folder, made = f"{base}/{self.pending}/{uuid.uuid4().hex}", set()
-        for row in iterator:
-            if not row.name or row.name.startswith("/") or ".." in row.name.split("/"):
-                raise ValueError(f"not a path below the folder: {row.name!r}")
-            at = f"{folder}/{row.name}"
-            parent = at.rpartition("/")[0]
-            if parent not in made:
-                fs.create_dir(parent, recursive=True)
-                made.add(parent)
-            with fs.open_output_stream(at) as f:
-                f.write(bytes(row.content or b""))
+        local = isinstance(fs, pafs.LocalFileSystem)  # whose plain files open much faster
+        for batch in iterator:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if not name or name.startswith("/") or ".." in name.split("/"):
+                    raise ValueError(f"not a path below the folder: {name!r}")
+                at = f"{folder}/{name}"
+                parent = at.rpartition("/")[0]
+                if parent not in made:
+                    parts = parent[len(folder) :].split("/")
+                    for k in range(len(parts)):
+                        if (x := folder + "/".join(parts[: k + 1])) not in made:
+                            fs.create_dir(x, recursive=False)
+                            made.add(x)
+                    made.add(parent)
+                with open(at, "wb") if local else fs.open_output_stream(at) as f:
+                    f.write(content or b"")
         return Pending(folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -140,27 +168,46 @@ class FileWriter(DataSourceWriter):
             for f in fs.get_file_info(pafs.FileSelector(base)):
                 if f.base_name != self.pending:
                     (fs.delete_dir if f.type == pafs.FileType.Directory else fs.delete_file)(f.path)
-        made = {base}
+        # Folders that were there, with the names in them; a name that two tasks wrote is the later one's.
+        there: dict[str, set[str] | None] = {base: None}
         for folder in (m.folder for m in messages if m is not None):
-            for f in fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)):
-                if f.type != pafs.FileType.File:
-                    continue
-                at = base + f.path[len(folder) :]
-                parent = at.rpartition("/")[0]
-                if parent not in made:
+            found = [f.path for f in fs.get_file_info(pafs.FileSelector(folder, recursive=True, allow_not_found=True)) if f.type == pafs.FileType.File]
+            moves = [(path, base + path[len(folder) :]) for path in found]
+            for parent in {at.rpartition("/")[0] for _, at in moves}:
+                if there.get(parent) is None:
+                    old = fs.get_file_info(pafs.FileSelector(parent, allow_not_found=True))
+                    there[parent] = {f.path for f in old if f.type == pafs.FileType.File}
                     fs.create_dir(parent, recursive=True)
-                    made.add(parent)
-                if fs.get_file_info(at).type == pafs.FileType.File:
-                    fs.delete_file(at)
-                fs.move(f.path, at)
+
+            def moved(some: list[tuple[str, str]]) -> None:
+                for path, at in some:
+                    if at in there[at.rpartition("/")[0]]:
+                        fs.delete_file(at)
+                    fs.move(path, at)
+
+            if isinstance(fs, pafs.LocalFileSystem):  # one folder's entries change one after the other there
+                moved(moves)
+            else:
+                with ThreadPoolExecutor(MOVERS) as pool:
+                    list(pool.map(moved, [moves[k::MOVERS] for k in range(MOVERS)]))
+            for _, at in moves:
+                there[at.rpartition("/")[0]].add(at)
         self._clean(fs, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._clean(*pafs.FileSystem.from_uri(self.root))
 
     def _clean(self, fs: pafs.FileSystem, base: str) -> None:
-        if fs.get_file_info(f"{base}/{self.pending}").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{base}/{self.pending}")
+        at = f"{base}/{self.pending}"
+        for wait in (0.05, 0.2, 0.5, 1, 2, None):
+            if fs.get_file_info(at).type != pafs.FileType.Directory:
+                return
+            try:
+                fs.delete_dir(at)
+            except OSError:  # a task that is being stopped has just written into it
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class Corpus(ABC):
@@ -182,6 +229,16 @@ class Corpus(ABC):
         return 1
 
 
+def _frames(some: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+    """utt, frame, features of several utterances' matrices."""
+    rows = [len(x) for _, x in some]
+    utts = pa.array([utt for utt, _ in some], pa.string()).take(pa.array(np.repeat(np.arange(len(some)), rows)))
+    widths = np.repeat([x.shape[1] for _, x in some], rows)
+    at = pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32))
+    values = pa.array(np.concatenate([x.ravel() for _, x in some]))
+    return pa.record_batch([utts, pa.array(np.concatenate([np.arange(n) for n in rows])), pa.ListArray.from_arrays(at, values)], names=["utt", "frame", "features"])
+
+
 def source_of(name: str, corpus: type[Corpus]) -> type[DataSource]:
     """A data source (utt, frame, features) to register, which reads a corpus by partitions of `share` (option; 100) in its sizes."""
 
@@ -194,10 +251,16 @@ def source_of(name: str, corpus: type[Corpus]) -> type[DataSource]:
             return shares(items, [self.corpus.size(x) for _, x in items], self.most) or [Some([])]
 
         def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+            some, held = [], 0
             for utt, item in partition.items:
                 x = np.atleast_2d(np.asarray(self.corpus.features(item), float))
-                at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-                yield pa.record_batch([pa.array([utt] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["utt", "frame", "features"])
+                some.append((utt, x))
+                held += x.nbytes
+                if len(some) >= BATCH_FILES or held >= BATCH_BYTES:
+                    yield _frames(some)
+                    some, held = [], 0
+            if some:
+                yield _frames(some)
 
     class Source(DataSource):
         @classmethod

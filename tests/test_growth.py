@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from phonoframe.operators import banded
+from phonoframe.sources import corpora, formats
 
 SCHEMA = "mat long, row long, col long, value double"
 
@@ -62,3 +64,34 @@ def test_zeros_of_a_dense_layout_do_not_move(spark):
     assert not re.search(r"hashpartitioning\([^)]*\bcol#", plan(got))
     want = [(0, 0, 0, 0.0), (0, 0, 1, 2.0), (0, 0, 1, 3.0), (0, 0, 2, 0.0), (0, 1, 0, 0.0), (0, 1, 1, 0.0), (0, 1, 2, 0.0), (0, 2, 0, 4.0), (0, 2, 1, 0.0), (0, 2, 2, 0.0), (1, 0, 0, 6.0)]
     assert sorted(map(tuple, got.collect())) == want + [(2, i, j, 0.0) for i in range(2) for j in range(2)]
+
+
+def test_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/corpus"
+    contents = spark.range(300).select(F.format_string("s%d/wav/f%03d.wav", F.col("id") % 3, "id").alias("name"), F.lit("RIFF").cast("binary").alias("content"))
+    assert corpora.write_files(contents, root) == 300
+    found = corpora.files(spark, root, "*.wav")
+    assert found.rdd.getNumPartitions() == 1 and found.count() == 300
+    want = {(f"file:{tmp_path}/corpus/s{i % 3}/wav/f{i:03d}.wav", f"f{i:03d}", f"file:{tmp_path}/corpus/s{i % 3}/wav") for i in range(300)}
+    assert set(map(tuple, found.collect())) == want
+    assert set(map(tuple, corpora.files(spark, f"{root}/s*", "*.wav").collect())) == want  # a glob is Spark's
+    corpora.write_files(spark.range(5).select(F.format_string("t/%d.txt", "id").alias("name"), F.lit("a\r\n").cast("binary").alias("content")), root)
+    texts = corpora.text_files(spark, root)
+    assert texts.rdd.getNumPartitions() == 1 and {(r.path, r.name, r.text) for r in texts.collect()} == {(f"file://{tmp_path}/corpus/t/{i}.txt", str(i), "a") for i in range(5)}
+    monkeypatch.setattr(formats, "MOST_PARTITIONS", 10)
+    assert len(formats.shares(range(1000), [1] * 1000, 4)) == 10 and len(formats.shares(range(30), [1] * 30, 4)) == 8
+
+
+def test_a_callers_frames_come_in_few_batches():
+    class Ones(formats.Corpus):
+        def items(self):
+            return [(f"u{i}", i) for i in range(50)]
+
+        def features(self, item):
+            return np.full((item % 3, 1 + item % 2), item, float)
+
+    reader = formats.source_of("ones", Ones)({}).reader(None)
+    (part,) = reader.partitions()
+    (batch,) = reader.read(part)
+    want = [(f"u{i}", t, [float(i)] * (1 + i % 2)) for i in range(50) for t in range(i % 3)]
+    assert [tuple(r.values()) for r in batch.to_pylist()] == want
