@@ -129,6 +129,18 @@ def _blocks(some: list[pd.DataFrame], assemble, width: int, block: int) -> list[
     return out
 
 
+def _parted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+    """A block's rows and what is known at its border (nothing: empty), which comes first as it has no place."""
+    border = pdf["border"].iloc[0]
+    return (pdf.iloc[1:], border) if isinstance(border, (np.ndarray, list)) else (pdf, [])
+
+
+def _together(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One table of what a stack of blocks or matrices gives: a table for each would cost more than its rows."""
+    if held := list(parts):
+        yield pd.concat(held, ignore_index=True)
+
+
 def _by_block(rows: DataFrame, kernel, schema: str, order: str, tasks: int | None) -> DataFrame:
     keyed = rows.withColumn("key", F.to_json(F.struct("utt", "chunk"), {"ignoreNullFields": "false"}))
     return over_utterances(keyed.select("key", *rows.columns), kernel, schema, order=order, tasks=tasks, key="key")
@@ -149,7 +161,7 @@ def solve_blocks(rows: DataFrame, assemble: Callable[[pd.DataFrame, int, int, in
         parts = eliminated(blocks)
         yield pd.DataFrame({"utt": [x.utt for x in blocks], "chunk": [x.chunk for x in blocks], "left": [x.left for x in blocks], "right": [x.right for x in blocks], "s": [s.ravel() for s, _ in parts], "g": [g.ravel() for _, g in parts]})
 
-    def meet(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in some:
             parts = []
             for left, right, s, g in zip(pdf["left"], pdf["right"], pdf["s"], pdf["g"], strict=True):
@@ -158,15 +170,13 @@ def solve_blocks(rows: DataFrame, assemble: Callable[[pd.DataFrame, int, int, in
             yield pd.DataFrame({"utt": pdf["utt"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "border": [x.ravel() for x in border_solution(parts, width)]})
 
     def end(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [pdf["border"].notna() for pdf in some]
-        own = [pdf[~k] for pdf, k in zip(some, known, strict=True)]
+        own, known = zip(*map(_parted, some), strict=True)
         blocks = _blocks(own, assemble, width, block)
-        borders = [np.asarray(pdf["border"][k].iloc[0] if k.any() else [], float).reshape(x.left + x.right, x.b.shape[1]) for pdf, k, x in zip(some, known, blocks, strict=True)]
-        for x, y, pdf in zip(blocks, solved(blocks, borders), own, strict=True):
-            yield finish(x, y, pdf)
+        borders = [np.asarray(k, float).reshape(x.left + x.right, x.b.shape[1]) for k, x in zip(known, blocks, strict=True)]
+        yield from _together(finish(x, y, pdf) for x, y, pdf in zip(blocks, solved(blocks, borders), own, strict=True))
 
     parts = _by_block(rows.where("chunks > 1"), reduce, f"{utt}, chunk long, left int, right int, s array<double>, g array<double>", order, tasks)
-    borders = over_utterances(parts, meet, f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
+    borders = over_utterances(parts, lambda some: _together(met(some)), f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
     return _by_block(rows.unionByName(borders, allowMissingColumns=True), end, schema, order, tasks)
 
 
@@ -309,7 +319,7 @@ def solve_triangular(factor: DataFrame, b: DataFrame, sizes: DataFrame, width: i
         tails = [y[len(y) - width :] for y in got]
         yield pd.DataFrame({"utt": [p["utt"].iloc[0] for p in some], "chunk": [p["chunk"].iloc[0] for p in some], "map": [y.ravel() for y in tails]})
 
-    def meet(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in some:
             state, out = np.zeros(width), []
             for m in pdf["map"]:
@@ -319,12 +329,16 @@ def solve_triangular(factor: DataFrame, b: DataFrame, sizes: DataFrame, width: i
             yield pd.DataFrame({"utt": pdf["utt"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "border": out})
 
     def end(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [pdf["border"].notna() for pdf in some]
-        own = blocks_of([pdf[~k] for pdf, k in zip(some, known, strict=True)])
-        rights = [x - (c @ np.asarray(pdf["border"][k].iloc[0], float))[:, None] if k.any() else x for (_, _, _, x, c), pdf, k in zip(own, some, known, strict=True)]
-        for (pdf, low, _, _, _), y in zip(own, substituted([a for _, _, a, _, _ in own], rights), strict=True):
-            idx = low + np.arange(len(y))
-            yield pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * len(y), "idx": int(pdf["n"].iloc[0]) - 1 - idx if transposed else idx, "value": y[:, 0]})
+        rows_, known = zip(*map(_parted, some), strict=True)
+        own = blocks_of(rows_)
+        rights = [x - (c @ np.asarray(k, float))[:, None] if len(k) else x for (_, _, _, x, c), k in zip(own, known, strict=True)]
+
+        def parts() -> Iterator[pd.DataFrame]:
+            for (pdf, low, _, _, _), y in zip(own, substituted([a for _, _, a, _, _ in own], rights), strict=True):
+                idx = low + np.arange(len(y))
+                yield pd.DataFrame({"mat": [pdf["utt"].iloc[0]] * len(y), "idx": int(pdf["n"].iloc[0]) - 1 - idx if transposed else idx, "value": y[:, 0]})
+
+        yield from _together(parts())
 
     schema = f"mat {kind(factor, 'mat')}, idx long, value double"
     if not width:
@@ -332,7 +346,7 @@ def solve_triangular(factor: DataFrame, b: DataFrame, sizes: DataFrame, width: i
     # The last block's map isn't asked for; a short block could not hold it.
     parts = _by_block(rows.where("chunk < chunks - 1"), reduce, f"{utt}, chunk long, map array<double>", "row", tasks)
     last = rows.where("chunks > 1 and chunk = chunks - 1").select("utt", "chunk").distinct().withColumn("map", F.array_repeat(F.lit(0.0), width * (1 + width)))
-    borders = over_utterances(parts.unionByName(last), meet, f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
+    borders = over_utterances(parts.unionByName(last), lambda some: _together(met(some)), f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
     return _by_block(rows.unionByName(borders, allowMissingColumns=True), end, schema, "row", tasks)
 
 
@@ -367,18 +381,17 @@ def cholesky(a: DataFrame, sizes: DataFrame, width: int, block: int = BLOCK, tas
         blocks = _blocks(some, assemble, width, block)
         yield pd.DataFrame({"utt": [x.utt for x in blocks], "chunk": [x.chunk for x in blocks], "left": [x.left for x in blocks], "right": [x.right for x in blocks], "s": [s.ravel() for s, _ in eliminated(blocks)]})
 
-    def meet(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def met(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in some:
             parts = [(left, right, np.asarray(s).reshape(left + right, left + right, 1)) for left, right, s in zip(pdf["left"], pdf["right"], pdf["s"], strict=True)]
             yield pd.DataFrame({"utt": pdf["utt"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "border": [x.ravel() for x in taken_before(parts)]})
 
     def end(some: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [pdf["border"].notna() for pdf in some]
-        own = [pdf[~k] for pdf, k in zip(some, known, strict=True)]
+        own, known = zip(*map(_parted, some), strict=True)
         blocks = _blocks(own, assemble, width, block)
         bands = []
-        for x, pdf, k in zip(blocks, some, known, strict=True):
-            taken = np.asarray(pdf["border"][k].iloc[0] if k.any() else [], float).reshape(x.left, x.left)
+        for x, k in zip(blocks, known, strict=True):
+            taken = np.asarray(k, float).reshape(x.left, x.left)
             for i in range(x.left):
                 for j in range(i + 1):
                     x.band[i - j, i, 0] -= taken[i, j]
@@ -390,11 +403,15 @@ def cholesky(a: DataFrame, sizes: DataFrame, width: int, block: int = BLOCK, tas
         for i, x in enumerate(blocks):
             whole[0, x.band.shape[1] :, i] = 1
         factor = kernels.cholesky(whole)
-        for i, x in enumerate(blocks):
-            k, t = (v.ravel() for v in np.indices(x.band.shape[:2]))
-            good = (t >= k) & (t - k < x.band.shape[1] - x.right)
-            yield pd.DataFrame({"mat": [x.utt] * int(good.sum()), "row": x.low + t[good], "col": x.low + (t - k)[good], "value": factor[k[good], t[good], i]})
+
+        def parts() -> Iterator[pd.DataFrame]:
+            for i, x in enumerate(blocks):
+                k, t = (v.ravel() for v in np.indices(x.band.shape[:2]))
+                good = (t >= k) & (t - k < x.band.shape[1] - x.right)
+                yield pd.DataFrame({"mat": [x.utt] * int(good.sum()), "row": x.low + t[good], "col": x.low + (t - k)[good], "value": factor[k[good], t[good], i]})
+
+        yield from _together(parts())
 
     parts = _by_block(rows.where("chunks > 1"), reduce, f"{utt}, chunk long, left int, right int, s array<double>", "row", tasks)
-    taken = over_utterances(parts, meet, f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
+    taken = over_utterances(parts, lambda some: _together(met(some)), f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
     return _by_block(rows.unionByName(taken, allowMissingColumns=True), end, f"mat {kind(a, 'mat')}, row long, col long, value double", "row", tasks)

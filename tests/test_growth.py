@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from phonoframe.operators import banded
@@ -95,3 +96,19 @@ def test_a_callers_frames_come_in_few_batches():
     (batch,) = reader.read(part)
     want = [(f"u{i}", t, [float(i)] * (1 + i % 2)) for i in range(50) for t in range(i % 3)]
     assert [tuple(r.values()) for r in batch.to_pylist()] == want
+
+
+def test_blocks_of_a_stack_are_one_table(spark):
+    from phonoframe.operators import longbands
+
+    assert [len(x) for x in longbands._together(iter([pd.DataFrame({"a": [1, 2]}), pd.DataFrame({"a": [3]})]))] == [3] and not list(longbands._together(iter([])))
+    n = 40
+    full = np.diag(np.full(n, 3.0)) + np.diag(np.full(n - 1, -1.0), -1) + np.diag(np.full(n - 1, -1.0), 1)
+    a = spark.createDataFrame([(m, i, j, float(full[i, j])) for m in range(4) for i in range(n) for j in (i - 1, i) if j >= 0], SCHEMA)
+    b = spark.createDataFrame([(m, i, float(i + m)) for m in range(4) for i in range(n)], "mat long, idx long, value double")
+    sizes = spark.createDataFrame([(m, n) for m in range(4)], "mat long, n long")
+    for got, want in ((longbands.solve(a, b, sizes, 1, block=8), lambda m: np.linalg.solve(full, np.arange(n) + m)), (longbands.solve_triangular(longbands.cholesky(a, sizes, 1, block=8), b, sizes, 1, block=8), lambda m: np.linalg.solve(np.linalg.cholesky(full), np.arange(n) + m))):
+        rows = got.collect()
+        assert len(rows) == 4 * n
+        for r in rows:
+            assert abs(r.value - want(r.mat)[r.idx]) < 1e-9
