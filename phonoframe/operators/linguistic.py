@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from phonoframe.functions.scalar import coarse_coding
 from phonoframe.operators.answering import Machine, note_numbers
@@ -45,8 +45,8 @@ def numeric_answer(q: Question, context: Column) -> Column:
     return F.when(got == "", F.lit(-50.0 if q.signed else -1.0)).otherwise(F.coalesce(number, fail)).cast("float")
 
 
-def answered(labels: DataFrame, binary: list[Question], numeric: list[Question]) -> DataFrame:
-    """labels with answers: an array of the binary, then the numeric questions'.
+def answered(labels: DataFrame, binary: list[Question], numeric: list[Question], packed: bool = False) -> DataFrame:
+    """labels with answers: an array of the binary, then the numeric questions'; packed: with bits, a string of 0 or 1 for each binary question, and numbers, an array of the numeric ones'.
 
     Rows stay where they are: each batch of them is answered once per different
     context, by one automaton of all questions' texts. A null context answers
@@ -54,15 +54,22 @@ def answered(labels: DataFrame, binary: list[Question], numeric: list[Question])
     """
     machine = Machine(binary, numeric)
     at = labels.columns.index("context")
-    schema = StructType([*labels.schema.fields, StructField("answers", ArrayType(FloatType()))])
+    floats = ArrayType(FloatType())
+    schema = StructType([*labels.schema.fields, *([StructField("bits", StringType()), StructField("numbers", floats)] if packed else [StructField("answers", floats)])])
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+    def strings(rows: np.ndarray) -> pa.Array:
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer((rows != 0).astype(np.uint8) + np.uint8(ord("0"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(at).dictionary_encode("encode")
-            got = machine.answers(coded.dictionary)
-            rows = got[coded.indices.to_numpy(zero_copy_only=False)].ravel()
-            answers = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * got.shape[1]), pa.array(rows))
-            yield pa.record_batch([*batch.columns, answers], names=schema.names)
+            rows = machine.answers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            answers = [strings(rows[:, : len(binary)]), lists(rows[:, len(binary) :])] if packed else [lists(rows)]
+            yield pa.record_batch([*batch.columns, *answers], names=schema.names)
 
     return labels.mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phonoframe.operators import labels as L
 from phonoframe.operators import linguistic
+from phonoframe.operators.grouping import PARTS_PER_TASK, tasks_of
 from phonoframe.plans.registry import query
 from phonoframe.plans.tables import LABELS, events, labels, table
 from phonoframe.sources.questions import parse
@@ -153,12 +154,13 @@ def question_set(spark, sf):
     """A whole question set of 416 questions over a full context per event."""
     phones = F.expr("concat(" + ", '|', ".join(f"'q', {p}" for p in _PHONE) + ")")
     marks = F.regexp_replace(phones, r"(.*)\|(.*)\|(.*)\|(.*)\|(.*)", r"$1^$2-$3+$4=$5@")
-    fields = F.expr("concat(" + ", ".join(f"'/F{k}:', {f}, '_'" for k, f in enumerate(_FIELD)) + ")")
-    contexts = table(spark, sf, "events").select("event_id", F.concat(marks, fields).alias("context"))
-    a = linguistic.answered(contexts, *parse(_full_set()))
-    whole = lambda first, n: F.transform(F.slice("answers", first, n), lambda v: v.cast("int").cast("string"))
-    bits = len(_BITS)
-    return a.select("event_id", F.array_join(whole(1, bits), "").alias("bits"), F.array_join(whole(bits + 1, _FIELDS), ",").alias("numbers"))
+    # One format, as the code of a concatenation this long is too much for the JVM to compile; an unknown event or user has no marks and so no context.
+    fields = F.format_string("".join(f"/F{k}:%d_" for k in range(_FIELDS)), *[F.expr(f) for f in _FIELD])
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    # Files are small and their rows' answers long: the rows, before they get their contexts, are dealt to more tasks than there are files.
+    dealt = e.repartition(max(tasks_of(e), PARTS_PER_TASK * spark.sparkContext.defaultParallelism), "event_id")
+    a = linguistic.answered(dealt.select("event_id", F.concat(marks, fields).alias("context")), *parse(_full_set()), packed=True)
+    return a.select("event_id", "bits", F.array_join(F.col("numbers").cast("array<int>").cast("array<string>"), ",").alias("numbers"))
 
 
 @query(f"WITH {LABELS} SELECT utt, idx, context FROM l WHERE idx = 3")

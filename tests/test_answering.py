@@ -72,3 +72,28 @@ def test_a_whole_set_has_416_questions():
     assert (len(binary), len(numeric)) == (373, 43)
     machine = Machine(binary, numeric)
     assert len(machine.grouped) == 43 and len(machine.several) == 60 + 33
+
+
+def test_digits_are_read_side_by_side(monkeypatch):
+    """No regular expression runs but where a number is long or holds a minus inside; the first place that fits counts."""
+    binary, numeric = parse('QS "has" {*/B:(\\d+)_*}\nCQS "a" {/A:(\\d+)_}\nCQS "b" {/B:([-\\d]+)}\nCQS "c" {/A:([-\\d]+)_x}\nCQS "digit" {/A:(\\d+)5}\nCQS "minus" {/B:([-\\d]+)-}\nCQS "nul" {/A:(\\d+)\0}')
+    r = random.Random(5)
+    pieces = ["/A:", "/B:", "_", "_x", "x", "7", "05", "5", "12345", "-3", "-0", "\0", "é", "99999999999999999999"]
+    contexts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 9))) for _ in range(4000)] + [None, "", "/A:", "/A:3", "/B:-", "/B:4/B:5-6"]
+    bad = re.compile(r"/[AB]:(-[-\d]*-|\d+-|-(?!\d))")
+    contexts = [c for c in contexts if c is None or not bad.search(c)]
+    machine = Machine(binary, numeric)
+    got = machine.answers(pa.array(contexts, pa.string()))
+    want = np.array([[plain(q, False, c) for q in binary] + [plain(q, True, c) for q in numeric] for c in contexts], np.float32)
+    assert len(contexts) > 2000 and (got == want).all() and (np.signbit(got) == np.signbit(want)).all()
+    monkeypatch.setattr(Machine, "_group", None)
+    monkeypatch.setattr(Machine, "_number", None)
+    _, plain_ones = parse('CQS "a" {/A:(\\d+)_}\nCQS "b" {/B:([-\\d]+)}')
+    assert Machine([], plain_ones).answers(pa.array(["/A:31_/B:-2", "/A:3", None])).tolist() == [[31.0, -2.0], [-1.0, -50.0], [-1.0, -50.0]]
+
+
+def test_answers_are_packed(spark):
+    binary, numeric = parse('QS "a" {*-a+*}\nQS "all" {*}\nCQS "n" {/N:([-\\d]+)_}')
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(["-a+/N:-3_", None, "", "/N:7_"] * 3)], "utt long, context string")
+    got = {r.utt: (r.bits, r.numbers) for r in linguistic.answered(df, binary, numeric, packed=True).collect()}
+    assert got == {r.utt: ("".join(str(int(v)) for v in r.answers[:2]), r.answers[2:]) for r in linguistic.answered(df, binary, numeric).collect()}
