@@ -20,6 +20,8 @@ from phonoframe.operators.grouping import kind as type_of
 
 #: Numbers that a task transforms at once, about.
 STACK = 1 << 20
+#: Numbers of all trajectories, each as long as the transform, that a task adds up as rows, about.
+SUMMED = 1 << 19
 
 
 def factors(n: int) -> tuple[int, int]:
@@ -28,24 +30,34 @@ def factors(n: int) -> tuple[int, int]:
     return first, n // first
 
 
+def tasks_for(trajectories: int, n: int, least: int = 1) -> int:
+    """How many tasks ``modspec_rows`` takes so that what one holds doesn't grow with their number; frames dealt by utterance to as many stay there."""
+    return max(least, -(-trajectories * n // SUMMED))
+
+
 def modspec_rows(df: DataFrame, n: int, ortho: bool = False, utt: str = "utt") -> DataFrame:
     """(utt, dim, frame, value) -> (utt, dim, bin, power, re, im) for bins 0 to n / 2, by sums of cosines and sines.
 
-    Frames from n on are cut off. A frame meets n1 bins and n2 of the sums that
-    follow, not all n / 2 bins.
+    Frames from n on are cut off. A frame meets n1 / 2 bins and n2 of the sums that
+    follow, not all n / 2 bins: as values are real, sums for k1 and n1 - k1 mirror
+    each other, and bins beyond n / 2 those before.
     """
     n1, n2 = factors(n)
     turned = lambda re, im, angle: (re * F.cos(angle) + im * F.sin(angle), im * F.cos(angle) - re * F.sin(angle))
-    columns = df.where(F.col("frame") < n).select(utt, "dim", (F.col("frame") % n2).alias("t2"), F.floor(F.col("frame") / n2).alias("t1"), "value", F.explode(F.sequence(F.lit(0), F.lit(n1 - 1))).alias("k1"))
+    columns = df.where(F.col("frame") < n).select(utt, "dim", (F.col("frame") % n2).alias("t2"), F.floor(F.col("frame") / n2).alias("t1"), "value", F.explode(F.sequence(F.lit(0), F.lit(n1 // 2))).alias("k1"))
     angle = F.col("t1") * F.col("k1") % n1 * (2 * np.pi / n1)
     inner = columns.groupBy(utt, "dim", "t2", "k1").agg(F.sum(F.col("value") * F.cos(angle)).alias("a"), (-F.sum(F.col("value") * F.sin(angle))).alias("b"))
     re, im = turned(F.col("a"), F.col("b"), F.col("t2") * F.col("k1") % n * (2 * np.pi / n))
-    last = F.floor((F.lit(n // 2) - F.col("k1")) / n1).cast("int")
+    own = (F.col("k1") == 0) | (F.col("k1") * 2 == n1)  # sums that are their own mirror images: their bins beyond n / 2 come twice
+    last = F.when(own, F.floor((F.lit(n // 2) - F.col("k1")) / n1)).otherwise(n2 - 1).cast("int")
     rows = inner.where(F.col("k1") <= n // 2).select(utt, "dim", "k1", "t2", re.alias("a"), im.alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("k2"))
     re, im = turned(F.col("a"), F.col("b"), F.col("t2") * F.col("k2") % n2 * (2 * np.pi / n2))
     unit = 1 / np.sqrt(n) if ortho else 1.0
     sums = rows.groupBy(utt, "dim", "k1", "k2").agg((F.sum(re) * unit).alias("re"), (F.sum(im) * unit).alias("im"))
-    return sums.select(utt, "dim", (F.col("k1") + n1 * F.col("k2")).cast("int").alias("bin"), "re", "im", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    place = F.col("k1") + n1 * F.col("k2")
+    beyond = place > n // 2
+    mirrored = sums.select(utt, "dim", F.when(beyond, n - place).otherwise(place).cast("int").alias("bin"), "re", F.when(beyond, -F.col("im")).otherwise(F.col("im")).alias("im"))
+    return mirrored.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
 
 
 def _lists(values: np.ndarray) -> pa.Array:

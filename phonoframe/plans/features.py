@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phonoframe.functions import scalar
 from phonoframe.operators import datasets, metrics, sequence, spectral, stats
+from phonoframe.operators.grouping import tasks_of
 from phonoframe.plans.registry import query
 from phonoframe.plans.tables import EVENTS, VECTORS, events, table, vectors
 from phonoframe.sources import corpora
@@ -81,9 +82,10 @@ def mel_cepstral_distortion(spark, sf):
 @query(f"""WITH {EVENTS}, n AS (SELECT CAST(greatest(64, pow(2, ceil(log2(max(frame) + 1)))) AS BIGINT) AS n FROM e), k AS (SELECT n, unnest(range(n // 2 + 1)) AS bin FROM n)
 SELECT utt, bin, round(pow(sum(value*cos(frame*bin % n*(2*pi()/n))), 2) + pow(sum(value*sin(frame*bin % n*(2*pi()/n))), 2), 2) AS power FROM e, k GROUP BY utt, bin""")
 def modulation_spectrum(spark, sf):
-    e = events(spark, sf).withColumn("dim", F.lit(0))
-    longest = (e.agg(F.max("frame")).first()[0] or 0) + 1
+    users = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    longest, utterances = users.agg(F.coalesce(F.max("n"), F.lit(1)), F.count("*")).first()
     n = max(64, 1 << (longest - 1).bit_length())
+    e = events(spark, sf, spectral.tasks_for(utterances, n, tasks_of(users))).withColumn("dim", F.lit(0))
     return spectral.modspec_rows(e, n).select("utt", F.col("bin").cast("long").alias("bin"), R("power", 2).alias("power"))
 
 

@@ -10,11 +10,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    """(utt, frame, value, voiced, f0): a user's events in time are an utterance; errors are unvoiced."""
+def events(spark: SparkSession, sf: str, tasks: int | None = None) -> DataFrame:
+    """(utt, frame, value, voiced, f0): a user's events in time are an utterance; errors are unvoiced. tasks: how many share the utterances."""
     # Named before it is numbered by: what follows then knows that an utterance's frames are in one task.
     w = Window.partitionBy("utt").orderBy("ts", "event_id")
     e = table(spark, sf, "events").select(F.col("user_id").alias("utt"), "ts", "event_id", "value", "event_type")
+    e = e.repartition(tasks, "utt") if tasks else e
     voiced = (F.col("event_type") != "error").cast("int")
     return e.select("utt", (F.row_number().over(w) - 1).cast("long").alias("frame"), "value", voiced.alias("voiced")).withColumn("f0", F.when(F.col("voiced") == 1, F.col("value")).otherwise(0.0))
 

@@ -88,3 +88,28 @@ def test_no_task_holds_an_utterance(spark):
     df = spark.range(60_000).select(F.lit("u").alias("utt"), F.col("id").alias("frame"), F.array(F.sin(F.col("id") / 7)).alias("features"))
     power = by_utterance(spectral.modspec(df, 1 << 16), "bin", "power")["u"][1][:, 0]
     assert np.allclose(power, np.abs(np.fft.rfft(np.sin(np.arange(60_000) / 7), 1 << 16)) ** 2, rtol=1e-6, atol=1e-5) and spectral.factors(1 << 16) == (256, 256)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 36, 37, 45, 64])
+def test_rows_come_once_from_mirrored_sums(data, n):
+    df, whole = data
+    x = df.where("utt is not null").select("utt", F.posexplode("features").alias("dim", "value"), "frame")
+    rows = spectral.modspec_rows(x, n).collect()
+    assert len(rows) == len({(r.utt, r.dim, r.bin) for r in rows}) == 3 * 3 * (n // 2 + 1)
+    z = {u: np.fft.rfft(v, n, axis=0) for u, v in whole.items() if u}
+    assert all(np.isclose(r.re + 1j * r.im, z[r.utt][r.bin, r.dim]) and np.isclose(r.power, abs(z[r.utt][r.bin, r.dim]) ** 2) for r in rows)
+
+
+def test_tasks_follow_from_the_trajectories(spark, tmp_path, monkeypatch):
+    """What a task adds up doesn't grow with the number of utterances."""
+    from phonoframe.plans.registry import QUERIES
+
+    spark.range(3000).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "id % 50 as user_id", "'view' as event_type", "double(id % 7) as value").write.parquet(f"{tmp_path}/events.parquet")
+    assert (spectral.tasks_for(100, 64, 8), spectral.tasks_for(10 * spectral.SUMMED, 64, 8)) == (8, 640)
+    want = {(r.utt, r.bin): r.power for r in QUERIES["modulation_spectrum"](spark, f"{tmp_path}").collect()}
+    monkeypatch.setattr(spectral, "SUMMED", 5 * 64)
+    got = QUERIES["modulation_spectrum"](spark, f"{tmp_path}")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(utt") == 1 and got.rdd.getNumPartitions() == 10
+    assert {(r.utt, r.bin): r.power for r in got.collect()} == pytest.approx(want) and len(want) == 50 * 33
+    spark.range(0).selectExpr("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "id as user_id", "'view' as event_type", "double(id) as value").write.parquet(f"{tmp_path}/none/events.parquet")
+    assert QUERIES["modulation_spectrum"](spark, f"{tmp_path}/none").count() == 0
