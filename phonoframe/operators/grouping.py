@@ -53,14 +53,20 @@ def stacks(batches: Iterator[pd.DataFrame], most: int = STACK) -> Iterator[list[
 
 
 def over_utterances(frames: DataFrame, kernel: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: str = "frame", tasks: int | None = None, key: str = "utt") -> DataFrame:
-    """A kernel over lists of whole utterances (or what else `key`, the first column of frames, tells apart), each with its frames in order."""
-    dealt = frames.repartition(tasks_of(frames, tasks), key).sortWithinPartitions(key, order)
+    """A kernel over lists of whole utterances (or what else `key`, the first column of frames, tells apart), each with its frames in order.
+
+    Rows that a window or join has dealt by the key aren't dealt again. Only a window
+    on top, unlike a map, then keeps adaptive execution from merging or splitting the
+    parts of each side of a union or join on their own, which would tear utterances apart.
+    """
+    dealt = frames.repartition(tasks_of(frames, tasks), key)
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order))).sortWithinPartitions(key, order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in stacks(batches):
+        for some in stacks(pdf.drop(columns="_place") for pdf in batches):
             yield from kernel(some)
 
-    return dealt.mapInPandas(run, schema)
+    return placed.mapInPandas(run, schema)
 
 
 def each(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]]:
