band_solve_blocks: deal rows of blocks once for both passes

Symptom: on events at sf0.1 (2.0 MB) the query wrote 19 MB and read 25 MB of shuffle; the rows of all blocks were made and dealt twice.
Evidence: the passes that reduce blocks to their borders and that solve them each dealt the rows by a key of JSON text: 5.7 and 6.3 MB written, and events by user were read again for the second, 6 MB.
Fix: rows are dealt once by utterance and block, both passes read that exchange, and borders are dealt to it apart; multi-block matrices are picked after dealing; no text key, and rows name their diagonal instead of a column. mlpg_blocks, mlpg_gradient_blocks, band_cholesky_blocks and band_solve_triangular_blocks share the step or its key.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 2166 -> 2234 s, shuffle 1.16 -> 0.72 GB, spill 0.00 -> 0.00 GB, read 0.28 -> 0.28 GB, longest task 10 -> 10 s, most memory of a task 185 -> 185 MB; at 6 GB of input CPU 10642 -> 10078 s, shuffle 7.00 -> 4.33 GB, spill 0.00 -> 0.00 GB, read 1.99 -> 1.99 GB, longest task 33 -> 31 s, most memory of a task 303 -> 303 MB; with hot keys, at 1 GB of input CPU 2155 -> 1725 s, shuffle 1.12 -> 0.67 GB, spill 0.00 -> 0.00 GB, read 0.28 -> 0.28 GB, longest task 19 -> 14 s, most memory of a task 504 -> 504 MB.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,18 +22,22 @@ def tasks_of(df: DataFrame, tasks: int | None = None) -> int:
     return tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stacks(batches: Iterator[pd.DataFrame], most: int = STACK) -> Iterator[list[pd.DataFrame]]:
-    """Whole utterances, several at a time, from rows that are sorted by their first column."""
+def _codes(pdf: pd.DataFrame, keys: int) -> np.ndarray:
+    """(rows, keys): numbers that tell the values of the first columns apart, nulls included."""
+    return np.stack([pd.factorize(pdf.iloc[:, k], use_na_sentinel=False)[0] for k in range(keys)], axis=1)
+
+
+def stacks(batches: Iterator[pd.DataFrame], most: int = STACK, keys: int = 1) -> Iterator[list[pd.DataFrame]]:
+    """Whole utterances, several at a time, from rows that are sorted by their first column, or by as many as tell utterances apart."""
     held: list[pd.DataFrame] = []
     done: list[pd.DataFrame] = []
     rows = 0
     for pdf in batches:
         if not len(pdf):
             continue
-        code = pd.factorize(pdf.iloc[:, 0], use_na_sentinel=False)[0]
-        cuts = np.flatnonzero(np.diff(code)) + 1
+        cuts = np.flatnonzero(np.diff(_codes(pdf, keys), axis=0).any(1)) + 1
         parts = [pdf.iloc[i:j] for i, j in zip([0, *cuts], [*cuts, len(pdf)], strict=True)]
-        same = bool(held) and (held[-1].iloc[0, 0] == parts[0].iloc[0, 0] or (pd.isna(held[-1].iloc[0, 0]) and pd.isna(parts[0].iloc[0, 0])))
+        same = bool(held) and all(held[-1].iloc[0, k] == parts[0].iloc[0, k] or (pd.isna(held[-1].iloc[0, k]) and pd.isna(parts[0].iloc[0, k])) for k in range(keys))
         if held and not same:
             done.append(pd.concat(held) if len(held) > 1 else held[0])
             held = []
@@ -52,21 +56,24 @@ def stacks(batches: Iterator[pd.DataFrame], most: int = STACK) -> Iterator[list[
         yield done
 
 
-def over_utterances(frames: DataFrame, kernel: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: str = "frame", tasks: int | None = None, key: str = "utt") -> DataFrame:
-    """A kernel over lists of whole utterances (or what else `key`, the first column of frames, tells apart), each with its frames in order.
+def over_utterances(frames: DataFrame, kernel: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, order: str = "frame", tasks: int | None = None, key: str | Sequence[str] = "utt", only: str | None = None) -> DataFrame:
+    """A kernel over lists of whole utterances (or what else `key`, the first column or columns of frames, tells apart), each with its frames in order.
 
+    only: a condition on frames that the kernel gets. It is asked for once rows are dealt, so that
+    kernels over some and over all of them share one dealing.
     Rows that a window or join has dealt by the key aren't dealt again. Only a window
     on top, unlike a map, then keeps adaptive execution from merging or splitting the
     parts of each side of a union or join on their own, which would tear utterances apart.
     """
-    dealt = frames.repartition(tasks_of(frames, tasks), key)
-    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order))).sortWithinPartitions(key, order)
+    keys = [key] if isinstance(key, str) else [*key]
+    dealt = frames.repartition(tasks_of(frames, tasks), *keys)
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).sortWithinPartitions(*keys, order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in stacks(pdf.drop(columns="_place") for pdf in batches):
+        for some in stacks((pdf.drop(columns="_place") for pdf in batches), keys=len(keys)):
             yield from kernel(some)
 
-    return placed.mapInPandas(run, schema)
+    return (placed.where(only) if only else placed).mapInPandas(run, schema)
 
 
 def each(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]]:

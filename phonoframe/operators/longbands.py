@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from phonoframe.functions.windows import DEFAULT, DeltaWindow
 from phonoframe.operators import kernels
-from phonoframe.operators.grouping import kind, over_utterances
+from phonoframe.operators.grouping import kind, over_utterances, tasks_of
 
 #: Rows of a block.
 BLOCK = 2048
+#: What tells blocks apart.
+BY = ("utt", "chunk")
 
 
 @dataclass
@@ -122,8 +124,8 @@ def cut(rows: DataFrame, lengths: DataFrame, place: Column, before: int, after:
 def _blocks(some: list[pd.DataFrame], assemble, width: int, block: int) -> list[Block]:
     out = []
     for pdf in some:
-        utt, chunk, chunks, n = (pdf[c].iloc[0] for c in ("utt", "chunk", "chunks", "n"))
-        low, last = int(chunk) * block, chunk == chunks - 1
+        utt, chunk, n = (pdf[c].iloc[0] for c in ("utt", "chunk", "n"))
+        low, last = int(chunk) * block, chunk == max(n // block, 1) - 1
         high = int(n) if last else low + block + width
         out.append(Block(utt, int(chunk), low, width if chunk else 0, 0 if last else width, *assemble(pdf, low, high, int(n))))
     return out
@@ -141,16 +143,16 @@ def _together(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _by_block(rows: DataFrame, kernel, schema: str, order: str, tasks: int | None) -> DataFrame:
-    keyed = rows.withColumn("key", F.to_json(F.struct("utt", "chunk"), {"ignoreNullFields": "false"}))
-    return over_utterances(keyed.select("key", *rows.columns), kernel, schema, order=order, tasks=tasks, key="key")
+def _by_block(rows: DataFrame, kernel, schema: str, order: str, tasks: int | None, only: str | None = None) -> DataFrame:
+    return over_utterances(rows.select(*BY, *[c for c in rows.columns if c not in BY]), kernel, schema, order=order, tasks=tasks, key=BY, only=only)
 
 
 def solve_blocks(rows: DataFrame, assemble: Callable[[pd.DataFrame, int, int, int], tuple[np.ndarray, np.ndarray]], finish, schema: str, width: int, block: int, order: str, tasks: int | None) -> DataFrame:
     """finish(block, its solution, its rows) of every block of `rows` (as ``cut`` gives them).
 
     assemble(rows of a block, low, high, n) returns the band and the right sides of
-    rows low to high. width is the band's or more.
+    rows low to high. width is the band's or more. Rows are dealt by block once, for
+    both passes; borders are then dealt to them.
     """
     if block < 2 * width + 1:
         raise ValueError(f"blocks of {block} rows are too short for a band of {width}")
@@ -175,25 +177,30 @@ def solve_blocks(rows: DataFrame, assemble: Callable[[pd.DataFrame, int, int, in
         borders = [np.asarray(k, float).reshape(x.left + x.right, x.b.shape[1]) for k, x in zip(known, blocks, strict=True)]
         yield from _together(finish(x, y, pdf) for x, y, pdf in zip(blocks, solved(blocks, borders), own, strict=True))
 
-    parts = _by_block(rows.where("chunks > 1"), reduce, f"{utt}, chunk long, left int, right int, s array<double>, g array<double>", order, tasks)
+    dealt = rows.drop("chunks").repartition(tasks_of(rows, tasks), *BY)
+    parts = _by_block(dealt, reduce, f"{utt}, chunk long, left int, right int, s array<double>, g array<double>", order, tasks, only=f"n >= {2 * block}")
     borders = over_utterances(parts, lambda some: _together(met(some)), f"{utt}, chunk long, border array<double>", order="chunk", tasks=tasks)
-    return _by_block(rows.unionByName(borders, allowMissingColumns=True), end, schema, order, tasks)
+    known = dealt.unionByName(borders.repartition(tasks_of(rows, tasks), *BY), allowMissingColumns=True)
+    return _by_block(known, end, schema, order, tasks)
 
 
 def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, width: int, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """(mat, idx, value): x of A x = b, A symmetric positive definite with its lower band given as (mat, row, col, value)."""
-    entries = a.where(f"row >= col and row - col <= {width}").select(F.col("mat").alias("utt"), "row", "col", F.col("value").cast("double").alias("value"))
-    right = b.select(F.col("mat").alias("utt"), F.col("idx").alias("row"), F.lit(-1).cast("long").alias("col"), F.col("value").cast("double").alias("value"))
+    # below: how far under the diagonal, which rows in a row share; -1 are right sides, -2 rows that only have a block known.
+    below = lambda c: c.cast("long").alias("below")
+    entries = a.where(f"row >= col and row - col <= {width}").select(F.col("mat").alias("utt"), "row", below(F.col("row") - F.col("col")), F.col("value").cast("double").alias("value"))
+    right = b.select(F.col("mat").alias("utt"), F.col("idx").alias("row"), below(F.lit(-1)), F.col("value").cast("double").alias("value"))
     lengths = sizes.select(F.col("mat").alias("utt"), "n")
     # Rows of zeros too have their block.
-    empty = cut(lengths.select("utt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("row"), F.lit(-2).cast("long").alias("col"), F.lit(0.0).alias("value")), lengths, F.col("row"), 0, 0, block)
+    empty = cut(lengths.select("utt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("row"), below(F.lit(-2)), F.lit(0.0).alias("value")), lengths, F.col("row"), 0, 0, block)
     rows = cut(entries.unionByName(right), lengths, F.col("row"), 0, width, block).unionByName(empty)
 
     def assemble(pdf: pd.DataFrame, low: int, high: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        row, col, value = (pdf[c].to_numpy() for c in ("row", "col", "value"))
-        row, inner, right = (row - low).astype(np.int64), col >= low, col == -1
+        row, under, value = (pdf[c].to_numpy() for c in ("row", "below", "value"))
+        row, under = (row - low).astype(np.int64), under.astype(np.int64)
+        inner, right = (under >= 0) & (row >= under), under == -1
         band, x = np.zeros((width + 1, high - low, 1)), np.zeros((high - low, 1))
-        band[(row - col + low)[inner].astype(np.int64), row[inner], 0] = value[inner]
+        band[under[inner], row[inner], 0] = value[inner]
         x[row[right], 0] = value[right]
         return band, x
 
