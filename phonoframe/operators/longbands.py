@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phonoframe.functions.windows import DEFAULT, DeltaWindow
@@ -114,13 +114,23 @@ def solved(blocks: list[Block], borders: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate([y[: x.left], z, y[x.left :]]) for x, y, z in zip(blocks, borders, inner, strict=True)]
 
 
-def cut(rows: DataFrame, lengths: DataFrame, place: Column, before: int, after: int, block: int) -> DataFrame:
-    """rows with n (of lengths: utt, n), chunks and chunk, once for each block whose rows, `before` rows ahead of them or `after` rows behind them, hold the place. The last block takes what is left over."""
-    met = rows.join(lengths.select("utt", F.col("n").cast("long").alias("n")), "utt").withColumn("chunks", F.greatest(F.floor(F.col("n") / block), F.lit(1)))
+def with_lengths(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """rows with n (of lengths: utt, n)."""
+    return rows.join(lengths.select("utt", F.col("n").cast("long").alias("n")), "utt")
+
+
+def spread(rows: DataFrame, place: Column, before: int, after: int, block: int) -> DataFrame:
+    """rows (which have n) with chunks and chunk, once for each block whose rows, `before` rows ahead of them or `after` rows behind them, hold the place. The last block takes what is left over."""
+    met = rows.withColumn("chunks", F.greatest(F.floor(F.col("n") / block), F.lit(1)))
     of = lambda x: F.least(F.greatest(F.floor(x / block), F.lit(0)), F.col("chunks") - 1)
     return met.withColumn("chunk", F.explode(F.sequence(of(place - after), of(place + before))))
 
 
+def cut(rows: DataFrame, lengths: DataFrame, place: Column, before: int, after: int, block: int) -> DataFrame:
+    """rows with n (of lengths: utt, n), ``spread`` over blocks."""
+    return spread(with_lengths(rows, lengths), place, before, after, block)
+
+
 def _blocks(some: list[pd.DataFrame], assemble, width: int, block: int) -> list[Block]:
     out = []
     for pdf in some:
@@ -211,13 +221,18 @@ def solve(a: DataFrame, b: DataFrame, sizes: DataFrame, width: int, block: int =
     return solve_blocks(rows, assemble, finish, f"mat {kind(a, 'mat')}, idx long, value double", width, block, "row", tasks)
 
 
-def _trajectory_rows(frames: DataFrame, windows: Sequence[DeltaWindow], block: int) -> tuple[DataFrame, int, int]:
+def _trajectory_rows(frames: DataFrame, windows: Sequence[DeltaWindow], block: int, gathered: bool = False) -> tuple[DataFrame, int, int]:
     """Frames in blocks with as many on both sides as windows reach, the width of the borders, and how far windows look back."""
     back, ahead = max(w.left for w in windows), max(w.right for w in windows)
     width = max(back + ahead, 1)
-    lengths = frames.groupBy("utt").agg((F.max("frame") + 1).alias("n"))
     reach = max(back, ahead)
-    return cut(frames, lengths, F.col("frame"), reach, width + reach, block), width, back
+    if gathered:
+        # In the order of a delta's window, which then answers for both.
+        every = Window.partitionBy("utt").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        met = frames.where("utt is not null").withColumn("n", (F.max("frame").over(every) + 1).cast("long"))
+    else:
+        met = with_lengths(frames, frames.groupBy("utt").agg((F.max("frame") + 1).alias("n")))
+    return spread(met, F.col("frame"), reach, width + reach, block), width, back
 
 
 def _precisions(pdf: pd.DataFrame, n: int, windows: Sequence[DeltaWindow]) -> list[np.ndarray]:
@@ -242,10 +257,15 @@ def _assembled(pdf: pd.DataFrame, low: int, high: int, n: int, windows: tuple[De
     return band, right(pdf, tau)[low - first : high - first]
 
 
-def mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
-    """(utt, frame, means, variances) -> (utt, frame, features), as ``paramgen.mlpg``, of utterances of any length. Every frame is there; a variance that isn't positive is an error."""
+def mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, block: int = BLOCK, tasks: int | None = None, gathered: bool = False) -> DataFrame:
+    """(utt, frame, means, variances) -> (utt, frame, features), as ``paramgen.mlpg``, of utterances of any length. Every frame is there; a variance that isn't positive is an error.
+
+    gathered: windows have brought each utterance's frames together already, say to number them or
+    to find their deltas. Another window then finds lengths; else a join does, which makes frames
+    anew but never brings a long utterance together.
+    """
     windows = tuple(windows)
-    rows, width, _ = _trajectory_rows(frames.select("utt", "frame", "means", "variances"), windows, block)
+    rows, width, _ = _trajectory_rows(frames.select("utt", "frame", "means", "variances"), windows, block, gathered)
 
     def right(pdf: pd.DataFrame, tau: list[np.ndarray]) -> np.ndarray:
         mu = np.split(np.stack(pdf["means"].to_numpy()).astype(float), len(windows), axis=1)

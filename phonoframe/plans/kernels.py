@@ -55,7 +55,7 @@ def mlpg(spark, sf):
 @query(ORACLE_SQL["mlpg"])
 def mlpg_blocks(spark, sf):
     """Utterances cut into blocks of 16 frames, as very long ones are."""
-    return longbands.mlpg(_dynamic(spark, sf), block=16).select("utt", "frame", R(F.col("features")[0]).alias("y"))
+    return longbands.mlpg(_dynamic(spark, sf), block=16, gathered=True).select("utt", "frame", R(F.col("features")[0]).alias("y"))
 
 
 @query(f"""WITH RECURSIVE {_MEANS.format(**_OWN)}, {_SOLVED.format(right="value")},

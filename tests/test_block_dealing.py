@@ -5,9 +5,11 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from phonoframe.operators import longbands
+from phonoframe.functions.windows import DELTA, STATIC
+from phonoframe.operators import longbands, sequence
 from phonoframe.operators.grouping import stacks
 
 ENTRY = "mat long, row long, col long, value double"
@@ -77,3 +79,53 @@ def test_blocks_are_told_apart_by_both_columns(at):
     got = [x for some in stacks(batches, 2, keys=2) for x in some]
     assert [(x.utt.iloc[0], x.chunk.iloc[0], len(x)) for x in got] == want
     assert all(x.t.tolist() == list(range(len(x))) for x in got)
+
+
+def utterances(spark, lengths=((1, 50), (2, 9), (3, 1), (4, 32), (None, 20)), lost=()):
+    """(utt, frame, means, variances, gradient), numbered by a window, with a null utterance; values of (utt, at) in `lost` are null."""
+    rows = [(u, t, None if (u, t) in lost else float((7 * (u or 0) + 3 * t) % 11)) for u, n in lengths for t in range(n)]
+    e = spark.createDataFrame(rows, "utt long, at long, value double").repartition(3)
+    frame = (F.row_number().over(Window.partitionBy("utt").orderBy("at")) - 1).cast("long")
+    e = sequence.delta(e.select("utt", frame.alias("frame"), "value"), "value", "d", DELTA)
+    return e.select("utt", "frame", F.array("value", "d").alias("means"), F.array(F.lit(1.0), 0.2 + F.col("frame") % 3).alias("variances"), F.array("value").alias("gradient"))
+
+
+def same_rows(x, y):
+    x, y = (df.toPandas().sort_values(["utt", "frame"]) for df in (x, y))
+    assert x.utt.tolist() == y.utt.tolist() and x.frame.tolist() == y.frame.tolist()
+    np.testing.assert_array_equal(np.stack(x.features), np.stack(y.features))
+    return x
+
+
+def joins_and_scans(plan: str) -> tuple[int, int]:
+    return len(re.findall(r"- \w*Join ", plan)), len(re.findall(r"Scan ExistingRDD", plan))
+
+
+@pytest.mark.parametrize("operator", [longbands.mlpg])
+def test_gathered_frames_are_made_once(spark, operator):
+    df = utterances(spark)
+    got, joined = operator(df, (STATIC, DELTA), 9, gathered=True), operator(df, (STATIC, DELTA), 9)
+    plan = final_plan(got)
+    assert joins_and_scans(plan) == (0, 1) and dealt(plan) == (2, 1)
+    assert len(re.findall(r"- Exchange hashpartitioning\(utt#\d+L?, \d+\), ENSURE", plan)) == 1
+    x = same_rows(got, joined)
+    assert x.groupby("utt").size().to_dict() == {1: 50, 2: 9, 3: 1, 4: 32}
+    # Frames that lie anywhere give the same.
+    same_rows(operator(df.repartition(5, "frame"), (STATIC, DELTA), 9, gathered=True), joined)
+
+
+@pytest.mark.parametrize("operator", [longbands.mlpg])
+def test_gathered_frames_with_odd_rows(spark, operator):
+    """A value that is missing, no utterance at all, a frame that is null."""
+    df = utterances(spark, ((1, 40), (2, 40), (3, 12)), lost={(2, 17)})
+    same_rows(operator(df, (STATIC, DELTA), 9, gathered=True), operator(df, (STATIC, DELTA), 9))
+    none = df.where("utt is null")
+    assert operator(none, (STATIC, DELTA), 9, gathered=True).count() == operator(none, (STATIC, DELTA), 9).count() == 0
+    null_frame = df.where("utt = 1 and frame = 0").withColumn("frame", F.lit(None).cast("long"))
+    errors = []
+    for gathered in (True, False):
+        try:
+            errors.append(len(operator(df.union(null_frame), (STATIC, DELTA), 9, gathered=gathered).collect()))
+        except Exception as e:
+            errors.append(type(e).__name__)
+    assert errors[0] == errors[1]
