mlpg_gradient_blocks: find lengths by a window, without a second read of events

Symptom: on events at sf0.1 (2.0 MB) the query wrote 10 MB and read 13 MB of shuffle, and held 137 MB in a task.
Evidence: rows of blocks were dealt once for each of two passes (2.7 and 3.0 MB), and a join with each utterance's length read, dealt and numbered all events a second time (1.6 MB written).
Fix: both passes share one dealing by block (made with band_solve_blocks); frames that windows have already gathered by utterance (gathered) get their length from a window over the same exchange, without join or second read.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 2371 -> 2046 s, shuffle 0.61 -> 0.33 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.09 GB, longest task 10 -> 10 s, most memory of a task 169 -> 101 MB; at 6 GB of input CPU 9703 -> 9490 s, shuffle 3.60 -> 1.93 GB, spill 0.00 -> 0.00 GB, read 1.17 -> 0.62 GB, longest task 34 -> 36 s, most memory of a task 405 -> 537 MB; with hot keys, at 1 GB of input CPU 1831 -> 1749 s, shuffle 0.55 -> 0.30 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.09 GB, longest task 28 -> 29 s, most memory of a task 370 -> 302 MB.

@@ -278,10 +278,10 @@ def mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, block: int
     return solve_blocks(rows, lambda *a: _assembled(*a, windows, width, right), finish, f"utt {kind(frames, 'utt')}, frame long, features array<double>", width, block, "frame", tasks)
 
 
-def mlpg_gradient(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
-    """(utt, frame, variances, gradient) -> (utt, frame, features), as ``paramgen.mlpg_gradient``, of utterances of any length."""
+def mlpg_gradient(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, block: int = BLOCK, tasks: int | None = None, gathered: bool = False) -> DataFrame:
+    """(utt, frame, variances, gradient) -> (utt, frame, features), as ``paramgen.mlpg_gradient``, of utterances of any length. gathered: as for ``mlpg``."""
     windows = tuple(windows)
-    rows, width, back = _trajectory_rows(frames.select("utt", "frame", "variances", "gradient"), windows, block)
+    rows, width, back = _trajectory_rows(frames.select("utt", "frame", "variances", "gradient"), windows, block, gathered)
     right = lambda pdf, _: np.stack(pdf["gradient"].to_numpy()).astype(float)
 
     def finish(x: Block, y: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:

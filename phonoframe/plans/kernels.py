@@ -67,7 +67,7 @@ def mlpg_gradient(spark, sf):
 
 @query(ORACLE_SQL["mlpg_gradient"])
 def mlpg_gradient_blocks(spark, sf):
-    return longbands.mlpg_gradient(_dynamic(spark, sf), block=16).select("utt", "frame", *[R(F.col("features")[k]).alias(c) for k, c in enumerate("abc")])
+    return longbands.mlpg_gradient(_dynamic(spark, sf), block=16, gathered=True).select("utt", "frame", *[R(F.col("features")[k]).alias(c) for k, c in enumerate("abc")])
 
 
 def _rows(spark, sf):

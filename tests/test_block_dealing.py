@@ -101,7 +101,7 @@ def joins_and_scans(plan: str) -> tuple[int, int]:
     return len(re.findall(r"- \w*Join ", plan)), len(re.findall(r"Scan ExistingRDD", plan))
 
 
-@pytest.mark.parametrize("operator", [longbands.mlpg])
+@pytest.mark.parametrize("operator", [longbands.mlpg, longbands.mlpg_gradient])
 def test_gathered_frames_are_made_once(spark, operator):
     df = utterances(spark)
     got, joined = operator(df, (STATIC, DELTA), 9, gathered=True), operator(df, (STATIC, DELTA), 9)
@@ -114,7 +114,7 @@ def test_gathered_frames_are_made_once(spark, operator):
     same_rows(operator(df.repartition(5, "frame"), (STATIC, DELTA), 9, gathered=True), joined)
 
 
-@pytest.mark.parametrize("operator", [longbands.mlpg])
+@pytest.mark.parametrize("operator", [longbands.mlpg, longbands.mlpg_gradient])
 def test_gathered_frames_with_odd_rows(spark, operator):
     """A value that is missing, no utterance at all, a frame that is null."""
     df = utterances(spark, ((1, 40), (2, 40), (3, 12)), lost={(2, 17)})
