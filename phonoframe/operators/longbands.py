@@ -262,7 +262,7 @@ def mlpg(frames: DataFrame, windows: Sequence[DeltaWindow] = DEFAULT, block: int
 
     gathered: windows have brought each utterance's frames together already, say to number them or
     to find their deltas. Another window then finds lengths; else a join does, which makes frames
-    anew but never brings a long utterance together.
+    anew, but which adaptive execution can split or turn into one by broadcast if an utterance is long.
     """
     windows = tuple(windows)
     rows, width, _ = _trajectory_rows(frames.select("utt", "frame", "means", "variances"), windows, block, gathered)
